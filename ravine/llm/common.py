@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -71,3 +72,34 @@ def n_bytes(df: DataFrame, column: str) -> int:
 def partitions(spark: SparkSession, total: int, each: int = 32 << 20) -> int:
     """So many partitions that each has about ``each`` bytes; the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each), 1)
+
+
+@contextmanager
+def shuffles(spark: SparkSession, n: int):
+    """Joins and aggregates planned inside deal to n partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def write_frames(df: DataFrame, path: str, end: str) -> None:
+    """Write a binary column as raw files, each value followed by ``end`` (ASCII).
+
+    Spark's own text writer does it, so the files go to any file system that Spark knows and are
+    committed task by task; a lost executor's tasks simply run again.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.select(F.col(df.columns[0]).cast("string").alias("value")).write.option("lineSep", end).text(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the raw files below ``path``; a task for each large file."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
