@@ -23,9 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ravine.llm.common import materialize
+from ravine.llm.common import materialize, row_key
 
 RADIUS = 3
 SEGMENTS = 32
@@ -217,20 +217,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = (now[0], now[1])
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp, component): each row's fingerprint and the smallest key that it reaches.
+def near_duplicates(df: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """(key, keep..., fp, root, component): each row's fingerprint, its component's least
+    fingerprint and the smallest key that it reaches.
 
     Null and empty texts have fingerprint zero and are linked like any other. A null key is never
     the smallest unless a component has no other. Repeated rows are in one component.
     """
-    rows = materialize(with_fingerprints(df, key), "fingerprints")
+    rows = materialize(with_fingerprints(df, key, *keep), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     # a root is one of the fingerprints; its component's smallest key is carried back by it
     found = materialize(components(links(nodes)), "components")
     of = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component"))
-    classes = of.join(smallest, "root").select("fp", "component")
-    return rows.join(classes, "fp").select(key, "fp", "component")
+    classes = materialize(of.join(smallest, "root").select("fp", "root", "component"), "classes")
+    return rows.join(classes, "fp").select(key, *keep, "fp", "root", "component")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component, the row with the smallest key."""
+    keyed = df.withColumn("__rk", row_key(key, "text"))
+    found = near_duplicates(keyed, key, "__rk").filter(F.col(key).eqNullSafe(F.col("component")))
+    stay = materialize(found.groupBy("root").agg(F.min("__rk").alias("__stay")).select("__stay"), "representatives")
+    kept = keyed.join(stay, F.col("__rk") == F.col("__stay"), "left_semi")
+    first = Window.partitionBy("__rk").orderBy(F.col(key))  # rows repeated in key and text
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__rk")
 
 
 def near_duplicate_documents(documents: DataFrame) -> DataFrame:
