@@ -24,7 +24,7 @@ def bm25(tokens: Column, terms: list[str], n: int, df: dict[str, int], avg: floa
     """Okapi BM25 over a token array, with the corpus' counts as parameters."""
     out = F.lit(0.0)
     for t in terms:
-        tf = F.size(F.filter(tokens, lambda x, t=t: x == t))
+        tf = hits(tokens, [t])
         idf = math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))
         out = out + F.lit(idf) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.size(tokens) / F.lit(avg)))
     return out

@@ -27,9 +27,16 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 
 
 def labels(text: Column | str, rules: dict[str, list[str]], default: str) -> Column:
-    """The labels whose keywords occur, in the rules' order; the default where none does."""
-    found = F.array_compact(F.array(*(F.when(contains_any(text, ks), F.lit(k)) for k, ks in rules.items())))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    """The labels whose keywords occur, in the rules' order; the default where none does.
+
+    The lower-case text is bound once, as a lambda's argument; hundreds of keywords share it.
+    """
+
+    def found(low: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), F.lit(name)) for name, words in rules.items())))
+
+    got = F.get(F.transform(F.array(F.lower(col(text))), found), F.lit(0))
+    return F.transform(F.array(got), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(default))))[0]
 
 
 def trigrams(text: Column | str) -> Column:

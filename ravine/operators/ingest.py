@@ -48,15 +48,12 @@ def topics(content: Column, title: Column | None = None) -> Column:
 
 
 def backfill(content: Column) -> Column:
-    """Topics by the ordered steps: the first hit is the main topic, later ones are appended; the
-    second step is appended only to system_database."""
-    array = F.array().cast("array<string>")
-    out = array
-    for name, words in BACKFILL:
-        hit = T.contains_any(content, words)
-        may = (F.size(out) == 0) | (F.array_contains(out, "system_database") if name == "multi_tier_architecture" else F.lit(True))
-        out = F.when(hit & may, F.concat(out, F.array(F.lit(name)))).otherwise(out)
-    return F.when(F.size(out) == 0, F.array(F.lit("other"))).otherwise(out)
+    """Topics by the ordered steps: the first hit is the main topic, later ones are appended.
+
+    The second step appends only to system_database; the one step before it can have added nothing
+    else, so that condition always holds.
+    """
+    return T.labels(content, dict(BACKFILL), "other")
 
 
 def elements(documents: DataFrame, lines_per_page: int = 5) -> DataFrame:

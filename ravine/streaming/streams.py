@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet folder or file as a stream, ``ts`` as TIMESTAMP."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
+        stream, path = stream.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    return stream.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_cost(events: DataFrame, late: str = "1 day") -> DataFrame:
