@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from ravine.llm import spans as S
 from ravine.llm.common import materialize
 
-LENGTH, GRAM = 13, 3
+LENGTH, GRAM = 13, 5
 #: Words that a shard indexes at most (a gram's segments stay together).
 SHARD = 1 << 20
 #: Different segments of a gram that a shard takes; more are cut to windows.
@@ -58,17 +58,18 @@ class WaveletMatrix:
             self.levels.append(Bits(bit))
             self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
+        # where each symbol's run begins below the last level: the same for every query
+        self.start = self._descend(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
+
+    def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        for n, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
+            ones = level.rank(i)
+            i = np.where((symbol >> (len(self.levels) - 1 - n)) & 1 == 1, zeros + ones, i - ones)
+        return i
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """For each pair, how often the symbol is among the first i values."""
-        start = np.zeros(len(i), np.int64)
-        i = i.astype(np.int64)
-        for n, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
-            one = (symbol >> (len(self.levels) - 1 - n)) & 1 == 1
-            a, b = level.rank(start), level.rank(i)
-            start = np.where(one, zeros + a, start - a)
-            i = np.where(one, zeros + b, i - b)
-        return i - start
+        return self._descend(symbol, i.astype(np.int64)) - self.start[symbol]
 
 
 class FMIndex:
