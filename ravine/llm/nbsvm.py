@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ravine.llm.spans import mix
@@ -42,10 +43,7 @@ def shape(word: str) -> str:
 
 
 def _hash(s: str) -> int:
-    h = 0xCBF29CE484222325
-    for c in s.encode("utf-8", "surrogatepass"):
-        h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 7)
 
 
 class Features:

@@ -35,7 +35,7 @@ _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?$")
 _MEASURED = re.compile(r"[+-]?\d[\d.,]*[a-z°]+$", re.I)
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit mph kph watt watts volt volts".split())
 
-_CAPITAL, _STOP, _SLOT = 1, 2, 4
+_CAPITAL, _STOP, _SLOT, _EMPTY = 1, 2, 4, 8
 
 
 class Canon:
@@ -47,47 +47,51 @@ class Canon:
 
     def _clear(self):
         self.at: dict[str, int] = {}
-        self.codes, self.flags, self.raw = [], [], []
+        self.codes, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+        self.raw: list[str] = []
 
-    def _add(self, word: str) -> int:
+    def _add(self, word: str) -> None:
         bare = _EDGES.sub("", word)
-        stop = _STOP if word.rstrip("\"')]}»”")[-1:] in ".!?:" else 0
-        if not bare:
-            return -1 - stop
+        flag = _STOP if word.rstrip("\"')]}»”")[-1:] in ".!?:" else 0
         low = bare.lower()
-        if _NUMBER.match(bare):
-            code, flag = _hash("\0number"), _SLOT
+        if not bare:
+            code, flag = 0, flag | _EMPTY
+        elif _NUMBER.match(bare):
+            code, flag = _hash("\0number"), flag | _SLOT
         elif _MEASURED.match(bare):
-            code, flag = _hash("\0measure"), _SLOT
+            code, flag = _hash("\0measure"), flag | _SLOT
         elif low in UNITS:
-            code, flag = _hash("\0unit"), _SLOT
+            code, flag = _hash("\0unit"), flag | _SLOT
         else:
-            code, flag = _hash(low), _CAPITAL if bare[0].isupper() and not bare.isupper() else 0
-        self.codes.append(code)
-        self.flags.append(flag | stop)
+            code, flag = _hash(low), flag | (_CAPITAL if bare[0].isupper() and not bare.isupper() else 0)
+        n = len(self.raw)
+        if n == len(self.codes):
+            self.codes, self.flags = np.concatenate([self.codes] * 2), np.concatenate([self.flags] * 2)
+        self.codes[n], self.flags[n] = code, flag
         self.raw.append(low)
-        return len(self.codes) - 1
+        self.at[word] = n
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, whether each is a slot, and the numbers of the words (see ``raw``)."""
         if len(self.at) > self.size:
             self._clear()
-        found, at, fresh, starts = [], self.at, True, []
-        for w in _WORD.findall(text or ""):
-            i = at.get(w)
-            if i is None:
-                i = at[w] = self._add(w)
-            if i < 0:
-                fresh = fresh or i < -1
-                continue
-            found.append(i)
-            starts.append(fresh)
-            fresh = bool(self.flags[i] & _STOP)
-        if not found:
-            return np.empty(0, np.uint64), np.empty(0, bool), []
-        codes = np.array([self.codes[i] for i in found], np.uint64)
-        flags = np.array([self.flags[i] for i in found], np.uint8)
-        name = (flags & _CAPITAL > 0) & ~np.array(starts)  # a capital inside a sentence
+        words, at = _WORD.findall(text or ""), self.at
+        try:
+            found = [at[w] for w in words]
+        except KeyError:
+            for w in set(words):
+                if w not in at:
+                    self._add(w)
+            found = [at[w] for w in words]
+        found = np.array(found, np.int64)
+        flags = self.flags[found]
+        kept = np.flatnonzero(flags & _EMPTY == 0)
+        stops = np.concatenate([[0], np.cumsum(flags & _STOP > 0)])
+        fresh = np.ones(len(kept), bool)  # a sentence ended since the word before
+        fresh[1:] = stops[kept[1:]] > stops[kept[:-1]]
+        found, flags = found[kept], flags[kept]
+        codes = self.codes[found]
+        name = (flags & _CAPITAL > 0) & ~fresh  # a capital inside a sentence
         codes[name] = np.uint64(_hash("\0name"))
         return codes, name | (flags & _SLOT > 0), found
 
@@ -105,7 +109,7 @@ def windows(canon: Canon, text: str | None, lengths: list[int]):
     return out, slots, found, len(codes)
 
 
-def values(canon: Canon, slots: np.ndarray, found: list[int], start: int, n: int) -> str:
+def values(canon: Canon, slots: np.ndarray, found: np.ndarray, start: int, n: int) -> str:
     """The slot values of a window, in order."""
     return "\x1f".join(canon.raw[found[i]] for i in range(start, start + n) if slots[i])
 

@@ -35,11 +35,13 @@ CHUNK_IDS = 1 << 19
 MAGIC, END = b"RVS8", "RVS8-END"
 _HEAD = struct.Struct("<4sIQIQ")
 #: Entries of a worker's table of encoded pieces, after which it starts anew.
-PIECES = 400_000
+PIECES = 800_000
+#: Characters of texts that are encoded together.
+TOGETHER = 4 << 20
 
-#: Between a character that isn't white space and a space or line feed, any tokenizer that splits
-#: off words with leading white space has a boundary.
-_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
+#: Where the tokenizer's own pre-tokenizer has a boundary in any case: between a character that
+#: isn't white space and a space or line feed, and between a letter and a punctuation mark.
+_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[.,!|*#$%&])")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -192,18 +194,35 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.seen: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        pieces, seen = _BOUNDARY.split(text), self.seen
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            if len(seen) > PIECES:
-                seen.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in seen]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        split, seen = [_BOUNDARY.split(t) for t in texts], self.seen
+        found = set().union(*split)
+        new = list(found - seen.keys())
+        if len(seen) + len(new) > PIECES:
+            seen.clear()
+            new = list(found)
+        for at in range(0, len(new), 20_000):  # few large calls: each has a cost of its own
+            part = new[at : at + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 seen[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([seen[p] for p in pieces])
+        return [b"".join([seen[p] for p in pieces]) for pieces in split]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of rows, TOGETHER characters or one text at a time."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        for d, t in zip(b.column(0), b.column(1)):
+            text = t.as_py() or ""
+            if held and held + len(text) > TOGETHER:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(d.as_py())
+            texts.append(text)
+            held += len(text)
+    if ids:
+        yield ids, texts
 
 
 def _writer(path: str):
@@ -218,10 +237,9 @@ def _writer(path: str):
         def done():
             return pa.RecordBatch.from_arrays([pa.array([chunk(docs, np.concatenate(held))], pa.binary())], names=["chunk"])
 
-        for b in batches:
-            for d, t in zip(b.column(0), b.column(1)):
-                ids = np.frombuffer(encode(t.as_py() or "") + struct.pack("<I", END_ID), "<u4")
-                doc = d.as_py()
+        for keys, texts in _groups(batches):
+            for doc, encoded in zip(keys, encode(texts)):
+                ids = np.frombuffer(encoded + struct.pack("<I", END_ID), "<u4")
                 while n + len(ids) > CHUNK_IDS:
                     here = CHUNK_IDS - n
                     docs.append((doc, here, True))
