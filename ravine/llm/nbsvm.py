@@ -9,6 +9,7 @@ those with the least hash of their key. A logistic curve on the margins gives th
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,6 +70,12 @@ class Features:
         return np.unique((found & self.mask).astype(np.int32))
 
 
+@functools.cache
+def shared_features() -> Features:
+    """The worker's table of words, which outlives a task."""
+    return Features()
+
+
 @dataclass
 class Model:
     """weights: log-count ratio times SVM weight for each feature; ratio alone for the norm."""
@@ -132,7 +139,7 @@ def held_out(key: Column) -> Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features, n = Features(), np.zeros((2, 1 << BITS), np.int64)
+    features, n = shared_features(), np.zeros((2, 1 << BITS), np.int64)
     for b in batches:
         for text, label in zip(b.column(0), b.column(1)):
             n[label.as_py(), features(text.as_py())] += 1
@@ -141,7 +148,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = Features()
+    features = shared_features()
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], names=["label", "features"])
 
@@ -180,7 +187,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features = shared_features()
         for b in batches:
             scores = [model.score(features(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])

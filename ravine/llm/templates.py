@@ -10,6 +10,7 @@ document has leaked an item if the windows left cover ``RUN`` neighbouring words
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -96,6 +97,12 @@ class Canon:
         return codes, name | (flags & _SLOT > 0), found
 
 
+@functools.cache
+def shared_canon() -> Canon:
+    """The worker's table of words, which outlives a task."""
+    return Canon()
+
+
 def windows(canon: Canon, text: str | None, lengths: list[int]):
     """(length, start, hash) arrays for each length, and what ``values`` needs."""
     codes, slots, found = canon(text)
@@ -116,7 +123,7 @@ def values(canon: Canon, slots: np.ndarray, found: np.ndarray, start: int, n: in
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, text) to (item_id, window, start, length, words, item_values)."""
-    canon = Canon()
+    canon = shared_canon()
     for b in batches:
         rows = []
         for item, text in zip(b.column(0), b.column(1)):
@@ -136,7 +143,7 @@ def _scan(wanted: np.ndarray, lengths: list[int]):
     """(did, rk, text) to (did, rk, window, doc_values): the different wanted windows of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
+        canon = shared_canon()
         for b in batches:
             rows = []
             for did, rk, text in zip(*(b.column(i) for i in range(3))):

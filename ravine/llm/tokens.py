@@ -12,6 +12,7 @@ next chunk) and its number of ids here; the block offsets; the words. All is lit
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -209,6 +210,12 @@ class Encoder:
         return [b"".join([seen[p] for p in pieces]) for pieces in split]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its table outlives a task."""
+    return Encoder(path)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
     """Ids and texts of rows, TOGETHER characters or one text at a time."""
     ids, texts, held = [], [], 0
@@ -230,7 +237,7 @@ def _writer(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = encoder(path)
         docs: list[tuple[int | None, int, bool]] = []
         held, n = [], 0
 
