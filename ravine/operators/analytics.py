@@ -13,7 +13,7 @@ INGEST_TOKEN, WHISPER_MINUTE = 1.5e-7, 0.006
 def queue_stats(jobs: DataFrame) -> DataFrame:
     """One row: jobs by status, mean priority length and total cost."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return jobs.agg(F.count(F.lit(1)).alias("total"), count("queued"), count("processing"), count("completed"), F.round(F.avg("cost"), 4).alias("avg_cost"), F.round(F.sum("cost"), 2).alias("total_cost"))
+    return jobs.agg(F.count(F.lit(1)).alias("total"), count("queued"), count("processing"), count("completed"), F.round(F.avg("cost"), 9).alias("avg_cost"), F.round(F.sum("cost"), 2).alias("total_cost"))
 
 
 def active_workers(jobs: DataFrame, k: int = 10) -> DataFrame:
@@ -37,7 +37,7 @@ def daily_costs(queries: DataFrame, since=None) -> DataFrame:
         F.count(F.lit(1)).alias("queries"),
         F.sum("tokens").alias("tokens"),
         F.round(F.sum("cost"), 4).alias("cost"),
-        F.round(F.avg("cost"), 4).alias("avg_cost"),
+        F.round(F.avg("cost"), 9).alias("avg_cost"),
         F.count_if("success").alias("successes"),
         F.count_if(~F.col("success")).alias("failures"),
     )
@@ -49,25 +49,25 @@ def cost_by_type(queries: DataFrame) -> DataFrame:
 
 
 def summary(queries: DataFrame) -> DataFrame:
-    return queries.agg(F.count(F.lit(1)).alias("queries"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 2).alias("cost"), F.round(F.avg("cost"), 4).alias("avg_cost"), F.countDistinct("user_id").alias("users"), F.max("created_at").alias("last_query"))
+    return queries.agg(F.count(F.lit(1)).alias("queries"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 2).alias("cost"), F.round(F.avg("cost"), 9).alias("avg_cost"), F.countDistinct("user_id").alias("users"), F.max("created_at").alias("last_query"))
 
 
 def cache_stats(cache: DataFrame, as_of, days: int = 7) -> DataFrame:
     live = cache.filter(F.col("created_at") > F.lit(as_of) - F.expr(f"interval {days} days"))
     recent = F.col("created_at") > F.lit(as_of) - F.expr("interval 24 hours")
-    out = live.agg(F.count(F.lit(1)).alias("entries"), F.sum("hits").alias("hits"), F.round(F.avg("hits"), 4).alias("avg_hits"), F.max("hits").alias("max_hits"), F.count_if(recent).alias("recent"))
-    return out.withColumn("hit_rate", F.round(F.col("hits") / F.greatest("entries", F.lit(1)), 4))
+    out = live.agg(F.count(F.lit(1)).alias("entries"), F.sum("hits").alias("hits"), F.round(F.avg("hits"), 9).alias("avg_hits"), F.max("hits").alias("max_hits"), F.count_if(recent).alias("recent"))
+    return out.withColumn("hit_rate", F.round(F.col("hits") / F.greatest("entries", F.lit(1)), 9))
 
 
 def daily_retrieval(metrics: DataFrame, since=None) -> DataFrame:
     """By day, from the JSON metrics: queries and mean score and coverage."""
     df = metrics if since is None else metrics.filter(F.col("created_at") > F.lit(since))
-    return df.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.get_json_object("metrics", "$.k").cast("double")), 4).alias("avg_score"), F.count_if(F.get_json_object("metrics", "$.k").cast("double") < 30).alias("low"))
+    return df.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.get_json_object("metrics", "$.k").cast("double")), 9).alias("avg_score"), F.count_if(F.get_json_object("metrics", "$.k").cast("double") < 30).alias("low"))
 
 
 def category_performance(metrics: DataFrame) -> DataFrame:
     """Unnest the categories, then group."""
-    return metrics.select(F.explode("categories").alias("category"), "value").groupBy("category").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("value"), 4).alias("avg_value"))
+    return metrics.select(F.explode("categories").alias("category"), "value").groupBy("category").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("value"), 9).alias("avg_value"))
 
 
 def low_coverage(metrics: DataFrame, below: float = 0.6, k: int = 20) -> DataFrame:

@@ -32,7 +32,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("query_type"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("cost"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), "user_id", F.col("ts").alias("created_at"), F.col("props").alias("metrics"))
 
 
-@query(f"WITH {_JOBS} SELECT count(*) AS total, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, round(avg(cost), 4) AS avg_cost, round(sum(cost), 2) AS total_cost FROM jobs")
+@query(f"WITH {_JOBS} SELECT count(*) AS total, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, round(avg(cost), 9) AS avg_cost, round(sum(cost), 2) AS total_cost FROM jobs")
 def job_queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.queue_stats(jobs(spark, sf_dir))
 
@@ -47,7 +47,7 @@ def queue_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.next_jobs(jobs(spark, sf_dir))
 
 
-_DAILY = "SELECT CAST(created_at AS DATE) AS day, query_type, count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost, round(avg(cost), 4) AS avg_cost, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures FROM q {} GROUP BY 1, 2"
+_DAILY = "SELECT CAST(created_at AS DATE) AS day, query_type, count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 4) AS cost, round(avg(cost), 9) AS avg_cost, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures FROM q {} GROUP BY 1, 2"
 
 
 @query(f"WITH {_QUERIES} " + _DAILY.format(""))
@@ -65,22 +65,22 @@ def cost_by_type_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.cost_by_type(queries(spark, sf_dir))
 
 
-@query(f"WITH {_QUERIES} SELECT count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 2) AS cost, round(avg(cost), 4) AS avg_cost, count(DISTINCT user_id) AS users, max(created_at) AS last_query FROM q")
+@query(f"WITH {_QUERIES} SELECT count(*) AS queries, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 2) AS cost, round(avg(cost), 9) AS avg_cost, count(DISTINCT user_id) AS users, max(created_at) AS last_query FROM q")
 def analytics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.summary(queries(spark, sf_dir))
 
 
-@query("WITH c AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS hits, ts AS created_at FROM events) SELECT count(*) AS entries, CAST(sum(hits) AS BIGINT) AS hits, round(avg(hits), 4) AS avg_hits, max(hits) AS max_hits, count(*) FILTER (created_at > TIMESTAMP '2024-01-29') AS recent, round(sum(hits) / greatest(count(*), 1)::DOUBLE, 4) AS hit_rate FROM c WHERE created_at > TIMESTAMP '2024-01-23'")
+@query("WITH c AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS hits, ts AS created_at FROM events) SELECT count(*) AS entries, CAST(sum(hits) AS BIGINT) AS hits, round(avg(hits), 9) AS avg_hits, max(hits) AS max_hits, count(*) FILTER (created_at > TIMESTAMP '2024-01-29') AS recent, round(sum(hits) / greatest(count(*), 1)::DOUBLE, 9) AS hit_rate FROM c WHERE created_at > TIMESTAMP '2024-01-23'")
 def query_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.cache_stats(queries(spark, sf_dir).withColumnRenamed("tokens", "hits"), datetime.datetime(2024, 1, 30))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS queries, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 4) AS avg_score, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS DOUBLE) < 30) AS low FROM events WHERE ts > TIMESTAMP '2024-01-05' GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS queries, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 9) AS avg_score, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS DOUBLE) < 30) AS low FROM events WHERE ts > TIMESTAMP '2024-01-05' GROUP BY 1")
 def daily_retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.daily_retrieval(queries(spark, sf_dir), datetime.datetime(2024, 1, 5))
 
 
-@query("WITH m AS (SELECT unnest([event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END]) AS category, value FROM events) SELECT category, count(*) AS queries, round(avg(value), 4) AS avg_value FROM m GROUP BY 1")
+@query("WITH m AS (SELECT unnest([event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END]) AS category, value FROM events) SELECT category, count(*) AS queries, round(avg(value), 9) AS avg_value FROM m GROUP BY 1")
 def category_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "events").select(F.array("event_type", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")).alias("categories"), "value")
     return analytics.category_performance(m)
