@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravine.llm import fmindex, mixing, nbsvm, quality, sharding, simhash, suffixes, templates, tokens, warc
+from ravine.llm import fmindex, mixing, nbsvm, oracles, quality, sharding, simhash, suffixes, templates, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_sharding, op2_warc, op3_token_ids, op4_suffix_array, op5_simhash, op6_fm_index, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_decontamination)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
