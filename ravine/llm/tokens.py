@@ -42,7 +42,8 @@ TOGETHER = 4 << 20
 
 #: Where the tokenizer's own pre-tokenizer has a boundary in any case: between a character that
 #: isn't white space and a space or line feed, and between a letter and a punctuation mark.
-_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[.,!|*#$%&])")
+#: The character to come is looked at first: most are neither, and that is soon told.
+_BOUNDARY = re.compile(r"(?=[ \n.,!|*#$%&])(?:(?<=[A-Za-z])|(?<=\S)(?![.,!|*#$%&]))")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,11 +86,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full[: len(ids)] = ids
     grid[:, :BLOCK_IDS] = full.reshape(blocks, BLOCK_IDS)
     flat = grid.ravel()
-    widths = np.zeros(len(flat), np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):  # bits of each id
-        big = (flat >> (widths.astype(np.uint64) + np.uint64(shift - 0))) > 0
-        widths[big] += shift
-    widths += (flat >> widths.astype(np.uint64)) > 0
+    widths = np.frexp(flat.astype(np.float64))[1].astype(np.uint8)  # bits of each id
+    large = np.flatnonzero(widths > 53)  # rounded, perhaps up to the next power of two
+    widths[large] = [int(v).bit_length() for v in flat[large]]
     best = _next_width(widths, COUNTS)
     step = np.concatenate([COUNTS, [1, 1]])[np.minimum(best, 15)]
     starts = np.arange(blocks) * stride
@@ -194,20 +193,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.seen: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: a character of a byte-level token stands for one byte.
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+
+    def _learn(self, new: list[str]) -> None:
+        """Put pieces into the table. The library has a cost for each call, so most are encoded as
+        one text: pieces that begin with a space or line feed and end otherwise have boundaries
+        between them, and the ids' bytes tell which ids are whose."""
+        alone = []
+        together = [p for p in new if p[:1] in (" ", "\n") and not p[-1].isspace() or alone.append(p)]
+        for at in range(0, len(together), 4096):
+            part = together[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])
+            last = np.minimum(np.searchsorted(ends, wanted), len(ids) - 1)
+            if ends[-1] != wanted[-1] or (ends[last] != wanted).any():  # not a byte-level vocabulary
+                alone += part
+                continue
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(part, (4 * last + 4).tolist()):
+                self.seen[p] = data[begin:end]
+                begin = end
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.seen[p] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split, seen = [_BOUNDARY.split(t) for t in texts], self.seen
         found = set().union(*split)
-        new = list(found - seen.keys())
+        new = found - seen.keys()
         if len(seen) + len(new) > PIECES:
             seen.clear()
-            new = list(found)
-        for at in range(0, len(new), 20_000):  # few large calls: each has a cost of its own
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                seen[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([seen[p] for p in pieces]) for pieces in split]
+            new = found
+        self._learn(list(new))
+        return [b"".join(map(seen.__getitem__, pieces)) for pieces in split]
 
 
 @functools.cache
