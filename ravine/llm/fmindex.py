@@ -1,13 +1,14 @@
 """Substring deduplication of word windows by a compressed FM-index for each shard.
 
 A word goes if a window of ``length`` words that covers it also starts in a row with a smaller
-key. Windows are folded into segments (see ``spans``). A segment whose gram has no other form is
-settled by its least key. The others are dealt to shards by gram; a shard indexes the words of its
+key. Windows are folded into segments (see ``spans``); one whose gram occurs once repeats nowhere.
+Each different segment of the rest is dealt to a shard by gram; a shard indexes the words of its
 segments — Burrows-Wheeler transform, bits of a wavelet matrix with rank counts for every 64 — and
 streams them through backward search: the search of a window is extended word by word to the left
-while its interval isn't empty, up to the threshold, which gives the matching statistics at that
-depth and, from the intervals, the least key in which each window starts. A gram so frequent that
-its segments would not fit a shard is cut to single windows, and equal windows are aggregated.
+up to the threshold, or until its interval holds only the window itself, which gives the matching
+statistics at that depth and, from the intervals, the least key in which each window starts. A gram
+so frequent that its segments would not fit a shard is cut to single windows, and equal windows are
+aggregated.
 """
 
 from __future__ import annotations
@@ -58,8 +59,13 @@ class WaveletMatrix:
             self.levels.append(Bits(bit))
             self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
-        # where each symbol's run begins below the last level: the same for every query
-        self.start = self._descend(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
+        # below the last level values stand by their reversed bits: where each symbol's run begins
+        reverse = np.zeros(1, np.int64)
+        for _ in range(bits):
+            reverse = np.concatenate([2 * reverse, 2 * reverse + 1])
+        counts = np.bincount(values, minlength=1 << bits)[reverse]
+        self.start = np.empty(1 << bits, np.int64)
+        self.start[reverse] = np.cumsum(counts) - counts
 
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for n, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
@@ -78,27 +84,30 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, depth: int):
         """``symbols``: the texts, each ended by a 0."""
         n = len(symbols)
-        rank, span = symbols.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        self.alphabet = int(symbols.max()) + 1 if n else 1
+        bits = max(1, (self.alphabet - 1).bit_length())
+        span = max(1, min(62 // bits, depth + 1, n))  # symbols that one number holds
+        key = np.zeros(n, np.int64)
+        for i in range(span):
+            key[: n - i] |= symbols[i:].astype(np.int64) << bits * (span - 1 - i)
+        order = np.argsort(key)
         while span < depth + 1:  # prefix doubling, as deep as patterns reach
-            next_ = np.zeros(n, np.int64)
-            next_[:-span] = rank[span:] + 1 if span < n else 0
-            order = np.lexsort((next_, rank))
-            a, b = rank[order], next_[order]
-            new = np.zeros(n, np.int64)
-            new[order[1:]] = np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            rank, span = new, span * 2
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.append(True, np.diff(key[order]) != 0)[:n])
+            key = rank * (n + 1)
+            key[:-span] += rank[span:] if span < n else 0
+            order, span = np.argsort(key), span * 2
         self.order = order
         self.size = n
-        self.alphabet = int(symbols.max()) + 1 if n else 1
-        counts = np.bincount(symbols, minlength=self.alphabet)
-        self.first = np.cumsum(counts) - counts
-        self.bwt = WaveletMatrix(symbols[order - 1], max(1, (self.alphabet - 1).bit_length()))
+        self.counts = np.bincount(symbols, minlength=self.alphabet)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.bwt = WaveletMatrix(symbols[order - 1], bits)
 
-    def search(self, symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, symbols: np.ndarray, ends: np.ndarray, depth: int, indexed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search from each end (exclusive): matched length up to depth, and its interval.
 
-        Symbol 0 ends a match.
+        Symbol 0 ends a match. ``indexed``: the patterns are parts of the indexed texts, so an
+        interval of one suffix is the pattern's own, and its search stops there.
         """
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
         length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
@@ -108,11 +117,17 @@ class FMIndex:
             if not len(live):
                 break
             c = symbols[ends[live] - step]
-            a = self.first[c] + self.bwt.rank(c, low[live])
-            b = self.first[c] + self.bwt.rank(c, high[live])
+            if step == 1:
+                a = self.first[c]
+                b = a + self.counts[c]
+            else:
+                a = self.first[c] + self.bwt.rank(c, low[live])
+                b = self.first[c] + self.bwt.rank(c, high[live])
             some = b > a
             live, a, b = live[some], a[some], b[some]
             low[live], high[live], length[live] = a, b, step
+            if indexed:
+                live = live[b - a > 1]
         return length, low, high
 
 
@@ -133,9 +148,9 @@ def least_keys(words: list[np.ndarray], keys: np.ndarray, length: int) -> list[n
     counts = np.maximum(sizes - length, 0)
     total = int(counts.sum())
     stop = np.repeat(first + length - (np.cumsum(counts) - counts), counts) + np.arange(total)
-    matched, low, high = index.search(symbols, stop, length)
+    matched, low, high = index.search(symbols, stop, length, indexed=True)
+    least = np.repeat(keys, counts)  # of a window that is nowhere else
     # intervals of one depth don't overlap
-    least = np.full(total, np.iinfo(np.int64).max)
     full = np.flatnonzero(matched == length)
     lows, at, inverse = np.unique(low[full], return_index=True, return_inverse=True)
     highs = high[full][at]
@@ -225,16 +240,14 @@ def earlier(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """(did, rk, a, b): intervals of words in windows that also start under a smaller did."""
     found = S.repeated(rows, S.word_codes, length, gram)
     distinct = S.distinct_segments(found)
-    open_ = F.expr(f"kinds > 1 or heavy")
-    places = distinct.filter(open_).select("rep.did", "rep.rk", "rep.at", "gram", "fp", "low", F.expr(f"heavy or kinds > {WIDE}").alias("wide"))
+    places = distinct.select("rep.did", "rep.rk", "rep.at", "gram", "fp", "low", F.expr(f"heavy or kinds > {WIDE}").alias("wide"))
     words = materialize(S.with_texts(rows, places, ["at", "gram", "fp", "low", "wide"]).mapInArrow(_words_of(length), _WORDS), "words")
     runs = "gram bigint, fp bigint, i bigint, windows bigint, least bigint"
     indexed = words.filter("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_shards(length), runs)
     single = materialize(words.filter("wide").mapInArrow(_windows(length), "gram bigint, fp bigint, i bigint, window bigint, low bigint"), "windows")
     least = materialize(single.groupBy("window").agg(F.min("low").alias("least")), "least")
     wide = single.join(least, "window").select("gram", "fp", "i", F.lit(1).cast("long").alias("windows"), "least")
-    settled = distinct.filter(~open_).select("gram", "fp", F.lit(0).cast("long").alias("i"), F.lit(1023).cast("long").alias("windows"), F.col("low").alias("least"))
-    known = materialize(settled.unionByName(indexed).unionByName(wide), "least-keys")
+    known = materialize(indexed.unionByName(wide), "least-keys")
     out = found.join(known, ["gram", "fp"]).filter("did > least")
     a = S.first_window() + F.col("i")
     return out.select("did", "rk", a.alias("a"), (a + F.least(F.col("windows"), S.n_windows() - F.col("i")) - 1 + length).alias("b"))

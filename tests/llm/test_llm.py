@@ -192,6 +192,21 @@ def test_fm_index(docs, monkeypatch, n, gram, wide):
     assert Counter(tuple(r)[:4] for r in fmindex.dedup_words(docs, length=n, gram=gram).collect()) == want
 
 
+def test_least_keys():
+    """Every window's least key, with few and many different words, repeated texts and short ones."""
+    rng = np.random.default_rng(1)
+    for t in range(60):
+        n, v = int(rng.integers(1, 14)), int(rng.integers(1, 6)) if t % 2 else 3000
+        words = [rng.integers(0, v, int(rng.integers(0, 40))).astype(np.uint64) for _ in range(int(rng.integers(1, 12)))]
+        words += [w.copy() for w in words[: t % 3]]
+        keys, least = rng.integers(0, 50, len(words)), {}
+        windows = [[tuple(w[i : i + n].tolist()) for i in range(len(w) - n + 1)] for w in words]
+        for own, k in zip(windows, keys.tolist()):
+            for w in own:
+                least[w] = min(least.get(w, 99), k)
+        assert [x.tolist() for x in fmindex.least_keys(words, keys, n)] == [[least[w] for w in own] for own in windows]
+
+
 def test_backward_search():
     rng = np.random.default_rng(2)
     text = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 30)), 0) for _ in range(20)])
