@@ -17,14 +17,16 @@ SPACES = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the cluster set it.
 
-    Only where the session has none (or Spark's local default, as in tests) a folder of this
-    machine is made.
+    Only where the session has none (or Spark's local default) and runs in one process, as in
+    tests, a folder of this machine is made, once a session; a cluster must name one.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at or (at == "/tmp/checkpoints" and spark.sparkContext.master.startswith("local[")):
-        at = tempfile.mkdtemp(prefix="ravine-")
-        spark.conf.set("ravine.shared.dir", spark.conf.get("ravine.shared.dir", at))
-        at = spark.conf.get("ravine.shared.dir")
+    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    local = master == "local" or master.startswith("local[")
+    if local and (not at or at == "/tmp/checkpoints"):
+        at = spark.conf.get("ravine.shared.dir", None) or tempfile.mkdtemp(prefix="ravine-")
+        spark.conf.set("ravine.shared.dir", at)
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
