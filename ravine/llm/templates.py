@@ -6,6 +6,9 @@ those of every document, and the values in the slots are compared: within an ite
 must have been replaced by equal values, and windows that break the mapping don't count. A
 document has leaked an item if the windows left cover ``RUN`` neighbouring words of it, or
 ``SHARE`` of it.
+
+A window with slots is also read word by word, as it stands. That reading has no slots to compare
+and needs no literal words, so a verbatim copy matches whatever its share of numbers and names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from ravine.llm.common import materialize
 from ravine.llm.nbsvm import _hash
 
 WINDOW = 8
-#: Literal words that a window must have.
+#: Literal words that a window must have, if it has slots.
 LITERAL = 4
 RUN, SHARE = 13, 0.8
 #: Benchmark windows that a pass over the documents looks for; more are looked for in blocks.
@@ -49,6 +52,7 @@ class Canon:
     def _clear(self):
         self.at: dict[str, int] = {}
         self.codes, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+        self.plain = np.zeros(1 << 12, np.uint64)
         self.raw: list[str] = []
 
     def _add(self, word: str) -> None:
@@ -67,8 +71,8 @@ class Canon:
             code, flag = _hash(low), flag | (_CAPITAL if bare[0].isupper() and not bare.isupper() else 0)
         n = len(self.raw)
         if n == len(self.codes):
-            self.codes, self.flags = np.concatenate([self.codes] * 2), np.concatenate([self.flags] * 2)
-        self.codes[n], self.flags[n] = code, flag
+            self.codes, self.flags, self.plain = (np.concatenate([x] * 2) for x in (self.codes, self.flags, self.plain))
+        self.codes[n], self.flags[n], self.plain[n] = code, flag, _hash(low) if flag & _SLOT else code
         self.raw.append(low)
         self.at[word] = n
 
@@ -104,16 +108,23 @@ def shared_canon() -> Canon:
 
 
 def windows(canon: Canon, text: str | None, lengths: list[int]):
-    """(length, start, hash) arrays for each length, and what ``values`` needs."""
+    """(length, starts, hashes, slots) of each reading and length, the words' numbers, their count.
+
+    The readings: the template; the words as they stand, where the template has a slot.
+    """
     codes, slots, found = canon(text)
-    literal = np.concatenate([[0], np.cumsum(~slots)])
-    out = []
+    none, out = np.zeros(len(codes), bool), []
+    template, plain = S.Sums(codes), S.Sums(canon.plain[found])
+    filled = np.concatenate([[0], np.cumsum(slots)])
     for n in lengths:
         if len(codes) >= n:
-            hashes = S.Sums(codes).each(n) + np.uint64(n)
-            start = np.flatnonzero(literal[n:] - literal[:-n] >= min(LITERAL, n))
-            out.append((n, start, hashes[start]))
-    return out, slots, found, len(codes)
+            held = filled[n:] - filled[:-n]
+            start = np.flatnonzero(n - held >= min(LITERAL, n))
+            out.append((n, start, template.each(n)[start] + np.uint64(n), slots))
+            start = np.flatnonzero(held)
+            if len(start):
+                out.append((n, start, plain.each(n)[start] + np.uint64(n), none))
+    return out, found, len(codes)
 
 
 def values(canon: Canon, slots: np.ndarray, found: np.ndarray, start: int, n: int) -> str:
@@ -130,8 +141,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = len(canon(text.as_py())[0])
             if not total:
                 continue
-            out, slots, found, total = windows(canon, text.as_py(), [min(WINDOW, total)])
-            for n, start, hashes in out:
+            out, found, total = windows(canon, text.as_py(), [min(WINDOW, total)])
+            for n, start, hashes, slots in out:
                 for s, h in zip(start.tolist(), hashes.view(np.int64).tolist()):
                     rows.append((item.as_py(), h, s, n, total, values(canon, slots, found, s, n)))
         if rows:
@@ -147,8 +158,8 @@ def _scan(wanted: np.ndarray, lengths: list[int]):
         for b in batches:
             rows = []
             for did, rk, text in zip(*(b.column(i) for i in range(3))):
-                out, slots, found, _ = windows(canon, text.as_py(), lengths)
-                for n, start, hashes in out:
+                out, found, _ = windows(canon, text.as_py(), lengths)
+                for n, start, hashes, slots in out:
                     at = np.searchsorted(wanted, hashes)
                     at[at == len(wanted)] = 0
                     hit = np.flatnonzero(wanted[at] == hashes)
@@ -198,7 +209,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame
     """(did, rk, doc_id, item_id, run, coverage, reparameterised): a row for each leaked item.
 
     Null texts have no windows; items without ``LITERAL`` literal words in a window (or as many as
-    they have) can't be matched. Rows of equal key and text count once, null keys count too.
+    they have) match verbatim copies only. Rows of equal key and text count once, null keys too.
     """
     items = materialize(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_items, "item_id bigint, window bigint, start int, length int, words int, item_values string"), "items")
     lengths = sorted(r.length for r in items.select("length").distinct().collect())  # WINDOW values at most

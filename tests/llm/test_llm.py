@@ -376,6 +376,21 @@ def test_templates(spark):
     assert got[2].reparameterised and not got[1].reparameterised
 
 
+def found_in(spark, items, rows):
+    """(doc_id, item_id) to (run, coverage, reparameterised) of the leaks in literal texts."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = templates.leaked_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), bench).collect()
+    return {(r.doc_id, r.item_id): (r.run, r.coverage, r.reparameterised) for r in got}
+
+
+def test_verbatim_items_with_few_literal_words(spark):
+    items = ["What is 17 + 25 * 3?", "Solve 3x + 4y = 12", "Find the sum of 12 45 78 23 56 91 34 and 67 and 89."]
+    rows = [f"Some text here. {x} And some more." for x in items] + ["What is 17 + 26 * 3? Solve 3x + 4y = 13"]
+    got = found_in(spark, items, rows)
+    assert set(got) == {(0, 0), (1, 1), (2, 2)}
+    assert all(coverage == 1 and not changed for _, coverage, changed in got.values())
+
+
 def test_slots_must_keep_one_mapping():
     ok, changed = templates.consistent([(0, 8, "60\x1f25", "75\x1f40"), (1, 8, "60\x1f25", "75\x1f40"), (9, 8, "60", "99")])
     assert ok == [(0, 8), (1, 8)] and changed
