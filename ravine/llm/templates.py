@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders, so an item asked again with other values
 keeps its template. Windows of ``WINDOW`` template words are hashed; the benchmark's are joined to
 those of every document, and the values in the slots are compared: within an item, equal values
-must have been replaced by equal values, and windows that break the mapping don't count. A
-document has leaked an item if the windows left cover ``RUN`` neighbouring words of it, or
-``SHARE`` of it.
+must have been replaced by equal values, and windows that break the mapping don't count. That is
+judged for each occurrence, the windows on about one alignment of document and item, and for the
+document as a whole. A document has leaked an item if the windows left in one of these cover
+``RUN`` neighbouring words of it, or ``SHARE`` of it.
 
 A window with slots is also read word by word, as it stands. That reading has no slots to compare
 and needs no literal words, so a verbatim copy matches whatever its share of numbers and names.
@@ -30,6 +31,8 @@ WINDOW = 8
 #: Literal words that a window must have, if it has slots.
 LITERAL = 4
 RUN, SHARE = 13, 0.8
+#: Words by which the alignment may shift within an occurrence; a quarter of the item at most.
+SLACK = 8
 #: Benchmark windows that a pass over the documents looks for; more are looked for in blocks.
 BLOCK = 2_000_000
 
@@ -151,7 +154,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(wanted: np.ndarray, lengths: list[int]):
-    """(did, rk, text) to (did, rk, window, doc_values): the different wanted windows of each row."""
+    """(did, rk, text) to (did, rk, window, doc_values, starts): each row's wanted windows and their places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = shared_canon()
@@ -163,11 +166,14 @@ def _scan(wanted: np.ndarray, lengths: list[int]):
                     at = np.searchsorted(wanted, hashes)
                     at[at == len(wanted)] = 0
                     hit = np.flatnonzero(wanted[at] == hashes)
-                    for h, v in {(h, values(canon, slots, found, s, n)) for s, h in zip(start[hit].tolist(), hashes[hit].view(np.int64).tolist())}:
-                        rows.append((did.as_py(), rk.as_py(), h, v))
+                    places: dict[tuple[int, str], list[int]] = {}
+                    for s, h in zip(start[hit].tolist(), hashes[hit].view(np.int64).tolist()):
+                        places.setdefault((h, values(canon, slots, found, s, n)), []).append(s)
+                    for (h, v), at in places.items():
+                        rows.append((did.as_py(), rk.as_py(), h, v, at))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["did", "rk", "window", "doc_values"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["did", "rk", "window", "doc_values", "starts"])
 
     return scan
 
@@ -190,16 +196,42 @@ def consistent(found: list[tuple[int, int, str, str]]) -> tuple[list[tuple[int,
     return kept, any(x != y for s, n, slots in pairs for x, y in slots if chosen[x] == y)
 
 
+def occurrence(found: list[tuple[int, int, str, str, list[int]]], total: int) -> tuple[int, int, bool] | None:
+    """(covered, run, changed) of the best occurrence of an item of ``total`` words, if one is a leak.
+
+    ``found`` is what ``consistent`` takes and the starts in the document. Each alignment is judged
+    alone, then with those up to ``SLACK`` words on, and last all windows of the document together.
+    """
+    on: dict[int, set[int]] = {}  # alignment: its windows
+    for i, f in enumerate(found):
+        for s in f[4]:
+            on.setdefault(s - f[0], set()).add(i)
+    slack, order = min(SLACK, total // 4), sorted(on)
+    groups = {frozenset(range(len(found)))}
+    for k, d in enumerate(order):
+        near = [on[e] for e in order[k : k + slack + 1] if e <= d + slack]
+        groups |= {frozenset(near[0]), frozenset().union(*near)}
+    best = None
+    for g in groups:
+        if sum(found[i][1] for i in g) < min(RUN, SHARE * total):
+            continue
+        kept, changed = consistent([found[i][:4] for i in g])
+        runs = S.union([{"a": s, "b": s + n} for s, n in kept])
+        run, covered = max((y - x for x, y in runs), default=0), sum(y - x for x, y in runs)
+        if run >= RUN or covered >= SHARE * total:
+            best = max(best or (0, 0, False), (covered, run, not changed))
+    return best and (best[0], best[1], not best[2])
+
+
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(did, rk, item_id, words, found) to leaks."""
     for b in batches:
         rows = []
         for did, rk, item, words, found in zip(*(b.column(i) for i in range(5))):
-            kept, changed = consistent([(f["start"], f["length"], f["item_values"], f["doc_values"]) for f in found.as_py()])
-            runs = S.union([{"a": s, "b": s + n} for s, n in kept])
-            run, covered, total = max((y - x for x, y in runs), default=0), sum(y - x for x, y in runs), words.as_py()
-            if run >= RUN or (total and covered >= SHARE * total):
-                rows.append((did.as_py(), rk.as_py(), item.as_py(), run, covered / total, changed))
+            best = occurrence([(f["start"], f["length"], f["item_values"], f["doc_values"], f["starts"]) for f in found.as_py()], words.as_py())
+            if best:
+                covered, run, changed = best
+                rows.append((did.as_py(), rk.as_py(), item.as_py(), run, covered / words.as_py(), changed))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["did", "rk", "item_id", "run", "coverage", "reparameterised"])
@@ -221,12 +253,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame
         hashes = np.sort(wanted.window.to_numpy(np.int64).view(np.uint64))
         if not len(hashes):
             continue
-        part = rows.mapInArrow(_scan(hashes, lengths), "did bigint, rk bigint, window bigint, doc_values string")
+        part = rows.mapInArrow(_scan(hashes, lengths), "did bigint, rk bigint, window bigint, doc_values string, starts array<int>")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = df.sparkSession.createDataFrame([], "did bigint, rk bigint, window bigint, doc_values string")
+        found = df.sparkSession.createDataFrame([], "did bigint, rk bigint, window bigint, doc_values string, starts array<int>")
     found = materialize(found.distinct(), "windows")
-    joined = found.join(items, "window").groupBy("did", "rk", "item_id").agg(F.max("words").alias("words"), F.collect_list(F.struct("start", "length", "item_values", "doc_values")).alias("found"))
+    joined = found.join(items, "window").groupBy("did", "rk", "item_id").agg(F.max("words").alias("words"), F.collect_list(F.struct("start", "length", "item_values", "doc_values", "starts")).alias("found"))
     out = joined.select("did", "rk", "item_id", "words", "found").mapInArrow(_verdicts, "did bigint, rk bigint, item_id bigint, run int, coverage double, reparameterised boolean")
     return out.withColumn("doc_id", F.when(F.col("did") != (1 << 63) - 1, F.col("did")))
 

@@ -391,6 +391,21 @@ def test_verbatim_items_with_few_literal_words(spark):
     assert all(coverage == 1 and not changed for _, coverage, changed in got.values())
 
 
+def test_each_occurrence_keeps_its_own_mapping(spark):
+    item = "Add {} to {} and {} to {} then {} to {} and {} to {} then {} to {} now please."
+    first, second = (item.format(*((20 if i % 2 == k else 80) + i for i in range(10))) for k in (0, 1))
+    rows = [f"Text begins. {first}", f"Text begins. {second}", f"Text begins. {first} More follows. {second}", f"{first} {second} {first} {second}", f"{first} x {second.replace('then', 'then so', 1)} y"]
+    got = found_in(spark, [item.format(*range(2, 12))], rows)
+    assert set(got) == {(i, 0) for i in range(5)}
+    assert all(coverage >= 0.95 and changed for _, coverage, changed in got.values())
+
+
+def test_occurrences_in_repetitive_text(spark):
+    item = "one two three four " * 6
+    got = found_in(spark, [item], [item * 400, "one two three five " * 2000])
+    assert got == {(0, 0): (24, 1.0, False)}
+
+
 def test_slots_must_keep_one_mapping():
     ok, changed = templates.consistent([(0, 8, "60\x1f25", "75\x1f40"), (1, 8, "60\x1f25", "75\x1f40"), (9, 8, "60", "99")])
     assert ok == [(0, 8), (1, 8)] and changed
