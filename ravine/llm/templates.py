@@ -8,8 +8,10 @@ judged for each occurrence, the windows on about one alignment of document and i
 document as a whole. A document has leaked an item if the windows left in one of these cover
 ``RUN`` neighbouring words of it, or ``SHARE`` of it.
 
-A window with slots is also read word by word, as it stands. That reading has no slots to compare
-and needs no literal words, so a verbatim copy matches whatever its share of numbers and names.
+Whether a word is a name hangs on its capital and on the text before it, so a window with names is
+also read with the names as words, and one that begins with a name with that as a word. A window
+with slots is also read word by word, as it stands. That reading has no slots to compare and needs
+no literal words, so a verbatim copy matches whatever its share of numbers and names.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ _MEASURED = re.compile(r"[+-]?\d[\d.,]*[a-z°]+$", re.I)
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit mph kph watt watts volt volts".split())
 
 _CAPITAL, _STOP, _SLOT, _EMPTY = 1, 2, 4, 8
+NAME = np.uint64(_hash("\0name"))
 
 
 class Canon:
@@ -79,8 +82,9 @@ class Canon:
         self.raw.append(low)
         self.at[word] = n
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes, whether each is a slot, and the numbers of the words (see ``raw``)."""
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes with names as words, whether each is a slot, whether it is a name inside a sentence,
+        and the numbers of the words (see ``raw``)."""
         if len(self.at) > self.size:
             self._clear()
         words, at = _WORD.findall(text or ""), self.at
@@ -98,10 +102,7 @@ class Canon:
         fresh = np.ones(len(kept), bool)  # a sentence ended since the word before
         fresh[1:] = stops[kept[1:]] > stops[kept[:-1]]
         found, flags = found[kept], flags[kept]
-        codes = self.codes[found]
-        name = (flags & _CAPITAL > 0) & ~fresh  # a capital inside a sentence
-        codes[name] = np.uint64(_hash("\0name"))
-        return codes, name | (flags & _SLOT > 0), found
+        return self.codes[found], flags & _SLOT > 0, (flags & _CAPITAL > 0) & ~fresh, found
 
 
 @functools.cache
@@ -111,22 +112,37 @@ def shared_canon() -> Canon:
 
 
 def windows(canon: Canon, text: str | None, lengths: list[int]):
-    """(length, starts, hashes, slots) of each reading and length, the words' numbers, their count.
+    """(length, starts, hashes, slots, first) of each reading and length, the words' numbers, their count.
 
-    The readings: the template; the words as they stand, where the template has a slot.
+    The readings: the template; that with a name at the window's start as a word (its slots begin at
+    ``first``, 1); that with all names as words, where there are any; the words as they stand, where
+    the template has a slot.
     """
-    codes, slots, found = canon(text)
-    none, out = np.zeros(len(codes), bool), []
-    template, plain = S.Sums(codes), S.Sums(canon.plain[found])
-    filled = np.concatenate([[0], np.cumsum(slots)])
+    codes, typed, names, found = canon(text)
+    template = codes.copy()
+    template[names] = NAME
+    slots, none, out = typed | names, np.zeros(len(codes), bool), []
+    whole, plain, any_names = S.Sums(template), S.Sums(canon.plain[found]), names.any()
+    named = S.Sums(codes) if any_names else None
+    filled, of_names = (np.concatenate([[0], np.cumsum(x)]) for x in (slots, names))
+
+    def add(n, where, sums, slots, first=None):
+        start = np.flatnonzero(where)
+        if len(start):
+            hashes = (sums.sums[start + n] - sums.sums[start]) * sums.up[start]
+            if first is not None:
+                hashes += first[start]
+            out.append((n, start, S.mix(hashes) + np.uint64(n), slots, int(first is not None)))
+
     for n in lengths:
         if len(codes) >= n:
-            held = filled[n:] - filled[:-n]
-            start = np.flatnonzero(n - held >= min(LITERAL, n))
-            out.append((n, start, template.each(n)[start] + np.uint64(n), slots))
-            start = np.flatnonzero(held)
-            if len(start):
-                out.append((n, start, plain.each(n)[start] + np.uint64(n), none))
+            words, enough = n - filled[n:] + filled[:-n], min(LITERAL, n)
+            add(n, words >= enough, whole, slots)
+            if any_names:
+                held = of_names[n:] - of_names[:-n]
+                add(n, names[: len(held)] & (words + 1 >= enough), whole, slots, codes - template)
+                add(n, (held > 0) & (words + held >= enough), named, typed)
+            add(n, words < n, plain, none)
     return out, found, len(codes)
 
 
@@ -145,9 +161,9 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not total:
                 continue
             out, found, total = windows(canon, text.as_py(), [min(WINDOW, total)])
-            for n, start, hashes, slots in out:
+            for n, start, hashes, slots, first in out:
                 for s, h in zip(start.tolist(), hashes.view(np.int64).tolist()):
-                    rows.append((item.as_py(), h, s, n, total, values(canon, slots, found, s, n)))
+                    rows.append((item.as_py(), h, s, n, total, values(canon, slots, found, s + first, n - first)))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["item_id", "window", "start", "length", "words", "item_values"])
@@ -157,18 +173,21 @@ def _scan(wanted: np.ndarray, lengths: list[int]):
     """(did, rk, text) to (did, rk, window, doc_values, starts): each row's wanted windows and their places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = shared_canon()
+        canon, top = shared_canon(), np.uint64(64 - 22)
+        some = np.zeros(1 << 22, bool)  # leading bits of the wanted: most windows go by these
+        some[wanted >> top] = True
         for b in batches:
             rows = []
             for did, rk, text in zip(*(b.column(i) for i in range(3))):
                 out, found, _ = windows(canon, text.as_py(), lengths)
-                for n, start, hashes, slots in out:
-                    at = np.searchsorted(wanted, hashes)
+                for n, start, hashes, slots, first in out:
+                    hit = np.flatnonzero(some[hashes >> top])
+                    at = np.searchsorted(wanted, hashes[hit])
                     at[at == len(wanted)] = 0
-                    hit = np.flatnonzero(wanted[at] == hashes)
+                    hit = hit[wanted[at] == hashes[hit]]
                     places: dict[tuple[int, str], list[int]] = {}
                     for s, h in zip(start[hit].tolist(), hashes[hit].view(np.int64).tolist()):
-                        places.setdefault((h, values(canon, slots, found, s, n)), []).append(s)
+                        places.setdefault((h, values(canon, slots, found, s + first, n - first)), []).append(s)
                     for (h, v), at in places.items():
                         rows.append((did.as_py(), rk.as_py(), h, v, at))
             if rows:

@@ -406,6 +406,16 @@ def test_occurrences_in_repetitive_text(spark):
     assert got == {(0, 0): (24, 1.0, False)}
 
 
+def test_names_whatever_their_case(spark):
+    item = "A train leaves the station at 60 km per hour and Alice waits 25 minutes before she follows it on the same road to Paris. How far does it go?"
+    other = item.replace("60", "75").replace("25", "40")
+    short = "What is the capital of France?"
+    rows = [f"some notes here\n{short}", f"some notes here\n{short.replace('France', 'Spain')}", short.upper(), item.lower(), item.upper(), other.lower(), other.upper(), other.replace(" and Alice", "\nand\nBob")]
+    got = found_in(spark, [item, short], rows)
+    assert set(got) == {(0, 1), (1, 1), (2, 1), *((i, 0) for i in range(3, 8))}
+    assert all(got[i, 0][1] == 1 for i in range(3, 7)) and not got[3, 0][2] and got[5, 0][2]
+
+
 def test_slots_must_keep_one_mapping():
     ok, changed = templates.consistent([(0, 8, "60\x1f25", "75\x1f40"), (1, 8, "60\x1f25", "75\x1f40"), (9, 8, "60", "99")])
     assert ok == [(0, 8), (1, 8)] and changed
