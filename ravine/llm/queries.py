@@ -22,7 +22,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.tokenize_documents(_read(spark, sf_dir, "documents"))
+    return tokens.tokenize_documents(_read(spark, sf_dir, "documents"), added=True)
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

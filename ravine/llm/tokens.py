@@ -184,15 +184,19 @@ class Encoder:
     """Encodes texts piece by piece; pieces seen before come from a table.
 
     The library encodes every piece. Pieces end where its own pre-tokenizer has a boundary in any
-    case, so the ids are those of the whole text.
+    case, so the ids are those of the whole text. With ``added``, the strings of the vocabulary's
+    added tokens are these tokens, as by the library's default; else they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = True  # texts are cut at added tokens before
+        tokens = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        self.added = {t: struct.pack("<I", i) for t, i in tokens.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") if tokens else None
+        self.seen: dict[str, bytes] = dict(self.added)
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: a character of a byte-level token stands for one byte.
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
@@ -222,22 +226,28 @@ class Encoder:
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.seen[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _pieces(self, text: str) -> list[str]:
+        if not self.cut or not self.cut.search(text):
+            return _BOUNDARY.split(text)
+        return [p for part in self.cut.split(text) for p in ([part] if part in self.added else _BOUNDARY.split(part))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split, seen = [_BOUNDARY.split(t) for t in texts], self.seen
+        split, seen = [self._pieces(t) for t in texts], self.seen
         found = set().union(*split)
         new = found - seen.keys()
         if len(seen) + len(new) > PIECES:
             seen.clear()
-            new = found
+            seen.update(self.added)
+            new = found - seen.keys()
         self._learn(list(new))
         return [b"".join(map(seen.__getitem__, pieces)) for pieces in split]
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The worker's encoder; its table outlives a task."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -256,12 +266,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None
         yield ids, texts
 
 
-def _writer(path: str):
+def _writer(path: str, added: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = encoder(path, added)
         docs: list[tuple[int | None, int, bool]] = []
         held, n = [], 0
 
@@ -286,16 +296,16 @@ def _writer(path: str):
     return write
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id") -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", added: bool = False) -> None:
     """Write the ids of ``text`` (null: empty), each document ended by id 0, in ascending key order.
 
-    Null keys come first; rows with equal keys follow each other, ordered by their texts' hash.
+    ``added``: see ``Encoder``. Null keys come first; rows with equal keys follow each other, ordered by their texts' hash.
     Files are in order by name.
     """
     spark = df.sparkSession
     parts = partitions(spark, n_bytes(df, "text"), 24 << 20)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    write_frames(rows.mapInArrow(_writer(tokenizer), "chunk binary"), path, END)
+    write_frames(rows.mapInArrow(_writer(tokenizer, added), "chunk binary"), path, END)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +335,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(files, "file").select("doc_id", (F.col("before") + F.col("begins")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenize_documents(documents: DataFrame) -> DataFrame:
+def tokenize_documents(documents: DataFrame, added: bool = False) -> DataFrame:
     """Write the token files of ``documents`` in the shared folder and return what they hold."""
     spark = documents.sparkSession
     path = scratch(spark, "tokens")
-    write_tokens(documents, path, tokenizer_path())
+    write_tokens(documents, path, tokenizer_path(), added=added)
     return read_tokens(spark, path)

@@ -139,6 +139,23 @@ def test_tokens(spark, docs, empty):
     assert tokens.tokenize_documents(empty).count() == 0
 
 
+def test_query_has_the_added_tokens_of_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from ravine.llm import queries
+
+    e = "<|endoftext|>"
+    texts = [f"one {e} two", f"a{e}b.{e}{e}\n c", e, f"x  {e}  y", f"it'{e}s <|endoftext|", "plain text, no token", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.QUERIES["op3_token_ids"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    t, start = Tokenizer.from_file(tokens.tokenizer_path()), 0
+    assert t.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+    for r, x in zip(got, texts, strict=True):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
 def suffix_oracle(texts, n):
     data = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + n] for t in data for i in range(len(t) - n + 1))
