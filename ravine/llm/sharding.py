@@ -47,43 +47,46 @@ def radices(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def _feistel(df: DataFrame, col: str, a: int, b: int, seed: int, walk: int) -> DataFrame:
-    """One pass of the network over ``col``, a number below a * b."""
-    left, right = f"__l{walk}", f"__r{walk}"
-    df = df.withColumn(left, F.expr(f"`{col}` div {b}")).withColumn(right, F.col(col) % b)
+def _feistel(x: Column, a: int, b: int, seed: int) -> Column:
+    """One pass of the network over ``x``, a number below a * b.
+
+    One expression: its rounds share their subexpressions, which are evaluated once a row.
+    """
+    right = F.pmod(x, F.lit(b))
+    left = F.call_function("div", x, F.lit(b))
     for i in range(ROUNDS):
-        key = (F.lit(seed), F.lit(i))
         if i % 2:
-            df = df.withColumn(right, F.pmod(F.col(right) + F.pmod(F.xxhash64(*key, F.col(left)), F.lit(b)), F.lit(b)))
+            right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), left), F.lit(b)), F.lit(b))
         else:
-            df = df.withColumn(left, F.pmod(F.col(left) + F.pmod(F.xxhash64(*key, F.col(right)), F.lit(a)), F.lit(a)))
-    return df.withColumn(f"__p{walk}", F.col(left) * b + F.col(right)).drop(left, right)
+            left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), F.lit(i), right), F.lit(a)), F.lit(a))
+    return left * b + right
 
 
 def _walks(spark: SparkSession, n: int, a: int, b: int, seed: int) -> int:
     """How many more passes bring every number back below n.
 
-    Only numbers from n to a * b - 1 (fewer than the square root of n) can need one, so the
-    longest walk is found from these alone.
+    Only numbers from n to a * b - 1 (about the square root of n) can need one, and of these about
+    one stays outside in a pass. They are taken to the driver after each pass: in one plan, the
+    filter would be pushed through the passes and its expression multiplied by every one.
     """
-    outside, k = spark.range(n, a * b).withColumnRenamed("id", "__p"), 0
-    while k <= a * b - n:
-        if not outside.filter(F.col("__p") >= n).limit(1).count():
-            return k
+    outside, k = spark.range(n, a * b).select(F.col("id").alias("__p")), 0
+    if a * b == n:
+        return 0
+    while True:
         k += 1
-        outside = _feistel(outside.filter(F.col("__p") >= n), "__p", a, b, seed, k).select(F.col(f"__p{k}").alias("__p"))
-    return k
+        left = [r[0] for r in outside.select(_feistel(F.col("__p"), a, b, seed).alias("__p")).filter(F.col("__p") >= n).collect()]
+        if not left:
+            return k
+        outside = spark.range(1).select(F.explode(F.array(*(F.lit(x).cast("long") for x in left))).alias("__p"))
 
 
 def permute(df: DataFrame, n: int, number: str, out: str, seed: int) -> DataFrame:
     """Add ``out``: the place of row ``number`` in a pseudo-random order of n rows."""
     a, b = radices(n)
-    df = _feistel(df, number, a, b, seed, 0)
-    for k in range(1, _walks(df.sparkSession, n, a, b, seed) + 1):
-        df = _feistel(df, f"__p{k - 1}", a, b, seed, k)
-        df = df.withColumn(f"__p{k}", F.when(F.col(f"__p{k - 1}") < n, F.col(f"__p{k - 1}")).otherwise(F.col(f"__p{k}"))).drop(f"__p{k - 1}")
-    last = next(c for c in df.columns if c.startswith("__p") and c[3:].isdigit())
-    return df.withColumnRenamed(last, out)
+    df = df.withColumn(out, _feistel(F.col(number), a, b, seed))
+    for _ in range(_walks(df.sparkSession, n, a, b, seed)):
+        df = df.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(_feistel(F.col(out), a, b, seed)))
+    return df
 
 
 def text_size(text: Column) -> Column:
