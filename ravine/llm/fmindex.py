@@ -1,4 +1,4 @@
-"""Substring deduplication of word windows by a compressed FM-index for each shard.
+"""Substring deduplication of word windows by an FM-index for each shard.
 
 A word goes if a window of ``length`` words that covers it also starts in a row with a smaller
 key. Windows are folded into segments (see ``spans``); one whose gram occurs once repeats nowhere.
@@ -6,9 +6,12 @@ Each different segment of the rest is dealt to a shard by gram; a shard indexes
 segments — Burrows-Wheeler transform, bits of a wavelet matrix with rank counts for every 64 — and
 streams them through backward search: the search of a window is extended word by word to the left
 up to the threshold, or until its interval holds only the window itself, which gives the matching
-statistics at that depth and, from the intervals, the least key in which each window starts. A gram
-so frequent that its segments would not fit a shard is cut to single windows, and equal windows are
-aggregated.
+statistics at that depth and, from the intervals, the least key in which each window starts. Bit
+vectors are packed, not entropy-coded.
+
+A gram with so many different segments that they would not fit a shard is split: its windows are
+dealt by the next grams around it too (the second smallest, third smallest and so on that a window
+has), until each share fits. Equal windows have equal grams, so they stay together.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ravine.llm import spans as S
-from ravine.llm.common import materialize
+from ravine.llm.common import materialize, partitions
 
 LENGTH, GRAM = 13, 5
-#: Words that a shard indexes at most (a gram's segments stay together).
+#: Words that a shard indexes at most (the segments of a share stay together).
 SHARD = 1 << 20
-#: Different segments of a gram that a shard takes; more are cut to windows.
+#: Different segments of a gram, beyond which it is split.
 WIDE = 20_000
 
 _U = np.uint64
@@ -161,96 +164,127 @@ def least_keys(words: list[np.ndarray], keys: np.ndarray, length: int) -> list[n
     return np.split(least, np.cumsum(counts)[:-1])
 
 
+def _binary(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "words" else pa.int64()) for c, n in zip(zip(*rows), names)], names=names)
+
+
 def _words_of(length: int):
-    """(text, places) to (gram, fp, low, wide, words): the words of each place's segment."""
+    """(text, places) to (share, gram, fp, skip, low, kinds, words): the words of each place's segment."""
+    names = _UNIT_NAMES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
             for text, places in zip(S.texts(b.column(0)), b.column(1)):
                 codes = S.word_codes(text)
                 for p in places.as_py():
-                    s0, n = p["at"] >> 11, p["at"] & 1023
-                    rows.append((p["gram"], p["fp"], p["low"], p["wide"], codes[s0 : s0 + n - 1 + length].tobytes()))
+                    first, n, _ = S.place(p["at"])
+                    rows.append((p["gram"], p["gram"], p["fp"], 0, p["low"], p["kinds"], codes[first : first + n - 1 + length].tobytes()))
                 if len(rows) > 20_000:
-                    yield _words_batch(rows)
+                    yield _binary(rows, names)
                     rows = []
-            if rows:
-                yield _words_batch(rows)
+        if rows:
+            yield _binary(rows, names)
 
     return cut
 
 
-_WORDS = "gram bigint, fp bigint, low bigint, wide boolean, words binary"
+#: share: what a unit is dealt by; gram and fp: its segment; skip: its first window there.
+_UNIT = "share bigint, gram bigint, fp bigint, skip bigint, low bigint, kinds bigint, words binary"
+_UNIT_NAMES = [f.split()[0] for f in _UNIT.split(", ")]
+
+
+def shares(words: np.ndarray, length: int, gram: int, depth: int) -> np.ndarray:
+    """For each window, a hash of the ``depth`` smallest different gram hashes that it has."""
+    grams = np.sort(np.lib.stride_tricks.sliding_window_view(S.Sums(words).each(gram), length - gram + 1), axis=1)
+    new = np.ones(grams.shape, bool)
+    new[:, 1:] = grams[:, 1:] != grams[:, :-1]
+    taken = new & (np.cumsum(new, axis=1) <= depth)
+    return S.mix(np.where(taken, S.mix(grams), np.uint64(0)).sum(axis=1, dtype=_U) + np.uint64(depth))
+
+
+def _split(length: int, gram: int, depth: int):
+    """Units to smaller ones: neighbouring windows of one share each."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            ints = zip(*(b.column(c).to_pylist() for c in ("gram", "fp", "skip", "low")))
+            for (g, fp, skip, low), packed in zip(ints, b.column("words")):
+                words = np.frombuffer(packed.as_py(), _U)
+                of = shares(words, length, gram, depth).view(np.int64)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
+                for i, n in zip(starts.tolist(), np.diff(np.append(starts, len(of))).tolist()):
+                    rows.append((int(of[i]), g, fp, skip + i, low, 0, words[i : i + n - 1 + length].tobytes()))
+            if rows:
+                yield _binary(rows, _UNIT_NAMES)
 
-def _words_batch(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["gram", "fp", "low", "wide", "words"])
+    return cut
 
 
 def _shards(length: int):
-    """Rows sorted by gram to (gram, fp, i, windows, least): runs of windows with one least key."""
+    """Units sorted by share to (share, unit, whole, i, windows, least): runs of windows with one least key."""
 
     def solve(rows):
-        grams, fps, lows, words = zip(*rows)
-        out = ([], [], [], [], [])
-        for g, f, least in zip(grams, fps, least_keys([np.frombuffer(w, _U) for w in words], np.array(lows, np.int64), length)):
+        of, units, whole, lows, words = zip(*rows)
+        out = ([], [], [], [], [], [])
+        for s, u, w, least in zip(of, units, whole, least_keys([np.frombuffer(w, _U) for w in words], np.array(lows, np.int64), length)):
             turn = np.flatnonzero(np.diff(least)) + 1
             starts = np.concatenate([[0], turn])
             for i, n in zip(starts.tolist(), np.diff(np.append(starts, len(least))).tolist()):
-                for o, v in zip(out, (g, f, i, n, int(least[i]))):
+                for o, v in zip(out, (s, u, w, i, n, int(least[i]))):
                     o.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["gram", "fp", "i", "windows", "least"])
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["share", "unit", "whole", "i", "windows", "least"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("gram", "fp", "low", "words"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("share", "unit", "whole", "low", "words"))):
                 if n > SHARD and row[0] != held[-1][0]:
                     yield solve(held)
                     held, n = [], 0
                 held.append(row)
-                n += len(row[3]) // 8
+                n += len(row[4]) // 8
         if held:
             yield solve(held)
 
     return index
 
 
-def _windows(length: int):
-    """Rows of wide grams to (gram, fp, i, window, low): a row for each window."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gram, fp, low = (b.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "fp", "low"))
-            made = [S.Sums(np.frombuffer(w.as_py(), _U)).each(length) for w in b.column("words")]
-            if not made:
-                continue
-            sizes = np.array([len(m) for m in made])
-            row = np.repeat(np.arange(len(made)), sizes)
-            i = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            window = np.concatenate(made).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[row], fp[row], i, window, low[row])], names=["gram", "fp", "i", "window", "low"])
-
-    return cut
+def _narrow(wide: DataFrame, length: int, gram: int) -> DataFrame | None:
+    """Units of wide grams, split again and again until the shares have at most WIDE different ones
+    each, or a window's grams are used up (then a share has hardly more than one window)."""
+    out, depth = None, 2
+    while depth <= length - gram + 1 and wide.limit(1).count():
+        parts = materialize(wide.mapInArrow(_split(length, gram, depth), _UNIT), "split")
+        each = parts.select("share", F.xxhash64("words").alias("unit")).distinct().groupBy("share").agg(F.count(F.lit(1)).alias("kinds"))
+        parts = parts.drop("kinds").join(each, "share").select(*_UNIT_NAMES)
+        done = parts if depth == length - gram + 1 else parts.filter(F.col("kinds") <= WIDE)
+        out = done if out is None else out.unionByName(done)
+        wide, depth = parts.filter(F.col("kinds") > WIDE), depth + 1
+    return out
 
 
 def earlier(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(did, rk, a, b): intervals of words in windows that also start under a smaller did."""
-    found = S.repeated(rows, S.word_codes, length, gram)
-    distinct = S.distinct_segments(found)
-    places = distinct.select("rep.did", "rep.rk", "rep.at", "gram", "fp", "low", F.expr(f"heavy or kinds > {WIDE}").alias("wide"))
-    words = materialize(S.with_texts(rows, places, ["at", "gram", "fp", "low", "wide"]).mapInArrow(_words_of(length), _WORDS), "words")
-    runs = "gram bigint, fp bigint, i bigint, windows bigint, least bigint"
-    indexed = words.filter("not wide").repartition("gram").sortWithinPartitions("gram").mapInArrow(_shards(length), runs)
-    single = materialize(words.filter("wide").mapInArrow(_windows(length), "gram bigint, fp bigint, i bigint, window bigint, low bigint"), "windows")
-    least = materialize(single.groupBy("window").agg(F.min("low").alias("least")), "least")
-    wide = single.join(least, "window").select("gram", "fp", "i", F.lit(1).cast("long").alias("windows"), "least")
-    known = materialize(indexed.unionByName(wide), "least-keys")
-    out = found.join(known, ["gram", "fp"]).filter("did > least")
+    found, distinct = S.repeated(rows, S.word_codes, length, gram)
+    places = distinct.select("rep.did", "rep.rk", "rep.at", "gram", "fp", "low", "kinds")
+    words = materialize(S.with_texts(rows, places, ["at", "gram", "fp", "low", "kinds"]).mapInArrow(_words_of(length), _UNIT), "words")
+    units = words.filter(F.col("kinds") <= WIDE).select("share", F.col("fp").alias("unit"), "low", "words", F.lit(True).alias("whole"))
+    parts = _narrow(words.filter(F.col("kinds") > WIDE), length, gram)
+    if parts is not None:  # equal ones of a share are indexed once
+        parts = parts.withColumn("unit", F.xxhash64("words"))
+        units = units.unionByName(parts.groupBy("share", "unit").agg(F.min("low").alias("low"), F.first("words").alias("words"), F.lit(False).alias("whole")))
+    total = words.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    dealt = units.repartition(partitions(rows.sparkSession, total, 16 << 20), "share").sortWithinPartitions("share")
+    least = materialize(dealt.mapInArrow(_shards(length), "share bigint, unit bigint, whole boolean, i bigint, windows bigint, least bigint"), "least-keys")
+    known = least.filter("whole").select(F.col("share").alias("gram"), F.col("unit").alias("fp"), "i", "windows", "least")
+    if parts is not None:
+        of = parts.select("share", "unit", "gram", "fp", "skip").join(least.filter("not whole"), ["share", "unit"])
+        known = known.unionByName(of.select("gram", "fp", (F.col("skip") + F.col("i")).alias("i"), "windows", "least"))
     a = S.first_window() + F.col("i")
-    return out.select("did", "rk", a.alias("a"), (a + F.least(F.col("windows"), S.n_windows() - F.col("i")) - 1 + length).alias("b"))
+    return found.join(known, ["gram", "fp"]).filter("did > least").select("did", "rk", a.alias("a"), (a + F.col("windows") - 1 + length).alias("b"))
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +307,9 @@ def dedup_words(df: DataFrame, key: str = "doc_id", length: int = LENGTH, gram:
     """For each row: (doc_id, n_words, n_removed, kept_sha256, spans), spans in words.
 
     Windows never cross rows and are judged on the input. Null texts have no words. A null key
-    counts as larger than any other; rows with equal keys don't remove each other's words.
+    counts as larger than any other; rows with equal keys don't remove each other's words. Very long
+    texts are scanned in overlapping pieces; an empty table gives an empty one; columns other than
+    the key and ``text`` are ignored, whatever their names.
     """
     rows = S.keyed(df, key)
     found = materialize(S.intervals(earlier(rows, length, gram)), "spans")

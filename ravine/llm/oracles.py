@@ -21,22 +21,33 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_BASE32} AS payload_d
 FROM p JOIN top USING (digest)
 """
 
+_PARTS = f"parts AS (SELECT doc_id, first, substr(h, 2 * first + 1, 2 * (512 + {suffixes.LENGTH - 1})) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS first FROM d))"
+
+
+def _repeated(name: str, n: int, having: str) -> str:
+    """Maximal runs of bytes (doc_id, a, b) covered by strings of n bytes that meet a condition."""
+    return f"""
+{name}_starts AS (SELECT doc_id, first + i AS pos, hash(substr(part, 2 * i + 1, 2 * {n})) AS k
+           FROM (SELECT doc_id, first, part, unnest(range(0, least(512, length(part) // 2 - {n - 1}))) AS i FROM parts)),
+{name}_hits AS (SELECT doc_id, pos FROM {name}_starts WHERE k IN (SELECT k FROM {name}_starts GROUP BY k HAVING {having})),
+{name}_turns AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER w + {n} THEN 0 ELSE 1 END AS fresh FROM {name}_hits WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+{name}_islands AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {name}_turns),
+{name} AS (SELECT doc_id, min(pos) AS a, max(pos) + {n} AS b FROM {name}_islands GROUP BY doc_id, island)"""
+
+
 SUFFIXES = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-parts AS (SELECT doc_id, first, substr(h, 2 * first + 1, 2 * (512 + {suffixes.LENGTH - 1})) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS first FROM d)),
-starts AS (SELECT doc_id, first + i AS pos, hash(substr(part, 2 * i + 1, 2 * {suffixes.LENGTH})) AS k
-           FROM (SELECT doc_id, first, part, unnest(range(0, length(part) // 2 - {suffixes.LENGTH - 1})) AS i FROM parts)),
-hits AS (SELECT doc_id, pos FROM starts WHERE k IN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1)),
-turns AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER w + {suffixes.LENGTH} THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-islands AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM turns),
-runs AS (SELECT doc_id, min(pos) AS a, max(pos) + {suffixes.LENGTH} AS b FROM islands GROUP BY doc_id, island),
+{_PARTS},
+{_repeated("runs", suffixes.LENGTH, "count(*) > 1")},
+{_repeated("shared", suffixes.REPORT, "count(DISTINCT doc_id) > 1")},
 gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS x, a AS y FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
          UNION ALL
          SELECT doc_id, coalesce(max(b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
-removed AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
-FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+removed AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id),
+common AS (SELECT doc_id, sum(b - a) AS n_shared FROM shared GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256, coalesce(n_shared, 0)::BIGINT AS n_shared
+FROM d JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN common USING (doc_id)
 """
 
 _WORDS = f"w AS (SELECT *, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents)"

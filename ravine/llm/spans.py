@@ -6,6 +6,11 @@ windows have equal anchors at equal offsets, so windows need comparing only betw
 share an anchor's gram, and equal segments are equal window by window. So a corpus becomes about
 two segments per window length, of which only those with a repeated gram are looked at again.
 
+Grams that a sample shows to be common come last in the order of anchors. A window in which only a
+part is common, such as a frequent line, then has its anchor outside that part, and the windows
+that are left to a common gram are common as a whole: they make few different segments, however
+many documents hold them. The order is fixed before the scan, so it never changes a result.
+
 Hashes are polynomials over random 64-bit codes, modulo 2 ** 64, found for any substring from one
 running sum.
 """
@@ -16,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ravine.llm.common import materialize, row_key
 
@@ -25,8 +30,8 @@ BASE = 0x9E3779B97F4A7C15 | 5
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Tokens that are worked on at once.
 PIECE = 1 << 20
-#: A gram with at least this share of a sample's segments is dealt over many tasks.
-HEAVY_SHARE, HEAVY_DOCS, SPREAD = 2000, 5000, 64
+#: A gram with at least this share of the segments of a sample of so many documents is common.
+COMMON_SHARE, COMMON_DOCS = 4000, 10_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,32 +87,59 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - span)], x[w - span :]) if w > span else x
 
 
-def segments(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """The segments of the texts codes[starts[i]:ends[i]], in order and not overlapping.
+class Common:
+    """The common grams, COMMON_SHARE of them at most: which of an array's hashes are among them."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(np.asarray(grams, _U))
+        self.some = np.zeros(1 << 20, bool)  # by leading bits, which tell most hashes apart
+        self.some[self.grams >> _U(44)] = True
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.empty(0, np.int64)
+        at = np.flatnonzero(self.some[hashes >> _U(44)])
+        near = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
+        return at[self.grams[near] == hashes[at]]
+
+
+def anchors(hashes: np.ndarray, width: int, last: np.ndarray) -> np.ndarray:
+    """The place of the least of every ``width`` neighbouring hashes; those at ``last`` come last."""
+    low = _U((1 << 24) - 1)
+    order = (hashes >> _U(1)) & ~low
+    order[last] |= _U(1 << 63)
+    return (sliding_min(order | np.arange(len(hashes), dtype=_U), width) & low).astype(np.int64)
+
+
+def segments(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: np.ndarray, length: int, gram: int, reach: int, common: Common):
+    """The segments of the texts codes[starts[i]:ends[i]], of which the first windows[i] windows count.
 
-    Returns text index, first window, number of windows, anchor, gram hash and segment hash.
+    In order and not overlapping. Returns text index, first window, number of windows, anchor, gram
+    hash, and the hash of the segment with what follows it, up to ``reach`` tokens from its last
+    window's start or the end of the text.
     """
     if len(codes) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U))
     sums = Sums(codes)
     hashes = sums.each(gram)
-    low = _U((1 << 24) - 1)
-    anchors = (sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=_U), length - gram + 1) & low).astype(np.int64)
-    edges = np.zeros(len(anchors) + 1, np.int32)
-    long_ = ends - starts >= length
-    np.add.at(edges, starts[long_], 1)
-    np.add.at(edges, ends[long_] - length + 1, -1)
+    at = anchors(hashes, length - gram + 1, common.among(hashes))
+    edges = np.zeros(len(at) + 1, np.int32)
+    some = windows > 0
+    np.add.at(edges, starts[some], 1)
+    np.add.at(edges, starts[some] + windows[some], -1)
     ok = np.cumsum(edges[:-1]) > 0
     change = np.empty(len(ok), bool)
     change[0] = True
-    np.not_equal(anchors[1:], anchors[:-1], out=change[1:])
+    np.not_equal(at[1:], at[:-1], out=change[1:])
     change[1:] |= ok[1:] != ok[:-1]
     # windows of adjoining texts never touch: a text's last length - 1 places begin no window
     bounds = np.append(np.flatnonzero(change), len(ok))
     first, n = bounds[:-1], np.diff(bounds)
     first, n = first[ok[first]], n[ok[first]]
-    anchor = anchors[first]
-    return np.searchsorted(starts, first, side="right") - 1, first, n, anchor, hashes[anchor], sums(first, first + n - 1 + length)
+    which = np.searchsorted(starts, first, side="right") - 1
+    anchor = at[first]
+    prints = sums(first, np.minimum(first + n - 1 + reach, ends[which])) ^ mix((n << 20 | anchor - first).astype(_U))
+    return which, first, n, anchor, hashes[anchor], prints
 
 
 def pieces(lengths: list[int], overlap: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -116,7 +148,7 @@ def pieces(lengths: list[int], overlap: int) -> Iterator[list[tuple[int, int, in
     for i, n in enumerate(lengths):
         at = 0
         while True:
-            to = min(n, at + PIECE)
+            to = min(n, at + PIECE + overlap)
             if held and held + to - at > PIECE:
                 yield batch
                 batch, held = [], 0
@@ -170,30 +202,31 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def finder(code: Callable, length: int, gram: int, heavy: np.ndarray):
+def finder(code: Callable, length: int, gram: int, reach: int, common: Common):
     """A scan of rows (did, rk, text): (did, rk, gram, fp, at) of every segment.
 
-    at: the first window, whether the gram is heavy (one bit), the number of windows (ten bits).
+    at: the first window, the number of windows (ten bits), the anchor's offset from it (ten bits).
     """
 
     def _scan(rows, raw, did, rk):
         coded = {i: raw[i] if code is byte_codes else code(raw[i]) for i in rows}
         order = list(coded)
-        for batch in pieces([len(coded[i]) for i in order], length - 1):
+        sizes = [len(coded[i]) for i in order]
+        for batch in pieces(sizes, reach - 1):
             joined = np.concatenate([coded[order[i]][a:z] for i, a, z in batch])
             if code is byte_codes:
                 joined = byte_codes(joined)
-            sizes = np.array([z - a for _, a, z in batch])
-            ends = np.cumsum(sizes)
-            which, first, n, _, grams, fps = segments(joined, ends - sizes, ends, length, gram)
+            ends = np.cumsum([z - a for _, a, z in batch])
+            starts = np.append(0, ends[:-1])
+            # a piece that its text goes on after leaves the windows without full reach to the next
+            windows = np.array([z - a - (length if z == sizes[i] else reach) + 1 for i, a, z in batch])
+            which, first, n, anchor, grams, prints = segments(joined, starts, ends, windows, length, gram, reach, common)
             if not len(first):
                 continue
-            offset = np.array([a for _, a, _ in batch]) - (ends - sizes)
-            at = ((first + offset[which]) << 11) | n
-            if len(heavy):
-                at |= np.isin(grams, heavy).astype(np.int64) << 10
+            offset = np.array([a for _, a, _ in batch]) - starts
+            at = (first + offset[which]) << 20 | n << 10 | anchor - first
             row = np.array([order[i] for i, _, _ in batch])[which]
-            yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(rk[row]), _signed(grams), _signed(fps), pa.array(at)], names=["did", "rk", "gram", "fp", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(rk[row]), _signed(grams), _signed(prints), pa.array(at)], names=["did", "rk", "gram", "fp", "at"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,15 +247,16 @@ SEGMENT = "did bigint, rk bigint, gram bigint, fp bigint, at bigint"
 
 
 def first_window() -> Column:
-    return F.shiftright("at", 11)
+    return F.shiftright("at", 20)
 
 
 def n_windows() -> Column:
-    return F.col("at").bitwiseAND(F.lit(1023))
+    return F.shiftright("at", 10).bitwiseAND(F.lit(1023))
 
 
-def is_heavy() -> Column:
-    return F.col("at").bitwiseAND(F.lit(1024)) != 0
+def place(at: int) -> tuple[int, int, int]:
+    """First window, number of windows, the anchor's offset."""
+    return at >> 20, at >> 10 & 1023, at & 1023
 
 
 def keyed(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -233,47 +267,44 @@ def keyed(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
     return out if name else out.drop("__key")
 
 
-def heavy_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> np.ndarray:
-    """Grams with a HEAVY_SHARE-th of a sample's segments or more; HEAVY_SHARE of them at most.
-
-    Only how work is dealt to tasks hangs on them, never a result.
-    """
+def common_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> Common:
+    """Grams with a COMMON_SHARE-th of a sample's segments or more."""
     n = rows.count()
-    sample = rows.sample(min(1.0, HEAVY_DOCS / max(n, 1)), seed=1)
-    grams = sample.mapInArrow(finder(code, length, gram, np.empty(0, _U)), SEGMENT).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    sample = rows.sample(min(1.0, COMMON_DOCS / max(n, 1)), seed=1)
+    grams = sample.mapInArrow(finder(code, length, gram, length, Common(np.empty(0, _U))), SEGMENT).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(grams, "grams")
     seen = counted.agg(F.sum("n")).first()[0] or 0
-    found = counted.filter(F.col("n") >= max(20, seen // HEAVY_SHARE)).select("gram").collect()
-    return np.array(sorted(r.gram for r in found), np.int64).view(_U)
-
+    found = counted.filter(F.col("n") >= max(20, seen // COMMON_SHARE)).select("gram").collect()  # COMMON_SHARE at most
+    return Common(np.array([r.gram for r in found], np.int64).view(_U))
 
-def repeated(rows: DataFrame, code: Callable, length: int, gram: int) -> DataFrame:
-    """The segments whose gram occurs more than once, as a table in the shared folder."""
-    found = rows.mapInArrow(finder(code, length, gram, heavy_grams(rows, code, length, gram)), SEGMENT)
-    spread = F.when(is_heavy(), F.pmod(F.xxhash64("rk", "at"), F.lit(SPREAD))).otherwise(F.lit(0))
-    of_gram = Window.partitionBy("gram", "spread")
-    found = found.withColumn("spread", spread).withColumn("n", F.count(F.lit(1)).over(of_gram))
-    return materialize(found.filter((F.col("n") > 1) | is_heavy()).drop("n", "spread"), "segments")
 
+def repeated(rows: DataFrame, code: Callable, length: int, gram: int, reach: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All segments, and each different segment whose gram occurs more than once: gram, fp, n, the
+    least and the largest did, one place (rep), and kinds, how many different segments its gram has.
 
-def distinct_segments(found: DataFrame) -> DataFrame:
-    """Each different segment once: n, the least did, one place (rep), and kinds, how many
-    different segments its gram has (of a heavy gram: within its share of the tasks)."""
-    d = found.groupBy("gram", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.min(F.struct("did", "rk", "at")).alias("rep"), F.max(is_heavy()).alias("heavy"))
-    share = F.when(F.col("heavy"), F.pmod("fp", F.lit(SPREAD))).otherwise(F.lit(0))
-    d = d.withColumn("share", share).withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("gram", "share")))
-    return materialize(d.drop("share"), "distinct")
+    Both are tables in the shared folder. Equal segments are counted before they are shuffled, and
+    a gram's segments are never gathered.
+    """
+    common = common_grams(rows, code, length, gram)
+    found = materialize(rows.mapInArrow(finder(code, length, gram, reach or length, common), SEGMENT), "segments")
+    one = F.min(F.struct("did", "rk", "at")).alias("rep")
+    each = materialize(found.groupBy("gram", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"), one), "each")
+    grams = each.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter(F.col("all") > 1).drop("all")
+    return found, materialize(each.join(grams, "gram"), "distinct")
 
 
 def with_texts(rows: DataFrame, places: DataFrame, fields: list[str]) -> DataFrame:
-    """Join places (did, rk and ``fields``) to their texts: (text, places) a row for each text."""
+    """Join places (did, rk and ``fields``) to their texts: (text, places) a row for each text.
+
+    A text's places are fewer than its tokens, so their list is no longer than the text.
+    """
     lists = places.groupBy("did", "rk").agg(F.collect_list(F.struct(*fields)).alias("places"))
     return rows.join(lists, ["did", "rk"]).select("text", "places")
 
 
-def intervals(spans: DataFrame) -> DataFrame:
-    """(did, rk, spans): all intervals (a, b) of a row."""
-    return spans.groupBy("did", "rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+def intervals(spans: DataFrame, *more: str) -> DataFrame:
+    """(did, rk, spans): all intervals (a, b and ``more``) of a row, fewer than its tokens."""
+    return spans.groupBy("did", "rk").agg(F.collect_list(F.struct("a", "b", *more)).alias("spans"))
 
 
 def union(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -13,7 +13,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ravine.llm import fmindex, mixing, nbsvm, quality, sharding, simhash, suffixes, templates, tokens, warc
+from ravine.llm import fmindex, mixing, nbsvm, quality, sharding, simhash, spans, suffixes, templates, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,19 +169,53 @@ def suffix_oracle(texts, n):
     return out
 
 
-@pytest.mark.parametrize("n,gram,cell", [(40, 10, 4), (60, 12, 16)])
-def test_suffixes(docs, n, gram, cell):
+@pytest.mark.parametrize("n,gram,cell,report,piece,bucket", [(40, 10, 4, 256, 1 << 20, 6 << 20), (60, 12, 16, 30, 1 << 20, 6 << 20), (60, 12, 16, 30, 300, 2000), (24, 6, 10, 18, 100, 500)])
+def test_suffixes(docs, monkeypatch, n, gram, cell, report, piece, bucket):
+    monkeypatch.setattr(spans, "PIECE", piece)
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
     rows = awkward()
-    want = Counter((d, *w) for (d, *_), w in zip(rows, suffix_oracle([r[1] for r in rows], n)))
-    assert Counter(tuple(r)[:5] for r in suffixes.dedup_bytes(docs, length=n, gram=gram, cell=cell).collect()) == want
+    want = Counter((d, *w, s) for (d, *_), w, s in zip(rows, suffix_oracle([r[1] for r in rows], n), shared_oracle(rows, min(n, report))))
+    got = suffixes.dedup_bytes(docs, length=n, report=report, gram=gram, cell=cell).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
 
 
-def test_multikey_order():
+def shared_oracle(rows, n):
+    """Bytes in strings of n bytes that start under another key too (null is one key)."""
+    data, of = [(t or "").encode() for _, t, *_ in rows], {}
+    for (d, *_), t in zip(rows, data):
+        for i in range(len(t) - n + 1):
+            of.setdefault(t[i : i + n], set()).add(d)
+    out = []
+    for t in data:
+        hit = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if len(of[t[i : i + n]]) > 1:
+                hit[i : i + n] = b"\1" * n
+        out.append(sum(hit))
+    return out
+
+
+def test_multikey_quicksort():
     rng = np.random.default_rng(0)
-    keys = [rng.integers(0, 4, 500) for _ in range(3)]
-    order = suffixes.multikey_order(keys)
-    got = [tuple(k[i] for k in keys) for i in order]
-    assert got == sorted(got)
+    for alphabet, depth in ((2, 40), (3, 13), (1, 30), (250, 8)):
+        data = rng.integers(0, alphabet, 3000).astype(np.uint8)
+        data[1000:1400] = data[:400]
+        at, group = rng.permutation(2900)[:1500], rng.integers(0, 3, 1500)
+        order, same = suffixes.multikey_quicksort(suffixes.tokens(data), at, group, 0, depth)
+        keys = [(group[i], data[at[i] : at[i] + depth].tobytes()) for i in order]
+        assert sorted(order.tolist()) == list(range(1500)) and keys == sorted(keys)
+        assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+
+
+def test_common_grams_come_last():
+    """Segments differ with the common grams, windows with their anchors don't go astray."""
+    rng = np.random.default_rng(1)
+    codes = spans.BYTE_CODES[rng.integers(0, 3, 2000)]
+    grams = np.unique(spans.Sums(codes).each(6))
+    for common in (grams[:0], grams[::2], grams):
+        which, first, n, anchor, _, _ = spans.segments(codes, np.array([0, 900]), np.array([900, 2000]), np.array([871, 1071]), 30, 6, 30, spans.Common(common))
+        assert sorted(x for a, k in zip(first.tolist(), n.tolist()) for x in range(a, a + k)) == [*range(871), *range(900, 1971)]
+        assert (anchor >= first + n - 1).all() and (anchor <= first + 24).all()
 
 
 def word_oracle(rows, n):
@@ -201,9 +235,10 @@ def word_oracle(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n,gram,wide", [(6, 2, 20_000), (13, 3, 20_000), (6, 2, 1)])
-def test_fm_index(docs, monkeypatch, n, gram, wide):
+@pytest.mark.parametrize("n,gram,wide,piece", [(6, 2, 20_000, 1 << 20), (13, 3, 20_000, 50), (6, 2, 1, 1 << 20), (13, 5, 2, 1 << 20)])
+def test_fm_index(docs, monkeypatch, n, gram, wide, piece):
     monkeypatch.setattr(fmindex, "WIDE", wide)
+    monkeypatch.setattr(spans, "PIECE", piece)
     rows = awkward()
     want = Counter((d, *w) for (d, *_), w in zip(rows, word_oracle(rows, n)))
     assert Counter(tuple(r)[:4] for r in fmindex.dedup_words(docs, length=n, gram=gram).collect()) == want
