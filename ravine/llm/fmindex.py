@@ -169,7 +169,7 @@ def _binary(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _words_of(length: int):
-    """(text, places) to (share, gram, fp, skip, low, kinds, words): the words of each place's segment."""
+    """(text, places) to (share, gram, fp, skip, low, wide, words): the words of each place's segment."""
     names = _UNIT_NAMES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _words_of(length: int):
                 codes = S.word_codes(text)
                 for p in places.as_py():
                     first, n, _ = S.place(p["at"])
-                    rows.append((p["gram"], p["gram"], p["fp"], 0, p["low"], p["kinds"], codes[first : first + n - 1 + length].tobytes()))
+                    rows.append((p["gram"], p["gram"], p["fp"], 0, p["low"], p["wide"], codes[first : first + n - 1 + length].tobytes()))
                 if len(rows) > 20_000:
                     yield _binary(rows, names)
                     rows = []
@@ -190,7 +190,7 @@ def _words_of(length: int):
 
 
 #: share: what a unit is dealt by; gram and fp: its segment; skip: its first window there.
-_UNIT = "share bigint, gram bigint, fp bigint, skip bigint, low bigint, kinds bigint, words binary"
+_UNIT = "share bigint, gram bigint, fp bigint, skip bigint, low bigint, wide bigint, words binary"
 _UNIT_NAMES = [f.split()[0] for f in _UNIT.split(", ")]
 
 
@@ -258,21 +258,25 @@ def _narrow(wide: DataFrame, length: int, gram: int) -> DataFrame | None:
     out, depth = None, 2
     while depth <= length - gram + 1 and wide.limit(1).count():
         parts = materialize(wide.mapInArrow(_split(length, gram, depth), _UNIT), "split")
-        each = parts.select("share", F.xxhash64("words").alias("unit")).distinct().groupBy("share").agg(F.count(F.lit(1)).alias("kinds"))
-        parts = parts.drop("kinds").join(each, "share").select(*_UNIT_NAMES)
-        done = parts if depth == length - gram + 1 else parts.filter(F.col("kinds") <= WIDE)
+        each = parts.select("share", F.xxhash64("words").alias("unit")).distinct().groupBy("share").agg((F.count(F.lit(1)) > WIDE).cast("long").alias("wide"))
+        parts = parts.drop("wide").join(each, "share").select(*_UNIT_NAMES)
+        done = parts if depth == length - gram + 1 else parts.filter("wide = 0")
         out = done if out is None else out.unionByName(done)
-        wide, depth = parts.filter(F.col("kinds") > WIDE), depth + 1
+        wide, depth = parts.filter("wide = 1"), depth + 1
     return out
 
 
 def earlier(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(did, rk, a, b): intervals of words in windows that also start under a smaller did."""
     found, distinct = S.repeated(rows, S.word_codes, length, gram)
-    places = distinct.select("rep.did", "rep.rk", "rep.at", "gram", "fp", "low", "kinds")
-    words = materialize(S.with_texts(rows, places, ["at", "gram", "fp", "low", "kinds"]).mapInArrow(_words_of(length), _UNIT), "words")
-    units = words.filter(F.col("kinds") <= WIDE).select("share", F.col("fp").alias("unit"), "low", "words", F.lit(True).alias("whole"))
-    parts = _narrow(words.filter(F.col("kinds") > WIDE), length, gram)
+    wide = materialize(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > WIDE).select("gram"), "wide")
+    if wide.limit(1).count():
+        places = distinct.join(wide.withColumn("wide", F.lit(1).cast("long")), "gram", "left").fillna(0, ["wide"])
+    else:
+        places = distinct.withColumn("wide", F.lit(0).cast("long"))
+    words = materialize(S.with_texts(rows, places, ["at", "gram", "fp", "low", "wide"]).mapInArrow(_words_of(length), _UNIT), "words")
+    units = words.filter("wide = 0").select("share", F.col("fp").alias("unit"), "low", "words", F.lit(True).alias("whole"))
+    parts = _narrow(words.filter("wide = 1"), length, gram)
     if parts is not None:  # equal ones of a share are indexed once
         parts = parts.withColumn("unit", F.xxhash64("words"))
         units = units.unionByName(parts.groupBy("share", "unit").agg(F.min("low").alias("low"), F.first("words").alias("words"), F.lit(False).alias("whole")))

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.llm.common import materialize, row_key
 
@@ -31,7 +31,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Tokens that are worked on at once.
 PIECE = 1 << 20
 #: A gram with at least this share of the segments of a sample of so many documents is common.
-COMMON_SHARE, COMMON_DOCS = 4000, 10_000
+COMMON_SHARE, COMMON_DOCS = 20_000, 20_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -205,7 +205,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 def finder(code: Callable, length: int, gram: int, reach: int, common: Common):
     """A scan of rows (did, rk, text): (did, rk, gram, fp, at) of every segment.
 
-    at: the first window, the number of windows (ten bits), the anchor's offset from it (ten bits).
+    at: the first window, whether the gram is common (a bit), the number of windows (ten bits), the
+    anchor's offset from the first (ten bits).
     """
 
     def _scan(rows, raw, did, rk):
@@ -224,7 +225,8 @@ def finder(code: Callable, length: int, gram: int, reach: int, common: Common):
             if not len(first):
                 continue
             offset = np.array([a for _, a, _ in batch]) - starts
-            at = (first + offset[which]) << 20 | n << 10 | anchor - first
+            at = (first + offset[which]) << 21 | n << 10 | anchor - first
+            at[common.among(grams)] |= 1 << 20
             row = np.array([order[i] for i, _, _ in batch])[which]
             yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(rk[row]), _signed(grams), _signed(prints), pa.array(at)], names=["did", "rk", "gram", "fp", "at"])
 
@@ -247,7 +249,7 @@ SEGMENT = "did bigint, rk bigint, gram bigint, fp bigint, at bigint"
 
 
 def first_window() -> Column:
-    return F.shiftright("at", 20)
+    return F.shiftright("at", 21)
 
 
 def n_windows() -> Column:
@@ -256,7 +258,7 @@ def n_windows() -> Column:
 
 def place(at: int) -> tuple[int, int, int]:
     """First window, number of windows, the anchor's offset."""
-    return at >> 20, at >> 10 & 1023, at & 1023
+    return at >> 21, at >> 10 & 1023, at & 1023
 
 
 def keyed(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -279,18 +281,22 @@ def common_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> Com
 
 
 def repeated(rows: DataFrame, code: Callable, length: int, gram: int, reach: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """All segments, and each different segment whose gram occurs more than once: gram, fp, n, the
-    least and the largest did, one place (rep), and kinds, how many different segments its gram has.
+    """The segments whose gram occurs more than once (or is common), and each different one of
+    these: gram, fp, n, the least and the largest did (low, high), one place (did, rk, at).
 
-    Both are tables in the shared folder. Equal segments are counted before they are shuffled, and
-    a gram's segments are never gathered.
+    Both are tables in the shared folder. Segments of common grams, which are known, are dealt over
+    all tasks and not counted by gram; equal segments are counted before they are shuffled.
     """
     common = common_grams(rows, code, length, gram)
-    found = materialize(rows.mapInArrow(finder(code, length, gram, reach or length, common), SEGMENT), "segments")
-    one = F.min(F.struct("did", "rk", "at")).alias("rep")
-    each = materialize(found.groupBy("gram", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"), one), "each")
-    grams = each.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter(F.col("all") > 1).drop("all")
-    return found, materialize(each.join(grams, "gram"), "distinct")
+    found = rows.mapInArrow(finder(code, length, gram, reach or length, common), SEGMENT)
+    is_common = F.col("at").bitwiseAND(F.lit(1 << 20)) != 0
+    share = F.when(is_common, F.xxhash64("rk", "at")).otherwise(F.lit(0))
+    of_gram = Window.partitionBy("gram", "share")
+    found = found.withColumn("share", share).withColumn("n", F.count(F.lit(1)).over(of_gram))
+    found = materialize(found.filter((F.col("n") > 1) | is_common).select("did", "rk", "gram", "fp", "at"), "segments")
+    # the three firsts are of one row: all see the same rows in the same order
+    one = [F.first(c).alias(c) for c in ("did", "rk", "at")]
+    return found, materialize(found.groupBy("gram", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"), *one), "distinct")
 
 
 def with_texts(rows: DataFrame, places: DataFrame, fields: list[str]) -> DataFrame:

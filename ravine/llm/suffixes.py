@@ -288,9 +288,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, report: int = REPORT, gram: i
     """(did, rk, a, b, kind): intervals of bytes covered by strings that start elsewhere too."""
     fold = min(length, report)
     found, distinct = S.repeated(rows, S.byte_codes, fold, gram, length)
-    fields = ["at", "gram", "fp", "n", "low", "high"]
-    places = distinct.select("rep.did", "rep.rk", "rep.at", *fields[1:])
-    parts = materialize(S.with_texts(rows, places, fields).mapInArrow(_parts(length, gram), _PARTS), "parts")
+    parts = materialize(S.with_texts(rows, distinct, ["at", "gram", "fp", "n", "low", "high"]).mapInArrow(_parts(length, gram), _PARTS), "parts")
     total = parts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     dealt = parts.repartitionByRange(partitions(rows.sparkSession, total, BUCKET), *_TOKENS)
     out = materialize(dealt.mapInArrow(_buckets(length, min(length, report), cell), _OUT), "buckets")
