@@ -9,14 +9,24 @@ choices of three groups is a projection, and a grid cell is the exact coordinate
 points of a link meet in at least one cell. In a cell, the Manhattan bound prunes and the Hamming
 distance decides.
 
-Only distinct fingerprints are joined; documents with equal ones are one node. A cell returns a
-spanning forest of its links, never its pairs. Cells with more than ``BLOCK`` fingerprints are cut
+Only distinct fingerprints are joined; documents with equal ones are one node. A large cell returns
+a spanning forest of its links, never its pairs. Cells with more than ``BLOCK`` fingerprints are cut
 into blocks, each pair of blocks a task of its own.
+
+``keep_one`` links by similarity instead: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. 64 bits can't tell these, as they differ in some ten bits. It takes 256
+bits of the set's shingles, of which such texts differ in 38.8 on average, and links up to one
+standard deviation above. No choice of a few groups agrees at that radius, so its grid isn't exact:
+a cell is a number of bits (segments of one bit, whose Manhattan distance is the Hamming distance)
+of a second fingerprint, of two-word shingles, which an edit moves less; cells hold about
+``CELL`` nodes at every size of the corpus, and there are so many tables of cells that two texts at
+the threshold meet with a probability of 0.95, closer ones with a higher.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ravine.llm import spans as S
 from ravine.llm.common import materialize, row_key
 
 RADIUS = 3
@@ -35,6 +46,13 @@ SEED = 42
 #: Fingerprints of a cell that are compared in one task.
 BLOCK = 50_000
 
+#: The rule of ``keep_one``: similarity of five-word shingle sets, in so many 64-bit words; the
+#: words of its grid's fingerprint and the shingles of that.
+SIMILAR, SIMILAR_SHINGLE, SIMILAR_WORDS = 0.8, 5, 4
+GRID_SHINGLE, GRID_WORDS = 2, 2
+#: Nodes in a cell, about; cells up to PAIRS are compared pair by pair.
+CELL, PAIRS = 16, 32
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -98,43 +116,44 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fps.view(np.int64))], names=["cell", "fp"])
 
 
-def forest(fps: np.ndarray, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect what lies within RADIUS: a spanning forest of the cell.
+def spanning(points: np.ndarray, radius: int, side: np.ndarray | None = None, bound: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of 64-bit words) that connect what lies within ``radius``: a spanning forest.
 
     A breadth-first search: each point is compared with those not reached yet, so a dense cell
-    costs about its size. With ``against``, only links between the two sides are searched.
+    costs about its size. With ``side``, only links between the two sides are searched. ``bound``:
+    the Manhattan distance of the embeddings prunes before the Hamming distance decides.
     """
-    points = fps if against is None else np.concatenate([fps, against])
-    side = np.zeros(len(points), bool)
-    if against is not None:
-        side[len(fps) :] = True
-    embedded, left = embed(points), np.arange(len(points))
+    embedded, left = embed(points) if bound else None, np.arange(len(points))
     out_a, out_b = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = manhattan(embedded[left], embedded[i]) <= RADIUS
-            if against is not None:
-                near &= side[left] != side[i]
-            at = np.flatnonzero(near)
-            at = at[np.bitwise_count(points[left[at]] ^ points[i]) <= RADIUS]
+            at = np.arange(len(left))
+            if side is not None:
+                at = at[side[left] != side[i]]
+            if bound:
+                at = at[manhattan(embedded[left[at]], embedded[i]).sum(axis=1) <= radius]
+            at = at[np.bitwise_count(points[left[at]] ^ points[i]).sum(axis=1) <= radius]
             if len(at):
                 found = left[at]
-                out_a.append(np.full(len(found), points[i]))
-                out_b.append(points[found])
+                out_a.append(np.full(len(found), i))
+                out_b.append(found)
                 queue.extend(found.tolist())
                 keep = np.ones(len(left), bool)
                 keep[at] = False
                 left = left[keep]
     if not out_a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _pairs_of_two(cells: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """Where a row and the next share a cell and link."""
-    return np.flatnonzero((cells[1:] == cells[:-1]) & (np.bitwise_count(fps[1:] ^ fps[:-1]) <= RADIUS))
+def forest(fps: np.ndarray, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between fingerprints within RADIUS, as ``spanning``; with ``against``, between these two."""
+    points = fps if against is None else np.concatenate([fps, against])
+    side = None if against is None else np.arange(len(points)) >= len(fps)
+    a, b = spanning(points[:, None], RADIUS, side, bound=True)
+    return points[a], points[b]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +179,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.append(fps[s + 1 : s + 2])
         return np.concatenate(a), np.concatenate(b)
 
-    held: list[list[np.ndarray]] = [[], [], [], []]
+    for cell, pair, side, fps in _whole(batches):
+        yield emit(*solve(cell, pair, side, fps.view(np.uint64)))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first two, so that equal pairs of these come together."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        cols[3] = cols[3].view(np.uint64)
-        last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])) if len(cols[0]) else np.empty(0)
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if not len(cols[0]):
             continue
+        held = held or [[] for _ in cols]
+        last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if not cut and held[0] and held[0][-1][-1] == cols[0][0] and held[1][-1][-1] == cols[1][0]:
             for h, c in zip(held, cols):
@@ -175,23 +200,27 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = [np.concatenate([*h, c[:cut]]) for h, c in zip(held, cols)]
         held = [[c[cut:]] for c in cols]
         if len(done[0]):
-            yield emit(*solve(*done))
-    if held[0]:
-        yield emit(*solve(*(np.concatenate(h) for h in held)))
+            yield done
+    if held:
+        yield [np.concatenate(h) for h in held]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints ``fp``, enough to connect every component."""
-    cells = materialize(distinct.select("fp").mapInArrow(_cells, "cell bigint, fp bigint"), "cells")
+def _in_blocks(cells: DataFrame, by: str, *rest: str) -> DataFrame:
+    """Rows of cells dealt by (cell, pair of blocks), sorted by these, side and ``by``."""
     large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     large = large.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
     cells = cells.join(large, "cell", "left").withColumn("own", F.coalesce(own, F.lit(0)))
     # block i meets every block j >= i in the task (i, j); its rows are side 0 there, j's side 1
     with_ = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct((F.least(j, F.col("own")) * F.lit(1 << 20).cast("long") + F.greatest(j, F.col("own"))).alias("pair"), (j < F.col("own")).cast("int").alias("side")))
-    dealt = cells.select("cell", "fp", F.explode(with_).alias("to")).select("cell", F.col("to.pair").alias("pair"), F.col("to.side").alias("side"), "fp")
-    dealt = dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "side", "fp")
-    return dealt.mapInArrow(_links, "a bigint, b bigint").distinct()
+    dealt = cells.select("cell", by, *rest, F.explode(with_).alias("to")).select("cell", F.col("to.pair").alias("pair"), F.col("to.side").alias("side"), by, *rest)
+    return dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "side", by)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints ``fp``, enough to connect every component."""
+    cells = materialize(distinct.select("fp").mapInArrow(_cells, "cell bigint, fp bigint"), "cells")
+    return _in_blocks(cells, "fp").mapInArrow(_links, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -217,27 +246,156 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = (now[0], now[1])
 
 
+def _classes(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """(node, root, component) of nodes (node, least): the component's least node and least key."""
+    found = materialize(components(edges), "components").withColumnRenamed("node", "__node")
+    of = nodes.join(found, nodes[node] == found["__node"], "left").select(node, "least", F.coalesce("root", node).alias("root"))
+    smallest = of.groupBy("root").agg(F.min("least").alias("component"))
+    return materialize(of.join(smallest, "root").select(node, "root", "component"), "classes")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
     """(key, keep..., fp, root, component): each row's fingerprint, its component's least
     fingerprint and the smallest key that it reaches.
 
     Null and empty texts have fingerprint zero and are linked like any other. A null key is never
-    the smallest unless a component has no other. Repeated rows are in one component.
+    the smallest unless a component has no other. Repeated rows are in one component. Very long
+    texts are counted in parts; an empty table gives an empty one; other columns are ignored.
     """
     rows = materialize(with_fingerprints(df, key, *keep), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    # a root is one of the fingerprints; its component's smallest key is carried back by it
-    found = materialize(components(links(nodes)), "components")
-    of = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = of.groupBy("root").agg(F.min("least").alias("component"))
-    classes = materialize(of.join(smallest, "root").select("fp", "root", "component"), "classes")
-    return rows.join(classes, "fp").select(key, *keep, "fp", "root", "component")
+    return rows.join(_classes(nodes, links(nodes), "fp"), "fp").select(key, *keep, "fp", "root", "component")
+
+
+_LOWER_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER_BYTES[65:91] += 32
+
+
+def shingles(codes: np.ndarray, size: int) -> np.ndarray:
+    """The different hashes of a text's shingles; of a shorter text, its whole sequence's."""
+    if not len(codes):
+        return np.empty(0, np.uint64)
+    sums = S.Sums(codes)
+    return np.unique(sums.each(min(size, len(codes))))
+
+
+def signs(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a set of hashes in so many 64-bit words; of none: zero."""
+    ones = np.zeros(64 * words, np.int64)
+    salts = S.mix(np.arange(1, words + 1, dtype=np.uint64))
+    for at in range(0, len(hashes), 32_768):
+        grid = np.stack([S.mix(hashes[at : at + 32_768] + salt) for salt in salts], axis=1)
+        ones += np.unpackbits(grid.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def similar_prints(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's fingerprints for ``keep_one``: that which decides, and that of its grid."""
+    codes = S.word_codes(_LOWER_BYTES[text])
+    return signs(shingles(codes, SIMILAR_SHINGLE), SIMILAR_WORDS), signs(shingles(codes, GRID_SHINGLE), GRID_WORDS)
+
+
+def similar_radius(similarity: float = SIMILAR, words: int = SIMILAR_WORDS) -> int:
+    """Bits in which sets of equal size and this Jaccard similarity differ: mean and a standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+
+
+def grid(n: int) -> tuple[int, int]:
+    """Bits of a cell and number of tables for n nodes."""
+    kept = 1 - 2 * (1 - SIMILAR) / (1 + SIMILAR) / SIMILAR_SHINGLE * GRID_SHINGLE / 2  # cosine of the two-word sets
+    agree = 1 - math.acos(kept) / math.pi
+    bits = min(60, max(4, math.ceil(math.log2(max(n, 2) / CELL))))
+    return bits, math.ceil(math.log(20) / agree**bits)
+
+
+_PRINT = [f"f{i}" for i in range(SIMILAR_WORDS)]
+_GRID = [f"g{i}" for i in range(GRID_WORDS)]
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = [np.concatenate(similar_prints(t)) for t in S.texts(b.column(2))]
+        prints = np.array(both, np.uint64).reshape(-1, SIMILAR_WORDS + GRID_WORDS).view(np.int64)
+        cols = [pa.array(np.ascontiguousarray(c)) for c in prints.T]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=[*b.schema.names[:2], *_PRINT, *_GRID])
+
+
+def _tables(bits: int, tables: int):
+    """Each node in its cell of every table: (cell, node, print)."""
+    rng = np.random.default_rng(7)
+    masks = []
+    for _ in range(tables):
+        mask = np.zeros(64 * GRID_WORDS, np.uint8)
+        mask[rng.permutation(64 * GRID_WORDS)[:bits]] = 1
+        masks.append(np.packbits(mask, bitorder="little").view(np.uint64))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = np.stack([b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _GRID], axis=1)
+            for i, mask in enumerate(masks):
+                cell = np.full(len(points), i + 1, np.uint64)
+                for k in range(GRID_WORDS):
+                    cell = S.mix(cell * np.uint64(S.BASE) + (points[:, k] & mask[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *(b.column(c) for c in ("node", *_PRINT))], names=["cell", "node", *_PRINT])
+
+    return deal
+
+
+def _similar_links(radius: int):
+    """Rows sorted by (cell, block pair): links of each cell, all of a small one, else a forest."""
+
+    def solve(cell, pair, side, node, points):
+        new = np.append(True, (cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1]))
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        sizes = np.diff(np.append(starts, len(cell)))
+        small = np.flatnonzero((sizes <= PAIRS)[group])
+        out = []
+        for step in range(1, PAIRS):
+            small = small[small + step < len(cell)]
+            small = small[group[small + step] == group[small]]
+            if not len(small):
+                break
+            near = small[np.bitwise_count(points[small] ^ points[small + step]).sum(axis=1) <= radius]
+            out.append((near, near + step))
+        for s, n in zip(starts[sizes > PAIRS].tolist(), sizes[sizes > PAIRS].tolist()):
+            own = side[s : s + n]
+            a, b = spanning(points[s : s + n], radius, own if own.any() else None)
+            out.append((a + s, b + s))
+        a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return node[a], node[b]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, pair, side, node, *prints in _whole(batches):
+            a, b = solve(cell, pair, side, node, np.stack([p.view(np.uint64) for p in prints], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return find
+
+
+def similar(df: DataFrame, key: str = "doc_id", *, similarity: float = SIMILAR) -> DataFrame:
+    """(key, __rk, node, root, component): the rows' classes of similar texts, see ``keep_one``."""
+    small = df.select(key, "__rk", "text")
+    kind = small.schema[key].dataType.simpleString()
+    longs = ", ".join(f"{c} bigint" for c in (*_PRINT, *_GRID))
+    rows = small.mapInArrow(_similar, f"`{key}` {kind}, __rk bigint, {longs}").withColumn("node", F.xxhash64(*_PRINT))
+    rows = materialize(rows, "prints")
+    nodes = rows.groupBy("node").agg(F.min(key).alias("least"), F.min(F.struct(*_PRINT, *_GRID)).alias("p")).select("node", "least", "p.*")
+    nodes = materialize(nodes, "nodes")
+    bits, tables = grid(nodes.count())
+    cells = materialize(nodes.mapInArrow(_tables(bits, tables), "cell bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _PRINT)), "cells")
+    edges = _in_blocks(cells, "node", *_PRINT).mapInArrow(_similar_links(similar_radius(similarity)), "a bigint, b bigint").distinct()
+    return rows.select(key, "__rk", "node").join(_classes(nodes.select("node", "least"), edges, "node"), "node")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component, the row with the smallest key."""
+    """The rows of ``df`` without near-duplicates: of each class of similar texts, that with the smallest key.
+
+    Texts without a word are one class; null keys are the smallest of a class only if it has no
+    other; of rows repeated in key and text one stays. Every column of ``df`` is kept.
+    """
     keyed = df.withColumn("__rk", row_key(key, "text"))
-    found = near_duplicates(keyed, key, "__rk").filter(F.col(key).eqNullSafe(F.col("component")))
+    found = similar(keyed, key).filter(F.col(key).eqNullSafe(F.col("component")))
     stay = materialize(found.groupBy("root").agg(F.min("__rk").alias("__stay")).select("__stay"), "representatives")
     kept = keyed.join(stay, F.col("__rk") == F.col("__stay"), "left_semi")
     first = Window.partitionBy("__rk").orderBy(F.col(key))  # rows repeated in key and text

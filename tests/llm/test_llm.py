@@ -308,6 +308,81 @@ def test_simhash(spark, docs):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((d, f"{p:016x}", least[r]) for (d, _), p, r in zip(rows, prints, roots))
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (WORD.findall((t or "").translate(simhash._LOWER)) for t in (a, b))]
+    return 1.0 if sets[0] == sets[1] else len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(r, words, n):
+    """``words`` with n of them replaced, dropped or doubled."""
+    out = list(words)
+    for i in sorted(r.sample(range(len(out)), n), reverse=True):
+        out[i : i + 1] = r.choice([["other"], [], [out[i], "more"]])
+    return " ".join(out)
+
+
+def test_similar_texts(spark):
+    """Links against exact Jaccard similarity: near copies are one class, others are apart."""
+    r, rows = random.Random(5), []
+    for k in range(60):
+        words = [f"w{r.randrange(900)}" for _ in range(r.randint(120, 700))]
+        rows.append(" ".join(words))
+        if k % 2:
+            rows += [edited(r, words, max(1, len(words) // n)) for n in (150, 90)]
+        elif k % 4:
+            rows += [edited(r, words, len(words) // 12)]
+    rows += [None, "", "one", "One", "two", "three small words", rows[0], rows[1].upper()]
+    df = spark.createDataFrame([(None if i == 3 else i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, root string")
+    kept = simhash.keep_one(df).collect()
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i], rows[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    classes = {}
+    for i in range(len(rows)):
+        classes.setdefault(find(i), []).append(i)
+    want = {min((i for i in c if i != 3), default=None) for c in classes.values()}
+    assert {x.doc_id for x in kept} == want and len(kept) == len(want)
+    assert df.columns == kept[0].__fields__
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_similar_links_in_large_cells(monkeypatch):
+    """A cell beyond PAIRS gives a forest of what its pairs would connect."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (4, 4)).astype(np.uint64)
+    points = base[rng.integers(0, 4, 90)] ^ (np.uint64(1) << rng.integers(0, 60, (90, 4)).astype(np.uint64))
+    a, b = simhash.spanning(points, 12)
+    roots = list(range(90))
+    for x, y in zip(a.tolist(), b.tolist()):
+        roots = [roots[x] if v == roots[y] else v for v in roots]
+    near = np.bitwise_count(points[:, None] ^ points[None]).sum(axis=2) <= 12
+    assert all(near[x, y] for x, y in zip(a.tolist(), b.tolist()))
+    assert all(roots[i] == roots[j] for i in range(90) for j in range(90) if near[i, j])
+    assert len(set(roots)) == 4
+
+
+def test_similar_prints_by_hand():
+    text = "A b c d e f g h i j a b c d e f"
+    words = text.lower().split()
+    hashes = {int(spans.Sums(spans.word_codes(np.frombuffer(" ".join(words[i : i + 5]).encode(), np.uint8))).each(5)[0]) for i in range(len(words) - 4)}
+    salts = spans.mix(np.arange(1, 5, dtype=np.uint64))
+    want = []
+    for salt in salts:
+        mixed = [int(spans.mix(np.array([h], np.uint64) + salt)[0]) for h in hashes]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed)))
+    got, _ = simhash.similar_prints(np.frombuffer(text.encode(), np.uint8))
+    assert got.tolist() == want
+    assert not simhash.similar_prints(np.empty(0, np.uint8))[0].any()
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
@@ -487,9 +562,22 @@ def test_pipeline(spark):
     d = table(spark, "documents")
     kept = {r.doc_id for r in quality.judge_documents(d).filter("kept").collect()}
     rows = [(r.doc_id, r.text) for r in d.collect() if r.doc_id in kept]
-    roots, first = brute_components([simhash.fingerprint(t) for _, t in rows]), {}
-    for (i, _), root in zip(rows, roots):
-        first[root] = min(first.get(root, i), i)
+    # brute force over all pairs: the stage's own fingerprints, within its radius
+    prints = [simhash.similar_prints(np.frombuffer((t or "").encode(), np.uint8))[0] for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= simhash.similar_radius():
+                parent[find(i)] = find(j)
+    first = {}
+    for i, (doc, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), doc), doc)
     docs = d
     for k, (name, stage) in enumerate(p.STAGES[:3]):
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), d.schema)
