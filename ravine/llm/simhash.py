@@ -15,12 +15,14 @@ into blocks, each pair of blocks a task of its own.
 
 ``keep_one`` links by similarity instead: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. 64 bits can't tell these, as they differ in some ten bits. It takes 256
-bits of the set's shingles, of which such texts differ in 38.8 on average, and links up to one
-standard deviation above. No choice of a few groups agrees at that radius, so its grid isn't exact:
-a cell is a number of bits (segments of one bit, whose Manhattan distance is the Hamming distance)
-of a second fingerprint, of two-word shingles, which an edit moves less; cells hold about
-``CELL`` nodes at every size of the corpus, and there are so many tables of cells that two texts at
-the threshold meet with a probability of 0.95, closer ones with a higher.
+bits of the set's shingles, of which such texts differ in 38.8 on average, and takes pairs up to two
+standard deviations above as candidates. No choice of a few groups agrees at that radius, so its
+grid isn't exact: a cell is a number of bits (segments of one bit, whose Manhattan distance is the
+Hamming distance) of a second fingerprint, of two-word shingles, which an edit moves less; cells
+hold about ``CELL`` nodes at every size of the corpus, and there are so many tables of cells that
+two texts at the threshold meet with a probability of 0.95, closer ones with a higher. Candidates
+are verified by the shingle sets themselves: all pairs of a group of up to ``GROUP`` texts that
+candidates connect, of a larger one the candidates, which are its cells' minimum spanning forests.
 """
 
 from __future__ import annotations
@@ -50,8 +52,8 @@ BLOCK = 50_000
 #: words of its grid's fingerprint and the shingles of that.
 SIMILAR, SIMILAR_SHINGLE, SIMILAR_WORDS = 0.8, 5, 4
 GRID_SHINGLE, GRID_WORDS = 2, 2
-#: Nodes in a cell, about; cells up to PAIRS are compared pair by pair.
-CELL, PAIRS = 16, 32
+#: Nodes in a cell, about; cells up to PAIRS are compared pair by pair. Groups that are verified whole.
+CELL, PAIRS, GROUP = 16, 32, 64
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -148,6 +150,26 @@ def spanning(points: np.ndarray, radius: int, side: np.ndarray | None = None, bo
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def nearest_forest(points: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``spanning``, by short links first: a longer one only joins what shorter ones don't connect."""
+    parent, out = list(range(len(points))), ([], [])
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for level in sorted({radius * k // 5 for k in range(1, 6)}):
+        for a, b in zip(*(x.tolist() for x in spanning(points, level, side))):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[y] = x
+                out[0].append(a)
+                out[1].append(b)
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
 def forest(fps: np.ndarray, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) between fingerprints within RADIUS, as ``spanning``; with ``against``, between these two."""
     points = fps if against is None else np.concatenate([fps, against])
@@ -224,7 +246,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` reaches.
+    """(node, root): the smallest other node that each node of ``edges`` reaches; roots have no row.
 
     Large-star and small-star rounds over the edges only; every round is a table in the shared
     folder. A hub's edges are aggregated before the shuffle (min), not gathered.
@@ -296,9 +318,9 @@ def similar_prints(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_radius(similarity: float = SIMILAR, words: int = SIMILAR_WORDS) -> int:
-    """Bits in which sets of equal size and this Jaccard similarity differ: mean and a standard deviation."""
+    """Bits in which sets of equal size and this Jaccard similarity differ: mean and two standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+    return math.floor(64 * words * share + 2 * math.sqrt(64 * words * share * (1 - share)))
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -360,7 +382,7 @@ def _similar_links(radius: int):
             out.append((near, near + step))
         for s, n in zip(starts[sizes > PAIRS].tolist(), sizes[sizes > PAIRS].tolist()):
             own = side[s : s + n]
-            a, b = spanning(points[s : s + n], radius, own if own.any() else None)
+            a, b = nearest_forest(points[s : s + n], radius, own if own.any() else None)
             out.append((a + s, b + s))
         a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
         return node[a], node[b]
@@ -373,6 +395,80 @@ def _similar_links(radius: int):
     return find
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity at least; empty sets are alike."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, size, text): the text's shingles, 32 bits each, instead of the text."""
+    for b in batches:
+        found = [np.unique(shingles(S.word_codes(_LOWER_BYTES[t]), SIMILAR_SHINGLE).astype(np.uint32)).tobytes() for t in S.texts(b.column(3))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], names=["node", "root", "size", "shingles"])
+
+
+def _links_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def _groups(similarity: float):
+    """Rows (root, node, shingles) sorted by root: links that connect what is alike in each group."""
+
+    def solve(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+        of, out = list(range(len(members))), []
+        for i in range(len(members)):
+            for j in range(i):
+                if of[i] != of[j] and alike(members[i][1], members[j][1], similarity):
+                    out.append((members[i][0], members[j][0]))
+                    of = [of[j] if x == of[i] else x for x in of]
+        return out
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, []
+        for b in batches:
+            out = []
+            for root, node, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if root != group:
+                    out += solve(members)
+                    group, members = root, []
+                members.append((node, np.frombuffer(packed.as_py(), np.uint32)))
+            yield _links_batch(out)
+        yield _links_batch(solve(members))
+
+    return check
+
+
+def _pairs(similarity: float):
+    """(a, b, one, other): the pairs whose shingles are alike."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [[np.frombuffer(x.as_py(), np.uint32) for x in b.column(k)] for k in (2, 3)]
+            ok = [alike(x, y, similarity) for x, y in zip(*sets)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return check
+
+
+def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of candidates that exact similarity upholds. texts: __rk, text; nodes: node, __rk."""
+    found = components(edges)
+    found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())  # a root has no row of its own
+    found = materialize(found, "candidate-groups")
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    members = found.join(sizes, "root").join(nodes, "node").select("node", "root", "size", "__rk")
+    sets = texts.join(members, "__rk").select("node", "root", "size", "text").mapInArrow(_sets, "node bigint, root bigint, size bigint, shingles binary")
+    sets = materialize(sets, "shingles")
+    small = sets.filter(F.col("size") <= GROUP).select("root", "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_groups(similarity), "a bigint, b bigint")
+    large = sets.filter(F.col("size") > GROUP).select("node", "shingles").dropDuplicates(["node"])
+    one, other = (large.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    pairs = edges.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b").mapInArrow(_pairs(similarity), "a bigint, b bigint")
+    return small.unionByName(pairs)
+
+
 def similar(df: DataFrame, key: str = "doc_id", *, similarity: float = SIMILAR) -> DataFrame:
     """(key, __rk, node, root, component): the rows' classes of similar texts, see ``keep_one``."""
     small = df.select(key, "__rk", "text")
@@ -380,11 +476,12 @@ def similar(df: DataFrame, key: str = "doc_id", *, similarity: float = SIMILAR)
     longs = ", ".join(f"{c} bigint" for c in (*_PRINT, *_GRID))
     rows = small.mapInArrow(_similar, f"`{key}` {kind}, __rk bigint, {longs}").withColumn("node", F.xxhash64(*_PRINT))
     rows = materialize(rows, "prints")
-    nodes = rows.groupBy("node").agg(F.min(key).alias("least"), F.min(F.struct(*_PRINT, *_GRID)).alias("p")).select("node", "least", "p.*")
+    nodes = rows.groupBy("node").agg(F.min(key).alias("least"), *(F.first(c).alias(c) for c in ("__rk", *_PRINT, *_GRID)))
     nodes = materialize(nodes, "nodes")
     bits, tables = grid(nodes.count())
     cells = materialize(nodes.mapInArrow(_tables(bits, tables), "cell bigint, node bigint, " + ", ".join(f"{c} bigint" for c in _PRINT)), "cells")
     edges = _in_blocks(cells, "node", *_PRINT).mapInArrow(_similar_links(similar_radius(similarity)), "a bigint, b bigint").distinct()
+    edges = _verified(small.select("__rk", "text"), nodes.select("node", "__rk"), materialize(edges, "candidates"), similarity)
     return rows.select(key, "__rk", "node").join(_classes(nodes.select("node", "least"), edges, "node"), "node")
 
 

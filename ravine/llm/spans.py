@@ -30,8 +30,9 @@ BASE = 0x9E3779B97F4A7C15 | 5
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Tokens that are worked on at once.
 PIECE = 1 << 20
-#: A gram with at least this share of the segments of a sample of so many documents is common.
-COMMON_SHARE, COMMON_DOCS = 20_000, 20_000
+#: A gram with at least this share of the segments of a sample of so many documents is common; how
+#: often the sample is looked at, at most.
+COMMON_SHARE, COMMON_DOCS, ROUNDS = 20_000, 20_000, 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -256,6 +257,10 @@ def n_windows() -> Column:
     return F.shiftright("at", 10).bitwiseAND(F.lit(1023))
 
 
+def is_common() -> Column:
+    return F.col("at").bitwiseAND(F.lit(1 << 20)) != 0
+
+
 def place(at: int) -> tuple[int, int, int]:
     """First window, number of windows, the anchor's offset."""
     return at >> 21, at >> 10 & 1023, at & 1023
@@ -270,14 +275,23 @@ def keyed(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
 
 
 def common_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> Common:
-    """Grams with a COMMON_SHARE-th of a sample's segments or more."""
+    """Grams with a COMMON_SHARE-th of a sample's segments or more.
+
+    Where common grams come last, others take their windows (as in text of two words in turn), so
+    the sample is looked at again with those found, until a round finds no more.
+    """
     n = rows.count()
-    sample = rows.sample(min(1.0, COMMON_DOCS / max(n, 1)), seed=1)
-    grams = sample.mapInArrow(finder(code, length, gram, length, Common(np.empty(0, _U))), SEGMENT).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counted = materialize(grams, "grams")
-    seen = counted.agg(F.sum("n")).first()[0] or 0
-    found = counted.filter(F.col("n") >= max(20, seen // COMMON_SHARE)).select("gram").collect()  # COMMON_SHARE at most
-    return Common(np.array([r.gram for r in found], np.int64).view(_U))
+    sample = materialize(rows.sample(min(1.0, COMMON_DOCS / max(n, 1)), seed=1), "sample")
+    common = Common(np.empty(0, _U))
+    for _ in range(ROUNDS):
+        grams = sample.mapInArrow(finder(code, length, gram, length, common), SEGMENT).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max(is_common()).alias("known"))
+        counted = materialize(grams, "grams")
+        seen = counted.agg(F.sum("n")).first()[0] or 0
+        found = counted.filter((F.col("n") >= max(20, seen // COMMON_SHARE)) & ~F.col("known")).select("gram").collect()  # COMMON_SHARE at most
+        if not found:
+            break
+        common = Common(np.concatenate([common.grams, np.array([r.gram for r in found], np.int64).view(_U)]))
+    return common
 
 
 def repeated(rows: DataFrame, code: Callable, length: int, gram: int, reach: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -289,11 +303,10 @@ def repeated(rows: DataFrame, code: Callable, length: int, gram: int, reach: int
     """
     common = common_grams(rows, code, length, gram)
     found = rows.mapInArrow(finder(code, length, gram, reach or length, common), SEGMENT)
-    is_common = F.col("at").bitwiseAND(F.lit(1 << 20)) != 0
-    share = F.when(is_common, F.xxhash64("rk", "at")).otherwise(F.lit(0))
+    share = F.when(is_common(), F.xxhash64("rk", "at")).otherwise(F.lit(0))
     of_gram = Window.partitionBy("gram", "share")
     found = found.withColumn("share", share).withColumn("n", F.count(F.lit(1)).over(of_gram))
-    found = materialize(found.filter((F.col("n") > 1) | is_common).select("did", "rk", "gram", "fp", "at"), "segments")
+    found = materialize(found.filter((F.col("n") > 1) | is_common()).select("did", "rk", "gram", "fp", "at"), "segments")
     # the three firsts are of one row: all see the same rows in the same order
     one = [F.first(c).alias(c) for c in ("did", "rk", "at")]
     return found, materialize(found.groupBy("gram", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"), *one), "distinct")

@@ -308,9 +308,13 @@ def test_simhash(spark, docs):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((d, f"{p:016x}", least[r]) for (d, _), p, r in zip(rows, prints, roots))
 
 
-def jaccard(a, b):
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (WORD.findall((t or "").translate(simhash._LOWER)) for t in (a, b))]
-    return 1.0 if sets[0] == sets[1] else len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def five_words(text):
+    words = WORD.findall((text or "").translate(simhash._LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_sets(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
 
 
 def edited(r, words, n):
@@ -341,9 +345,10 @@ def test_similar_texts(spark):
             x = parent[x]
         return x
 
+    sets = [five_words(t) for t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if jaccard(rows[i], rows[j]) >= 0.8:
+            if similar_sets(sets[i], sets[j]):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     classes = {}
     for i in range(len(rows)):
@@ -562,9 +567,7 @@ def test_pipeline(spark):
     d = table(spark, "documents")
     kept = {r.doc_id for r in quality.judge_documents(d).filter("kept").collect()}
     rows = [(r.doc_id, r.text) for r in d.collect() if r.doc_id in kept]
-    # brute force over all pairs: the stage's own fingerprints, within its radius
-    prints = [simhash.similar_prints(np.frombuffer((t or "").encode(), np.uint8))[0] for _, t in rows]
-    parent = list(range(len(rows)))
+    parent, sets = list(range(len(rows))), [five_words(t) for _, t in rows]  # brute force over all pairs
 
     def find(x):
         while parent[x] != x:
@@ -573,7 +576,7 @@ def test_pipeline(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= simhash.similar_radius():
+            if similar_sets(sets[i], sets[j]):
                 parent[find(i)] = find(j)
     first = {}
     for i, (doc, _) in enumerate(rows):
