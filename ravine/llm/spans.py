@@ -284,13 +284,13 @@ def common_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> Com
     sample = materialize(rows.sample(min(1.0, COMMON_DOCS / max(n, 1)), seed=1), "sample")
     common = Common(np.empty(0, _U))
     for _ in range(ROUNDS):
-        grams = sample.mapInArrow(finder(code, length, gram, length, common), SEGMENT).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max(is_common()).alias("known"))
-        counted = materialize(grams, "grams")
-        seen = counted.agg(F.sum("n")).first()[0] or 0
-        found = counted.filter((F.col("n") >= max(20, seen // COMMON_SHARE)) & ~F.col("known")).select("gram").collect()  # COMMON_SHARE at most
+        grams = sample.mapInArrow(finder(code, length, gram, length, common), SEGMENT).rollup("gram").agg(F.count(F.lit(1)).alias("n"), F.max(is_common()).alias("known"))
+        rows_ = grams.filter((F.col("n") >= 20) & ~F.col("known") | F.col("gram").isNull()).collect()  # a twentieth of the sample's segments at most
+        seen = max((r.n for r in rows_ if r.gram is None), default=0)
+        found = [r.gram for r in rows_ if r.gram is not None and r.n >= seen // COMMON_SHARE]  # COMMON_SHARE at most
         if not found:
             break
-        common = Common(np.concatenate([common.grams, np.array([r.gram for r in found], np.int64).view(_U)]))
+        common = Common(np.concatenate([common.grams, np.array(found, np.int64).view(_U)]))
     return common
 
 
