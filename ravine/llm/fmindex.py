@@ -287,8 +287,7 @@ def earlier(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     if parts is not None:
         of = parts.select("share", "unit", "gram", "fp", "skip").join(least.filter("not whole"), ["share", "unit"])
         known = known.unionByName(of.select("gram", "fp", (F.col("skip") + F.col("i")).alias("i"), "windows", "least"))
-    a = S.first_window() + F.col("i")
-    return found.join(known, ["gram", "fp"]).filter("did > least").select("did", "rk", a.alias("a"), (a + F.col("windows") - 1 + length).alias("b"))
+    return S.placed(found.join(known, ["gram", "fp"]).filter("did > least"), length)
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

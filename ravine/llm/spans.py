@@ -206,8 +206,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 def finder(code: Callable, length: int, gram: int, reach: int, common: Common):
     """A scan of rows (did, rk, text): (did, rk, gram, fp, at) of every segment.
 
-    at: the first window, whether the gram is common (a bit), the number of windows (ten bits), the
-    anchor's offset from the first (ten bits).
+    at: how often the segment comes in a row (eleven bits), as in text that repeats a few words; the
+    first window (31 bits); whether the gram is common (a bit); the number of windows (ten bits);
+    the anchor's offset from the first (ten bits).
     """
 
     def _scan(rows, raw, did, rk):
@@ -226,7 +227,13 @@ def finder(code: Callable, length: int, gram: int, reach: int, common: Common):
             if not len(first):
                 continue
             offset = np.array([a for _, a, _ in batch]) - starts
-            at = (first + offset[which]) << 21 | n << 10 | anchor - first
+            new = np.ones(len(first), bool)
+            new[1:] = (which[1:] != which[:-1]) | (prints[1:] != prints[:-1]) | (grams[1:] != grams[:-1]) | (first[1:] != first[:-1] + n[:-1])
+            new |= (np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))) % 2047 == 0
+            head = np.flatnonzero(new)
+            times = np.diff(np.append(head, len(new)))
+            which, first, n, anchor, grams, prints = (x[head] for x in (which, first, n, anchor, grams, prints))
+            at = times << 52 | (first + offset[which]) << 21 | n << 10 | anchor - first
             at[common.among(grams)] |= 1 << 20
             row = np.array([order[i] for i, _, _ in batch])[which]
             yield pa.RecordBatch.from_arrays([pa.array(did[row]), pa.array(rk[row]), _signed(grams), _signed(prints), pa.array(at)], names=["did", "rk", "gram", "fp", "at"])
@@ -249,8 +256,12 @@ def finder(code: Callable, length: int, gram: int, reach: int, common: Common):
 SEGMENT = "did bigint, rk bigint, gram bigint, fp bigint, at bigint"
 
 
+def times() -> Column:
+    return F.shiftright("at", 52)
+
+
 def first_window() -> Column:
-    return F.shiftright("at", 21)
+    return F.shiftright("at", 21).bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def n_windows() -> Column:
@@ -263,7 +274,17 @@ def is_common() -> Column:
 
 def place(at: int) -> tuple[int, int, int]:
     """First window, number of windows, the anchor's offset."""
-    return at >> 21, at >> 10 & 1023, at & 1023
+    return at >> 21 & (1 << 31) - 1, at >> 10 & 1023, at & 1023
+
+
+def placed(found: DataFrame, size: Column | int, *more: str) -> DataFrame:
+    """Segments joined with intervals of their windows (i, windows): (did, rk, a, b, more), the
+    tokens in windows of ``size``. Segments in a row are one interval if all their windows count."""
+    whole = (F.col("i") == 0) & (F.col("windows") == n_windows())
+    copies = F.when(whole | (times() == 1), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), times() - 1))
+    a = first_window() + F.col("copy") * n_windows() + F.col("i")
+    rest = F.when(whole, (times() - 1) * n_windows()).otherwise(0)
+    return found.withColumn("copy", F.explode(copies)).select("did", "rk", a.alias("a"), (a + F.col("windows") - 1 + size + rest).cast("long").alias("b"), *more)
 
 
 def keyed(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -284,7 +305,7 @@ def common_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> Com
     sample = materialize(rows.sample(min(1.0, COMMON_DOCS / max(n, 1)), seed=1), "sample")
     common = Common(np.empty(0, _U))
     for _ in range(ROUNDS):
-        grams = sample.mapInArrow(finder(code, length, gram, length, common), SEGMENT).rollup("gram").agg(F.count(F.lit(1)).alias("n"), F.max(is_common()).alias("known"))
+        grams = sample.mapInArrow(finder(code, length, gram, length, common), SEGMENT).rollup("gram").agg(F.sum(times()).alias("n"), F.max(is_common()).alias("known"))
         rows_ = grams.filter((F.col("n") >= 20) & ~F.col("known") | F.col("gram").isNull()).collect()  # a twentieth of the sample's segments at most
         seen = max((r.n for r in rows_ if r.gram is None), default=0)
         found = [r.gram for r in rows_ if r.gram is not None and r.n >= seen // COMMON_SHARE]  # COMMON_SHARE at most
@@ -305,11 +326,11 @@ def repeated(rows: DataFrame, code: Callable, length: int, gram: int, reach: int
     found = rows.mapInArrow(finder(code, length, gram, reach or length, common), SEGMENT)
     share = F.when(is_common(), F.xxhash64("rk", "at")).otherwise(F.lit(0))
     of_gram = Window.partitionBy("gram", "share")
-    found = found.withColumn("share", share).withColumn("n", F.count(F.lit(1)).over(of_gram))
+    found = found.withColumn("share", share).withColumn("n", F.sum(times()).over(of_gram))
     found = materialize(found.filter((F.col("n") > 1) | is_common()).select("did", "rk", "gram", "fp", "at"), "segments")
     # the three firsts are of one row: all see the same rows in the same order
     one = [F.first(c).alias(c) for c in ("did", "rk", "at")]
-    return found, materialize(found.groupBy("gram", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"), *one), "distinct")
+    return found, materialize(found.groupBy("gram", "fp").agg(F.sum(times()).alias("n"), F.min("did").alias("low"), F.max("did").alias("high"), *one), "distinct")
 
 
 def with_texts(rows: DataFrame, places: DataFrame, fields: list[str]) -> DataFrame:

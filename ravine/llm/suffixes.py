@@ -297,9 +297,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, report: int = REPORT, gram: i
     left = out.filter(F.col("kind").isin(OPEN, OPEN + 1)).withColumn("kind", F.col("kind") - OPEN)
     across = left.join(twice, ["kind", "gram", "key"]).select("gram", "fp", "i", "windows", "kind")
     known = out.filter(F.col("kind") < OPEN).select("gram", "fp", "i", "windows", "kind").unionByName(across)
-    a = S.first_window() + F.col("i")
-    size = F.when(F.col("kind") == REMOVED, length).otherwise(fold)
-    return found.join(known, ["gram", "fp"]).select("did", "rk", a.alias("a"), (a + F.col("windows") - 1 + size).alias("b"), "kind")
+    return S.placed(found.join(known, ["gram", "fp"]), F.when(F.col("kind") == REMOVED, length).otherwise(fold), "kind")
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

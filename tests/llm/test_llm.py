@@ -30,9 +30,9 @@ def awkward(seed=3):
     vocab = ["alpha", "beta", "gé", "delta", "x", "The", "42", "km", "日本"]
     words = lambda n: " ".join(r.choice(vocab) for _ in range(n))
     shared = [words(r.randint(5, 60)) for _ in range(5)]
-    texts = [None, "", " \n\t", "one", "a " * 300, "q" * 900] + ["\n".join(r.choice([words(r.randint(0, 20)), r.choice(shared)]) for _ in range(r.randint(1, 9))) for _ in range(80)]
+    texts = [None, "", " \n\t", "one", "a " * 300, "q" * 900, "ab cd " * 700, "x" + "ab cd " * 90] + ["\n".join(r.choice([words(r.randint(0, 20)), r.choice(shared)]) for _ in range(r.randint(1, 9))) for _ in range(80)]
     texts.append(" ".join(texts[10:60]) * 3)
-    texts += texts[6:16]
+    texts += texts[6:18]
     rows = [(None if i == 7 else i, t, "en" if i % 3 else None, None if i % 5 == 0 else f"s{i % 4}", None) for i, t in enumerate(texts)]
     return rows + [rows[20], rows[0]]
 
@@ -207,6 +207,27 @@ def test_multikey_quicksort():
         assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
+@pytest.mark.parametrize("piece,length,gram,reach", [(64, 30, 6, 30), (100, 30, 6, 47), (1 << 20, 30, 6, 47), (7, 13, 5, 13)])
+def test_long_texts_in_pieces(monkeypatch, piece, length, gram, reach):
+    """Every window of every text is in one segment, whatever the pieces; rows in a row count."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "PIECE", piece)
+    r = random.Random(1)
+    texts = ["", "short", None, "abc" * 200, "".join(r.choice("ab") for _ in range(900)), "".join(r.choice("abcdefgh") for _ in range(2500)), "z" * 9000]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["did", "rk", "text"])
+    seen, by_print = Counter(), {}
+    for out in spans.finder(spans.byte_codes, length, gram, reach, spans.Common(np.empty(0, np.uint64)))(iter([b])):
+        for did, g, fp, at in zip(*(out.column(k).to_pylist() for k in (0, 2, 3, 4))):
+            first, n, offset = spans.place(at)
+            for k in range(at >> 52):
+                begin = first + k * n
+                seen.update((did, x) for x in range(begin, begin + n))
+                part = texts[did][begin : begin + n - 1 + reach]
+                assert by_print.setdefault((g, fp), (n, offset, part)) == (n, offset, part)
+    assert seen == Counter((i, x) for i, t in enumerate(texts) for x in range(len(t or "") - length + 1))
+
+
 def test_common_grams_come_last():
     """Segments differ with the common grams, windows with their anchors don't go astray."""
     rng = np.random.default_rng(1)
