@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from ravine.functions.text import has_token, token_hits
+
 RRF_K = 60
 
 
-def hits(tokens: Column, terms: list[str]) -> Column:
-    """How many tokens are among the terms."""
-    return F.size(F.filter(tokens, lambda t: t.isin(*terms)))
+def hits(spaced: Column, terms: list[str]) -> Column:
+    """How many tokens are among the terms (see ``text.spaced``)."""
+    return reduce(lambda a, b: a + b, [token_hits(spaced, t) for t in dict.fromkeys(terms)], F.lit(0))
+
+
+def all_terms(spaced: Column, terms: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [has_token(spaced, t) for t in terms], F.lit(True))
+
+
+def any_term(spaced: Column, terms: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [has_token(spaced, t) for t in terms], F.lit(False))
 
 
-def tf_norm(tokens: Column, terms: list[str]) -> Column:
+def tf_norm(spaced: Column, terms: list[str]) -> Column:
     """hits / (hits + 1): from 0 to below 1."""
-    h = hits(tokens, terms)
+    h = hits(spaced, terms)
     return h / (h + 1.0)
 
 
-def bm25(tokens: Column, terms: list[str], n: int, df: dict[str, int], avg: float, k1: float = 1.2, b: float = 0.75) -> Column:
-    """Okapi BM25 over a token array, with the corpus' counts as parameters."""
+def bm25(counts: dict[str, Column], size: Column, n: int, df: dict[str, int], avg: float, k1: float = 1.2, b: float = 0.75) -> Column:
+    """Okapi BM25 from a row's counts of the terms and its size, with the corpus' counts as parameters."""
     out = F.lit(0.0)
-    for t in terms:
-        tf = hits(tokens, [t])
+    for t, tf in counts.items():
         idf = math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))
-        out = out + F.lit(idf) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.size(tokens) / F.lit(avg)))
+        out = out + F.lit(idf) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * size / F.lit(avg)))
     return out
 
 

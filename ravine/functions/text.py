@@ -16,6 +16,26 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(col(text)), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def spaced(text: Column | str) -> Column:
+    """The tokens of a text in one string: a blank on either side of each. Tokens are then found and
+    counted by plain string functions, without an array."""
+    t = F.btrim(F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", "  "))
+    return F.when(t == "", "").otherwise(F.concat(F.lit(" "), t, F.lit(" ")))
+
+
+def has_token(spaced: Column, token: str) -> Column:
+    return F.contains(spaced, F.lit(f" {token} "))
+
+
+def token_hits(spaced: Column, token: str) -> Column:
+    """How often a token occurs."""
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(f" {token} "), F.lit("")))) / (len(token) + 2)).cast("int")
+
+
+def token_count(spaced: Column) -> Column:
+    return F.when(spaced == "", 0).otherwise(((F.length(spaced) - F.length(F.replace(spaced, F.lit("  "), F.lit("")))) / 2).cast("int") + 1)
+
+
 def contains_any(text: Column | str, needles: list[str]) -> Column:
     """Substring match, as the reference's rules do it (no word boundaries)."""
     low = F.lower(col(text))
@@ -29,14 +49,13 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 def labels(text: Column | str, rules: dict[str, list[str]], default: str) -> Column:
     """The labels whose keywords occur, in the rules' order; the default where none does.
 
-    The lower-case text is bound once, as a lambda's argument; hundreds of keywords share it.
+    ``text`` should be a plain lower-case column: hundreds of keywords look at it.
     """
-
-    def found(low: Column) -> Column:
-        return F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), F.lit(name)) for name, words in rules.items())))
-
-    got = F.get(F.transform(F.array(F.lower(col(text))), found), F.lit(0))
-    return F.transform(F.array(got), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(default))))[0]
+    t = col(text)
+    # a keyword that holds another of its label finds nothing more
+    least = {name: [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)] for name, words in rules.items()}
+    found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words]), F.lit(name)) for name, words in least.items())))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
 
 
 def trigrams(text: Column | str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ravine.operators.search import where
+
 #: US dollars per token (prompt or input, completion).
 PRICES = {"gpt-4o": (2.50e-6, 10.00e-6), "gpt-4o-mini": (0.150e-6, 0.600e-6), "text-embedding-3-small": (0.020e-6, 0.0), "text-embedding-3-large": (0.130e-6, 0.0), "text-embedding-ada-002": (0.100e-6, 0.0)}
 #: US dollars per ingested token and per transcribed minute.
@@ -105,6 +107,7 @@ def retrieval_metrics(results: DataFrame, expected: list[str], by: str = "query_
         F.round(F.var_pop(F.when(five, F.col("score"))), 6).alias("variance"),
         F.round(covered, 6).alias("coverage"),
         F.size(F.array_distinct(F.flatten(F.collect_list(topics)))).alias("diversity"),
+        F.transform(F.array_sort(F.collect_list(F.when(five, F.struct("rank", "score")))), lambda x: x["score"]).alias("top_scores"),
     )
 
 
@@ -114,13 +117,6 @@ def contamination(results: DataFrame, topic: str, n: int = 5) -> DataFrame:
     return results.filter(F.col("rank") <= n).agg(F.round(F.avg(F.coalesce(carried, F.lit(False)).cast("double")), 6).alias("contamination"))
 
 
-def grounding(claims: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Per answer: supported over all claims; no claim is grounded. claims: answer_id, supported (null: no claim)."""
-    out = claims.groupBy("answer_id").agg(F.count("supported").alias("claims"), F.count_if("supported").alias("supported"))
-    share = F.when(F.col("claims") == 0, 1.0).otherwise(F.col("supported") / F.greatest("claims", F.lit(1)))
-    return out.withColumn("confidence", F.round(share, 6)).withColumn("grounded", F.col("confidence") >= threshold)
-
-
 def conversation_stats(messages: DataFrame) -> DataFrame:
     """Per conversation: messages by role, mean length without its fraction, all characters."""
     size = F.length("content")
@@ -130,3 +126,53 @@ def conversation_stats(messages: DataFrame) -> DataFrame:
 def job_states(events: DataFrame) -> DataFrame:
     """The latest state of each job, and its retries, from its events (job_id, at, state)."""
     return events.groupBy("job_id").agg(F.max_by("state", F.struct("at", "event_id")).alias("state"), F.count_if(F.col("state") == "retry").alias("retries"), F.max("at").alias("updated_at"))
+
+
+def retrieval_stats(metrics: DataFrame, as_of, days: int = 7, **equal) -> tuple[DataFrame, DataFrame]:
+    """Over the last days, with optional filters: queries and mean metrics, and the same by category.
+
+    metrics: created_at, metrics (JSON with avg_score, topic_coverage, topic_diversity,
+    score_variance), categories.
+    """
+    live = metrics.filter((F.col("created_at") > F.lit(as_of) - F.expr(f"interval {days} days")) & where(**equal))
+    mean = lambda k: F.round(F.coalesce(F.avg(F.get_json_object("metrics", f"$.{k}").cast("double")), F.lit(0.0)), 9)
+    names = {"avg_score": "avg_retrieval_score", "topic_coverage": "avg_topic_coverage", "topic_diversity": "avg_topic_diversity", "score_variance": "avg_score_variance"}
+    total = live.agg(F.count(F.lit(1)).alias("total_queries"), *(mean(k).alias(v) for k, v in names.items()))
+    each = live.withColumn("category", F.explode("categories")).groupBy("category").agg(F.count(F.lit(1)).alias("queries"), mean("topic_coverage").alias("avg_coverage"))
+    return total, each
+
+
+def topic_counts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks for each combination of topics, and how many have any."""
+    tagged = F.col("topic").isNotNull() | (F.size("topics") > 0)
+    each = chunks.filter(tagged).groupBy("topic", "topics").agg(F.count(F.lit(1)).alias("n"))
+    total = chunks.agg(F.count(F.lit(1)).alias("total"), F.count("topic").alias("with_topic"), F.count_if(F.size("topics") > 0).alias("with_topics"))
+    return each, total
+
+
+def accuracy(results: DataFrame) -> DataFrame:
+    """Shares of a run's results that match, mean coverage and scores (of what no cache answered), and
+    whether coverage and categories reach their targets.
+
+    results: category_match, complexity_match, top_k_match, cache_hit, coverage, top_score, avg_score.
+    """
+    n = F.count(F.lit(1))
+    share = lambda c: F.round(F.count_if(F.col(c)) / n, 6).alias(c.replace("match", "accuracy"))
+    asked = F.greatest(F.lit(1), F.count_if(~F.col("cache_hit")))
+    mean = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)) / asked, 6).alias(f"mean_{c}")
+    out = results.agg(n.alias("total"), share("category_match"), share("complexity_match"), share("top_k_match"), F.round(F.count_if("cache_hit") / n, 6).alias("cache_hit_rate"), F.round(F.avg("coverage"), 6).alias("coverage"), mean("top_score"), mean("avg_score"))
+    return out.withColumn("passed", (F.col("coverage") >= 0.7) & (F.col("category_accuracy") >= 0.8))
+
+
+#: Tokens that an embedded chunk and a chapter search are taken to have, of a document
+#: and of a video, and US dollars per token of embeddings and of the small model.
+CHUNK_TOKENS, VIDEO_CHUNK_TOKENS, CHAPTER_TOKENS, EMBED_TOKEN, SMALL_TOKEN = 10, 100, 1000, 2e-8, 1.5e-7
+
+
+def document_cost(summary_tokens: Column, image_tokens: Column, chunks: Column) -> Column:
+    return F.round((summary_tokens + image_tokens + chunks * CHUNK_TOKENS) * INGEST_TOKEN, 9)
+
+
+def video_cost(seconds: Column, chunks: Column, summary_tokens: Column) -> Column:
+    """Transcription by the minute, embeddings, summary and chapters."""
+    return F.round(seconds / 60 * WHISPER_MINUTE + chunks * VIDEO_CHUNK_TOKENS * EMBED_TOKEN + (summary_tokens + CHAPTER_TOKENS) * SMALL_TOKEN, 9)

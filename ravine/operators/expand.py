@@ -22,19 +22,35 @@ def within_budget(df: DataFrame, tokens: str, budget: int | Column, order: list,
     return df.withColumn("used", used).filter(F.col("used") <= budget)
 
 
-def expand(chunks: DataFrame, seeds: DataFrame, budget: int = 8000) -> DataFrame:
-    """Seeds, then chunks of their sections, until the shared token budget first overflows.
+def expand(chunks: DataFrame, seeds: DataFrame, sections: DataFrame | None = None, budget: int = 8000, parents: bool = True, children: bool = False) -> DataFrame:
+    """Per query its seeds, then chunks of their sections and of the parents (and children) of these,
+    by page, until the shared token budget first overflows.
 
-    ``chunks``: id, section_id, page_number, content. Returns id, kind, page_number, tokens.
+    ``chunks``: id, section_id, page_number, content; ``seeds``: query_id, id; ``sections``:
+    section_id, parent_section_id. Returns query_id, id, kind, page_number, tokens; kind is the
+    nearest relation of a chunk's section.
     """
     sized = chunks.select("id", "section_id", "page_number", token_estimate(F.col("content")).alias("tokens"))
-    seed = sized.join(seeds.select("id"), "id", "left_semi")
-    kept = within_budget(seed, "tokens", budget, ["page_number", "id"]).withColumn("kind", F.lit("seed"))
-    spent = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("spent"))
-    near = sized.join(seed.select("section_id").distinct(), "section_id", "left_semi").join(kept.select("id"), "id", "left_anti")
-    near = near.join(F.broadcast(spent), F.lit(True)).withColumn("left", F.lit(budget) - F.col("spent"))  # a single row
-    more = within_budget(near, "tokens", F.col("left"), ["page_number", "id"]).withColumn("kind", F.lit("sibling"))
-    return kept.select("id", "kind", "page_number", "tokens").unionByName(more.select("id", "kind", "page_number", "tokens"))
+    order = ["page_number", "id"]
+    seed = sized.join(seeds.select("query_id", "id"), "id")
+    kept = within_budget(seed, "tokens", budget, order, ("query_id",))
+    spent = kept.groupBy("query_id").agg(F.sum("tokens").alias("spent"))
+    own = seed.select("query_id", "section_id").distinct()
+    wanted = own.withColumn("near", F.lit(0))
+    if sections is not None and parents:
+        up = sections.filter("parent_section_id is not null").select("section_id", "parent_section_id")
+        wanted = wanted.unionByName(own.join(up, "section_id").select("query_id", F.col("parent_section_id").alias("section_id"), F.lit(1).alias("near")))
+    if sections is not None and children:
+        down = sections.select(F.col("parent_section_id").alias("__p"), F.col("section_id").alias("__c"))
+        wanted = wanted.unionByName(own.join(down, F.col("section_id") == F.col("__p")).select("query_id", F.col("__c").alias("section_id"), F.lit(2).alias("near")))
+    wanted = wanted.groupBy("query_id", "section_id").agg(F.min("near").alias("near"))
+    # what lies behind two budgets in its own section can't fit, whatever of it the seeds have taken
+    fits = within_budget(sized, "tokens", 2 * budget, order, ("section_id",)).drop("used")
+    more = fits.join(wanted, "section_id").join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti").join(spent, "query_id", "left")
+    more = within_budget(more, "tokens", F.lit(budget) - F.coalesce("spent", F.lit(0)), order, ("query_id",))
+    kind = F.element_at(F.array(F.lit("sibling"), F.lit("parent"), F.lit("child")), F.col("near") + 1)
+    cols = ["query_id", "id", "kind", "page_number", "tokens"]
+    return kept.withColumn("kind", F.lit("seed")).select(*cols).unionByName(more.withColumn("kind", kind).select(*cols))
 
 
 def attach_assets(chunks: DataFrame, assets: DataFrame, names: tuple[str, str] = ("section_id", "page_number")) -> DataFrame:
@@ -46,16 +62,16 @@ def attach_assets(chunks: DataFrame, assets: DataFrame, names: tuple[str, str] =
     return joined.withColumn("assets", F.coalesce("of_section", "of_page", F.array().cast("array<bigint>"))).drop("of_section", "of_page")
 
 
-def first_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, order: str, width: int, by: str | None = None) -> DataFrame:
-    """For each point the first interval [start, end) that holds it.
+def first_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, order: str, width: int, by: str | None = None, closed: bool = False) -> DataFrame:
+    """For each point the first interval [start, end) that holds it; ``closed``: [start, end].
 
     An interval is dealt to every bucket of ``width`` that it touches, so the join is an equi-join
     on the bucket with the range as a residual filter; points without an interval stay.
     """
-    first, last = F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)
+    first, last = F.floor(F.col(start) / width), F.floor((F.col(end) - (0 if closed else 1)) / width)
     dealt = intervals.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last))))
     p = points.withColumn("__b", F.floor(F.col(at) / width))
-    on = (p["__b"] == dealt["__b"]) & (p[at] >= dealt[start]) & (p[at] < dealt[end])
+    on = (p["__b"] == dealt["__b"]) & (p[at] >= dealt[start]) & ((p[at] <= dealt[end]) if closed else (p[at] < dealt[end]))
     if by:
         on = on & (p[by] == dealt[by])
         dealt_cols = [dealt[c] for c in intervals.columns if c != by]

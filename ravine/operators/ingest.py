@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.functions import text as T
+from ravine.operators import folds
 from ravine.sources.tables import TOPICS
 
 #: Keywords of the topics, in the topics' order.
@@ -38,12 +39,10 @@ BACKFILL = [
     ("energy_management", ["energy", "demand", "load shedding", "utility", "kwh", " kw ", "power consumption", "energy savings", "meter"]),
     ("integration", ["bacnet", "modbus", "lonworks", " lon ", "opc", "protocol", "device driver", "point mapping", "historian"]),
 ]
-#: Chunk sizes in characters, and the noise that a chunk never takes.
-TARGET, LEAST, LEAST_ELEMENT = 1200, 150, 30
 
 
 def topics(content: Column, title: Column | None = None) -> Column:
-    """The topics whose keywords occur as substrings; ['other'] where none does."""
+    """The topics whose keywords occur as substrings; ['other'] where none does. Lower-case texts."""
     return T.labels(content if title is None else F.concat_ws(" ", title, content), TOPIC_KEYWORDS, "other")
 
 
@@ -121,58 +120,12 @@ def section_paths(sections: DataFrame, depth: int = 4) -> DataFrame:
     return out.select("doc_id", "idx", F.array_join("path", " > ").alias("path"))
 
 
-def greedy_chunks(elements: DataFrame, target: int = TARGET, least: int = LEAST, least_element: int = LEAST_ELEMENT) -> DataFrame:
-    """Fill a chunk with elements until their lengths reach the target; drop what stays too short.
-
-    A fold over a document's ordered elements: doc_id, chunk_no, page_no, n_elements, length, text.
-    """
-    ok = elements.filter(F.length("text") >= least_element)
-    gathered = ok.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "page_no", "text"))).alias("e"))
-    return gathered.select("doc_id", F.posexplode(F.expr(f"""
-        filter(aggregate(concat(e, array(cast(null as struct<idx:int,page_no:int,text:string>))),
-          cast(struct(array() as done, '' as text, 0 as size, 0 as n, 0 as page) as struct<done:array<struct<page_no:int,n_elements:int,text:string>>,text:string,size:int,n:int,page:int>),
-          (s, x) -> if(s.n > 0 and (x.text is null or s.size >= {target}),
-            named_struct('done', concat(s.done, array(named_struct('page_no', s.page, 'n_elements', s.n, 'text', s.text))),
-              'text', coalesce(x.text, ''), 'size', coalesce(length(x.text), 0), 'n', if(x.text is null, 0, 1), 'page', coalesce(x.page_no, 0)),
-            named_struct('done', s.done, 'text', if(s.n = 0, coalesce(x.text, ''), concat(s.text, ' ', coalesce(x.text, ''))),
-              'size', s.size + coalesce(length(x.text), 0), 'n', s.n + if(x.text is null, 0, 1), 'page', if(s.n = 0, coalesce(x.page_no, 0), s.page))),
-          s -> s.done), c -> length(c.text) >= {least})""")).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.page_no", "c.n_elements", F.length("c.text").alias("length"), "c.text")
-
-
-def page_index(elements: DataFrame, k: int = 5) -> DataFrame:
-    """Per page: elements, characters and its k most frequent long words."""
-    words = elements.select("doc_id", "page_no", F.explode(T.tokens("text")).alias("w")).filter((F.length("w") > 4) & F.col("w").rlike("^[a-z]+$"))
-    counts = words.groupBy("doc_id", "page_no", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy(F.col("n").desc(), "w"))).filter(F.col("r") <= k)
-    key = top.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), ",").alias("key_words"))
-    stats = elements.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("elements"), F.sum(F.length("text")).alias("characters"))
-    return stats.join(key, ["doc_id", "page_no"], "left").withColumn("key_words", F.coalesce("key_words", F.lit("")))
-
-
 def transcript_chunks(segments: DataFrame, seconds: int = 60) -> DataFrame:
-    """Group a speaker's segments while their durations stay within ``seconds``: a fold in order.
+    """Group a key's segments while their durations stay within ``seconds``: a fold in order.
 
-    ``segments``: key, at (seconds), duration, text. Returns key, chunk_no, start, end, n.
+    ``segments``: key, at (seconds), seq, duration, text. Returns key, chunk_no, start_s, end_s, n, text.
     """
-    gathered = segments.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "duration"))).alias("e"))
-    return gathered.select("key", F.posexplode(F.expr(f"""
-        aggregate(e, cast(array() as array<struct<start:bigint,end:bigint,total:bigint,n:int>>),
-          (s, x) -> if(size(s) > 0 and element_at(s, -1).total + x.duration <= {seconds},
-            concat(slice(s, 1, size(s) - 1), array(named_struct('start', element_at(s, -1).start, 'end', x.at + x.duration, 'total', element_at(s, -1).total + x.duration, 'n', element_at(s, -1).n + 1))),
-            concat(s, array(named_struct('start', x.at, 'end', x.at + x.duration, 'total', x.duration, 'n', 1)))))""")).alias("chunk_no", "c")).select("key", "chunk_no", F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"), F.col("c.n").alias("n"))
-
-
-def spaced(events: DataFrame, gap: int = 5) -> DataFrame:
-    """Events at least ``gap`` after the last one kept: a fold, as the last kept isn't the one before."""
-    gathered = events.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("e"))
-    return gathered.select("key", F.explode(F.expr(f"aggregate(e, cast(array() as array<bigint>), (s, x) -> if(size(s) = 0 or x - element_at(s, -1) >= {gap}, concat(s, array(x)), s))")).alias("at"))
-
-
-def markdown(rows: Column) -> Column:
-    """A table of cells as markdown; empty below two rows."""
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = F.transform(rows[0], lambda c: F.lit("---"))
-    return F.when(F.size(rows) >= 2, F.array_join(F.concat(F.array(line(rows[0])), F.array(line(rule)), F.transform(F.slice(rows, 2, 1_000_000), line)), "\n")).otherwise(F.lit(""))
+    return folds.fold(segments.select("key", "at", "seq", "duration", "text"), "key", ["at", "seq"], folds.transcript_chunks(seconds), "key bigint, chunk_no int, start_s bigint, end_s bigint, n int, text string")
 
 
 def chunk_ranges(chunks: DataFrame, by: str = "section_id") -> DataFrame:

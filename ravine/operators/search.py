@@ -6,14 +6,18 @@ ranks narrow rows (id and score) and joins the text back for the rows it returns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ravine.functions import rank, text, vector
+from ravine.functions import grammar, rank, text, vector
+from ravine.sources.shared import materialize
 
-#: A side with more rows than this isn't broadcast.
-FEW = 10_000
+#: Queries of a batch whose vectors a pass over the chunks takes.
+BLOCK = 2048
 
 
 def where(**equal) -> Column:
@@ -35,18 +39,88 @@ def vector_search(chunks: DataFrame, query: list[float], threshold: float = 0.3,
     return top(scored.filter(F.col("similarity") > threshold), "similarity", k)
 
 
-def batch_vector_search(chunks: DataFrame, queries: dict[int, list[float]], k: int = 3) -> DataFrame:
-    """Top-k for each of a few queries in one pass: a window over (query, score)."""
-    each = F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.round(vector.cosine_to(F.col("embedding"), v), 6).alias("similarity")) for q, v in queries.items())))
-    scored = chunks.filter("embedding is not null").select("id", each.alias("m")).select("id", "m.*")
-    return ranked(scored, "similarity", by=("query_id",)).filter(F.col("rank") <= k)
+def match_documents(chunks: DataFrame, query: list[float], doc_id: object = None, match_threshold: float = 0.3, match_count: int = 10) -> DataFrame:
+    """``vector_search`` under its other name and parameters."""
+    return vector_search(chunks, query, match_threshold, match_count, doc_id=doc_id)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; of another length, or null: zeros."""
+    vectors = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in column.to_pylist()]
+    width = max((len(v) for v in vectors), default=0)
+    return np.array([v if len(v) == width else np.zeros(width) for v in vectors]).reshape(len(vectors), width)
+
+
+def _nearest(ids: np.ndarray, units: np.ndarray, k: int):
+    """Rows (id, embedding) to the task's k nearest of each query: (query_id, id, similarity)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, of = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = _matrix(part.column(1))
+                if not len(x) or x.shape[1] != units.shape[1]:
+                    continue
+                norm = np.sqrt((x * x).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = np.round(units @ x.T / norm, 6)
+                near[:, norm == 0] = -np.inf
+                both = np.concatenate([best, near], axis=1)
+                keys = np.concatenate([of, np.broadcast_to(part.column(0).to_numpy(), near.shape)], axis=1)
+                order = np.lexsort((keys, -both), axis=1)[:, :k]
+                best, of = np.take_along_axis(both, order, axis=1), np.take_along_axis(keys, order, axis=1)
+        some = np.isfinite(best)
+        query = np.broadcast_to(ids[:, None], best.shape)[some]
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(of[some]), pa.array(best[some])], names=["query_id", "id", "similarity"])
+
+    return scan
+
+
+def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """The k nearest chunks (id, embedding) of every query (query_id, embedding), with their rank.
+
+    Queries go in blocks of bounded size: a pass over the chunks multiplies them with a block's
+    matrix and keeps each task's k best, which are then merged by query.
+    """
+    asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    blocks = max(1, -(-asked.count() // block))
+    rows, found = chunks.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding"), None
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").toArrow()  # about ``block`` rows
+        ids, x = part.column("query_id").to_numpy(), _matrix(part.column("embedding"))
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        near = rows.mapInArrow(_nearest(ids[norm[:, 0] > 0], x[norm[:, 0] > 0] / norm[norm[:, 0] > 0], k), "query_id bigint, id bigint, similarity double")
+        found = near if found is None else found.unionByName(near)
+    return ranked(found, "similarity", by=("query_id",)).filter(F.col("rank") <= k)
+
+
+def best_of(df: DataFrame, scores: list[str], k: int, id_: str = "id") -> DataFrame:
+    """The k best rows by each of some scores (null: not in its list), in one pass: ``list`` is the
+    score's number and ``rank`` the place. Each task keeps its best; these few are merged."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table | None] = [None] * len(scores)
+        for b in batches:
+            for i, s in enumerate(scores):
+                some = pa.Table.from_batches([b]).filter(b.column(s).is_valid())
+                both = some if held[i] is None else pa.concat_tables([held[i], some])
+                held[i] = both.sort_by([(s, "descending"), (id_, "ascending")]).slice(0, k)
+        for i, t in enumerate(held):
+            for b in t.combine_chunks().to_batches() if t is not None else []:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([i] * b.num_rows, pa.int32())], names=[*b.schema.names, "list"])
+
+    small = df.mapInArrow(keep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", list int")
+    score = F.element_at(F.array(*(F.col(s).cast("double") for s in scores)), F.col("list") + 1)
+    place = F.row_number().over(Window.partitionBy("list").orderBy(score.desc(), id_))
+    return small.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def hybrid(chunks: DataFrame, query: list[float], terms: list[str], semantic: float = 0.7, keyword: float = 0.3, threshold: float = 0.0, k: int = 10, **equal) -> DataFrame:
     """Weighted search driven by the vectors: keyword-only chunks never appear."""
-    tok = text.tokens("content")
-    keyed = F.when(reduce(lambda a, b: a & b, [F.array_contains(tok, t) for t in terms]), rank.tf_norm(tok, terms))
-    scored = chunks.filter(where(**equal) & F.col("embedding").isNotNull()).withColumns({"semantic_score": F.round(vector.cosine_to(F.col("embedding"), query), 6), "keyword_score": F.round(F.coalesce(keyed, F.lit(0.0)), 6)})
+    rows = chunks.filter(where(**equal) & F.col("embedding").isNotNull()).withColumn("__w", text.spaced("content"))
+    keyed = F.when(rank.all_terms(F.col("__w"), terms), rank.tf_norm(F.col("__w"), terms))
+    scored = rows.withColumns({"semantic_score": F.round(vector.cosine_to(F.col("embedding"), query), 6), "keyword_score": F.round(F.coalesce(keyed, F.lit(0.0)), 6)}).drop("__w")
     scored = scored.withColumn("combined_score", F.round(semantic * F.col("semantic_score") + keyword * F.col("keyword_score"), 6))
     return top(scored.filter(F.col("combined_score") > threshold), "combined_score", k)
 
@@ -55,68 +129,81 @@ def hybrid_topics(chunks: DataFrame, query: list[float], terms: list[str], inclu
     """Two branches of 2k, merged by the larger of each score, then boosted by topic.
 
     A chunk found by one branch only scores 0 in the other. With ``exclude``, rows without topics
-    go, as the three-valued condition has it. The boost comes after the branches' limits.
+    go, as the three-valued condition has it. The boost comes after the branches' limits. Rows
+    without a similarity fill the vector branch only where others don't.
     """
     df = chunks
     if exclude:
         no = F.array(*map(F.lit, exclude))
         df = df.filter(~F.arrays_overlap("topics", no) & (F.col("topic").isNull() | ~F.col("topic").isin(*exclude)))
     boost = rank.topic_boost(F.col("topic"), F.col("topics"), include)
-    tok = text.tokens("content")
-    scored = df.select("id", boost.alias("boost"), F.round(vector.cosine_to(F.col("embedding"), query), 6).alias("v"), F.when(reduce(lambda a, b: a & b, [F.array_contains(tok, t) for t in terms]), F.round(rank.tf_norm(tok, terms), 6)).alias("w"))
-    by_vector = top(scored, "v", 2 * k).select("id", "boost", F.coalesce("v", F.lit(0.0)).alias("semantic_score"), F.lit(0.0).alias("keyword_score"))
-    by_word = top(scored.filter("w is not null"), "w", 2 * k).select("id", "boost", F.lit(0.0).alias("semantic_score"), F.col("w").alias("keyword_score"))
-    merged = by_vector.unionByName(by_word).groupBy("id").agg(F.max("semantic_score").alias("semantic_score"), F.max("keyword_score").alias("keyword_score"), F.max("boost").alias("topic_boost"))
+    df = df.select("id", boost.alias("boost"), F.round(vector.cosine_to(F.col("embedding"), query), 6).alias("v"), text.spaced("content").alias("__w"))
+    words = F.when(rank.all_terms(F.col("__w"), terms), F.round(rank.tf_norm(F.col("__w"), terms), 6))
+    found = best_of(df.select("id", "boost", F.coalesce("v", F.lit(-2.0)).alias("v"), words.alias("w")), ["v", "w"], 2 * k)  # a cosine is above -2
+    by_vector = F.col("list") == 0
+    merged = found.groupBy("id").agg(F.max(F.when(by_vector & (F.col("v") >= -1), F.col("v")).otherwise(0.0)).alias("semantic_score"), F.max(F.when(by_vector, 0.0).otherwise(F.col("w"))).alias("keyword_score"), F.max("boost").alias("topic_boost"))
     final = (semantic * F.col("semantic_score") + keyword * F.col("keyword_score")) * F.col("topic_boost")
     return top(merged.withColumn("final_score", F.round(final, 6)), "final_score", k)
 
 
 def multi_source(chunks: DataFrame, query: list[float], terms: list[str], sources: list[str], semantic: float = 0.5, keyword: float = 0.5, per_source: int = 5, k: int = 15) -> DataFrame:
     """The best of each source, merged; chunks without an embedding are left out."""
-    score = semantic * vector.cosine_to(F.col("embedding"), query) + keyword * rank.tf_norm(text.tokens("content"), terms)
-    scored = chunks.filter(F.col("doc_id").isin(*sources) & F.col("embedding").isNotNull()).select("id", F.col("doc_id").alias("source"), F.round(score, 6).alias("score"))
+    rows = chunks.filter(F.col("doc_id").isin(*sources) & F.col("embedding").isNotNull()).select("id", F.col("doc_id").alias("source"), "embedding", text.spaced("content").alias("__w"))
+    score = semantic * vector.cosine_to(F.col("embedding"), query) + keyword * rank.tf_norm(F.col("__w"), terms)
+    scored = rows.select("id", "source", F.round(score, 6).alias("score"))
     return top(ranked(scored, "score", by=("source",)).filter(F.col("rank") <= per_source), "score", k)
 
 
-def rrf(chunks: DataFrame, query: list[float], terms: list[str], fts: float = 0.4, vec: float = 0.6, k: int = 10) -> DataFrame:
-    """Two ranked lists of 2k fused by weighted reciprocal ranks."""
-    tok = text.tokens("content")
-    words = chunks.select("id", F.round(rank.tf_norm(tok, terms), 6).alias("score")).filter("score > 0")
-    near = chunks.filter("embedding is not null").select("id", F.round(vector.cosine_to(F.col("embedding"), query), 6).alias("score")).filter("score > 0.1")
-    a = ranked(top(words, "score", 2 * k), "score", "fts_rank").select("id", "fts_rank")
-    b = ranked(top(near, "score", 2 * k), "score", "vector_rank").select("id", "vector_rank")
-    both = a.join(b, "id", "full")
+def rrf(chunks: DataFrame, query: list[float], terms: list[str], fts: float = 0.4, vec: float = 0.6, k: int = 10, candidates: int | None = None) -> DataFrame:
+    """Two ranked lists of 2k fused by weighted reciprocal ranks.
+
+    ``candidates``: only the first so many chunks by id are compared by vector (default: all).
+    """
+    rows = chunks.select("id", "embedding", text.spaced("content").alias("__w"))
+    near, words = F.round(vector.cosine_to(F.col("embedding"), query), 6), F.round(rank.tf_norm(F.col("__w"), terms), 6)
+    scored = rows.select("id", near.alias("v"), words.alias("w"))
+    if candidates is not None:
+        some = scored.filter("v is not null").orderBy("id").limit(candidates).select("id", F.lit(True).alias("__in"))
+        scored = scored.join(some, "id", "left").withColumn("v", F.when(F.col("__in"), F.col("v"))).drop("__in")
+    found = best_of(scored.select("id", F.when(F.col("w") > 0, F.col("w")).alias("w"), F.when(F.col("v") > 0.1, F.col("v")).alias("v")), ["w", "v"], 2 * k)
+    both = found.groupBy("id").agg(F.max(F.when(F.col("list") == 0, F.col("rank"))).alias("fts_rank"), F.max(F.when(F.col("list") == 1, F.col("rank"))).alias("vector_rank"))
     kind = F.when(F.col("fts_rank").isNull(), "vector").when(F.col("vector_rank").isNull(), "fts").otherwise("both")
     score = rank.reciprocal(F.col("fts_rank"), fts) + rank.reciprocal(F.col("vector_rank"), vec)
     return top(both.withColumns({"score": F.round(score, 6), "match_type": kind}), "score", k)
 
 
-def rrf_queries(chunks: DataFrame, queries: dict[int, list[float]], per_query: int = 20, k: int = 15) -> DataFrame:
-    """Several query variants fused by unweighted reciprocal ranks, with appearances and mean rank (from 0)."""
-    lists = batch_vector_search(chunks, queries, per_query)
-    fused = lists.groupBy("id").agg(F.round(F.sum(rank.reciprocal(F.col("rank"))), 6).alias("score"), F.count(F.lit(1)).alias("appearances"), F.round(F.avg(F.col("rank") - 1), 6).alias("avg_rank"))
-    return top(fused, "score", k)
+def rrf_queries(lists: DataFrame, by: str = "group_id", k: int = 15) -> DataFrame:
+    """Ranked lists of several variants of a query (group_id, variant, id, rank) fused by unweighted
+    reciprocal ranks, with appearances, mean rank (from 0) and the variants that found a row."""
+    fused = lists.groupBy(by, "id").agg(F.round(F.sum(rank.reciprocal(F.col("rank"))), 6).alias("score"), F.count(F.lit(1)).alias("appearances"), F.round(F.avg(F.col("rank") - 1), 6).alias("avg_rank"), F.array_sort(F.collect_set("variant")).alias("variants"))
+    return ranked(fused, "score", by=(by,)).filter(F.col("rank") <= k)
 
 
-def golden(fused: DataFrame, score: str = "score") -> DataFrame:
+def golden(ranked_: DataFrame) -> DataFrame:
     """Ten golden and five backup rows by rank."""
-    out = ranked(fused, score).filter("rank <= 15")
-    return out.withColumn("tier", F.when(F.col("rank") <= 10, "golden").otherwise("backup"))
+    return ranked_.filter("rank <= 15").withColumn("tier", F.when(F.col("rank") <= 10, "golden").otherwise("backup"))
+
+
+def merged_golden(lists: DataFrame, by: str = "query_id", k: int = 5) -> DataFrame:
+    """Rows of several documents' result lists, the best five of each query."""
+    return ranked(lists, "score", by=(by,)).filter(F.col("rank") <= k)
 
 
 def keyword_search(df: DataFrame, column: str, terms: list[str], k: int = 20, any_: bool = False) -> DataFrame:
     """Rows with all (or any) terms, by normalised term frequency."""
-    tok = text.tokens(column)
-    found = F.arrays_overlap(tok, F.array(*map(F.lit, terms))) if any_ else reduce(lambda a, b: a & b, [F.array_contains(tok, t) for t in terms])
-    return top(df.filter(found).withColumn("score", F.round(rank.tf_norm(tok, terms), 6)), "score", k)
+    rows = df.withColumn("__w", text.spaced(column))
+    found = rank.any_term(F.col("__w"), terms) if any_ else rank.all_terms(F.col("__w"), terms)
+    return top(rows.filter(found).withColumn("score", F.round(rank.tf_norm(F.col("__w"), terms), 6)).drop("__w"), "score", k)
 
 
 def bm25_search(df: DataFrame, column: str, terms: list[str], k: int = 10) -> DataFrame:
-    """BM25; the corpus' counts come from one aggregation, the scores from another scan."""
-    small = df.select("id", text.tokens(column).alias("tok"))
-    counts = small.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tok")).alias("avg"), *(F.count_if(F.array_contains("tok", t)).alias(f"df{i}") for i, t in enumerate(terms))).first()
-    score = rank.bm25(F.col("tok"), terms, counts.n, {t: counts[f"df{i}"] for i, t in enumerate(terms)}, counts.avg or 1.0)
-    return top(small.select("id", F.round(score, 6).alias("score")).filter("score > 0"), "score", k)
+    """BM25 over (id, text): one pass counts each row's terms and size, the corpus' counts come from
+    these, and the best rows from both."""
+    rows = df.select("id", text.spaced(column).alias("__w"))
+    counted = materialize(rows.select("id", text.token_count(F.col("__w")).alias("size"), *(text.token_hits(F.col("__w"), t).alias(f"tf{i}") for i, t in enumerate(terms))), "term-counts")
+    all_ = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    score = rank.bm25({t: F.col(f"tf{i}") for i, t in enumerate(terms)}, F.col("size"), all_.n, {t: all_[f"df{i}"] for i, t in enumerate(terms)}, all_.avg or 1.0)
+    return top(counted.select("id", F.round(score, 6).alias("score")).filter("score > 0"), "score", k)
 
 
 def list_documents(index: DataFrame, page: int = 1, size: int = 20, search: str | None = None, **equal) -> DataFrame:
@@ -124,9 +211,9 @@ def list_documents(index: DataFrame, page: int = 1, size: int = 20, search: str
     cond = where(**equal)
     if search:
         cond = cond & (F.col("title").ilike(f"%{search}%") | F.col("summary").ilike(f"%{search}%"))
-    found = index.filter(cond)
-    total = found.agg(F.count(F.lit(1)).alias("total")).first().total
-    return found.orderBy(F.col("id").desc()).offset((page - 1) * size).limit(min(size, 100)).withColumn("total", F.lit(total).cast("long"))
+    found, size = index.filter(cond), min(size, 100)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy(F.col("id").desc()).offset((page - 1) * size).limit(size).join(F.broadcast(total), F.lit(True))  # a page and a single row
 
 
 def fuzzy_search(index: DataFrame, query: str, column: str = "title", threshold: float = 0.3, k: int = 20) -> DataFrame:
@@ -141,8 +228,7 @@ def route(index: DataFrame, query: str, n: int = 3) -> DataFrame:
     One pass gives every row its stage, and the least stage that has rows is kept.
     """
     terms = [t for t in query.lower().split() if t]
-    any_term = F.arrays_overlap(text.tokens("summary"), F.array(*map(F.lit, terms)))
-    stage = F.when(any_term, 1).when(text.contains_any("title", terms), 2).otherwise(3)
+    stage = F.when(rank.any_term(text.spaced("summary"), terms), 1).when(text.contains_any("title", terms), 2).otherwise(3)
     points = sum((F.contains(F.lower("title"), F.lit(t)).cast("int") * 3 + F.contains(F.lower("summary"), F.lit(t)).cast("int") for t in terms), F.lit(0))
     whole = F.contains(F.lower(F.concat_ws(" ", "title", "summary")), F.lit(query.lower())).cast("int") * 5
     scored = index.select("id", stage.alias("stage"), (points + whole).alias("points"))
@@ -167,3 +253,15 @@ def dedupe(df: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
     w = Window.partitionBy(key)
     out = df.withColumn("__first", F.min(order).over(w)).withColumn("__n", F.row_number().over(w.orderBy(F.col(order).desc() if last else F.col(order))))
     return out.filter("__n = 1").withColumn(order, F.col("__first")).drop("__n", "__first")
+
+
+def web_search(df: DataFrame, column: str, query: str, k: int = 20) -> DataFrame:
+    """Rows that meet a query of the search grammar, by normalised frequency of its stems."""
+    parsed = grammar.parse(query)
+    found = df.withColumn("__words", grammar.words(column)).filter(grammar.matches(F.col("__words"), parsed))
+    return top(found.withColumn("score", F.round(grammar.rank(F.col("__words"), parsed), 6)).drop("__words"), "score", k)
+
+
+def tagged(column: str, tag: str) -> Column:
+    """Whether a JSON array of tags has one."""
+    return F.coalesce(F.array_contains(F.from_json(F.col(column), "array<string>"), tag), F.lit(False))

@@ -48,7 +48,7 @@ def _first(text: Column, rules, default: str) -> Column:
 
 
 def categories(question: Column) -> Column:
-    return labels(question, CATEGORY_KEYWORDS, "configuration")
+    return labels(F.lower(question), CATEGORY_KEYWORDS, "configuration")
 
 
 def topics_of(cats: Column) -> Column:
@@ -198,11 +198,3 @@ def last_messages(messages: DataFrame, n: int = 4, longest: int = 500) -> DataFr
     """The last n messages of each conversation, cut to ``longest`` characters."""
     w = Window.partitionBy("session_id").orderBy(F.col("message_index").desc())
     return messages.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n).select("session_id", "message_index", "role", ellipsis("content", longest).alias("content"))
-
-
-def key_entities(messages: DataFrame, k: int = 10) -> DataFrame:
-    """The most frequent capitalised terms of each conversation."""
-    found = F.regexp_extract_all("content", F.lit(r"\b(?:[A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*)*|[A-Z]{2,})\b"), F.lit(0))
-    terms = messages.select("session_id", F.explode(found).alias("t")).filter(F.length("t") > 2).groupBy("session_id", F.lower("t").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("session_id").orderBy(F.col("n").desc(), "entity")
-    return terms.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

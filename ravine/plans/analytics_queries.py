@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ravine.operators import analytics, expand, ingest
 from ravine.functions import text
 from ravine.plans.registry import query
+from ravine.plans.sql import CHUNKS
 from ravine.sources import tables
+from ravine.sources.shared import scratch
 from ravine.sources.tables import table
 from ravine.streaming import streams
 
@@ -154,21 +156,7 @@ def transcript_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).alias("at"), F.col("event_id").alias("seq"), (F.col("value").cast("long") % 40 + 1).alias("duration"))
-
-
-@query(_at("""WITH RECURSIVE e AS (SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS at, CAST(trunc(value) AS BIGINT) % 40 + 1 AS d, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS r FROM events),
- f AS (SELECT key, r, 0 AS chunk_no, at AS start_s, at + d AS end_s, d AS total, 1 AS n FROM e WHERE r = 1 UNION ALL
- SELECT e.key, e.r, CASE WHEN f.total + e.d <= 60 THEN f.chunk_no ELSE f.chunk_no + 1 END, CASE WHEN f.total + e.d <= 60 THEN f.start_s ELSE e.at END, e.at + e.d, CASE WHEN f.total + e.d <= 60 THEN f.total + e.d ELSE e.d END, CASE WHEN f.total + e.d <= 60 THEN f.n + 1 ELSE 1 END FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1)
- SELECT key, CAST(chunk_no AS INT) AS chunk_no, start_s, end_s, CAST(n AS INT) AS n FROM f QUALIFY row_number() OVER (PARTITION BY key, chunk_no ORDER BY r DESC) = 1"""))
-def transcript_chunks_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.transcript_chunks(_segments(spark, sf_dir))
-
-
-@query(_at("""WITH RECURSIVE e AS (SELECT user_id AS key, CAST(floor((CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) / 3600.0) AS BIGINT) AS at, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS r FROM events),
- f AS (SELECT key, r, at, at AS kept, TRUE AS yes FROM e WHERE r = 1 UNION ALL SELECT e.key, e.r, e.at, CASE WHEN e.at - f.kept >= 5 THEN e.at ELSE f.kept END, e.at - f.kept >= 5 FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1) SELECT key, at FROM f WHERE yes"""))
-def dedupe_gap_5s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.spaced(_segments(spark, sf_dir).select("key", F.floor(F.col("at") / 3600).alias("at")))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).alias("at"), F.col("event_id").alias("seq"))
 
 
 _CHAPTERS = "ch AS (SELECT range AS idx, range * 86400 * 3 AS start_s, range * 86400 * 3 + 86400 * 4 AS end_s FROM range(8))"
@@ -181,19 +169,16 @@ def chapter_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.first_interval(points, chapters, "at", "start_s", "end_s", "idx", 86400)
 
 
-@query(_at("WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS at, event_type FROM events), c AS (SELECT event_id AS chunk, user_id, at AS a, at + 7200 AS z FROM e WHERE event_type = 'view'), s AS (SELECT event_id, user_id, at FROM e WHERE event_type = 'click') SELECT s.event_id, s.user_id, s.at, chunk, a, z FROM s LEFT JOIN c ON s.user_id = c.user_id AND at >= a AND at < z QUALIFY row_number() OVER (PARTITION BY s.event_id ORDER BY chunk) = 1"))
+@query(_at("WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS at, event_type FROM events), c AS (SELECT event_id AS chunk, user_id, at AS a, at + 7200 AS z FROM e WHERE event_type = 'view'), s AS (SELECT event_id, user_id, at FROM e WHERE event_type = 'click') SELECT s.event_id, s.user_id, s.at, chunk, a, z FROM s LEFT JOIN c ON s.user_id = c.user_id AND at >= a AND at <= z QUALIFY row_number() OVER (PARTITION BY s.event_id ORDER BY chunk) = 1"))
 def screenshot_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).alias("at"), "event_type")
     chunks = e.filter("event_type = 'view'").select(F.col("event_id").alias("chunk"), "user_id", F.col("at").alias("a"), (F.col("at") + 7200).alias("z"))
-    return expand.first_interval(e.filter("event_type = 'click'").select("event_id", "user_id", "at"), chunks, "at", "a", "z", "chunk", 7200, by="user_id")
-
+    return expand.first_interval(e.filter("event_type = 'click'").select("event_id", "user_id", "at"), chunks, "at", "a", "z", "chunk", 7200, by="user_id", closed=True)
 
-def _stream(spark, sf_dir, name, make, mode="complete"):
-    import tempfile
-    import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ravine-stream-")
-    return streams.to_table(make(streams.read_events(spark, f"{sf_dir}/events.parquet")), f"{name}_{uuid.uuid4().hex[:8]}", f"{at}/stream-{uuid.uuid4().hex}", mode)
+def _stream(spark, sf_dir, name, make, mode="complete", files=8):
+    at = scratch(spark, f"stream-{name}")
+    return streams.to_table(make(streams.read_events(spark, f"{sf_dir}/events.parquet", files)), f"{at}/checkpoint", f"{at}/table", mode)
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
@@ -203,9 +188,92 @@ def stream_daily_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_id, ts, event_type FROM events")
 def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, "feed", lambda e: streams.changes(e).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type"), "append")
+    return _stream(spark, sf_dir, "feed", lambda e: streams.changes(e).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type"), "append").drop("batch")
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, "sessions", streams.sessions).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+@query("SELECT user_id, to_timestamp(floor(epoch(ts) / 60) * 60)::TIMESTAMP AS page_start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "pages", streams.pages).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("page_start"), "n")
+
+
+@query("SELECT event_id AS id, ' ' || event_type || ' ' AS fts FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'error' ELSE event_type END AS event_type FROM events)")
+def stream_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir, "fts", lambda e: streams.words(e, "event_type"), "append").select(F.col("event_id").alias("id"), "fts")
+
+
+@query("SELECT DISTINCT event_id AS job_id, event_type AS status, ts FROM events")
+def stream_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _stream(spark, sf_dir, "visible", lambda e: streams.visible(e.select(F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), "ts")), "append")
+    return out.select("job_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with one checkpoint: the second finds all done and adds nothing."""
+    at, path = scratch(spark, "stream-resume"), f"{sf_dir}/events.parquet"
+    for _ in range(2):
+        out = streams.to_table(streams.read_events(spark, path, 1).select("event_id", "event_type"), f"{at}/checkpoint", f"{at}/table", "append")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id AS id, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 ELSE 1 END, ts, event_id) AS INT) AS place FROM events QUALIFY place <= 50")
+def stream_priority_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A micro-batch drained by priority, then time: its first 50."""
+    at = scratch(spark, "stream-queue")
+    jobs = streams.read_events(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("priority"))
+    done = streams.to_table(jobs, f"{at}/checkpoint", f"{at}/table", "append")
+    first = done.orderBy("batch", "priority", "ts", "event_id").limit(50)
+    return first.select(F.col("event_id").alias("id"), F.row_number().over(Window.orderBy("batch", "priority", "ts", "event_id")).alias("place"))  # 50 rows
+
+
+_METRICS = "mt AS (SELECT event_id, ts AS created_at, 'doc' || user_id % 3 AS doc_id, value / 500 AS s, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS c, [event_type, 'all'] AS categories FROM events)"
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    m = F.to_json(F.struct((F.col("value") / 500).alias("avg_score"), (k / 100).alias("topic_coverage"), F.lit(2).alias("topic_diversity"), F.lit(0.25).alias("score_variance")))
+    return e.select(F.col("ts").alias("created_at"), F.concat(F.lit("doc"), F.col("user_id") % 3).alias("doc_id"), m.alias("metrics"), F.array("event_type", F.lit("all")).alias("categories"))
+
+
+_LIVE = "WHERE created_at > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY AND doc_id = 'doc1'"
+
+
+@query(f"WITH {_METRICS} SELECT count(*) AS total_queries, round(avg(s), 9) AS avg_retrieval_score, round(avg(c), 9) AS avg_topic_coverage, 2.0::DOUBLE AS avg_topic_diversity, 0.25::DOUBLE AS avg_score_variance FROM mt {_LIVE}")
+def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.retrieval_stats(_metrics(spark, sf_dir), datetime.datetime(2024, 1, 30), doc_id="doc1")[0]
+
+
+@query(f"WITH {_METRICS} SELECT category, count(*) AS queries, round(avg(c), 9) AS avg_coverage FROM (SELECT unnest(categories) AS category, c FROM mt {_LIVE}) GROUP BY 1")
+def retrieval_stats_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.retrieval_stats(_metrics(spark, sf_dir), datetime.datetime(2024, 1, 30), doc_id="doc1")[1]
+
+
+@query("WITH c AS (SELECT d.doc_id, e.label FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id) SELECT count(*) AS total, count(label) AS with_topic, count(label) AS with_topics FROM c")
+def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.topic_counts(tables.chunks(spark, sf_dir))[1]
+
+
+@query(f"WITH {CHUNKS} SELECT topic, array_to_string(topics, ',') AS topics, count(*) AS n FROM chunks WHERE topic IS NOT NULL GROUP BY 1, 2")
+def topic_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.topic_counts(tables.chunks(spark, sf_dir))[0].withColumn("topics", F.array_join("topics", ","))
+
+
+@query("""WITH r AS (SELECT event_id % 5 <> 0 AS cat, event_id % 3 = 0 AS com, event_id % 2 = 0 AS top, event_id % 7 = 0 AS hit, event_id % 11 / 10.0::DOUBLE AS cov, value / 500 AS s FROM events)
+ SELECT count(*) AS total, round(count(*) FILTER (cat) / count(*)::DOUBLE, 6) AS category_accuracy, round(count(*) FILTER (com) / count(*)::DOUBLE, 6) AS complexity_accuracy, round(count(*) FILTER (top) / count(*)::DOUBLE, 6) AS top_k_accuracy, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS cache_hit_rate, round(avg(cov), 6) AS coverage,
+ round(sum(s) FILTER (NOT hit) / greatest(1, count(*) FILTER (NOT hit)), 6) AS mean_top_score, round(sum(s / 2) FILTER (NOT hit) / greatest(1, count(*) FILTER (NOT hit)), 6) AS mean_avg_score, round(avg(cov), 6) >= 0.7 AND round(count(*) FILTER (cat) / count(*)::DOUBLE, 6) >= 0.8 AS passed FROM r""")
+def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_, s = F.col("event_id"), F.when(F.col("event_id") % 7 != 0, F.col("value") / 500)
+    r = table(spark, sf_dir, "events").select((id_ % 5 != 0).alias("category_match"), (id_ % 3 == 0).alias("complexity_match"), (id_ % 2 == 0).alias("top_k_match"), (id_ % 7 == 0).alias("cache_hit"), (id_ % 11 / 10.0).alias("coverage"), s.alias("top_score"), (s / 2).alias("avg_score"))
+    return analytics.accuracy(r)
+
+
+@query("SELECT event_id, round((event_id % 900 + event_id % 70 + event_id % 33 * 10) * 1.5e-7::DOUBLE, 9) AS document_cost, round(event_id % 7000 / 60.0::DOUBLE * 0.006::DOUBLE + event_id % 33 * 100 * 2e-8::DOUBLE + (event_id % 900 + 1000) * 1.5e-7::DOUBLE, 9) AS video_cost FROM events")
+def ingestion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_ = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", analytics.document_cost(id_ % 900, id_ % 70, id_ % 33).alias("document_cost"), analytics.video_cost(id_ % 7000, id_ % 33, id_ % 900).alias("video_cost"))

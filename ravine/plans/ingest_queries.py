@@ -8,6 +8,7 @@ from ravine.operators import expand, ingest
 from ravine.functions import text as T
 from ravine.plans import sql as S
 from ravine.plans.registry import query
+from ravine.sources.shared import spread
 from ravine.sources.tables import chunks, table
 
 _ELEMENTS = "el AS (SELECT doc_id, CAST(i - 1 AS INT) AS idx, l[i] AS text, CAST(floor((i - 1) / 5.0) AS INT) AS page_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE length(trim(l[i], ' ')) > 0)"
@@ -19,7 +20,8 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id AS id, {S.labels('text', ingest.TOPIC_KEYWORDS, 'other')} AS topics FROM documents")
 def topic_tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(ingest.topics(F.col("text")), ",").alias("topics"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("low", F.lower("text"))
+    return d.select(F.col("doc_id").alias("id"), F.array_join(ingest.topics(F.col("low")), ",").alias("topics"))
 
 
 def _backfill_sql() -> str:
@@ -33,7 +35,8 @@ def _backfill_sql() -> str:
 
 @query(_backfill_sql())
 def topic_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), ingest.backfill(F.col("text")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("low", F.lower("text"))
+    t = d.select(F.col("doc_id").alias("id"), ingest.backfill(F.col("low")).alias("t"))
     return t.select("id", F.array_join("t", ",").alias("topics"), F.get("t", F.lit(0)).alias("topic"))
 
 
@@ -42,10 +45,9 @@ def toc_page_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.toc_pages(_elements(spark, sf_dir))
 
 
-@query(f"WITH {_ELEMENTS} SELECT lang, el.text, count(*) AS n FROM el JOIN documents USING (doc_id) WHERE length(el.text) < 60 GROUP BY 1, 2 HAVING count(*) > 3".replace("SELECT lang, el.text", "SELECT lang, el.text AS text"))
+@query(f"WITH {_ELEMENTS} SELECT doc_id, text, count(*) AS n FROM el WHERE length(text) < 60 GROUP BY 1, 2 HAVING count(*) > 3")
 def repeated_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _elements(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return ingest.repeated_lines(e, by=("lang",))
+    return ingest.repeated_lines(_elements(spark, sf_dir))
 
 
 def _h1(spark, sf_dir):
@@ -94,23 +96,6 @@ def page_section_deepest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.deepest_section(s.select("doc_id", F.col("idx").alias("page_no")).distinct(), sections)
 
 
-_FOLD = """WITH RECURSIVE {elements}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS r FROM el WHERE length(text) >= 30),
- f AS (SELECT doc_id, r, 0 AS g, page_no, length(text) AS size, 1 AS n, text AS t FROM o WHERE r = 1 UNION ALL
- SELECT o.doc_id, o.r, CASE WHEN f.size >= 1200 THEN f.g + 1 ELSE f.g END, CASE WHEN f.size >= 1200 THEN o.page_no ELSE f.page_no END, CASE WHEN f.size >= 1200 THEN length(o.text) ELSE f.size + length(o.text) END, CASE WHEN f.size >= 1200 THEN 1 ELSE f.n + 1 END, CASE WHEN f.size >= 1200 THEN o.text ELSE f.t || ' ' || o.text END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1),
- c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY r DESC) = 1) """
-
-
-@query(_FOLD.format(elements=_ELEMENTS) + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS chunk_no, page_no, CAST(n AS INT) AS n_elements, CAST(length(t) AS INT) AS length, t AS text FROM c WHERE length(t) >= 150")
-def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.greedy_chunks(_elements(spark, sf_dir))
-
-
-@query(f"""WITH {_ELEMENTS}, w AS (SELECT doc_id, page_no, unnest({S.tok('text')}) AS w FROM el), k AS (SELECT doc_id, page_no, w, count(*) AS n FROM w WHERE length(w) > 4 AND regexp_matches(w, '^[a-z]+$') GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY count(*) DESC, w) <= 5),
- a AS (SELECT doc_id, page_no, string_agg(w, ',' ORDER BY n DESC, w) AS key_words FROM k GROUP BY 1, 2), s AS (SELECT doc_id, page_no, count(*) AS elements, CAST(sum(length(text)) AS BIGINT) AS characters FROM el GROUP BY 1, 2) SELECT s.*, coalesce(key_words, '') AS key_words FROM s LEFT JOIN a USING (doc_id, page_no)""")
-def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.page_index(_elements(spark, sf_dir))
-
-
 @query(f"WITH {S.CHUNKS} SELECT section_id, min(id) AS first_chunk, max(id) AS last_chunk, count(*) AS chunks FROM chunks GROUP BY 1")
 def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_ranges(chunks(spark, sf_dir))
@@ -119,9 +104,3 @@ def chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ELEMENTS}, z AS (SELECT doc_id, min(page_no) AS a, max(page_no) AS b FROM el GROUP BY 1), e AS (SELECT doc_id, unnest(range(a, b + 1)) AS page_no FROM z) SELECT e.doc_id, CAST(e.page_no AS INT) AS page_no, count(el.idx) AS n FROM e LEFT JOIN el ON el.doc_id = e.doc_id AND el.page_no = e.page_no GROUP BY 1, 2")
 def page_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.fill_pages(_elements(spark, sf_dir))
-
-
-@query("SELECT event_type || '-' || (event_id % 5) AS label, count(*) AS n, CASE WHEN contains(event_type, 'error') THEN 99 ELSE 99 END AS level FROM events GROUP BY 1, event_type")
-def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.concat_ws("-", "event_type", F.col("event_id") % 5)
-    return table(spark, sf_dir, "events").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("level", ingest.heading_level(F.col("label")))

@@ -8,6 +8,7 @@ from ravine.operators import analytics, expand, search
 from ravine.functions import text
 from ravine.plans import sql as S
 from ravine.plans.registry import query
+from ravine.sources.shared import spread
 from ravine.sources.tables import chunks, document_index, table
 
 TERMS = ["that", "with"]
@@ -20,10 +21,6 @@ def vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding)
 
 
-def vectors(spark: SparkSession, sf_dir: str, n: int = 5) -> dict[int, list[float]]:
-    return {r.vec_id: list(r.embedding) for r in table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).collect()}
-
-
 def _chunk_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -39,9 +36,11 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
- FROM embeddings e, embeddings q WHERE q.vec_id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
+ FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.batch_vector_search(_chunk_vectors(spark, sf_dir), vectors(spark, sf_dir))
+    """Every row whose id is divisible by 100 against all rows."""
+    e = _chunk_vectors(spark, sf_dir)
+    return search.batch_vector_search(e, e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"))
 
 
 _HYBRID = f"""s AS (SELECT id, {S.cos(0)} AS semantic_score, round(CASE WHEN {S.all_terms('content', TERMS)} THEN {S.tf('content', TERMS)} ELSE 0 END, 6) AS keyword_score FROM chunks WHERE embedding IS NOT NULL)"""
@@ -87,19 +86,34 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rrf(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS)
 
 
-_RRFQ = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 5),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s),
- f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS appearances, round(avg(rank - 1), 6) AS avg_rank FROM r WHERE rank <= 20 GROUP BY id ORDER BY score DESC, id LIMIT 15)"""
+@query("""WITH s AS (SELECT q.vec_id - q.vec_id % 100 AS group_id, CAST(q.vec_id % 100 AS INT) AS variant, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 < 5),
+ r AS (SELECT *, row_number() OVER (PARTITION BY group_id, variant ORDER BY similarity DESC, id) AS rank FROM s),
+ f AS (SELECT group_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS appearances, round(avg(rank - 1), 6) AS avg_rank, array_to_string(list_sort(list(variant)), ',') AS variants FROM r WHERE rank <= 20 GROUP BY 1, 2)
+ SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) AS INT) AS rank, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) <= 10 THEN 'golden' ELSE 'backup' END AS tier FROM f QUALIFY rank <= 15""")
+def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query (id divisible by 100) has five variants: its vector and the next four."""
+    e = _chunk_vectors(spark, sf_dir)
+    lists = search.batch_vector_search(e, e.filter("id % 100 < 5").select(F.col("id").alias("query_id"), "embedding"), 20)
+    lists = lists.select((F.col("query_id") - F.col("query_id") % 100).alias("group_id"), (F.col("query_id") % 100).cast("int").alias("variant"), "id", "rank")
+    return search.golden(search.rrf_queries(lists)).withColumn("variants", F.array_join("variants", ","))
+
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.label, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+ r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 12) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM r QUALIFY rank <= 5""")
+def merged_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _chunk_vectors(spark, sf_dir)
+    lists = search.batch_vector_search(e, e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 12)
+    return search.merged_golden(lists.select("query_id", "id", F.col("similarity").alias("score")))
 
-@query(f"WITH {_RRFQ} SELECT *, rank, CASE WHEN rank <= 10 THEN 'golden' ELSE 'backup' END AS tier FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f)".replace("SELECT *, rank, CASE", "SELECT *, CASE"))
-def rrf_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.golden(search.rrf_queries(_chunk_vectors(spark, sf_dir), vectors(spark, sf_dir)))
+
+@query(f"WITH {S.CHUNKS} SELECT id, {S.cos(2)} AS similarity FROM chunks WHERE doc_id = 'src1' AND embedding IS NOT NULL AND {S.cos(2)} > 0.3 ORDER BY similarity DESC, id LIMIT 10")
+def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.match_documents(chunks(spark, sf_dir), vector(spark, sf_dir, 2), "src1").select("id", "similarity")
 
 
 @query(f"SELECT doc_id AS id, CAST(round({S.tf('text', TERMS)}, 6) AS DOUBLE) AS score FROM documents WHERE {S.all_terms('text', TERMS)} ORDER BY score DESC, id LIMIT 20")
 def keyword_search_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_search(chunks(spark, sf_dir), "content", TERMS).select("id", "score")
+    return search.keyword_search(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "text", TERMS).select("id", "score")
 
 
 _BM = [f"(len(list_filter(tok, lambda x: x = '{t}')))" for t in TERMS]
@@ -108,7 +122,7 @@ _BM = [f"(len(list_filter(tok, lambda x: x = '{t}')))" for t in TERMS]
 @query(f"""WITH d AS (SELECT doc_id AS id, {S.tok('text')} AS tok FROM documents), c AS (SELECT count(*) AS n, avg(len(tok)) AS a, {', '.join(f"count(*) FILTER (list_contains(tok, '{t}')) AS df{i}" for i, t in enumerate(TERMS))} FROM d),
  s AS (SELECT id, round({' + '.join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * ({b} * 2.2::DOUBLE) / ({b} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tok) / a))" for i, b in enumerate(_BM))}, 6) AS score FROM d, c) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
 def keyword_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25_search(chunks(spark, sf_dir), "content", TERMS)
+    return search.bm25_search(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "text", TERMS)
 
 
 @query(f"WITH p AS (SELECT page_id AS id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages) SELECT id, CAST(round({S.tf('t', ['the', 'and'])}, 6) AS DOUBLE) AS score FROM p WHERE list_has_any({S.tok('t')}, ['the', 'and']) ORDER BY score DESC, id LIMIT 10")
@@ -158,19 +172,24 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cached_answer(_cache(spark, sf_dir), "Nothing here?", "all", vector(spark, sf_dir, 3), datetime.datetime(2024, 1, 30)).select("id", "cache_key", "match")
 
 
-@query(f"""WITH {S.CHUNKS} SELECT id, doc_id, coalesce(array_to_string(list(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ','), '') AS before, coalesce(array_to_string(list(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS after FROM chunks QUALIFY id % 97 = 0""")
+@query(f"""WITH {S.CHUNKS} SELECT id, doc_id, coalesce(array_to_string(list(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ','), '') AS before, coalesce(array_to_string(list(id) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS after FROM chunks""")
 def sibling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    out = expand.siblings(c.select("id", "doc_id"), c.filter("id % 97 = 0"))
+    out = expand.siblings(c.select("id", "doc_id"), c)
     return out.select("id", "doc_id", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
 
 
-@query(f"""WITH {S.CHUNKS}, z AS (SELECT id, section_id, page_number, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM chunks), s AS (SELECT *, sum(tokens) OVER (ORDER BY page_number, id) AS used FROM z WHERE id IN (1, 4, 11)),
- k AS (SELECT * FROM s WHERE used <= 8000), n AS (SELECT * FROM z WHERE section_id IN (SELECT section_id FROM s) AND id NOT IN (SELECT id FROM k)),
- m AS (SELECT *, sum(tokens) OVER (ORDER BY page_number, id) AS used FROM n) SELECT id, 'seed' AS kind, page_number, tokens FROM k UNION ALL SELECT id, 'sibling', page_number, tokens FROM m WHERE used <= 8000 - (SELECT coalesce(sum(tokens), 0) FROM k)""")
+@query(f"""WITH {S.CHUNKS}, z AS (SELECT id, section_id, page_number, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM chunks), s AS (SELECT id - id % 100 AS query_id, *, sum(tokens) OVER (PARTITION BY id - id % 100 ORDER BY page_number, id) AS used FROM z WHERE id % 100 < 3),
+ k AS (SELECT * FROM s WHERE used <= 8000), sec AS (SELECT DISTINCT section_id, CASE WHEN lang <> 'en' THEN doc_id || '_en' END AS parent FROM chunks),
+ w AS (SELECT query_id, section_id, min(near) AS near FROM (SELECT query_id, section_id, 0 AS near FROM s UNION ALL SELECT query_id, parent, 1 FROM s JOIN sec USING (section_id) WHERE parent IS NOT NULL) GROUP BY 1, 2),
+ n AS (SELECT w.query_id, z.*, near FROM z JOIN w USING (section_id) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = w.query_id AND k.id = z.id)), m AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY page_number, id) AS used FROM n)
+ SELECT query_id, id, 'seed' AS kind, page_number, tokens FROM k UNION ALL SELECT m.query_id, id, CASE near WHEN 0 THEN 'sibling' ELSE 'parent' END, page_number, tokens FROM m WHERE used <= 8000 - coalesce((SELECT sum(tokens) FROM k WHERE k.query_id = m.query_id), 0)""")
 def hierarchy_expand_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query (id divisible by 100) has its chunk and the next two as seeds."""
     c = chunks(spark, sf_dir)
-    return expand.expand(c, c.filter(F.col("id").isin(1, 4, 11)))
+    seeds = c.filter("id % 100 < 3").select((F.col("id") - F.col("id") % 100).alias("query_id"), "id")
+    sections = c.select("section_id", F.when(F.col("lang") != "en", F.concat("doc_id", F.lit("_en"))).alias("parent_section_id")).distinct()
+    return expand.expand(c, seeds, sections)
 
 
 @query(f"""WITH {S.CHUNKS}, a AS (SELECT page_id AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'src' || (page_id % 7) || '_en' END AS section_id, CAST(page_id % 40 AS INT) AS page_number FROM pages),
@@ -190,7 +209,7 @@ def _results(spark, sf_dir):
 
 
 @query(f"""WITH {S.CHUNKS}, {_RESULTS}, j AS (SELECT r.*, topic, topics FROM r JOIN chunks USING (id)) SELECT query_id, count(*) AS n, round(avg(score), 6) AS avg_score, max(score) AS max_score, min(score) AS min_score, round(var_pop(score) FILTER (rank <= 5), 6) AS variance,
- round(count(*) FILTER (rank <= 5 AND list_has_any(coalesce(topics, []), ['graphics', 'hardware'])) / least(5, count(*))::DOUBLE, 6) AS coverage, CAST(len(list_distinct(flatten(list(coalesce(topics, [])) FILTER (rank <= 5)))) AS INT) AS diversity FROM j GROUP BY query_id""")
+ round(count(*) FILTER (rank <= 5 AND list_has_any(coalesce(topics, []), ['graphics', 'hardware'])) / least(5, count(*))::DOUBLE, 6) AS coverage, CAST(len(list_distinct(flatten(list(coalesce(topics, [])) FILTER (rank <= 5)))) AS INT) AS diversity, list(CAST(score AS DOUBLE) ORDER BY rank) FILTER (rank <= 5) AS top_scores FROM j GROUP BY query_id""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.retrieval_metrics(_results(spark, sf_dir), INCLUDE)
 

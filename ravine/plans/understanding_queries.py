@@ -56,9 +56,19 @@ def query_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", "mode", "query_type", "kind", semantic.alias("semantic"), keyword.alias("keyword"))
 
 
-@query()
+#: Letters beyond ASCII are word characters to the engine's patterns; here digits stand for them.
+_ASCII = r"regexp_replace(question, '[^\P{L}a-zA-Z]', '9', 'g')"
+_ENTITY = rf"list_distinct(list_concat(regexp_extract_all({_ASCII}, '\b[A-Z]{{2,}}\b'), regexp_extract_all(regexp_replace({_ASCII}, '(^|\. )[A-Z][a-z]+\b', '\1x', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b')))"
+_HAS = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+
+
+@query(rf"""WITH {_Q}, t AS (SELECT *, lower(question) AS low, {_TYPE} AS query_type, CAST(len({_ENTITY}) AS INT) AS entities, len(list_filter(string_split_regex(question, '\s+'), lambda w: w <> '')) AS words, length(question) - length(replace(question, '?', '')) AS asks FROM q),
+ c AS (SELECT *, CASE WHEN (query_type = 'definition' AND words < 10 AND entities <= 1) OR (words < 8 AND entities <= 1 AND NOT {_HAS(['and', 'or', 'but', 'also'])}) THEN 'simple'
+  WHEN asks > 1 OR entities >= 3 OR (query_type IN ('comparison', 'design', 'troubleshooting') AND words > 15) OR ({_HAS(['compare', 'difference', 'vs', 'versus', 'better', 'which'])} AND entities >= 2) OR ({_HAS(['step', 'procedure', 'process', 'sequence'])} AND words > 12) THEN 'complex' ELSE 'moderate' END AS complexity FROM t),
+ k AS (SELECT *, CASE complexity WHEN 'simple' THEN 3 WHEN 'moderate' THEN 5 ELSE 7 END AS b, CASE complexity WHEN 'simple' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END AS v FROM c),
+ w AS (SELECT *, CAST(CASE WHEN query_type IN ('comparison', 'design') THEN least(b + 2, 10) WHEN query_type = 'troubleshooting' THEN least(b + 1, 8) WHEN query_type = 'definition' AND complexity = 'simple' THEN 2 ELSE b END AS INT) AS top_k, CAST(CASE WHEN query_type IN ('procedural', 'troubleshooting') THEN least(v + 1, 4) ELSE v END AS INT) AS win FROM k)
+ SELECT {_KEY}, query_type, entities, complexity, top_k, win AS "window", round(greatest(0.0, (25.0 - (top_k + top_k * win * 2)) / 25.0::DOUBLE), 6)::DOUBLE AS savings FROM w""")
 def adaptive_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-behind patterns have no counterpart in the SQL engine; tested by literal cases."""
     q = F.col("question")
     t = _questions(spark, sf_dir).withColumns({"query_type": U.query_type(q), "entities": U.entity_count(q)})
     t = t.withColumn("complexity", U.complexity(q, F.col("query_type"), F.col("entities")))
@@ -119,20 +129,8 @@ def convo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.conversation_stats(_messages(spark, sf_dir))
 
 
-@query()
-def convo_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word boundaries around accented letters differ in the SQL engine; tested by literal cases."""
-    return U.key_entities(_messages(spark, sf_dir))
-
-
 @query(r"WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text || ' [Page ' || (doc_id % 7) || '] x [Page ' || (doc_id % 3) || ']', '\[Page (\d+)\]', 1)) AS p FROM documents) SELECT doc_id, len(p)::INT AS n, array_to_string(list_sort(p), ',') AS pages FROM d")
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.col("text"), F.lit(" [Page "), F.col("doc_id") % 7, F.lit("] x [Page "), F.col("doc_id") % 3, F.lit("]"))
     pages = F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[Page (\d+)\]"), F.lit(1)))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(pages).alias("n"), F.array_join(F.array_sort(pages), ",").alias("pages"))
-
-
-@query("WITH c AS (SELECT conv_id AS answer_id, CASE WHEN role <> 'system' THEN length(text) > 80 END AS supported FROM conversations), g AS (SELECT answer_id, count(supported) AS claims, count(*) FILTER (supported) AS supported FROM c GROUP BY 1), r AS (SELECT *, round(CASE WHEN claims = 0 THEN 1.0 ELSE supported / greatest(claims, 1)::DOUBLE END, 6) AS confidence FROM g) SELECT *, confidence >= 0.85 AS grounded FROM r")
-def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), F.when(F.col("role") != "system", F.length("text") > 80).alias("supported"))
-    return analytics.grounding(c)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ravine.functions import grammar
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet folder or file as a stream, ``ts`` as TIMESTAMP."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8)
+
+def read_events(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
+    """A Parquet folder or file as a stream, ``ts`` as TIMESTAMP; so many files a batch."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
         stream, path = stream.option("pathGlobFilter", at.getName()), at.getParent().toString()
@@ -33,16 +35,36 @@ def pages(segments: DataFrame, late: str = "1 hour") -> DataFrame:
     return segments.withWatermark("ts", late).groupBy(F.window("ts", "60 seconds"), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Run a stream over all that is there and leave its result in a memory table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def words(rows: DataFrame, column: str) -> DataFrame:
+    """A derived search column, kept up by a stream as rows come."""
+    return rows.withColumn("fts", grammar.words(column))
+
+
+def visible(jobs: DataFrame, late: str = "5 minutes") -> DataFrame:
+    """Updates of jobs: active ones always, ended ones only if they are no older than the watermark."""
+    seen = jobs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "ts"])
+    return seen.select("job_id", "status", "ts")
+
 
+def run(df: DataFrame, checkpoint: str, path: str, mode: str = "append", order: list | None = None) -> str:
+    """Run a stream over all that is there into Parquet below ``path``; returns ``path``.
+
+    Each batch is written under its own number, so one that is repeated after a failure overwrites
+    itself, and a second run goes on where the first ended. In complete mode the last batch is the
+    result. ``order``: rows of a batch are written in this order, as a queue drained by priority.
+    """
+    complete = mode == "complete"
 
-def upsert_batches(df: DataFrame, path: str, checkpoint: str, key: str):
-    """Exactly-once sink: each batch is written under its own number, so a repeated batch overwrites itself."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.orderBy(*order) if order else batch
+        rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/{'all' if complete else f'part-{number:010d}'}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return path
+
 
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_table(df: DataFrame, checkpoint: str, path: str, mode: str = "complete") -> DataFrame:
+    """``run``, and its result as a table."""
+    run(df, checkpoint, path, mode)
+    return df.sparkSession.read.schema(df.schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(path)
