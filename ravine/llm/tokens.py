@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ravine.llm import spans as S
 from ravine.llm.common import materialize, n_bytes, partitions, read_files, scratch, write_frames
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,14 +37,29 @@ CHUNK_IDS = 1 << 19
 MAGIC, END = b"RVS8", "RVS8-END"
 _HEAD = struct.Struct("<4sIQIQ")
 #: Entries of a worker's table of encoded pieces, after which it starts anew.
-PIECES = 800_000
-#: Characters of texts that are encoded together.
-TOGETHER = 4 << 20
-
-#: Where the tokenizer's own pre-tokenizer has a boundary in any case: between a character that
-#: isn't white space and a space or line feed, and between a letter and a punctuation mark.
-#: The character to come is looked at first: most are neither, and that is soon told.
-_BOUNDARY = re.compile(r"(?=[ \n.,!|*#$%&])(?:(?<=[A-Za-z])|(?<=\S)(?![.,!|*#$%&]))")
+PIECES = 2_000_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 2 << 20
+
+# Where the tokenizer's own pre-tokenizer has a boundary in any case: between a character that isn't
+# white space and a space or line feed, and between a letter and a punctuation mark. Of characters
+# beyond ASCII only those that UTF-8 begins with C3 (accented letters) are taken for no white space.
+_LETTER, _INK, _GAP, _MARK = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] |= _INK
+_KIND[[*range(65, 91), *range(97, 123)]] |= _LETTER
+_KIND[[32, 10]] |= _GAP
+_KIND[list(b".,!|*#$%&")] |= _MARK
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """The bytes before which a text is cut."""
+    kind = _KIND[data]
+    ink = (kind & _INK) > 0
+    ink[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = ((kind[1:] & _GAP) > 0) & ink[:-1] | ((kind[1:] & _MARK) > 0) & ((kind[:-1] & _LETTER) > 0)
+    return cut
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -74,6 +90,19 @@ def _next_width(widths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return best
 
 
+_SMALL = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The bits of each id."""
+    if not len(ids) or int(ids.max()) < len(_SMALL):
+        return _SMALL[ids.astype(np.uint16)]
+    widths = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    large = np.flatnonzero(widths > 53)  # rounded, perhaps up to the next power of two
+    widths[large] = [int(v).bit_length() for v in ids[large]]
+    return widths
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of ``ids`` (unsigned), and the word at which each block begins, plus their number."""
     ids = np.asarray(ids, np.uint64)
@@ -86,9 +115,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full[: len(ids)] = ids
     grid[:, :BLOCK_IDS] = full.reshape(blocks, BLOCK_IDS)
     flat = grid.ravel()
-    widths = np.frexp(flat.astype(np.float64))[1].astype(np.uint8)  # bits of each id
-    large = np.flatnonzero(widths > 53)  # rounded, perhaps up to the next power of two
-    widths[large] = [int(v).bit_length() for v in flat[large]]
+    widths = _widths(flat)
     best = _next_width(widths, COUNTS)
     step = np.concatenate([COUNTS, [1, 1]])[np.minimum(best, 15)]
     starts = np.arange(blocks) * stride
@@ -184,8 +211,9 @@ class Encoder:
     """Encodes texts piece by piece; pieces seen before come from a table.
 
     The library encodes every piece. Pieces end where its own pre-tokenizer has a boundary in any
-    case, so the ids are those of the whole text. With ``added``, the strings of the vocabulary's
-    added tokens are these tokens, as by the library's default; else they are ordinary text.
+    case, so the ids are those of the whole text. A piece is known by a 64-bit hash, its length and
+    its first bytes. With ``added``, the strings of the vocabulary's added tokens are these tokens,
+    as by the library's default; else they are ordinary text.
     """
 
     def __init__(self, path: str, added: bool = False):
@@ -194,54 +222,139 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # texts are cut at added tokens before
         tokens = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
-        self.added = {t: struct.pack("<I", i) for t, i in tokens.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") if tokens else None
-        self.seen: dict[str, bytes] = dict(self.added)
+        self.added = {t.encode(): i for t, i in tokens.items()}
+        self.cut = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if tokens else None
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: a character of a byte-level token stands for one byte.
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)
-
-    def _learn(self, new: list[str]) -> None:
-        """Put pieces into the table. The library has a cost for each call, so most are encoded as
-        one text: pieces that begin with a space or line feed and end otherwise have boundaries
-        between them, and the ids' bytes tell which ids are whose."""
-        alone = []
-        together = [p for p in new if p[:1] in (" ", "\n") and not p[-1].isspace() or alone.append(p)]
-        for at in range(0, len(together), 4096):
-            part = together[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])
+        self._clear()
+
+    def _clear(self) -> None:
+        #: Hashes in order, each with the number of its piece; the pieces' marks, and their ids one after another.
+        self.keys, self.piece = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.marks = np.empty((0, 2), np.uint64)
+        self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(pieces), 20_000):
+            part = [p.decode() for p in pieces[at : at + 20_000]]
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids one after another and how many each has. The library has a cost for each
+        call, so most are encoded as one text: pieces that begin with a space or line feed and end
+        otherwise have boundaries between them, and the ids' bytes tell which ids are whose."""
+        counts, parts = np.zeros(len(pieces), np.int64), []
+        follows = np.array([p[0] in b" \n" and not p[-1:].isspace() and p[-1] < 0x80 for p in pieces], bool)
+        many, order = np.flatnonzero(follows).tolist(), []
+        for at in range(0, len(many), 16_384):
+            of = many[at : at + 16_384]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([pieces[i] for i in of]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(pieces[i]) for i in of])
             last = np.minimum(np.searchsorted(ends, wanted), len(ids) - 1)
-            if ends[-1] != wanted[-1] or (ends[last] != wanted).any():  # not a byte-level vocabulary
-                alone += part
+            if not len(ids) or ends[-1] != wanted[-1] or (ends[last] != wanted).any():  # not a byte-level vocabulary
+                follows[of] = False
                 continue
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(part, (4 * last + 4).tolist()):
-                self.seen[p] = data[begin:end]
-                begin = end
-        for at in range(0, len(alone), 20_000):
-            part = alone[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> list[str]:
-        if not self.cut or not self.cut.search(text):
-            return _BOUNDARY.split(text)
-        return [p for part in self.cut.split(text) for p in ([part] if part in self.added else _BOUNDARY.split(part))]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split, seen = [self._pieces(t) for t in texts], self.seen
-        found = set().union(*split)
-        new = found - seen.keys()
-        if len(seen) + len(new) > PIECES:
-            seen.clear()
-            seen.update(self.added)
-            new = found - seen.keys()
-        self._learn(list(new))
-        return [b"".join(map(seen.__getitem__, pieces)) for pieces in split]
+            counts[of] = np.diff(last, prepend=-1)
+            parts.append(ids)
+            order += of
+        rest = np.flatnonzero(~follows).tolist()
+        single = self._alone([pieces[i] for i in rest])
+        counts[rest] = [len(x) for x in single]
+        flat = np.concatenate([*parts, *single]) if parts or single else np.empty(0, np.uint32)
+        order = np.array(order + rest, np.int64)
+        held = np.cumsum(counts[order]) - counts[order]
+        begin = np.empty(len(pieces), np.int64)
+        begin[order] = held
+        return flat[np.repeat(begin, counts) + _ranges(counts)], counts
+
+    def _learn(self, keys: np.ndarray, marks: np.ndarray, pieces: list[bytes]) -> None:
+        ids, counts = self.encode(pieces)
+        at = np.searchsorted(self.keys, keys)
+        self.piece = np.insert(self.piece, at, len(self.marks) + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
+        self.marks = np.concatenate([self.marks, marks])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def __call__(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each text (UTF-8 bytes)."""
+        out, at = [], 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to]) <= TOGETHER):
+                held += len(texts[to])
+                to += 1
+            out += self._together(texts[at:to])
+            at = to
+        return out
+
+    def _together(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        data, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        raw, ends = data.tobytes(), np.cumsum(sizes)
+        cut = boundaries(data)
+        cut[(ends - sizes)[sizes > 0]] = True
+        special = [(m.start(), m.end()) for m in self.cut.finditer(raw)] if self.cut else []
+        # a match across two texts is none
+        special = [(x, y) for x, y in special if np.searchsorted(ends, x, side="right") == np.searchsorted(ends, y - 1, side="right")]
+        for x, y in special:
+            cut[x:y], cut[x] = False, True
+            if y < len(cut):
+                cut[y] = True
+        starts = np.flatnonzero(cut)
+        stops = np.append(starts[1:], len(data))
+        ids, counts = self._pieces(data, raw, starts, stops, {int(np.searchsorted(starts, x)): self.added[raw[x:y]] for x, y in special})
+        total = np.concatenate([[0], np.cumsum(counts)])
+        edge = total[np.searchsorted(starts, np.append(0, ends))]
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+    def _pieces(self, data, raw, starts, stops, special: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids and how many each has; ``special``: pieces that are an added token."""
+        if not len(starts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        hashes = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), 1 << 17):  # sums over a part at a time
+            x, y = starts[at : at + (1 << 17)], stops[at : at + (1 << 17)]
+            hashes[at : at + (1 << 17)] = S.Sums(S.BYTE_CODES[data[x[0] : y[-1]]])(x - x[0], y - x[0])
+        lead = np.zeros(len(data) + 8, np.uint8)
+        lead[: len(data)] = data
+        length = (stops - starts).astype(np.uint64)
+        lead = np.lib.stride_tricks.sliding_window_view(lead, 8)[starts].copy().view(np.uint64)[:, 0]
+        lead &= ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - np.minimum(length, np.uint64(8))))
+        keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        marks = np.stack([length, lead], axis=1)
+        if len(self.keys) + len(keys) > PIECES:
+            self._clear()
+        near = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = near < len(self.keys)
+        new[inside] = self.keys[near[inside]] != keys[inside]
+        if new.any():
+            self._learn(keys[new], marks[first[new]], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
+            near = np.searchsorted(self.keys, keys)
+        piece = self.piece[near][of]
+        other = (self.marks[piece] != marks).any(axis=1)  # another piece of the same hash
+        counts = np.diff(self.begin)[piece]
+        begin = self.begin[piece]
+        if other.any() or special:
+            odd = dict.fromkeys(np.flatnonzero(other).tolist()) | special
+            parts = dict(zip(odd, self._alone([raw[starts[i] : stops[i]] for i in odd])))
+            parts |= {i: np.array([t], np.uint32) for i, t in special.items()}
+            flat = np.concatenate([self.ids, *(parts[i] for i in odd)])
+            sizes = np.array([len(parts[i]) for i in odd])
+            counts[list(odd)], begin[list(odd)] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
+        else:
+            flat = self.ids
+        return flat[np.repeat(begin, counts) + _ranges(counts)], counts
+
+
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n of counts, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 @functools.cache
@@ -250,46 +363,32 @@ def encoder(path: str, added: bool = False) -> Encoder:
     return Encoder(path, added)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Ids and texts of rows, TOGETHER characters or one text at a time."""
-    ids, texts, held = [], [], 0
-    for b in batches:
-        for d, t in zip(b.column(0), b.column(1)):
-            text = t.as_py() or ""
-            if held and held + len(text) > TOGETHER:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-            ids.append(d.as_py())
-            texts.append(text)
-            held += len(text)
-    if ids:
-        yield ids, texts
-
-
 def _writer(path: str, added: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path, added)
+        encode, end = encoder(path, added), np.array([END_ID], np.uint32)
         docs: list[tuple[int | None, int, bool]] = []
         held, n = [], 0
 
         def done():
             return pa.RecordBatch.from_arrays([pa.array([chunk(docs, np.concatenate(held))], pa.binary())], names=["chunk"])
 
-        for keys, texts in _groups(batches):
-            for doc, encoded in zip(keys, encode(texts)):
-                ids = np.frombuffer(encoded + struct.pack("<I", END_ID), "<u4")
-                while n + len(ids) > CHUNK_IDS:
-                    here = CHUNK_IDS - n
-                    docs.append((doc, here, True))
-                    held.append(ids[:here])
-                    yield done()
-                    docs, held, n, ids = [], [], 0, ids[here:]
-                docs.append((doc, len(ids), False))
-                held.append(ids)
-                n += len(ids)
+        for b in batches:
+            keys, texts = b.column(0).to_pylist(), S.texts(b.column(1))
+            for at in range(0, len(texts), 512):
+                for doc, encoded in zip(keys[at : at + 512], encode(texts[at : at + 512])):
+                    ids = np.concatenate([encoded, end])
+                    while n + len(ids) > CHUNK_IDS:
+                        here = CHUNK_IDS - n
+                        docs.append((doc, here, True))
+                        held.append(ids[:here])
+                        yield done()
+                        docs, held, n, ids = [], [], 0, ids[here:]
+                    docs.append((doc, len(ids), False))
+                    held.append(ids)
+                    n += len(ids)
         if docs:
             yield done()
 

@@ -139,6 +139,23 @@ def test_tokens(spark, docs, empty):
     assert tokens.tokenize_documents(empty).count() == 0
 
 
+def test_encoder_against_the_library(monkeypatch):
+    """Boundaries of all kinds, long texts, a table that starts anew, pieces of one hash."""
+    from tokenizers import Tokenizer
+
+    r, t = random.Random(2), Tokenizer.from_file(tokens.tokenizer_path())
+    alphabet = ["a", "B", "é", "ß", "日", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\u0085", "'s", "1", "23", ".", ",", "!", "|", "*", "#", "$", "%", "&", "-", "<|endoftext|>", "<|endo", "😀", "Ã"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["", "x " * 5000, "word" * 3000]
+    raw = [np.frombuffer(x.encode(), np.uint8) for x in texts]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in tokens.Encoder(tokens.tokenizer_path(), True)(raw)] == want
+    monkeypatch.setattr(tokens, "PIECES", 50)
+    monkeypatch.setattr(tokens, "TOGETHER", 300)
+    assert [x.tolist() for x in tokens.Encoder(tokens.tokenizer_path(), True)(raw)] == want
+    monkeypatch.setattr(spans.Sums, "__call__", lambda self, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    assert [x.tolist() for x in tokens.Encoder(tokens.tokenizer_path(), True)(raw)] == want
+
+
 def test_query_has_the_added_tokens_of_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
