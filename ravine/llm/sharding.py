@@ -83,10 +83,13 @@ def _walks(spark: SparkSession, n: int, a: int, b: int, seed: int) -> int:
 def permute(df: DataFrame, n: int, number: str, out: str, seed: int) -> DataFrame:
     """Add ``out``: the place of row ``number`` in a pseudo-random order of n rows."""
     a, b = radices(n)
-    df = df.withColumn(out, _feistel(F.col(number), a, b, seed))
-    for _ in range(_walks(df.sparkSession, n, a, b, seed)):
-        df = df.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(_feistel(F.col(out), a, b, seed)))
-    return df
+    first, walks = _feistel(F.col(number), a, b, seed), _walks(df.sparkSession, n, a, b, seed)
+    if not walks:
+        return df.withColumn(out, first)
+    # a walk's number is bound as the lambda's argument: a filter on the place may be pushed through
+    # this, and would multiply the expression of one column after another
+    on = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), first, lambda x, _: F.when(x < n, x).otherwise(_feistel(x, a, b, seed)))
+    return df.withColumn(out, F.when(first < n, first).otherwise(on))
 
 
 def text_size(text: Column) -> Column:
@@ -102,8 +105,8 @@ def shard(df: DataFrame, n_shards: int = 16, seed: int = 42, order: list[str] |
     """Add ``row_number``, ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in a shard).
 
     ``order`` tells rows apart (default: all columns). Nulls, empty texts, repeated rows and an
-    empty table need no special care: repeated rows get numbers of their own. Columns that have
-    one of the added names are replaced.
+    empty table need no special care: repeated rows get numbers of their own. Texts are never looked
+    into, so their length doesn't matter. Columns that have one of the added names are replaced.
     """
     df = df.drop("row_number", "shard", "slot")
     n = df.count()
