@@ -3,8 +3,9 @@
 Features are hashed n-grams: words, word shapes (runs of capitals, letters, digits and other
 characters; a word equal to the one before has a shape of its own) and pairs of shapes. Class
 counts of the indicators are taken over all training rows, their log ratios scale the indicators,
-and a hinge-loss model is fitted by dual coordinate descent on at most ``FIT_ROWS`` training rows,
-those with the least hash of their key. A logistic curve on the margins gives the score.
+and a hinge-loss model is fitted by dual coordinate descent on at most ``FIT_ROWS`` training rows
+with ``FIT_FEATURES`` features in all, those with the least hash of their key. A logistic curve on
+the margins gives the score.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ravine.llm.common import materialize
 from ravine.llm.spans import mix
 
 BITS = 18
 #: Training rows that the hinge-loss model is fitted on, at most.
 FIT_ROWS = 6000
+#: Features of these rows, at most, one row after another in the same order.
+FIT_FEATURES = 1 << 24
 #: Labels are broadcast up to this many rows, joined by shuffle beyond.
 FEW_LABELS = 1_000_000
 SMOOTH, COST, EPOCHS, THRESHOLD = 1.0, 1.0, 30, 0.3
@@ -148,16 +152,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label, hash, key) to (label, features, size, hash, key)."""
     features = shared_features()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], names=["label", "features"])
+        found = [features(t.as_py()) for t in b.column(0)]
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([len(f) for f in found], pa.int64()), b.column(2), b.column(3)], names=["label", "features", "size", "hash", "row"])
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """Log-count ratios of the features from their smoothed counts in rows of class 0 and 1; 0 where
+    neither has any."""
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    ratio[(counts == SMOOTH).all(axis=0)] = 0.0
+    return ratio
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Model:
     """A model of ``label`` (0 or 1) from the rows of ``df`` that aren't held out.
 
-    Rows without a label, or with a null label or key, teach nothing. With no training rows, or
-    rows of one class, scores are that class' smoothed share.
+    Rows without a label, or with a null label or key, teach nothing; rows repeated in key and text
+    count each in the ratios and once in the fit. With no training rows, or rows of one class, scores
+    are that class' smoothed share. Columns other than key, text and label are ignored.
     """
     known = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("__k"))).distinct()
     if known.count() <= FEW_LABELS:
@@ -168,11 +183,16 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     n = np.full((2, 1 << BITS), SMOOTH)
     n[0, got.feature.to_numpy()] += got.bad.to_numpy()
     n[1, got.feature.to_numpy()] += got.good.to_numpy()
-    ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    ratio[(n == SMOOTH).all(axis=0)] = 0.0
-    first = rows.orderBy(F.xxhash64("__key"), "__key", F.xxhash64("text")).select("__key", "label").limit(FIT_ROWS)
-    chosen = F.broadcast(first.select(F.col("__key").alias("__c")).distinct())  # FIT_ROWS rows at most
-    sample = rows.join(chosen, F.col("__key") == F.col("__c")).select("text", "label").mapInArrow(_packed, "label int, features binary").collect()
+    ratio = log_ratios(n)
+    # rows are told apart by two hashes; the least are chosen from these alone, before any text moves
+    hashed = rows.select("text", "label", F.xxhash64("__key").alias("hash"), F.xxhash64("__key", "text").alias("row"))
+    first = hashed.select("hash", "row").distinct().orderBy("hash", "row").limit(FIT_ROWS)
+    chosen = F.broadcast(first.select(F.col("row").alias("__c")))  # FIT_ROWS rows at most
+    packed = hashed.join(chosen, F.col("row") == F.col("__c")).select("text", "label", "hash", "row").mapInArrow(_packed, "label int, features binary, size bigint, hash bigint, row bigint")
+    packed = materialize(packed.dropDuplicates(["row", "label"]), "fit-rows")
+    upto = Window.orderBy("hash", "row", "label").rowsBetween(Window.unboundedPreceding, 0)  # of FIT_ROWS rows, two labels each at most
+    sample = packed.select("row", "label", "hash", "size").withColumn("upto", F.sum("size").over(upto)).filter(F.col("upto") <= FIT_FEATURES).select("row", "label")
+    sample = packed.join(F.broadcast(sample), ["row", "label"]).select("label", "features").collect()
     found = [np.frombuffer(r.features, np.int32) for r in sample]
     y = np.array([1.0 if r.label else -1.0 for r in sample])
     if len(set(y.tolist())) < 2:
@@ -196,7 +216,9 @@ def _scorer(model: Model):
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(doc_id, score): 0 to 1, higher where label 1 is likelier. Null texts count as empty."""
+    """(doc_id, score): 0 to 1, higher where label 1 is likelier. Null texts count as empty, and an
+    empty text has the score of the curve's offset; very long ones are read whole. Every row has a
+    score of its own, repeated ones too; an empty table gives an empty one."""
     return df.select(F.col(key).alias("doc_id"), "text").mapInArrow(_scorer(model), "doc_id bigint, score double")
 
 
