@@ -77,7 +77,8 @@ def mix(df: DataFrame, schedules=SCHEDULES, cap: float = 3.0, key: str = "doc_id
     target ends is taken in part. copies: how often the whole document is laid out (it is rounded
     to whole documents); positions: the training time of each copy. Null sources are one source,
     null keys are ordered like any value, repeated rows count each on its own; columns that have
-    one of the added names are replaced.
+    one of the added names are replaced. An empty table gives an empty one; texts are only counted,
+    so their length doesn't matter.
     """
     df = df.drop("size", "source_size", "target", "taken", "copies", "positions")
     order = [F.xxhash64(F.lit(7), F.col(key)), F.col(key), F.col("size"), F.xxhash64(F.col("text"))]
@@ -113,12 +114,20 @@ def mix(df: DataFrame, schedules=SCHEDULES, cap: float = 3.0, key: str = "doc_id
     return df.drop("__order", "__bucket", "__b", "__s", "__k", "__before", "__inside", "__begins", "__asked", "__rounds", "__rest", "rank")
 
 
-def curriculum(mixed: DataFrame) -> DataFrame:
-    """The training sequence: a row for each copy, range-sorted by its ``position``."""
-    out = mixed.withColumn("position", F.explode("positions")).drop("positions")
-    return out.repartitionByRange("position").sortWithinPartitions("position")
+def in_order(df: DataFrame, position: str = "position", key: str = "doc_id") -> DataFrame:
+    """Rows range-sorted by their training position; of equal ones the smaller key, then the text's
+    or row's hash, comes first. Rows without a position come last."""
+    rest = F.xxhash64(*(c for c in df.columns if c != "positions"))
+    order = [F.col(position).asc_nulls_last(), F.col(key).asc_nulls_last(), rest]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def curriculum(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The training sequence: a row for each copy, range-sorted by its ``position`` (see ``in_order``)."""
+    return in_order(mixed.withColumn("position", F.explode("positions")).drop("positions"), key=key)
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
+    """Every document with its share of the mix, range-sorted by the position of its first copy."""
     out = mix(documents.select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position"))
+    return in_order(out.select("doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position")))
