@@ -37,6 +37,9 @@ RUN, SHARE = 13, 0.8
 SLACK = 8
 #: Benchmark windows that a pass over the documents looks for; more are looked for in blocks.
 BLOCK = 2_000_000
+#: Windows that more items than this share don't make a pair of document and item alone, unless an
+#: item's windows of this kind are enough for a leak.
+MANY = 50
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^[\W_]+|[^\w%]+$")
@@ -256,11 +259,37 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["did", "rk", "item_id", "run", "coverage", "reparameterised"])
 
 
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, words, spans) to the items that these windows alone could show as leaked."""
+    for b in batches:
+        ok = []
+        for words, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            runs = S.union(spans)
+            ok.append(max((y - x for x, y in runs), default=0) >= RUN or sum(y - x for x, y in runs) >= SHARE * words)
+        yield b.select([0]).filter(pa.array(ok, pa.bool_()))
+
+
+def _telling(items: DataFrame) -> DataFrame:
+    """(item_id, window): the windows that make a document a candidate for an item.
+
+    Windows that many items share would pair every document that has one with all of these. They are
+    left out for items that they can't show as leaked without another window; once a pair is made,
+    all windows count.
+    """
+    often = items.select("window", "item_id").distinct().groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("window", F.lit(True).alias("often"))
+    marked = materialize(items.join(often, "window", "left").select("item_id", "window", "start", "length", "words", F.coalesce("often", F.lit(False)).alias("often")), "telling")
+    spans = marked.filter("often").groupBy("item_id").agg(F.max("words").alias("words"), F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))).alias("spans"))
+    alone = spans.mapInArrow(_enough, "item_id bigint").withColumn("alone", F.lit(True))
+    return marked.join(alone, "item_id", "left").filter("not often or alone").select("item_id", "window").distinct()
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """(did, rk, doc_id, item_id, run, coverage, reparameterised): a row for each leaked item.
 
     Null texts have no windows; items without ``LITERAL`` literal words in a window (or as many as
     they have) match verbatim copies only. Rows of equal key and text count once, null keys too.
+    Repeated items are reported each; very long texts are read whole; empty documents or an empty
+    benchmark give no row; other columns are ignored, whatever their names.
     """
     items = materialize(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_items, "item_id bigint, window bigint, start int, length int, words int, item_values string"), "items")
     lengths = sorted(r.length for r in items.select("length").distinct().collect())  # WINDOW values at most
@@ -277,7 +306,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame
     if found is None:
         found = df.sparkSession.createDataFrame([], "did bigint, rk bigint, window bigint, doc_values string, starts array<int>")
     found = materialize(found.distinct(), "windows")
-    joined = found.join(items, "window").groupBy("did", "rk", "item_id").agg(F.max("words").alias("words"), F.collect_list(F.struct("start", "length", "item_values", "doc_values", "starts")).alias("found"))
+    pairs = found.select("did", "rk", "window").distinct().join(_telling(items), "window").select("did", "rk", "item_id").distinct()
+    joined = pairs.join(items, "item_id").join(found, ["did", "rk", "window"]).groupBy("did", "rk", "item_id").agg(F.max("words").alias("words"), F.collect_list(F.struct("start", "length", "item_values", "doc_values", "starts")).alias("found"))
     out = joined.select("did", "rk", "item_id", "words", "found").mapInArrow(_verdicts, "did bigint, rk bigint, item_id bigint, run int, coverage double, reparameterised boolean")
     return out.withColumn("doc_id", F.when(F.col("did") != (1 << 63) - 1, F.col("did")))
 
