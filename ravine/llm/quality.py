@@ -129,8 +129,8 @@ def judge(df: DataFrame) -> DataFrame:
     """``df`` with its measures, base_failed and ``kept``.
 
     Null texts count as empty (no word: base_failed). Null languages and sources are groups like
-    any other. Repeated rows count each. Columns that have a measure's name are replaced. The
-    measured table is written to the shared folder once, so texts are measured once.
+    any other. Repeated rows count each. Columns that have a measure's name are replaced. Very long
+    texts are measured whole; an empty table gives an empty one. The measured table is written to the shared folder once, so texts are measured once.
     """
     return _verdict(materialize(measure(df), "measured"))
 

@@ -399,11 +399,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     """Write the ids of ``text`` (null: empty), each document ended by id 0, in ascending key order.
 
     ``added``: see ``Encoder``. Null keys come first; rows with equal keys follow each other, ordered by their texts' hash.
-    Files are in order by name.
+    Files are in order by name. A very long text goes on from chunk to chunk; an empty table gives
+    no file; columns other than the key and ``text`` are ignored, whatever their names.
     """
     spark = df.sparkSession
     parts = partitions(spark, n_bytes(df, "text"), 24 << 20)
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     write_frames(rows.mapInArrow(_writer(tokenizer, added), "chunk binary"), path, END)
 
 

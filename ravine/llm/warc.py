@@ -182,8 +182,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html; null html: empty).
 
     Of equal payloads the one with the largest page_id is stored, the others refer to it. Null
-    ids are below all others; rows that share payload and page_id are each a response. Extra
-    columns are ignored; an empty table gives no archive.
+    ids are below all others; rows that share payload and page_id are each a response. Payloads of
+    any length are one frame each. Extra columns are ignored, whatever their names; an empty table
+    gives no archive.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", F.col("url"), "html").withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))

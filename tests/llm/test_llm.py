@@ -68,13 +68,27 @@ def test_permutation_is_one(spark):
         assert sorted(r.p for r in out.collect()) == list(range(n))
 
 
+#: Names that the operators use themselves, in one way or another.
+CLASHING = ["shard", "slot", "row_number", "kept", "size", "taken", "position", "positions", "did", "rk", "gram", "fp", "at", "n", "low", "high", "spans", "root", "node", "component", "least", "label", "score", "feature", "window", "words", "item_id", "start", "path", "content", "chunk", "digest", "key", "hash", "row", "share", "times", "copy", "__rk", "__key", "n_words", "base_failed", "first_id"]
+
+
 def test_clashing_columns(spark, docs):
+    """Columns with the operators' own names change nothing, and stay where rows are returned whole."""
     from pyspark.sql import functions as F
 
-    odd = docs.withColumn("shard", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("size", F.lit(2)).withColumn("extra", F.lit(3))
+    odd = docs.withColumns({c: F.lit("x") for c in CLASHING} | {"extra": F.lit(3)})
     assert sharding.shard(odd, 4).filter("shard >= 0 and extra = 3").count() == len(awkward())
     assert mixing.mix(odd).filter("extra = 3").count() == len(awkward())
     assert quality.judge(odd).filter("extra = 3").count() == len(awkward())
+    kept = simhash.keep_one(odd.drop("__rk"))
+    assert kept.columns == odd.drop("__rk").columns and kept.count() == simhash.keep_one(docs).count()
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n", "x", "y")], "item_id long, text string, window string, words string")
+    labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(60)], "doc_id long, quality int, toxic int, text string")
+    pages, more = (d.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), *(F.lit("x").alias(c) for c in cs)) for d, cs in ((docs, []), (docs, CLASHING)))
+    rows = lambda d: Counter(map(str, (tuple(r) for r in d.collect())))
+    for run in (tokens.tokenize_documents, suffixes.dedup_documents, fmindex.dedup_documents, simhash.near_duplicate_documents, mixing.mix_documents, quality.judge_documents, sharding.shard_documents, lambda d: templates.leaked_documents(d, bench), lambda d: nbsvm.score_documents(d, labels)):
+        assert rows(run(odd)) == rows(run(docs))
+    assert rows(warc.archive_pages(more)) == rows(warc.archive_pages(pages))
 
 
 def test_warc(spark):
@@ -139,6 +153,23 @@ def test_tokens(spark, docs, empty):
     assert tokens.tokenize_documents(empty).count() == 0
 
 
+def test_long_documents_go_on_in_the_next_chunk(monkeypatch):
+    """Documents longer than a chunk, through writer and reader."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CHUNK_IDS", 100)
+    texts = ["a b c " * 200, None, "short", "x", "word " * 99, "tail " * 301]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, None, 4, 5, 6]), pa.array(texts)], names=["doc_id", "text"])
+    data = b"".join(x.as_py() + tokens.END.encode() for b in tokens._writer(tokens.tokenizer_path(), True)(iter([rows])) for x in b.column(0))
+    assert max(len(ids) for _, ids in tokens.chunks(data)) == 100
+    out, = tokens._reader(iter([pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([data])], names=["path", "content"])]))
+    encode, at = tokens.Encoder(tokens.tokenizer_path(), True), 0
+    for doc, begins, n, crc, text in zip(*(out.column(k).to_pylist() for k in range(1, 5)), texts, strict=True):
+        ids = np.append(encode([np.frombuffer((text or "").encode(), np.uint8)])[0], 0).astype("<u4")
+        assert (begins, n, crc) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += n
+
+
 def test_encoder_against_the_library(monkeypatch):
     """Boundaries of all kinds, long texts, a table that starts anew, pieces of one hash."""
     from tokenizers import Tokenizer
@@ -530,9 +561,60 @@ def test_classifier(spark):
     assert all(abs(again[k] - r.score) < 1e-9 for k, r in got.items())
 
 
-def test_classifier_edges(spark, docs):
+def test_classifier_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert nbsvm.score_documents(docs, none).filter("score between 0 and 1").count() == len(awkward())
+    some = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert nbsvm.score_documents(empty, some).count() == 0
+    assert nbsvm.score_documents(docs, some).filter("score between 0 and 1 and predicted = cast(score >= 0.3 as int)").count() == len(awkward())
+
+
+def test_log_ratios_by_hand(spark, monkeypatch):
+    """Counts over all training rows against a plain count, ratios against their formula."""
+    import math
+
+    texts = ["good fine words", "good words", "bad stuff 12", "bad bad STUFF", None, "good"]
+    rows = [(i, t) for i, t in enumerate(texts * 8)]
+    marks = [(i, int("good" in (t or ""))) for i, t in rows]
+    model = nbsvm.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"))
+    feats, n = nbsvm.Features(), {}
+    for (i, t), (_, y) in zip(rows, marks):
+        if zlib.crc32(str(i).encode()) % 5:
+            for f in feats(t).tolist():
+                n.setdefault(f, [0, 0])[y] += 1
+    total = [sum(1 + c[y] for c in n.values()) + (1 << nbsvm.BITS) - len(n) for y in (0, 1)]
+    for f, (bad, good) in n.items():
+        assert math.isclose(model.ratio[f], math.log((1 + good) / total[1]) - math.log((1 + bad) / total[0]))
+    assert np.count_nonzero(model.ratio) <= len(n)
+
+
+def test_dual_descent_against_projected_gradient():
+    """The same minimum of the hinge loss as a slow solver of the dual."""
+    rng = np.random.default_rng(0)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 6), replace=False)) for _ in range(40)]
+    ratio, y = rng.normal(size=12), np.where(rng.random(40) < 0.5, -1.0, 1.0)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        x[i, 12] = 1  # the bias is a weight like any other
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    gram, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(40)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, 1)
+    w, bias = nbsvm.dual_descent(rows, ratio, y, epochs=3000)
+    assert abs(loss(np.append(w, bias)) - loss((alpha * y) @ x)) < 1e-2
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    """Rows and features of the fit stay below their bounds; counts still cover all rows."""
+    seen = []
+    real = nbsvm.dual_descent
+    monkeypatch.setattr(nbsvm, "dual_descent", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    monkeypatch.setattr(nbsvm, "FIT_ROWS", 20)
+    monkeypatch.setattr(nbsvm, "FIT_FEATURES", 60)
+    rows = [(i, f"w{i} x{i % 3} y{i % 5} z") for i in range(100)]
+    nbsvm.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    assert 2 <= len(seen[0]) <= 20 and sum(map(len, seen[0])) <= 60
 
 
 def test_templates(spark):
@@ -586,6 +668,82 @@ def test_names_whatever_their_case(spark):
     assert all(got[i, 0][1] == 1 for i in range(3, 7)) and not got[3, 0][2] and got[5, 0][2]
 
 
+def brute_leaks(items, docs):
+    """Every document against every item: windows compared code by code, occurrences judged as they are."""
+    canon = templates.shared_canon()
+
+    def readings(text, n):
+        """(kind of reading, the window's codes) to (start, slot values) of every window."""
+        codes, typed, names, found = canon(text)
+        out = {}
+        for s in range(len(codes) - n + 1):
+            part, slot, name = (x[s : s + n].tolist() for x in (codes, typed, names))
+            words, raw = found[s : s + n].tolist(), canon.plain[found[s : s + n]].tolist()
+            held = [a or b for a, b in zip(slot, name)]
+            template = [int(templates.NAME) if b else c for c, b in zip(part, name)]
+            literal, least = n - sum(held), min(templates.LITERAL, n)
+            value = lambda which: "\x1f".join(canon.raw[w] for w, yes in zip(words, which) if yes)
+            kinds = []
+            if literal >= least:
+                kinds.append((tuple(template), value(held)))
+            if name[0] and literal + 1 >= least:
+                kinds.append(((part[0], *template[1:]), value([False, *held[1:]])))
+            if any(name) and literal + sum(name) >= least:
+                kinds.append((tuple(part), value(slot)))
+            if literal < n:
+                kinds.append((tuple(raw), ""))
+            for k, v in kinds:
+                out.setdefault(k, set()).add((s, v))
+        return out
+
+    leaked = {}
+    for i, item in enumerate(items):
+        total = len(canon(item)[0])
+        if not total:
+            continue
+        n = min(templates.WINDOW, total)
+        own = readings(item, n)
+        for d, text in enumerate(docs):
+            of = readings(text, n)
+            found = {}
+            for k in own.keys() & of.keys():
+                for s, a in own[k]:
+                    for at, b in of[k]:
+                        found.setdefault((s, n, a, b), set()).add(at)
+            best = templates.occurrence([(*k, sorted(v)) for k, v in found.items()], total)
+            if best:
+                leaked[d, i] = (best[1], best[0] / total, best[2])
+    return leaked
+
+
+@pytest.mark.parametrize("many", [50, 1])
+def test_leaks_against_brute_force(spark, monkeypatch, many):
+    """All documents against all items, with frames that many items share."""
+    monkeypatch.setattr(templates, "MANY", many)
+    r = random.Random(11)
+    vocab = ["the", "train", "leaves", "at", "Paris", "Bob", "and", "12", "7", "km", "so", "it", "runs", "Anna", "fast.", "how", "3.5kg", "far"]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    frame = "read the text below and answer the question in one word please"
+    items = [say(r.randint(1, 30)) for _ in range(12)] + [f"{frame} {say(12)}" for _ in range(6)] + [frame, frame, "", "..."]
+    change = {"12": "40", "Bob": "Eve", "7": "9", "Paris": "Rome"}
+    docs = []
+    for k in range(40):
+        item = r.choice(items)
+        if k % 3 == 0:
+            item = " ".join(change.get(w, w) for w in item.split())
+        docs.append(f"{say(r.randint(0, 12))} {item} {say(r.randint(0, 12))}")
+    docs += [frame, None, "", say(200)]
+    got = found_in(spark, items, docs)
+    assert got == {k: (run, pytest.approx(share), changed) for k, (run, share, changed) in brute_leaks(items, docs).items()}
+    assert len(got) > 20
+
+
+def test_decontamination_edges(spark, docs, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert templates.leaked_documents(docs, bench).count() == 0
+    assert templates.leaked_documents(empty, spark.createDataFrame([(1, "one two three")], "item_id long, text string")).count() == 0
+
+
 def test_slots_must_keep_one_mapping():
     ok, changed = templates.consistent([(0, 8, "60\x1f25", "75\x1f40"), (1, 8, "60\x1f25", "75\x1f40"), (9, 8, "60", "99")])
     assert ok == [(0, 8), (1, 8)] and changed
