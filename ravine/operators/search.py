@@ -248,13 +248,6 @@ def cached_answer(cache: DataFrame, question: str, doc: str, query: list[float]
     return top(live.withColumn("match", match).filter("match is not null"), "match", 1)
 
 
-def dedupe(df: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
-    """One row for each key: its last (or first) values, in the place where the key came first."""
-    w = Window.partitionBy(key)
-    out = df.withColumn("__first", F.min(order).over(w)).withColumn("__n", F.row_number().over(w.orderBy(F.col(order).desc() if last else F.col(order))))
-    return out.filter("__n = 1").withColumn(order, F.col("__first")).drop("__n", "__first")
-
-
 def web_search(df: DataFrame, column: str, query: str, k: int = 20) -> DataFrame:
     """Rows that meet a query of the search grammar, by normalised frequency of its stems."""
     parsed = grammar.parse(query)

@@ -30,6 +30,19 @@ TECHNICAL = ["api", "spec", "specification", "reference", "sdk", "protocol", "co
 MULTI_PART = ["and then", "after that", "first.*then", "step 1.*step 2", "difference between.*and", "compare.*to", "versus"]
 MULTI_PART_MORE = ["and then", "after that", "first.*then", "step.*step", "difference between.*and", "compare.*to", "versus", "what about.*and", "how.*and.*why"]
 FOLLOW_UP = [r"^(what about|how about|and|also|additionally)", r"^(can you|could you|please)", r"\b(that|this|it|they|them)\b", r"^(more|further|additional)"]
+#: Patterns of the router, the analyzer and the validator.
+GREETING = r"^(hi|hello|hey|greetings|good morning|good afternoon|good evening)\b"
+LISTING = r"^(list|show|get|display|what)\s+(documents?|files?|manuals?|pdfs?)$"
+PICTURES = r"\b(show|display|find|get)\s+(image|diagram|picture|schematic|wiring|visual|drawing)s?\b"
+DANGLING = r"^(it|this|that|they|the)\s"
+TECHNICAL_TERM = r"\b(span|block|gpm|pump|valve|sensor|controller|wire|wiring|component|module|analog|digital|bacnet|niagara|kitcontrol|honeywell)\b"
+DETAILS = r"\b(detailed|spec|specification|table|parameter|configuration|breakdown)\b"
+VISUALS = [r"\b(show|image|diagram|picture|visual|schematic|wiring|drawing)\b", "wir(e|ing)"]
+PRONOUN = r"\b(it|this|that|they|these|those)\b"
+AMBIGUOUS = r"\b(pump|valve|sensor|loop|point|controller|output)\b"
+SPECIFIED = r"\b(which|what type|what kind|pid|analog|digital|control|modulating|temperature|pressure|humidity|flow)\b"
+ACTION = r"\b(how|configure|wire|install|setup|troubleshoot|connect|set|adjust|calibrate|test|check|diagnose|repair|replace)\b"
+QUESTION_WORD = r"\b(what|where|when|why|which|who)\b"
 SUGGESTIONS = {
     "definition": ["How do I configure this?", "Show me a step-by-step setup procedure", "What are common issues with this?"],
     "example": ["What if this doesn't work?", "Are there alternative approaches?", "Show me the verification steps"],
@@ -145,10 +158,10 @@ def intent(question: Column) -> Column:
     low, words = F.lower(q), F.size(F.split(q, " "))
     return (
         F.when(q == "", "error")
-        .when(low.rlike(r"^(hi|hello|hey|greetings|good morning|good afternoon|good evening)\b"), "clarification")
-        .when(low.rlike(r"^(list|show|get|display|what)\s+(documents?|files?|manuals?|pdfs?)$"), "metadata")
-        .when(low.rlike(r"\b(show|display|find|get)\s+(image|diagram|picture|schematic|wiring|visual|drawing)s?\b"), "visual")
-        .when(low.rlike(r"^(it|this|that|they|the)\s") & (words < 6), "clarification")
+        .when(low.rlike(GREETING), "clarification")
+        .when(low.rlike(LISTING), "metadata")
+        .when(low.rlike(PICTURES), "visual")
+        .when(low.rlike(DANGLING) & (words < 6), "clarification")
         .when((words < 3) & ~F.contains(q, F.lit("?")), "clarification")
         .otherwise("search")
     )
@@ -157,10 +170,10 @@ def intent(question: Column) -> Column:
 def analyze(question: Column) -> dict[str, Column]:
     """Routing flags and parameters of a question."""
     low = F.lower(question)
-    technical = low.rlike(r"\b(span|block|gpm|pump|valve|sensor|controller|wire|wiring|component|module|analog|digital|bacnet|niagara|kitcontrol|honeywell)\b")
-    details = low.rlike(r"\b(detailed|spec|specification|table|parameter|configuration|breakdown)\b")
+    technical = low.rlike(TECHNICAL_TERM)
+    details = low.rlike(DETAILS)
     return {
-        "wants_visuals": low.rlike(r"\b(show|image|diagram|picture|visual|schematic|wiring|drawing)\b") | low.rlike("wir(e|ing)"),
+        "wants_visuals": low.rlike(VISUALS[0]) | low.rlike(VISUALS[1]),
         "wants_details": details,
         "top_k": F.when(details, 30).otherwise(20),
         "fts_weight": F.when(technical, 0.6).otherwise(0.4),
@@ -170,11 +183,11 @@ def analyze(question: Column) -> dict[str, Column]:
 def issues(question: Column) -> Column:
     """What a question lacks: vague_pronoun, too_vague, ambiguous_term, unclear_intent."""
     low, words = F.lower(question), F.size(F.split(question, " "))
-    vague = low.rlike(r"\b(it|this|that|they|these|those)\b") & (words < 8)
-    ambiguous = low.rlike(r"\b(pump|valve|sensor|loop|point|controller|output)\b") & ~low.rlike(r"\b(which|what type|what kind|pid|analog|digital|control|modulating|temperature|pressure|humidity|flow)\b")
-    action = low.rlike(r"\b(how|configure|wire|install|setup|troubleshoot|connect|set|adjust|calibrate|test|check|diagnose|repair|replace)\b")
-    asks = low.rlike(r"\b(what|where|when|why|which|who)\b") | F.contains(question, F.lit("?"))
-    short = (words < 3) & ~low.rlike(r"\b(span|block|gpm|pump|valve|sensor|controller|wire|wiring|component|module|analog|digital|bacnet|niagara|kitcontrol|honeywell)\b")
+    vague = low.rlike(PRONOUN) & (words < 8)
+    ambiguous = low.rlike(AMBIGUOUS) & ~low.rlike(SPECIFIED)
+    action = low.rlike(ACTION)
+    asks = low.rlike(QUESTION_WORD) | F.contains(question, F.lit("?"))
+    short = (words < 3) & ~low.rlike(TECHNICAL_TERM)
     found = F.array(F.when(vague, F.lit("vague_pronoun")), F.when(short, F.lit("too_vague")), F.when(ambiguous, F.lit("ambiguous_term")), F.when(~action & ~asks & (words < 6), F.lit("unclear_intent")))
     return F.array_join(F.array_compact(found), ",")
 

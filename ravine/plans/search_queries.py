@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ravine.operators import analytics, expand, search
+from ravine.operators import analytics, expand, lookup, search
 from ravine.functions import text
 from ravine.plans import sql as S
+from ravine.plans.lookup_queries import _WORDS
 from ravine.plans.registry import query
 from ravine.sources.shared import spread
 from ravine.sources.tables import chunks, document_index, table
@@ -146,7 +147,7 @@ def doc_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_search(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "small ring")
 
 
-_INDEX = "idx AS (SELECT doc_id AS id, substring(string_split(text, chr(10))[1], 1, 80) AS title, substring(text, 1, 200) AS summary FROM documents)"
+_INDEX = "idx AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS summary FROM documents)"
 _PTS = " + ".join(f"(contains(lower(title), '{t}'))::INT * 3 + (contains(lower(summary), '{t}'))::INT" for t in ("heshea", "onthe"))
 
 
@@ -219,6 +220,39 @@ def contamination_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.contamination(_results(spark, sf_dir), "hardware")
 
 
-@query("SELECT doc_id AS id, substring(string_split(text, chr(10))[1], 1, 80) AS title, source AS document_type, lang AS language, n_chars AS file_size_bytes, (SELECT count(*) FROM documents WHERE lang = 'en') AS total FROM documents WHERE lang = 'en' ORDER BY id DESC LIMIT 20 OFFSET 20")
+@query("SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, source AS document_type, lang AS language, n_chars AS file_size_bytes, (SELECT count(*) FROM documents WHERE lang = 'en') AS total FROM documents WHERE lang = 'en' ORDER BY id DESC LIMIT 20 OFFSET 20")
 def list_documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.list_documents(document_index(spark, sf_dir), 2, 20, language="en").select("id", "title", "document_type", "language", "file_size_bytes", "total")
+
+
+@query(f"""WITH {S.CHUNKS}, f AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS fts_rank FROM (SELECT id, round({S.tf('content', TERMS)}, 6) AS s FROM chunks) WHERE s > 0 ORDER BY s DESC, id LIMIT 20),
+ v AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS vector_rank FROM (SELECT id, {S.cos(0)} AS s FROM chunks WHERE embedding IS NOT NULL ORDER BY id LIMIT 100) WHERE s > 0.1 ORDER BY s DESC, id LIMIT 20)
+ SELECT coalesce(f.id, v.id) AS id, round(coalesce(0.4::DOUBLE / (60 + fts_rank), 0.0) + coalesce(0.6::DOUBLE / (60 + vector_rank), 0.0), 6) AS score FROM f FULL JOIN v ON f.id = v.id ORDER BY score DESC, 1 LIMIT 10""")
+def rrf_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate cap is the feature: the first 100 chunks by id are compared by vector."""
+    return search.rrf(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS, candidates=100).select("id", "score")
+
+
+@query(f"WITH {S.CHUNKS} SELECT doc_id, page_number, id, CAST(row_number() OVER (ORDER BY doc_id, page_number, id) AS INT) AS place FROM chunks ORDER BY doc_id, page_number, id LIMIT 50")
+def expanded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 chunks in the order that an expansion is shown in."""
+    first = lookup.in_document_order(chunks(spark, sf_dir).select("doc_id", "page_number", "id")).limit(50)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("doc_id", "page_number", "id")))  # 50 rows
+
+
+@query(f"SELECT page_id AS id, CAST(round({S.tf('t', ['the', 'page'])}, 6) AS DOUBLE) AS score FROM (SELECT page_id, concat_ws(' ', regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), 'shot of the page', url) AS t FROM pages) WHERE {S.all_terms('t', ['the', 'page'])} ORDER BY score DESC, id LIMIT 10")
+def keyword_search_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary, description and caption of an image are searched together."""
+    text_ = F.concat_ws(" ", F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1), F.lit("shot of the page"), "url")
+    return search.keyword_search(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text_.alias("t")), "t", ["the", "page"], 10).select("id", "score")
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), h AS (SELECT id, len(list_filter(string_split(w, ' '), lambda x: x = 'she')) AS n FROM d WHERE contains(w, ' she ')) SELECT id, CAST(round(n / (n + 1.0), 6) AS DOUBLE) AS score FROM h ORDER BY score DESC, id LIMIT 5""")
+def api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON request and the rows of its JSON response."""
+    import json
+
+    from ravine.api import Engine
+
+    answer = json.loads(Engine(spark, sf_dir).handle('{"route": "search/keyword", "query": "the she", "top_k": 5}'))
+    return spark.createDataFrame([(r["id"], float(r["score"])) for r in answer["rows"]], "id bigint, score double")

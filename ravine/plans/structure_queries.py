@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ravine.operators import expand, folds, ingest, structure
+from ravine.operators import expand, folds, ingest, pipeline, structure
 from ravine.plans.registry import query
 from ravine.sources.tables import table
 
@@ -193,3 +193,21 @@ def dedupe_gap_5s(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT label, n, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 5 THEN 12 ELSE 99 END AS INT) AS level FROM (SELECT k, CASE k WHEN 0 THEN 'Title' WHEN 1 THEN 'section-2-x' WHEN 2 THEN 'Heading' WHEN 3 THEN 'text' WHEN 4 THEN 'list-3' ELSE 'heading-12-4' END AS label, count(*) AS n FROM (SELECT event_id % 6 AS k FROM events) GROUP BY k)")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(_labels("event_id").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("level", ingest.heading_level(F.col("label")))
+
+
+@query(r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>|<p(?:\s[^>]*)?>.*?</p>|<li(?:\s[^>]*)?>.*?</li>')) AS e FROM pages), n AS (SELECT page_id, regexp_extract(e, '^<(h[1-6]|p|li)', 1) AS tag, trim(regexp_replace(regexp_replace(e, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM e)
+ SELECT page_id AS doc_id, CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item' ELSE 'section-' || substring(tag, 2, 1) || '-header' END AS label, text, count(*) AS n FROM n GROUP BY 1, 2, 3""")
+def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = pipeline.html_items(table(spark, sf_dir, "pages"))
+    return items.groupBy("doc_id", "label", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def hierarchy_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phase over all documents; each phase has its own query and SQL, the whole is tested on
+    literal documents."""
+    made = pipeline.hierarchy(_elements(spark, sf_dir))
+    sections = made["sections"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"))
+    chunks = made["chunks"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("characters"))
+    pages = made["page_index"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    return chunks.join(sections, "doc_id", "left").join(pages, "doc_id", "left").fillna(0)

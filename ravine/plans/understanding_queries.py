@@ -43,7 +43,7 @@ def _case(expr: str, rules, default: str) -> str:
 
 _TYPE = _case("question", U.TYPES, "general")
 _MODE = f"CASE WHEN {S.any_of('question', U.CONCEPTUAL)} AND NOT contains(lower(question), 'how to') AND NOT contains(lower(question), 'how do i') THEN 'conceptual' ELSE {_case('question', U.MODES, 'conceptual')} END"
-_KIND_HITS = " + ".join(f"(contains(lower(substring(question, 1, 40)), '{w}'))::INT + (contains(lower(question), '{w}'))::INT" for w in U.TECHNICAL)
+_KIND_HITS = " + ".join(f"(contains(lower(string_split(question, chr(10))[1]), '{w}'))::INT + (contains(lower(question), '{w}'))::INT" for w in U.TECHNICAL)
 
 
 @query(f"""WITH {_Q}, t AS (SELECT *, {_MODE} AS mode, {_TYPE} AS query_type, CASE WHEN {_KIND_HITS} >= 3 THEN 'technical' WHEN {_KIND_HITS} >= 1 THEN 'mixed' ELSE 'prose' END AS kind FROM q),
@@ -51,7 +51,7 @@ _KIND_HITS = " + ".join(f"(contains(lower(substring(question, 1, 40)), '{w}'))::
  SELECT {_KEY}, mode, query_type, kind, semantic, round(1.0::DOUBLE - semantic, 6) AS keyword FROM w""")
 def query_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
-    t = _questions(spark, sf_dir).withColumns({"mode": U.mode(q), "query_type": U.query_type(q), "kind": U.document_kind(F.substring(q, 1, 40), q)})
+    t = _questions(spark, sf_dir).withColumns({"mode": U.mode(q), "query_type": U.query_type(q), "kind": U.document_kind(F.split(q, "\n")[0], q)})
     semantic, keyword = U.weights(F.col("kind"), F.col("query_type"))
     return t.select("conv_id", "turn", "mode", "query_type", "kind", semantic.alias("semantic"), keyword.alias("keyword"))
 

@@ -31,11 +31,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog: id, title (first line), summary, type, language, hash and size."""
+    """The catalog: id, title (the first line), summary (the text stands in), type, language, hash and size."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring(F.split("text", "\n")[0], 1, 80).alias("title"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.split("text", "\n")[0].alias("title"),
+        F.col("text").alias("summary"),
         F.col("source").alias("document_type"),
         F.col("lang").alias("language"),
         F.sha2(F.col("text"), 256).alias("file_hash"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravine.functions import formats, grammar, rank, text, vector
-from ravine.operators import analytics, answers, expand, ingest, providers, search, state, structure, understanding as U
+from ravine.operators import analytics, answers, expand, ingest, pipeline, providers, search, state, structure, understanding as U
 from ravine.sources import tables
 
 
@@ -214,3 +214,32 @@ def test_entities(spark):
     m = spark.createDataFrame([(1, 0, "user", "The System Database and JACE. The JACE works")], "session_id int, message_index int, role string, content string")
     got = {r.entity: r.n for r in answers.frequent_entities(m).collect()}
     assert got["jace"] == 2 and got["the system database"] == 1 and got["the jace"] == 1 and got["system database"] == 1
+
+
+def test_hierarchy_of_a_document(spark):
+    t = "useful words " * 15
+    rows = [(1, 0, 0, "section_header", "Contents of this book"), (1, 0, 1, "text", "..... 4"), (1, 1, 2, "section_header", "1 First steps here"), (1, 1, 3, "text", t), (1, 2, 4, "section_header", "1.1 Backup of stations"), (1, 2, 5, "text", t + "restore"), (1, 3, 6, "text", t)]
+    e = spark.createDataFrame(rows, "doc_id long, page_no int, idx int, type string, text string")
+    assets = spark.createDataFrame([(7, 1, 2, "image"), (8, 1, 3, "table")], "asset_id long, doc_id long, page_no int, kind string")
+    made = pipeline.hierarchy(e, assets=assets)
+    s = {r.section_id: r for r in made["sections"].collect()}
+    assert [(s[k].title, s[k].level, s[k].parent_section_id, s[k].path) for k in sorted(s)] == [("1 First steps here", 1, None, "1 First steps here"), ("1.1 Backup of stations", 2, "sec_0000", "1 First steps here > 1.1 Backup of stations")]
+    c = sorted(made["chunks"].collect(), key=lambda r: r.chunk_no)
+    assert [(r.section_id, r.page_no, r.n_elements) for r in c] == [("sec_0000", 1, 2), ("sec_0001", 2, 3)] and "provisioning" in c[1].topics
+    assert {(r.asset_id, r.section_id) for r in made["assets"].collect()} == {(7, "sec_0001"), (8, None)}
+    assert {(r.page_no, r.chunk_count, r.has_images, r.has_tables) for r in made["page_index"].collect()} == {(1, 1, False, False), (2, 1, True, False)}
+    marks = spark.createDataFrame([(1, 0, "FIRST steps", 1, 9), (1, 1, "Appendix", 1, 3)], "doc_id long, idx int, title string, level int, page int")
+    named = pipeline.sections(e, marks).orderBy("section_id").collect()
+    assert [(r.title, r.start_page) for r in named] == [("FIRST steps", 1), ("Appendix", 3)]
+
+
+def test_requests(spark):
+    import json
+
+    from ravine.api import Engine
+
+    engine = Engine(spark, "/root/testdata/sf0.001")
+    found = json.loads(engine.handle({"route": "documents", "page_size": 3, "language": "en"}))["rows"]
+    assert len(found) == 3 and all(r["language"] == "en" for r in found)
+    assert "error" in json.loads(engine.handle('{"route": "nowhere"}')) and "error" in json.loads(engine.handle("no json"))
+    assert json.loads(engine.handle({"route": "jobs/stats"}))["rows"][0]["total"] == 1500
