@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,12 +18,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the cluster set it.
 
-    Only where the session has none (or Spark's local default) and runs in one process, as in
-    tests, a folder of this machine is made, once a session; a cluster must name one.
+    Only where the session has none and runs in one process, as in tests, a folder of this machine
+    is made, once a session; a cluster must name one.
     """
     at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    local = master == "local" or master.startswith("local[")
-    if local and (not at or at == "/tmp/checkpoints"):
+    if not at and (master == "local" or master.startswith("local[")):
         at = spark.conf.get("ravine.shared.dir", None) or tempfile.mkdtemp(prefix="ravine-")
         spark.conf.set("ravine.shared.dir", at)
     if not at:
@@ -30,9 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def recorded():
+    """The scratch paths that this thread makes inside, as a list; so that superseded ones can go."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, made = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", _made.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -61,11 +78,6 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(F.lit(17), *(F.col(c) for c in cols))
 
 
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns of these names, which an operator is about to add."""
-    return df.drop(*names)
-
-
 def n_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over the whole table."""
     return df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
