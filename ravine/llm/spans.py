@@ -166,9 +166,13 @@ def texts(column: pa.Array) -> list[np.ndarray]:
     """The UTF-8 bytes of each text (null: none), without a copy."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    binary = column.cast(pa.large_binary())
-    _, offsets, data = binary.buffers()
-    at = np.frombuffer(offsets, np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not large and not (pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
+        column, large = column.cast(pa.large_binary()), True
+    _, offsets, data = column.buffers()
+    if offsets is None:
+        return [np.empty(0, np.uint8)] * len(column)
+    at = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     return [raw[a:b] if v else raw[:0] for a, b, v in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist())]

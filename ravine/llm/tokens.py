@@ -37,9 +37,9 @@ CHUNK_IDS = 1 << 19
 MAGIC, END = b"RVS8", "RVS8-END"
 _HEAD = struct.Struct("<4sIQIQ")
 #: Entries of a worker's table of encoded pieces, after which it starts anew.
-PIECES = 2_000_000
+PIECES = 1_000_000
 #: Bytes of texts that are encoded together.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 
 # Where the tokenizer's own pre-tokenizer has a boundary in any case: between a character that isn't
 # white space and a space or line feed, and between a letter and a punctuation mark. Of characters
@@ -211,8 +211,8 @@ class Encoder:
     """Encodes texts piece by piece; pieces seen before come from a table.
 
     The library encodes every piece. Pieces end where its own pre-tokenizer has a boundary in any
-    case, so the ids are those of the whole text. A piece is known by a 64-bit hash, its length and
-    its first bytes. With ``added``, the strings of the vocabulary's added tokens are these tokens,
+    case, so the ids are those of the whole text. A piece is known by a 64-bit hash and a second one
+    of its length and first bytes. With ``added``, the strings of the vocabulary's added tokens are these tokens,
     as by the library's default; else they are ordinary text.
     """
 
@@ -232,10 +232,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        #: Hashes in order, each with the number of its piece; the pieces' marks, and their ids one after another.
-        self.keys, self.piece = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.marks = np.empty((0, 2), np.uint64)
-        self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        #: Hashes in order, each with the number of its piece; the pieces' second hashes, and their ids one after another.
+        self.keys, self.piece = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.marks = np.empty(0, np.uint64)
+        self.begin, self.ids = np.zeros(1, np.int32), np.empty(0, np.uint16 if len(self.sizes) <= 1 << 16 else np.uint32)
 
     def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
         out = []
@@ -275,11 +275,11 @@ class Encoder:
     def _learn(self, keys: np.ndarray, marks: np.ndarray, pieces: list[bytes]) -> None:
         ids, counts = self.encode(pieces)
         at = np.searchsorted(self.keys, keys)
-        self.piece = np.insert(self.piece, at, len(self.marks) + np.arange(len(keys)))
+        self.piece = np.insert(self.piece, at, np.arange(len(self.marks), len(self.marks) + len(keys), dtype=np.int32))
         self.keys = np.insert(self.keys, at, keys)
         self.marks = np.concatenate([self.marks, marks])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, ids])
+        self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum(counts)).astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
 
     def __call__(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The ids of each text (UTF-8 bytes)."""
@@ -326,7 +326,7 @@ class Encoder:
         lead = np.lib.stride_tricks.sliding_window_view(lead, 8)[starts].copy().view(np.uint64)[:, 0]
         lead &= ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - np.minimum(length, np.uint64(8))))
         keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-        marks = np.stack([length, lead], axis=1)
+        marks = S.mix(S.mix(lead) + length)
         if len(self.keys) + len(keys) > PIECES:
             self._clear()
         near = np.searchsorted(self.keys, keys)
@@ -337,19 +337,19 @@ class Encoder:
             self._learn(keys[new], marks[first[new]], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
             near = np.searchsorted(self.keys, keys)
         piece = self.piece[near][of]
-        other = (self.marks[piece] != marks).any(axis=1)  # another piece of the same hash
-        counts = np.diff(self.begin)[piece]
-        begin = self.begin[piece]
+        other = self.marks[piece] != marks  # another piece of the same hash
+        begin = self.begin[piece].astype(np.int64)
+        counts = self.begin[piece + 1] - begin
         if other.any() or special:
             odd = dict.fromkeys(np.flatnonzero(other).tolist()) | special
             parts = dict(zip(odd, self._alone([raw[starts[i] : stops[i]] for i in odd])))
             parts |= {i: np.array([t], np.uint32) for i, t in special.items()}
-            flat = np.concatenate([self.ids, *(parts[i] for i in odd)])
+            flat = np.concatenate([self.ids.astype(np.uint32), *(parts[i] for i in odd)])
             sizes = np.array([len(parts[i]) for i in odd])
             counts[list(odd)], begin[list(odd)] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
         else:
             flat = self.ids
-        return flat[np.repeat(begin, counts) + _ranges(counts)], counts
+        return flat[np.repeat(begin, counts) + _ranges(counts)].astype(np.uint32), counts
 
 
 def _ranges(counts: np.ndarray) -> np.ndarray:
