@@ -299,15 +299,36 @@ def keyed(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
     return out if name else out.drop("__key")
 
 
+def _frequent(code: Callable, gram: int):
+    """Rows (did, rk, text) to (gram, n): the more frequent grams of each batch of tokens, and under
+    gram null the number of all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = [code(t) for t in texts(b.column(2))]
+            for batch in pieces([len(c) for c in coded], gram - 1):
+                hashes = [Sums(coded[i][a:z]).each(gram) for i, a, z in batch if z - a >= gram]
+                if hashes:
+                    found, n = np.unique(np.concatenate(hashes), return_counts=True)
+                    many = n >= max(4, int(n.sum()) // (4 * COMMON_SHARE))
+                    yield pa.RecordBatch.from_arrays([pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[many].tolist(), int(n.sum())], pa.int64())], names=["gram", "n"])
+
+    return count
+
+
 def common_grams(rows: DataFrame, code: Callable, length: int, gram: int) -> Common:
-    """Grams with a COMMON_SHARE-th of a sample's segments or more.
+    """Grams that have a COMMON_SHARE-th of a sample's tokens, or of its segments, or more.
 
-    Where common grams come last, others take their windows (as in text of two words in turn), so
-    the sample is looked at again with those found, until a round finds no more.
+    Where common grams come last others take their windows, so the sample is looked at again with
+    those found, until a round finds no more.
     """
     n = rows.count()
     sample = materialize(rows.sample(min(1.0, COMMON_DOCS / max(n, 1)), seed=1), "sample")
-    common = Common(np.empty(0, _U))
+    some = sample.filter(F.pmod(F.xxhash64("rk"), F.lit(4)) == 0) if n > COMMON_DOCS else sample
+    counts = some.mapInArrow(_frequent(code, gram), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter((F.col("n") >= 20) | F.col("gram").isNull()).collect()
+    total = max((r.n for r in counts if r.gram is None), default=0)
+    often = [r.gram for r in counts if r.gram is not None and r.n >= total // COMMON_SHARE]  # COMMON_SHARE at most
+    common = Common(np.array(often, np.int64).view(_U))
     for _ in range(ROUNDS):
         grams = sample.mapInArrow(finder(code, length, gram, length, common), SEGMENT).rollup("gram").agg(F.sum(times()).alias("n"), F.max(is_common()).alias("known"))
         rows_ = grams.filter((F.col("n") >= 20) & ~F.col("known") | F.col("gram").isNull()).collect()  # a twentieth of the sample's segments at most
