@@ -25,8 +25,14 @@ def where(**equal) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isin(*v) if isinstance(v, (list, tuple)) else F.col(k) == v for k, v in equal.items() if v is not None], F.lit(True))
 
 
-def top(df: DataFrame, score: str, k: int, id_: str = "id") -> DataFrame:
-    return df.orderBy(F.col(score).desc_nulls_last(), F.col(id_)).limit(k)
+def top(df: DataFrame, score: str, k: int, id_: str = "id", above: float | None = None) -> DataFrame:
+    """The k best rows; ``above``: of these, those with a higher score (null: none).
+
+    The condition comes after the limit, where the same rows meet it: before, the score's whole
+    expression would be worked out once for the filter and again for the rows.
+    """
+    out = df.orderBy(F.col(score).desc_nulls_last(), F.col(id_)).limit(k)
+    return out if above is None else out.filter(F.col(score) > above)
 
 
 def ranked(df: DataFrame, score: str, out: str = "rank", by: tuple[str, ...] = (), id_: str = "id") -> DataFrame:
@@ -36,7 +42,7 @@ def ranked(df: DataFrame, score: str, out: str = "rank", by: tuple[str, ...] = (
 def vector_search(chunks: DataFrame, query: list[float], threshold: float = 0.3, k: int = 10, **equal) -> DataFrame:
     """Cosine top-k above a strict threshold; rows without an embedding never match."""
     scored = chunks.filter(where(**equal) & F.col("embedding").isNotNull()).withColumn("similarity", F.round(vector.cosine_to(F.col("embedding"), query), 6))
-    return top(scored.filter(F.col("similarity") > threshold), "similarity", k)
+    return top(scored, "similarity", k, above=threshold)
 
 
 def match_documents(chunks: DataFrame, query: list[float], doc_id: object = None, match_threshold: float = 0.3, match_count: int = 10) -> DataFrame:
@@ -122,7 +128,7 @@ def hybrid(chunks: DataFrame, query: list[float], terms: list[str], semantic: fl
     keyed = F.when(rank.all_terms(F.col("__w"), terms), rank.tf_norm(F.col("__w"), terms))
     scored = rows.withColumns({"semantic_score": F.round(vector.cosine_to(F.col("embedding"), query), 6), "keyword_score": F.round(F.coalesce(keyed, F.lit(0.0)), 6)}).drop("__w")
     scored = scored.withColumn("combined_score", F.round(semantic * F.col("semantic_score") + keyword * F.col("keyword_score"), 6))
-    return top(scored.filter(F.col("combined_score") > threshold), "combined_score", k)
+    return top(scored, "combined_score", k, above=threshold)
 
 
 def hybrid_topics(chunks: DataFrame, query: list[float], terms: list[str], include: list[str] | None = None, exclude: list[str] | None = None, semantic: float = 0.5, keyword: float = 0.5, k: int = 10) -> DataFrame:
@@ -193,7 +199,7 @@ def keyword_search(df: DataFrame, column: str, terms: list[str], k: int = 20, an
     """Rows with all (or any) terms, by normalised term frequency."""
     rows = df.withColumn("__w", text.spaced(column))
     found = rank.any_term(F.col("__w"), terms) if any_ else rank.all_terms(F.col("__w"), terms)
-    return top(rows.filter(found).withColumn("score", F.round(rank.tf_norm(F.col("__w"), terms), 6)).drop("__w"), "score", k)
+    return top(rows.withColumn("score", F.when(found, F.round(rank.tf_norm(F.col("__w"), terms), 6))).drop("__w"), "score", k, above=-1)
 
 
 def bm25_search(df: DataFrame, column: str, terms: list[str], k: int = 10) -> DataFrame:
@@ -228,10 +234,12 @@ def route(index: DataFrame, query: str, n: int = 3) -> DataFrame:
     One pass gives every row its stage, and the least stage that has rows is kept.
     """
     terms = [t for t in query.lower().split() if t]
-    stage = F.when(rank.any_term(text.spaced("summary"), terms), 1).when(text.contains_any("title", terms), 2).otherwise(3)
-    points = sum((F.contains(F.lower("title"), F.lit(t)).cast("int") * 3 + F.contains(F.lower("summary"), F.lit(t)).cast("int") for t in terms), F.lit(0))
-    whole = F.contains(F.lower(F.concat_ws(" ", "title", "summary")), F.lit(query.lower())).cast("int") * 5
-    scored = index.select("id", stage.alias("stage"), (points + whole).alias("points"))
+    low = index.select("id", F.lower("title").alias("t"), F.lower("summary").alias("s"), text.spaced("summary").alias("w"))
+    in_title = {t: F.contains("t", F.lit(t)) for t in terms}
+    stage = F.when(rank.any_term(F.col("w"), terms), 1).when(reduce(lambda a, b: a | b, in_title.values(), F.lit(False)), 2).otherwise(3)
+    points = sum((in_title[t].cast("int") * 3 + F.contains("s", F.lit(t)).cast("int") for t in terms), F.lit(0))
+    whole = F.contains(F.concat_ws(" ", "t", "s"), F.lit(query.lower())).cast("int") * 5
+    scored = low.select("id", stage.alias("stage"), (points + whole).alias("points"))
     best = top(scored.orderBy("stage", F.col("points").desc(), "id").limit(2 * n), "points", 2 * n)
     least = best.agg(F.min("stage").alias("least"))
     return best.join(F.broadcast(least), F.col("stage") == F.col("least")).orderBy(F.col("points").desc(), "id").limit(n).drop("least")
@@ -251,8 +259,8 @@ def cached_answer(cache: DataFrame, question: str, doc: str, query: list[float]
 def web_search(df: DataFrame, column: str, query: str, k: int = 20) -> DataFrame:
     """Rows that meet a query of the search grammar, by normalised frequency of its stems."""
     parsed = grammar.parse(query)
-    found = df.withColumn("__words", grammar.words(column)).filter(grammar.matches(F.col("__words"), parsed))
-    return top(found.withColumn("score", F.round(grammar.rank(F.col("__words"), parsed), 6)).drop("__words"), "score", k)
+    rows, words = df.withColumn("__words", grammar.words(column)), F.col("__words")
+    return top(rows.withColumn("score", F.when(grammar.matches(words, parsed), F.round(grammar.rank(words, parsed), 6))).drop("__words"), "score", k, above=-1)
 
 
 def tagged(column: str, tag: str) -> Column:

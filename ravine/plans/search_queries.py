@@ -49,7 +49,7 @@ _HYBRID = f"""s AS (SELECT id, {S.cos(0)} AS semantic_score, round(CASE WHEN {S.
 
 @query(f"WITH {S.CHUNKS}, {_HYBRID}, t AS (SELECT *, round(0.7 * semantic_score + 0.3 * keyword_score, 6) AS combined_score FROM s) SELECT id, semantic_score, CAST(keyword_score AS DOUBLE) AS keyword_score, CAST(combined_score AS DOUBLE) AS combined_score FROM t WHERE combined_score > 0 ORDER BY combined_score DESC, id LIMIT 10")
 def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS).select("id", "semantic_score", "keyword_score", "combined_score")
+    return search.hybrid(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS).select("id", "semantic_score", "keyword_score", "combined_score")
 
 
 def _topics(include: list[str], exclude: list[str], k: int = 10) -> str:
@@ -65,18 +65,18 @@ def _topics(include: list[str], exclude: list[str], k: int = 10) -> str:
 
 @query(_topics(INCLUDE, []))
 def hybrid_topic_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_topics(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS, INCLUDE)
+    return search.hybrid_topics(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS, INCLUDE)
 
 
 @query(_topics([], EXCLUDE))
 def hybrid_topic_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid_topics(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS, None, EXCLUDE)
+    return search.hybrid_topics(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS, None, EXCLUDE)
 
 
 @query(f"""WITH {S.CHUNKS}, s AS (SELECT id, doc_id AS source, CAST(round(0.5 * list_cosine_similarity(embedding, {S.q(0)}) + 0.5 * {S.tf('content', TERMS)}, 6) AS DOUBLE) AS score FROM chunks WHERE doc_id IN ('src0', 'src1', 'src2') AND embedding IS NOT NULL),
  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5 ORDER BY score DESC, id LIMIT 15""")
 def hybrid_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.multi_source(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS, SOURCES)
+    return search.multi_source(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS, SOURCES)
 
 
 @query(f"""WITH {S.CHUNKS}, f AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS fts_rank FROM (SELECT id, round({S.tf('content', TERMS)}, 6) AS s FROM chunks) WHERE s > 0 ORDER BY s DESC, id LIMIT 20),
@@ -84,7 +84,7 @@ def hybrid_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT coalesce(f.id, v.id) AS id, fts_rank, vector_rank, round(coalesce(0.4::DOUBLE / (60 + fts_rank), 0.0) + coalesce(0.6::DOUBLE / (60 + vector_rank), 0.0), 6) AS score,
  CASE WHEN f.id IS NULL THEN 'vector' WHEN v.id IS NULL THEN 'fts' ELSE 'both' END AS match_type FROM f FULL JOIN v ON f.id = v.id ORDER BY score DESC, 1 LIMIT 10""")
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.rrf(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS)
+    return search.rrf(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS)
 
 
 @query("""WITH s AS (SELECT q.vec_id - q.vec_id % 100 AS group_id, CAST(q.vec_id % 100 AS INT) AS variant, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 < 5),
@@ -107,9 +107,9 @@ def merged_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.merged_golden(lists.select("query_id", "id", F.col("similarity").alias("score")))
 
 
-@query(f"WITH {S.CHUNKS} SELECT id, {S.cos(2)} AS similarity FROM chunks WHERE doc_id = 'src1' AND embedding IS NOT NULL AND {S.cos(2)} > 0.3 ORDER BY similarity DESC, id LIMIT 10")
+@query(f"WITH {S.CHUNKS} SELECT id, {S.cos(2)} AS similarity FROM chunks WHERE doc_id = 'src1' AND embedding IS NOT NULL AND {S.cos(2)} > 0.05 ORDER BY similarity DESC, id LIMIT 10")
 def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match_documents(chunks(spark, sf_dir), vector(spark, sf_dir, 2), "src1").select("id", "similarity")
+    return search.match_documents(chunks(spark, sf_dir), vector(spark, sf_dir, 2), "src1", 0.05).select("id", "similarity")
 
 
 @query(f"SELECT doc_id AS id, CAST(round({S.tf('text', TERMS)}, 6) AS DOUBLE) AS score FROM documents WHERE {S.all_terms('text', TERMS)} ORDER BY score DESC, id LIMIT 20")
@@ -205,7 +205,7 @@ _RESULTS = f"r AS (SELECT 0 AS query_id, id, final_score AS score, row_number()
 
 
 def _results(spark, sf_dir):
-    found = search.ranked(search.hybrid_topics(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS, INCLUDE), "final_score").select("id", F.col("final_score").alias("score"), "rank", F.lit(0).alias("query_id"))
+    found = search.ranked(search.hybrid_topics(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS, INCLUDE), "final_score").select("id", F.col("final_score").alias("score"), "rank", F.lit(0).alias("query_id"))
     return found.join(chunks(spark, sf_dir).select("id", "topic", "topics"), "id")
 
 
@@ -230,7 +230,7 @@ def list_documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT coalesce(f.id, v.id) AS id, round(coalesce(0.4::DOUBLE / (60 + fts_rank), 0.0) + coalesce(0.6::DOUBLE / (60 + vector_rank), 0.0), 6) AS score FROM f FULL JOIN v ON f.id = v.id ORDER BY score DESC, 1 LIMIT 10""")
 def rrf_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate cap is the feature: the first 100 chunks by id are compared by vector."""
-    return search.rrf(chunks(spark, sf_dir), vector(spark, sf_dir), TERMS, candidates=100).select("id", "score")
+    return search.rrf(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS, candidates=100).select("id", "score")
 
 
 @query(f"WITH {S.CHUNKS} SELECT doc_id, page_number, id, CAST(row_number() OVER (ORDER BY doc_id, page_number, id) AS INT) AS place FROM chunks ORDER BY doc_id, page_number, id LIMIT 50")

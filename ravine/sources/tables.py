@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ravine.sources.shared import spread
+
 #: The topics in their declared order.
 TOPICS = ["system_database", "multi_tier_architecture", "graphics", "provisioning", "troubleshooting", "configuration", "hardware", "hvac_systems", "energy_management", "integration"]
 
@@ -12,9 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table: id, doc_id, content, page_number, section_id, topic, topics, embedding."""
+def chunks(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The chunk table: id, doc_id, content, page_number, section_id, topic, topics, embedding.
+
+    ``dealt``: for work on the texts, over all cores (see ``spread``).
+    """
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    d = spread(d, "doc_id") if dealt else d
     names = F.array(*map(F.lit, TOPICS))
     topic = F.get(names, F.col("label"))
     return d.join(e, d.doc_id == e.vec_id, "left").select(
@@ -32,7 +38,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog: id, title (the first line), summary (the text stands in), type, language, hash and size."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         F.split("text", "\n")[0].alias("title"),
         F.col("text").alias("summary"),
