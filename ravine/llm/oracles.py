@@ -103,4 +103,16 @@ FROM m LEFT JOIN limits l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS
 
 QUALITY = _quality()
 
-ORACLES: dict[str, str] = {"op2_warc": WARC, "op4_suffix_array": SUFFIXES, "op6_fm_index": FM_INDEX, "op9_quality_rules": QUALITY}
+_ESCAPED = r"replace(replace(replace(replace({0}, '\', '\\'), '<', '\l'), '[', '\o'), ']', '\c')"
+
+CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, md5(text))) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(10 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": WARC, "op4_suffix_array": SUFFIXES, "op6_fm_index": FM_INDEX, "op9_quality_rules": QUALITY, "op13_chat": CHAT}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravine.llm import fmindex, mixing, nbsvm, oracles, quality, sharding, simhash, suffixes, templates, tokens, warc
+from ravine.llm import chat, fmindex, mixing, nbsvm, oracles, quality, sharding, simhash, suffixes, templates, tokens, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,8 +53,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaked_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_warc, op3_token_ids, op4_suffix_array, op5_simhash, op6_fm_index, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_decontamination)
+    for f in (op1_sharding, op2_warc, op3_token_ids, op4_suffix_array, op5_simhash, op6_fm_index, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_decontamination, op11_whitening, op13_chat)
 }
 ORACLES: dict[str, str] = oracles.ORACLES
