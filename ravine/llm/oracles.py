@@ -115,4 +115,41 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM c GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_warc": WARC, "op4_suffix_array": SUFFIXES, "op6_fm_index": FM_INDEX, "op9_quality_rules": QUALITY, "op13_chat": CHAT}
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, four bits at a time."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    nibbles = f"flatten([[ascii(c) & 15, ascii(c) >> 4] for c in string_split({text}, '')])"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {nibbles}), lambda a, n: xor(list_extract({table}::BIGINT[], (xor(a, n::BIGINT) & 15) + 1), a >> 4)))"
+
+
+def _batch(day: str) -> str:
+    return f"greatest(0, least(10 - 1, floor(({day} - 19723) * 10 / 152)))::INTEGER"
+
+
+_DAY = "date_diff('day', DATE '1970-01-01', {}::DATE)"
+
+VALID_TIME = f"""
+WITH s AS (SELECT *, row_number() OVER () AS rid, {_batch(_DAY.format("arrived_at"))} AS batch FROM sales),
+c AS (SELECT *, {_batch(_DAY.format("valid_at") + " + coalesce(delay, 0)")} AS batch, floor(100 * balance + 0.5)::BIGINT AS cents
+      FROM (SELECT DISTINCT change_id, client_id, seq, op, valid_at, source, segment, city, balance, {_crc32("change_id::VARCHAR")} % 4 AS delay FROM client_changes WHERE valid_at IS NOT NULL)),
+marks AS (SELECT b, (SELECT max(sold_at) FROM s WHERE batch < b) - INTERVAL 36 HOUR AS ws, (SELECT max(valid_at) FROM c WHERE batch < b) - INTERVAL 36 HOUR AS wc FROM range(10) t(b)),
+h AS (SELECT b, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM marks),
+late AS (SELECT c.* FROM c JOIN marks ON batch = b WHERE valid_at < wc),
+on_time AS (SELECT c.* FROM c JOIN marks ON batch = b WHERE client_id IS NOT NULL AND coalesce(valid_at >= wc, true)),
+passed AS (SELECT *, greatest(batch, coalesce((SELECT min(b) FROM h WHERE valid_at <= h), 99)) AS q FROM on_time),
+v AS (SELECT *, greatest(batch, coalesce(min(q) OVER (PARTITION BY client_id ORDER BY valid_at, seq NULLS FIRST, change_id NULLS FIRST ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 99)) AS pruned FROM passed),
+e AS (SELECT *, CASE WHEN sold_at IS NULL THEN batch ELSE coalesce((SELECT min(b) FROM h WHERE b >= s.batch AND sold_at < h), 10) END AS emitted FROM s),
+found AS (SELECT rid, any_value(e.sale_id) AS id, any_value(emitted) AS batch, count(v.batch) AS n_held,
+                 max({{'valid_at': valid_at, 'seq': seq, 'change_id': change_id, 'cents': cents, 'op': op}}) FILTER (valid_at <= sold_at) AS last
+          FROM e LEFT JOIN v ON e.client_id = v.client_id AND v.batch <= emitted AND pruned >= emitted GROUP BY rid)
+SELECT 'sale' AS rec, id, batch::BIGINT AS batch, n_held::BIGINT AS n_held, last.change_id AS change_id, last.cents AS balance_cents, last.op AS op FROM found
+UNION ALL
+SELECT 'late', change_id, batch::BIGINT, NULL, NULL, NULL, NULL FROM late
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": WARC, "op4_suffix_array": SUFFIXES, "op6_fm_index": FM_INDEX, "op9_quality_rules": QUALITY, "op12_valid_time": VALID_TIME, "op13_chat": CHAT}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravine.llm import chat, fmindex, mixing, nbsvm, oracles, quality, sharding, simhash, suffixes, templates, tokens, warc, whitening
+from ravine.llm import chat, fmindex, mixing, nbsvm, oracles, quality, sharding, simhash, suffixes, templates, tokens, valid_time, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_time.enrich_sales(_read(spark, sf_dir, "sales"), _read(spark, sf_dir, "client_changes"))
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(_read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_warc, op3_token_ids, op4_suffix_array, op5_simhash, op6_fm_index, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_decontamination, op11_whitening, op13_chat)
+    for f in (op1_sharding, op2_warc, op3_token_ids, op4_suffix_array, op5_simhash, op6_fm_index, op7_mixing, op8_quality_classifier, op9_quality_rules, op10_decontamination, op11_whitening, op12_valid_time, op13_chat)
 }
 ORACLES: dict[str, str] = oracles.ORACLES
