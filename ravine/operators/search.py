@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.functions import grammar, rank, text, vector
+from ravine.operators import vector_index
 from ravine.sources.shared import materialize
 
 #: Queries of a batch whose vectors a pass over the chunks takes.
@@ -50,55 +50,13 @@ def match_documents(chunks: DataFrame, query: list[float], doc_id: object = None
     return vector_search(chunks, query, match_threshold, match_count, doc_id=doc_id)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows; of another length, or null: zeros."""
-    vectors = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in column.to_pylist()]
-    width = max((len(v) for v in vectors), default=0)
-    return np.array([v if len(v) == width else np.zeros(width) for v in vectors]).reshape(len(vectors), width)
-
-
-def _nearest(ids: np.ndarray, units: np.ndarray, k: int):
-    """Rows (id, embedding) to the task's k nearest of each query: (query_id, id, similarity)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, of = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                x = _matrix(part.column(1))
-                if not len(x) or x.shape[1] != units.shape[1]:
-                    continue
-                norm = np.sqrt((x * x).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    near = np.round(units @ x.T / norm, 6)
-                near[:, norm == 0] = -np.inf
-                both = np.concatenate([best, near], axis=1)
-                keys = np.concatenate([of, np.broadcast_to(part.column(0).to_numpy(), near.shape)], axis=1)
-                order = np.lexsort((keys, -both), axis=1)[:, :k]
-                best, of = np.take_along_axis(both, order, axis=1), np.take_along_axis(keys, order, axis=1)
-        some = np.isfinite(best)
-        query = np.broadcast_to(ids[:, None], best.shape)[some]
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(of[some]), pa.array(best[some])], names=["query_id", "id", "similarity"])
-
-    return scan
-
-
 def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
     """The k nearest chunks (id, embedding) of every query (query_id, embedding), with their rank.
 
-    Queries go in blocks of bounded size: a pass over the chunks multiplies them with a block's
-    matrix and keeps each task's k best, which are then merged by query.
+    Exact: all blocks of rows meet all blocks of queries, on the executors (see ``vector_index.nearest``).
     """
-    asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    blocks = max(1, -(-asked.count() // block))
-    rows, found = chunks.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding"), None
-    for i in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").toArrow()  # about ``block`` rows
-        ids, x = part.column("query_id").to_numpy(), _matrix(part.column("embedding"))
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        near = rows.mapInArrow(_nearest(ids[norm[:, 0] > 0], x[norm[:, 0] > 0] / norm[norm[:, 0] > 0], k), "query_id bigint, id bigint, similarity double")
-        found = near if found is None else found.unionByName(near)
-    return ranked(found, "similarity", by=("query_id",)).filter(F.col("rank") <= k)
+    whole = lambda df, id_: df.filter("embedding is not null").select(F.col(id_).cast("long").alias(id_), "embedding", F.lit(0).alias("list"))
+    return vector_index.nearest(whole(chunks, "id"), whole(queries, "query_id"), k, block)
 
 
 def best_of(df: DataFrame, scores: list[str], k: int, id_: str = "id") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ravine.operators import analytics, expand, lookup, search
+from ravine.operators import analytics, expand, lookup, search, vector_index
 from ravine.functions import text
 from ravine.plans import sql as S
 from ravine.plans.lookup_queries import _WORDS
 from ravine.plans.registry import query
-from ravine.sources.shared import spread
+from ravine.sources.shared import scratch, spread
 from ravine.sources.tables import chunks, document_index, table
 
 TERMS = ["that", "with"]
@@ -256,3 +256,22 @@ def api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     answer = json.loads(Engine(spark, sf_dir).handle('{"route": "search/keyword", "query": "the she", "top_k": 5}'))
     return spark.createDataFrame([(r["id"], float(r["score"])) for r in answer["rows"]], "id bigint, score double")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    return vector_index.build(_chunk_vectors(spark, sf_dir), scratch(spark, "vector-index"))
+
+
+@query()
+def vector_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 100, through the index: approximate, so without SQL."""
+    e = _chunk_vectors(spark, sf_dir)
+    return _index(spark, sf_dir).batch(e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10)
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+ FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every list probed: exact."""
+    index, e = _index(spark, sf_dir), _chunk_vectors(spark, sf_dir)
+    return index.batch(e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 10, probes=len(index.centroids))
