@@ -192,8 +192,14 @@ class Segments(StatefulProcessor):
 
 @contextmanager
 def _state_store(spark: SparkSession):
-    """MapState needs the RocksDB store; its changes are kept batch by batch."""
-    want = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.changelogCheckpointing.enabled": "true"}
+    """MapState needs the RocksDB store; its changes are kept batch by batch, its files take the disk that
+    they fill, and the stores of a start that has ended go soon."""
+    want = {
+        "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "rocksdb.changelogCheckpointing.enabled": "true",
+        "rocksdb.allowFAllocate": "false",
+        "maintenanceInterval": "10s",
+    }
     want = {f"spark.sql.streaming.stateStore.{k}": v for k, v in want.items()}
     before = {k: spark.conf.get(k, None) for k in want}
     for k, v in want.items():
