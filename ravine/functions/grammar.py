@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -36,7 +37,7 @@ def words(text: Column | str) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(stemmed(text), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
+def parse(query: str, stem: Callable[[str], str] = stem) -> list[list[tuple[bool, list[str]]]]:
     """Alternatives (OR) of conditions: whether a run of words must be absent, and its stems.
 
     AND binds closer than OR. A single stop word is no condition; a phrase keeps its stop words.
@@ -47,9 +48,9 @@ def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
             out.append([])
             continue
         absent = bool(minus) or word.startswith("-")
-        run = [stem(w) for w in re.findall(r"[a-z0-9]+", (phrase or word).lower())]
+        run = re.findall(r"[a-z0-9]+", (phrase or word).lower())
         if run and not (len(run) == 1 and run[0] in STOP_WORDS):
-            out[-1].append((absent, run))
+            out[-1].append((absent, [stem(w) for w in run]))
     return [c for c in out if c]
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.functions import grammar, rank, text, vector
-from ravine.operators import vector_index
+from ravine.operators import text_index, vector_index
 from ravine.sources.shared import materialize
 
 #: Queries of a batch whose vectors a pass over the chunks takes.
@@ -143,6 +143,36 @@ def rrf_queries(lists: DataFrame, by: str = "group_id", k: int = 15) -> DataFram
     return ranked(fused, "score", by=(by,)).filter(F.col("rank") <= k)
 
 
+def hybrid_index(chunks: DataFrame, index: text_index.TextIndex, query: list[float], words: str, semantic: float = 0.7, keyword: float = 0.3, threshold: float = 0.0, k: int = 10, **equal) -> DataFrame:
+    """Weighted search driven by the vectors, with the index' grammar and normalised cover rank."""
+    rows = chunks.filter(where(**equal) & F.col("embedding").isNotNull()).select("id", F.round(vector.cosine_to(F.col("embedding"), query), 6).alias("semantic_score"))
+    found = index.matches(words).select("id", F.round(F.col("rank") / (F.col("rank") + 1), 6).alias("keyword_score"))
+    scored = rows.join(found, "id", "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
+    return top(scored.withColumn("combined_score", F.round(semantic * F.col("semantic_score") + keyword * F.col("keyword_score"), 6)), "combined_score", k, above=threshold)
+
+
+def multi_source_index(chunks: DataFrame, documents: DataFrame, index: text_index.TextIndex, query: list[float], words: str, kinds: list[str], semantic: float = 0.5, keyword: float = 0.5, k: int = 15, **equal) -> DataFrame:
+    """Chunks of completed documents (doc_id, status, source_type) of some kinds, scored by vector and
+    cover rank; no word has to match, but rows without an embedding are left out."""
+    some = documents.filter((F.col("status") == "completed") & F.col("source_type").isin(kinds)).select("doc_id", "source_type")
+    rows = chunks.filter(where(**equal) & F.col("embedding").isNotNull()).join(some, "doc_id").select("id", "source_type", "embedding")
+    score = semantic * vector.cosine_to(F.col("embedding"), query) + keyword * F.coalesce("rank", F.lit(0.0))
+    return top(rows.join(index.matches(words), "id", "left").select("id", "source_type", F.round(score, 6).alias("score")), "score", k)
+
+
+def rrf_index(chunks: DataFrame, index: text_index.TextIndex, query: list[float], words: str, fts: float = 0.4, vec: float = 0.6, k: int = 10, **equal) -> DataFrame:
+    """Two ranked lists of 2k, of the index and of the vectors above 0.1, fused by weighted reciprocal
+    ranks; conditions on the chunk hold for both lists."""
+    rows = chunks.filter(where(**equal))
+    near = rows.filter("embedding is not null").select("id", F.round(vector.cosine_to(F.col("embedding"), query), 6).alias("v"))
+    numbered = lambda df, score, out: ranked(df, score, out).select("id", out)  # noqa: E731  of 2k rows
+    a = numbered(index.search(words, 2 * k, among=rows if equal else None), "score", "fts_rank")
+    b = numbered(top(near, "v", 2 * k, above=0.1), "v", "vector_rank")
+    kind = F.when(F.col("fts_rank").isNull(), "vector").when(F.col("vector_rank").isNull(), "fts").otherwise("both")
+    score = rank.reciprocal(F.col("fts_rank"), fts) + rank.reciprocal(F.col("vector_rank"), vec)
+    return top(a.join(b, "id", "full").withColumns({"score": F.round(score, 6), "match_type": kind}), "score", k)
+
+
 def golden(ranked_: DataFrame) -> DataFrame:
     """Ten golden and five backup rows by rank."""
     return ranked_.filter("rank <= 15").withColumn("tier", F.when(F.col("rank") <= 10, "golden").otherwise("backup"))
