@@ -46,18 +46,6 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
-def labels(text: Column | str, rules: dict[str, list[str]], default: str) -> Column:
-    """The labels whose keywords occur, in the rules' order; the default where none does.
-
-    ``text`` should be a plain lower-case column: hundreds of keywords look at it.
-    """
-    t = col(text)
-    # a keyword that holds another of its label finds nothing more
-    least = {name: [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)] for name, words in rules.items()}
-    found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words]), F.lit(name)) for name, words in least.items())))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
-
-
 def trigrams(text: Column | str) -> Column:
     """The set of 3-grams of the lower-case text, padded by two blanks before and one after."""
     padded = F.concat(F.lit("  "), F.lower(col(text)), F.lit(" "))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ravine.functions import formats, text as T
+from ravine.functions import formats, keywords, text as T
 from ravine.operators.search import top
 
 #: Terms that count as entities wherever they occur.
@@ -42,7 +42,8 @@ def frequent_entities(messages: DataFrame, k: int = 10) -> DataFrame:
     anywhere, whatever its count as a name."""
     names = F.filter(F.transform(F.regexp_extract_all("content", F.lit(NAMES), F.lit(0)), lambda t: F.lower(t)), lambda t: F.length(t) > 2)
     low = F.lower("content")
-    terms = F.array(*(F.struct(F.lit(t).alias("entity"), ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("long").alias("n"), F.lit(True).alias("term")) for t in TERMS + MORE_TERMS))
+    known = TERMS + MORE_TERMS
+    terms = F.zip_with(F.array(*map(F.lit, known)), keywords.counts(low, known), lambda t, n: F.struct(t.alias("entity"), n.alias("n"), F.lit(True).alias("term")))
     found = F.transform(names, lambda t: F.struct(t.alias("entity"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("term")))
     each = messages.select("session_id", F.explode(F.concat(found, F.filter(terms, lambda x: x["n"] > 0))).alias("x")).select("session_id", "x.*")
     counts = each.groupBy("session_id", "entity").agg(F.coalesce(F.sum(F.when(F.col("term"), F.col("n"))), F.sum("n")).alias("n"))

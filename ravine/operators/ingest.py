@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ravine.functions import text as T
+from ravine.functions import keywords, text as T
 from ravine.operators import folds
 from ravine.sources.tables import TOPICS
 
@@ -43,7 +43,7 @@ BACKFILL = [
 
 def topics(content: Column, title: Column | None = None) -> Column:
     """The topics whose keywords occur as substrings; ['other'] where none does. Lower-case texts."""
-    return T.labels(content if title is None else F.concat_ws(" ", title, content), TOPIC_KEYWORDS, "other")
+    return keywords.labels(content if title is None else F.concat_ws(" ", title, content), TOPIC_KEYWORDS, "other")
 
 
 def backfill(content: Column) -> Column:
@@ -52,7 +52,7 @@ def backfill(content: Column) -> Column:
     The second step appends only to system_database; the one step before it can have added nothing
     else, so that condition always holds.
     """
-    return T.labels(content, dict(BACKFILL), "other")
+    return keywords.labels(content, dict(BACKFILL), "other")
 
 
 def elements(documents: DataFrame, lines_per_page: int = 5) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ravine.functions.text import contains_any, ellipsis, labels, word_count
+from ravine.functions import keywords
+from ravine.functions.text import contains_any, ellipsis, word_count
 
 #: Keywords of the query categories.
 CATEGORY_KEYWORDS = {
@@ -61,7 +62,7 @@ def _first(text: Column, rules, default: str) -> Column:
 
 
 def categories(question: Column) -> Column:
-    return labels(F.lower(question), CATEGORY_KEYWORDS, "configuration")
+    return keywords.labels(F.lower(question), CATEGORY_KEYWORDS, "configuration")
 
 
 def topics_of(cats: Column) -> Column:
