@@ -24,17 +24,24 @@ MAX_RETRIES = 3
 TTL_DAYS, QUESTION_CHARACTERS = 7, 500
 
 
+#: The state that a job begins in, and its retries.
+BEGIN = ("queued", 0)
+
+
+def advance(status: str, retries: int, action: str) -> tuple[bool, str, int]:
+    """Whether an action is allowed, and the state and retries after it."""
+    allowed, to = ACTIONS.get(action, ((), status))
+    ok = status in allowed and (action != "retry" or retries < MAX_RETRIES)
+    return (ok, to, retries + (action == "retry")) if ok else (ok, status, retries)
+
+
 def _machine(_job):
-    state = ["queued", 0]
+    state = list(BEGIN)
 
     def push(row):
         at, event, action = row
-        allowed, to = ACTIONS.get(action, ((), None))
-        ok = state[0] in allowed and (action != "retry" or state[1] < MAX_RETRIES)
-        if ok:
-            state[0] = to
-            state[1] += action == "retry"
-        return [(at, event, action, ok, state[0], state[1])]
+        ok, *state[:] = advance(*state, action)
+        return [(at, event, action, ok, *state)]
 
     return push, lambda: []
 

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from ravine.plans import analytics_queries, answer_queries, index_queries, ingest_queries, lookup_queries, search_queries, structure_queries, understanding_queries  # noqa: E402, F401
+from ravine.plans import analytics_queries, answer_queries, index_queries, ingest_queries, keyed_queries, lookup_queries, search_queries, structure_queries, understanding_queries  # noqa: E402, F401

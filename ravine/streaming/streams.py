@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ravine.functions import grammar
 
@@ -64,6 +64,15 @@ def run(df: DataFrame, checkpoint: str, path: str, mode: str = "append", order:
     return path
 
 
+def places(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``run`` wrote with an order, each row with its place in its batch (from 1): its row in the
+    file after the rows of the files before. Only the files' sizes are added up in one place."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = rows.groupBy("batch", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("batch", "file", F.coalesce(F.sum("n").over(Window.partitionBy("batch").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, ["batch", "file"]).withColumn("place", F.col("before") + F.col("row") + 1).drop("before", "row", "file")
+
+
 def to_table(df: DataFrame, checkpoint: str, path: str, mode: str = "complete") -> DataFrame:
     """``run``, and its result as a table."""
     run(df, checkpoint, path, mode)
