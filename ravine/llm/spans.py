@@ -12,7 +12,8 @@ that are left to a common gram are common as a whole: they make few different se
 many documents hold them. The order is fixed before the scan, so it never changes a result.
 
 Hashes are polynomials over random 64-bit codes, modulo 2 ** 64, found for any substring from one
-running sum.
+running sum. Strings such as Thue and Morse's collide modulo any power of two, so where a hash stands
+for equality a second polynomial, modulo a prime, is mixed in.
 """
 
 from __future__ import annotations
@@ -63,16 +64,47 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+#: The second polynomial's modulus and base.
+PRIME, PRIME_BASE = (1 << 31) - 1, 0x5DEECE66
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE ** i and PRIME_BASE ** -i modulo PRIME for i up to n."""
+    size = 1 << max(16, int(n).bit_length())
+    if size in _prime_powers:
+        return _prime_powers[size]
+    made = []
+    for base in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
+        p = np.ones(size, _U)
+        k = 1
+        while k < size:  # twice as many each time
+            p[k : 2 * k] = p[:k] * _U(pow(base, k, PRIME)) % _U(PRIME)
+            k *= 2
+        made.append(p)
+    if size <= 4 * PIECE:
+        _prime_powers[size] = tuple(made)
+    return tuple(made)
+
+
 class Sums:
-    """Hashes of substrings of an array of codes."""
+    """Hashes of substrings of an array of codes; ``exact``: fit to stand for equality."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, exact: bool = False):
         self.up, down = powers(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, _U)
         np.cumsum(codes * down[: len(codes)], out=self.sums[1:])
+        self.second = None
+        if exact:
+            self.second_up, down = prime_powers(len(codes) + 1)
+            self.second = np.zeros(len(codes) + 1, _U)
+            np.cumsum((codes >> _U(33)) * down[: len(codes)] % _U(PRIME), out=self.second[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.up[start])
+        out = (self.sums[end] - self.sums[start]) * self.up[start]
+        if self.second is not None:
+            out = mix(out) + (self.second[end] - self.second[start]) % _U(PRIME) * self.second_up[start] % _U(PRIME) * _U(0xC2B2AE3D27D4EB4F)
+        return mix(out)
 
     def each(self, n: int) -> np.ndarray:
         """The hash of every substring of n codes."""
@@ -121,7 +153,7 @@ def segments(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: n
     """
     if len(codes) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U))
-    sums = Sums(codes)
+    sums = Sums(codes, exact=True)
     hashes = sums.each(gram)
     at = anchors(hashes, length - gram + 1, common.among(hashes))
     edges = np.zeros(len(at) + 1, np.int32)
@@ -198,7 +230,7 @@ def word_codes(text: np.ndarray) -> np.ndarray:
         inside = np.zeros(len(part) + 2, np.int8)
         inside[1:-1] = ~_SPACE[part]
         turn = np.diff(inside)
-        out.append(Sums(BYTE_CODES[part])(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)))
+        out.append(Sums(BYTE_CODES[part], exact=True)(np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)))
         at = to
     return np.concatenate(out) if out else np.empty(0, _U)
 

@@ -199,7 +199,7 @@ def _rows(kind: int, gram, fp, i, windows, key, weight, low, high) -> pa.RecordB
 
 def _edges(b: Bucket, rows: np.ndarray, gram: np.ndarray, fp: np.ndarray, length: int, kind: int, known: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For segments ``rows``: what the bucket has of each window, and the windows that found no partner."""
-    codes = S.Sums(S.BYTE_CODES[np.concatenate([b.data[b.start[r] : b.start[r] + b.size[r]] for r in rows.tolist()])])
+    codes = S.Sums(S.BYTE_CODES[np.concatenate([b.data[b.start[r] : b.start[r] + b.size[r]] for r in rows.tolist()])], exact=True)
     base = np.cumsum(b.size[rows]) - b.size[rows]
     count = np.maximum(np.minimum(b.windows[rows], b.size[rows] - length + 1), 0)
     of, i = np.repeat(np.arange(len(rows)), count), _ranges(count)

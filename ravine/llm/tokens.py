@@ -211,8 +211,8 @@ class Encoder:
     """Encodes texts piece by piece; pieces seen before come from a table.
 
     The library encodes every piece. Pieces end where its own pre-tokenizer has a boundary in any
-    case, so the ids are those of the whole text. A piece is known by a 64-bit hash and a second one
-    of its length and first bytes. With ``added``, the strings of the vocabulary's added tokens are these tokens,
+    case, so the ids are those of the whole text. A piece is looked for by a 64-bit hash and is
+    one of the table's only if all its bytes are. With ``added``, the strings of the vocabulary's added tokens are these tokens,
     as by the library's default; else they are ordinary text.
     """
 
@@ -232,9 +232,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        #: Hashes in order, each with the number of its piece; the pieces' second hashes, and their ids one after another.
+        #: Hashes in order, each with the number of its piece; the pieces' bytes, and their ids, one after another.
         self.keys, self.piece = np.empty(0, np.uint64), np.empty(0, np.int32)
-        self.marks = np.empty(0, np.uint64)
+        self.lead, self.length = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.at, self.bytes = np.zeros(1, np.int64), np.empty(0, np.uint8)
         self.begin, self.ids = np.zeros(1, np.int32), np.empty(0, np.uint16 if len(self.sizes) <= 1 << 16 else np.uint32)
 
     def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -272,12 +273,15 @@ class Encoder:
         begin[order] = held
         return flat[np.repeat(begin, counts) + _ranges(counts)], counts
 
-    def _learn(self, keys: np.ndarray, marks: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, lead: np.ndarray, pieces: list[bytes]) -> None:
         ids, counts = self.encode(pieces)
         at = np.searchsorted(self.keys, keys)
-        self.piece = np.insert(self.piece, at, np.arange(len(self.marks), len(self.marks) + len(keys), dtype=np.int32))
+        self.piece = np.insert(self.piece, at, np.arange(len(self.lead), len(self.lead) + len(keys), dtype=np.int32))
         self.keys = np.insert(self.keys, at, keys)
-        self.marks = np.concatenate([self.marks, marks])
+        self.lead = np.concatenate([self.lead, lead])
+        self.length = np.concatenate([self.length, [len(p) for p in pieces]])
+        self.at = np.append(0, np.cumsum(self.length))
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
         self.begin = np.concatenate([self.begin, (self.begin[-1] + np.cumsum(counts)).astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
 
@@ -326,7 +330,6 @@ class Encoder:
         lead = np.lib.stride_tricks.sliding_window_view(lead, 8)[starts].copy().view(np.uint64)[:, 0]
         lead &= ~np.uint64(0) >> (np.uint64(8) * (np.uint64(8) - np.minimum(length, np.uint64(8))))
         keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-        marks = S.mix(S.mix(lead) + length)
         if len(self.keys) + len(keys) > PIECES:
             self._clear()
         near = np.searchsorted(self.keys, keys)
@@ -334,10 +337,16 @@ class Encoder:
         inside = near < len(self.keys)
         new[inside] = self.keys[near[inside]] != keys[inside]
         if new.any():
-            self._learn(keys[new], marks[first[new]], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
+            self._learn(keys[new], lead[first[new]], [raw[x:y] for x, y in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
             near = np.searchsorted(self.keys, keys)
         piece = self.piece[near][of]
-        other = self.marks[piece] != marks  # another piece of the same hash
+        other = (self.length[piece] != length.astype(np.int64)) | (self.lead[piece] != lead)  # another piece of the same hash
+        long = np.flatnonzero((length > 8) & ~other)
+        for part in np.split(long, range(1 << 17, len(long), 1 << 17)) if len(long) else []:
+            n = self.length[piece[part]] - 8
+            places = _ranges(n)
+            same = data[np.repeat(starts[part] + 8, n) + places] == self.bytes[np.repeat(self.at[piece[part]] + 8, n) + places]
+            other[part] = ~np.logical_and.reduceat(same, np.cumsum(n) - n)
         begin = self.begin[piece].astype(np.int64)
         counts = self.begin[piece + 1] - begin
         if other.any() or special:
