@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ravine.llm.common import scratch
+from ravine.llm.common import materialize, scratch
 
 #: The template of a turn: role and text, both escaped.
 BEGIN, MIDDLE, END = "<s>[", "] ", "</s>"
@@ -104,13 +104,14 @@ def fold(log: DataFrame, conv: str, order: list[str], event: str = "event", msg:
         F.col(msg).cast("string").alias("msg"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ).filter(F.col("event").isin(KINDS)).dropDuplicates(["conv", "order"])
+    ).filter(F.col("event").isin(KINDS))
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     narrow = events.filter("event <> 'delta'").select("conv", "order", "event", "msg", "role")
     standing = narrow.repartition("conv").sortWithinPartitions("conv", "order").mapInArrow(_standing, f"conv {types['conv']}, msg string, role string, place bigint, since {types['order']}")
-    said = events.filter("event <> 'regenerate' AND text <> ''").select(F.col("conv").alias("c"), F.col("msg").alias("m"), "order", "event", "text")
+    said = events.filter("event <> 'regenerate' AND text <> ''").select(F.struct("conv", "msg").alias("of"), "order", "event", "text")
     counts = F.when(F.col("event") == "delta", F.col("order") > F.col("since")).otherwise(F.col("order") == F.col("since"))
-    pieces = standing.join(said, F.col("conv").eqNullSafe(F.col("c")) & F.col("msg").eqNullSafe(F.col("m")) & counts)
+    # structs are equal where both have nulls; the rows stay dealt by them, so events repeated go without a shuffle
+    pieces = standing.withColumn("key", F.struct("conv", "msg")).join(said, (F.col("key") == F.col("of")) & counts).dropDuplicates(["key", "order"])
     heads = standing.select("conv", "place", "role", F.lit(None).cast(types["order"]).alias("piece"), F.lit(None).cast("string").alias("text"))
     return heads.unionByName(pieces.select("conv", "place", "role", F.col("order").alias("piece"), "text")).withColumnRenamed("conv", conv)
 
@@ -239,6 +240,6 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     spark: SparkSession = conversations.sparkSession
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(own)
-    path = scratch(spark, "chat")
-    render(fold(log_of(rows), "conv_id", ["turn", "by", "digest", "copy", "step"]), "conv_id").write.parquet(path)
+    log, path = materialize(log_of(rows), "chat-log"), scratch(spark, "chat")
+    render(fold(log, "conv_id", ["turn", "by", "digest", "copy", "step"]), "conv_id").write.parquet(path)
     return read_back(spark.read.parquet(path), "conv_id")
