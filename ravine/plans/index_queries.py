@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ravine.operators import search, text_index
+from ravine.operators import search, text_index, trigram
 from ravine.plans import sql as S
 from ravine.plans.registry import query
-from ravine.plans.search_queries import TERMS, _BM, vector
+from ravine.plans.search_queries import TERMS, _BM, _trigrams, vector
 from ravine.sources.shared import scratch
 from ravine.sources.tables import chunks, table
 
@@ -101,3 +101,20 @@ def rrf_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 from the postings alone."""
     return _index(spark, sf_dir).bm25(TERMS)
+
+
+_TITLES = "t AS (SELECT p_partkey AS id, p_name AS title, p_brand AS tag, CASE WHEN p_size % 7 <> 0 THEN 'completed' ELSE 'processing' END AS status FROM part), q AS (SELECT p_partkey AS query_id, CASE p_partkey // 100 % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE upper(substr(p_name, 2, 5)) END AS query FROM part WHERE p_partkey % 100 = 0)"
+
+
+@query(f"""WITH {_TITLES}, g AS (SELECT id, title, tag, {_trigrams('title')} AS a FROM t WHERE status = 'completed'), h AS (SELECT query_id, query, {_trigrams('query')} AS b FROM q),
+ s AS (SELECT query_id, id, title, tag, query, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS similarity FROM g, h),
+ m AS (SELECT query_id, id, title, similarity FROM s WHERE similarity > 0.3 OR contains(lower(title), lower(query)) OR tag = query)
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM m QUALIFY rank <= 20""")
+def doc_search_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 100 as a query (a title, a tag, or part of a title) against all
+    completed documents."""
+    p, id_ = table(spark, sf_dir, "part"), F.col("p_partkey")
+    docs = p.select(id_.alias("id"), F.col("p_name").alias("title"), F.to_json(F.array("p_brand")).alias("tags"), F.when(F.col("p_size") % 7 != 0, "completed").otherwise("processing").alias("status"))
+    kind = F.floor(id_ / 100) % 3
+    asked = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.col("p_brand")).otherwise(F.upper(F.substring("p_name", 2, 5)))
+    return trigram.search_documents(docs, p.filter(id_ % 100 == 0).select(id_.alias("query_id"), asked.alias("query")))
