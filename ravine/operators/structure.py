@@ -45,28 +45,10 @@ def markdown(rows: Column) -> Column:
     """A table of cells as markdown, each line ended; empty below two rows."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |\n"))
     rule = F.concat(F.lit("|"), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda c: F.lit("---")), "|"), F.lit("|\n"))
-    body = F.array_join(F.transform(F.slice(rows, 2, 1_000_000), line), "")
+    body = F.array_join(F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), line), "")
     return F.when(F.size(rows) >= 2, F.concat(line(F.get(rows, F.lit(0))), rule, body)).otherwise(F.lit(""))
 
 
-def outline(docs: DataFrame, column: str = "outline", depth: int = 4) -> DataFrame:
-    """A nested outline in JSON as rows (doc_id, place, title, level, page), the page 1 by default;
-    ``place`` sorts them as they stand."""
-    kind = "array<struct<title:string,page:int>>"
-    for _ in range(depth - 1):
-        kind = f"array<struct<title:string,page:int,children:{kind}>>"
-    here = docs.select("doc_id", F.lit("").alias("place"), F.from_json(column, kind).alias("children"))
-    out = None
-    for level in range(1, depth + 1):
-        here = here.select("doc_id", "place", F.posexplode("children").alias("i", "x"))
-        here = here.withColumn("place", F.concat("place", F.format_string("%04d.", "i")))
-        rows = here.select("doc_id", "place", F.col("x.title").alias("title"), F.lit(level).alias("level"), F.coalesce("x.page", F.lit(1)).alias("page"))
-        out = rows if out is None else out.unionByName(rows)
-        if level < depth:
-            here = here.select("doc_id", "place", F.col("x.children").alias("children"))
-    return out
-
-
 def _plain(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), r"[^a-z0-9\s]", "")
 

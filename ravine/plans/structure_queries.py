@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ravine.operators import expand, folds, ingest, pipeline, structure
+from ravine.operators import expand, folds, ingest, pipeline, recursion, structure
 from ravine.plans.registry import query
 from ravine.sources.tables import table
 
@@ -50,7 +50,7 @@ def bookmark_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.struct(x["n_name"].alias("title"))).alias("children"))
     r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
     top = r.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", F.col("r_name").alias("title"), (F.col("r_regionkey") + 2).alias("page"), "children"))).alias("o"))
-    return structure.outline(top.select(F.lit(0).alias("doc_id"), F.to_json(F.transform("o", lambda x: F.struct(x["title"].alias("title"), x["page"].alias("page"), x["children"].alias("children")))).alias("outline")))
+    return recursion.outline(top.select(F.lit(0).alias("doc_id"), F.to_json(F.transform("o", lambda x: F.struct(x["title"].alias("title"), x["page"].alias("page"), x["children"].alias("children")))).alias("outline")))
 
 
 @query("SELECT event_id, event_id % 1200 + user_id % 3 * 1200 AS start_s, event_id % 1200 + 5 + user_id % 3 * 1200 AS end_s FROM events")
@@ -211,3 +211,40 @@ def hierarchy_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = made["chunks"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("characters"))
     pages = made["page_index"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     return chunks.join(sections, "doc_id", "left").join(pages, "doc_id", "left").fillna(0)
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), l AS (SELECT doc_id, t, unnest(range(1, 8)) AS level FROM w)
+ SELECT doc_id, array_to_string(list_transform(range(1, level), lambda k: '0000.'), '') || '0000.' AS place, coalesce(t[level], '') AS title, level::INT AS level, (level * 3)::INT AS page FROM l
+ UNION ALL SELECT doc_id, array_to_string(list_transform(range(1, level), lambda k: '0000.'), '') || '0001.', coalesce(t[level + 7], ''), level::INT, 1 FROM l""")
+def outline_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with an outline of seven levels, two entries each."""
+    words = F.split("text", " ")
+    word = lambda k: F.coalesce(F.get(words, F.lit(k - 1)), F.lit(""))
+    below = None
+    for level in range(7, 0, -1):
+        own = [word(level).alias("title"), F.lit(level * 3).alias("page")] + ([below.alias("children")] if below is not None else [])
+        other = [word(level + 7).alias("title"), F.lit(None).cast("int").alias("page")] + ([F.lit(None).alias("children")] if below is not None else [])
+        below = F.array(F.struct(*own), F.struct(*other))
+    return recursion.outline(table(spark, sf_dir, "documents").select("doc_id", F.to_json(below).alias("outline")))
+
+
+_TREE = "tree AS (SELECT 'all' AS doc_id, doc_id + 1 AS idx, source || '-' || doc_id AS title, CASE WHEN doc_id > 0 THEN (doc_id + 1) // 2 END AS parent_idx FROM documents)"
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a binary tree: as deep as the logarithm of their number."""
+    id_ = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.lit("all").alias("doc_id"), (id_ + 1).alias("idx"), F.concat_ws("-", "source", id_).alias("title"), F.when(id_ > 0, F.floor((id_ + 1) / 2)).alias("parent_idx")
+    )
+
+
+@query(f"WITH RECURSIVE {_TREE}, d AS (SELECT doc_id, idx, 1 AS level, title AS path FROM tree WHERE parent_idx IS NULL UNION ALL SELECT s.doc_id, s.idx, d.level + 1, d.path || ' > ' || s.title FROM d JOIN tree s ON s.doc_id = d.doc_id AND s.parent_idx = d.idx) SELECT doc_id, idx, level, path FROM d")
+def section_path_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root-to-leaf titles of a tree that no fixed number of joins would do for."""
+    return recursion.paths(_tree(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_TREE}, u AS (SELECT doc_id, idx, parent_idx AS ancestor, 1 AS distance FROM tree WHERE parent_idx IS NOT NULL UNION ALL SELECT u.doc_id, u.idx, s.parent_idx, u.distance + 1 FROM u JOIN tree s ON s.doc_id = u.doc_id AND s.idx = u.ancestor WHERE s.parent_idx IS NOT NULL) SELECT doc_id, idx, ancestor, distance FROM u")
+def section_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recursion.ancestors(_tree(spark, sf_dir))
