@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.functions import formats, keywords, text as T
+from ravine.operators import expand
 from ravine.operators.search import top
 
 #: Terms that count as entities wherever they occur.
@@ -78,10 +79,9 @@ def multi_hop(lists: DataFrame, hops: int = 3, per_hop: int = 3, single: int = 5
 def previews(chunks: DataFrame, seeds: DataFrame, n: int = 2, longest: int = 200) -> DataFrame:
     """For each seed (doc_id, id) the n chunks before and after in its document, line feeds as blanks,
     cut to ``longest`` characters."""
-    w = Window.partitionBy("doc_id").orderBy("id")
     short = F.substring(F.translate("content", "\n", " "), 1, longest)
-    around = chunks.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "id", F.collect_list(short).over(w.rowsBetween(-n, -1)).alias("before"), F.collect_list(short).over(w.rowsBetween(1, n)).alias("after"))
-    return around.join(seeds.select("id"), "id", "left_semi")
+    some = chunks.join(seeds.select("doc_id").distinct(), "doc_id", "left_semi")
+    return expand.neighbours(some, short, n).join(seeds.select("id"), "id", "left_semi")
 
 
 def source_blocks(results: DataFrame) -> DataFrame:

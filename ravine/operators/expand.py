@@ -4,16 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ravine.sources.shared import materialize
+
 
 def token_estimate(content: Column) -> Column:
     return F.ceil(F.length(content) / 4).cast("long")
 
 
+def neighbours(rows: DataFrame, value: Column, n: int = 2, doc: str = "doc_id", id_: str = "id", buckets: int | None = None) -> DataFrame:
+    """``before`` and ``after`` of every row: the values of the n rows around it in its document.
+
+    Rows are cut into buckets by document and id, so a document may span many; the last and first n
+    of a bucket also go to the n buckets after and before it, and the rest is a window of a bucket.
+    """
+    spark = rows.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select(F.col(doc).alias("__doc"), F.col(id_).alias("__id"), value.alias("__v"))
+    cut = materialize(keyed.repartitionByRange(buckets, "__doc", "__id").withColumn("__b", F.spark_partition_id()), "neighbours")
+    number = Window.orderBy("__b")
+    used = cut.groupBy("__b").count().select("__b", F.row_number().over(number).alias("__bucket"))  # a row a bucket: empty ones don't part neighbours
+    own = cut.join(F.broadcast(used), "__b").drop("__b").withColumn("__own", F.lit(True))
+    inside = Window.partitionBy("__bucket")
+    ends = own.withColumns({"f": F.row_number().over(inside.orderBy("__doc", "__id")), "l": F.row_number().over(inside.orderBy(F.desc("__doc"), F.desc("__id")))})
+    steps = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+    halo = [ends.filter(F.col(side) <= n).select("__doc", "__id", "__v", F.explode(F.transform(steps(*to), lambda k: F.col("__bucket") + k)).alias("__bucket"), F.lit(False).alias("__own")) for side, to in (("l", (1, n)), ("f", (-n, -1)))]
+    both = own.unionByName(halo[0]).unionByName(halo[1])
+    w = inside.orderBy("__doc", "__id")
+    near = lambda a, b: F.collect_list(F.struct(F.col("__doc").alias("d"), F.col("__v").alias("v"))).over(w.rowsBetween(a, b))
+    of = lambda c: F.transform(F.filter(c, lambda x: x["d"].eqNullSafe(F.col("__doc")) & x["v"].isNotNull()), lambda x: x["v"])
+    found = both.withColumns({"before": near(-n, -1), "after": near(1, n)}).filter("__own")
+    return found.select(F.col("__doc").alias(doc), F.col("__id").alias(id_), of("before").alias("before"), of("after").alias("after"))
+
+
 def siblings(chunks: DataFrame, seeds: DataFrame, n: int = 2, doc: str = "doc_id", id_: str = "id") -> DataFrame:
-    """For each seed, the ids of the n chunks before and after in its document: one window."""
-    w = Window.partitionBy(doc).orderBy(id_)
-    around = chunks.select(doc, id_, F.collect_list(id_).over(w.rowsBetween(-n, -1)).alias("before"), F.collect_list(id_).over(w.rowsBetween(1, n)).alias("after"))
-    return around.join(seeds.select(id_), id_, "left_semi")
+    """For each seed, the ids of the n chunks before and after in its document."""
+    return neighbours(chunks, F.col(id_), n, doc, id_).join(seeds.select(id_), id_, "left_semi")
 
 
 def within_budget(df: DataFrame, tokens: str, budget: int | Column, order: list, by: tuple[str, ...] = ()) -> DataFrame:
