@@ -29,7 +29,7 @@ def next_jobs(jobs: DataFrame, k: int = 20) -> DataFrame:
 
 def job_seconds(start: Column, end: Column) -> Column:
     """Whole seconds between two times, rounded."""
-    return F.round(F.unix_micros(end.cast("timestamp")) / 1e6 - F.unix_micros(start.cast("timestamp")) / 1e6).cast("int")
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6).cast("int")
 
 
 def daily_costs(queries: DataFrame, since=None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ravine.functions.ranges import span
 from ravine.sources.shared import materialize
 
 
@@ -78,12 +79,13 @@ def expand(chunks: DataFrame, seeds: DataFrame, sections: DataFrame | None = Non
     return kept.withColumn("kind", F.lit("seed")).select(*cols).unionByName(more.withColumn("kind", kind).select(*cols))
 
 
-def attach_assets(chunks: DataFrame, assets: DataFrame, names: tuple[str, str] = ("section_id", "page_number")) -> DataFrame:
-    """A chunk's assets: those of its section, and only where the section has none those of its page."""
+def attach_assets(chunks: DataFrame, assets: DataFrame, names: tuple[str, str] = ("section_id", "page_number"), doc: str = "doc_id") -> DataFrame:
+    """A chunk's assets in its document: those of its section, and only where the section has none those
+    of its page."""
     section, page = names
-    by_section = assets.filter(F.col(section).isNotNull()).groupBy(section).agg(F.sort_array(F.collect_list("asset_id")).alias("of_section"))
-    by_page = assets.groupBy(page).agg(F.sort_array(F.collect_list("asset_id")).alias("of_page"))
-    joined = chunks.join(by_section, section, "left").join(by_page, page, "left")
+    by_section = assets.filter(F.col(section).isNotNull()).groupBy(doc, section).agg(F.sort_array(F.collect_list("asset_id")).alias("of_section"))
+    by_page = assets.groupBy(doc, page).agg(F.sort_array(F.collect_list("asset_id")).alias("of_page"))
+    joined = chunks.join(by_section, [doc, section], "left").join(by_page, [doc, page], "left")
     return joined.withColumn("assets", F.coalesce("of_section", "of_page", F.array().cast("array<bigint>"))).drop("of_section", "of_page")
 
 
@@ -95,21 +97,23 @@ def first_interval(points: DataFrame, intervals: DataFrame, at: str, start: str,
     """
     first, last = F.floor(F.col(start) / width), F.floor((F.col(end) - (0 if closed else 1)) / width)
     dealt = intervals.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last))))
-    p = points.withColumn("__b", F.floor(F.col(at) / width))
+    # points repeated are one until the end
+    p = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__b", F.floor(F.col(at) / width))
     on = (p["__b"] == dealt["__b"]) & (p[at] >= dealt[start]) & ((p[at] <= dealt[end]) if closed else (p[at] < dealt[end]))
     if by:
         on = on & (p[by] == dealt[by])
         dealt_cols = [dealt[c] for c in intervals.columns if c != by]
     else:
         dealt_cols = [dealt[c] for c in intervals.columns]
-    joined = p.join(dealt, on, "left").select(*(p[c] for c in points.columns), *dealt_cols)
+    joined = p.join(dealt, on, "left").select(*(p[c] for c in points.columns), p["__copies"], *dealt_cols)
     w = Window.partitionBy(*points.columns).orderBy(F.col(order).asc_nulls_last())
-    return joined.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    first_of = joined.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return first_of.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).drop("__k", "__copies")
 
 
 def deepest_section(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """Of the sections that cover a page, the one of the deepest level; of equals the later."""
-    dealt = sections.withColumn("page_no", F.explode(F.sequence("start_page", "end_page")))
+    dealt = sections.withColumn("page_no", F.explode(span("start_page", "end_page")))
     w = Window.partitionBy("doc_id", "page_no").orderBy(F.col("level").desc(), F.col("idx").desc())
     best = dealt.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("doc_id", "page_no", "section_id", "level")
     return pages.join(best, ["doc_id", "page_no"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ravine.functions.ranges import span
 from ravine.operators.search import where
 
 
@@ -35,7 +36,7 @@ def sections_of_chunks(sections: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def covering_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:
     """All sections that cover a page: a section is dealt to each of its pages."""
-    dealt = sections.withColumn("page_no", F.explode(F.sequence("start_page", "end_page")))
+    dealt = sections.withColumn("page_no", F.explode(span("start_page", "end_page")))
     return pages.join(dealt, ["doc_id", "page_no"])
 
 
@@ -86,7 +87,7 @@ def around(shots: DataFrame, doc: object, start: float, end: float, slack: float
 
 def first_around(spans: DataFrame, shots: DataFrame, slack: int = 2, k: int = 3, width: int = 60) -> DataFrame:
     """``around`` for a table of spans (span_id, doc_id, start_s, end_s): an equi-join on time buckets."""
-    dealt = spans.withColumn("__b", F.explode(F.sequence(F.floor((F.col("start_s") - slack) / width), F.floor((F.col("end_s") + slack) / width))))
+    dealt = spans.withColumn("__b", F.explode(span(F.floor((F.col("start_s") - slack) / width), F.floor((F.col("end_s") + slack) / width))))
     p = shots.withColumn("__b", F.floor(F.col("at") / width))
     near = dealt.join(p, ["doc_id", "__b"]).filter(F.col("at").between(F.col("start_s") - slack, F.col("end_s") + slack))
     w = Window.partitionBy("span_id").orderBy("at", "asset_id")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ravine.functions.ranges import span
 from ravine.functions import text as T
 from ravine.operators import folds
 from ravine.operators.ingest import element_type, heading_level
@@ -107,7 +108,7 @@ def chunk_elements(elements: DataFrame, sections: DataFrame | None = None, targe
     else:
         titles = sections.select("doc_id", F.col("start_page").alias("page_no"), F.trim("title").alias("text"), F.col("section_id").alias("begins"), F.concat_ws(" ", F.nullif("number", F.lit("")), "title").alias("full"))
         first = titles.groupBy("doc_id", "page_no", "text").agg(F.min("begins").alias("begins"), F.min_by("full", "begins").alias("full"))
-        pages = sections.withColumn("page_no", F.explode(F.sequence("start_page", "end_page"))).groupBy("doc_id", "page_no").agg(F.max_by("section_id", F.struct("level", "idx")).alias("deepest"))
+        pages = sections.withColumn("page_no", F.explode(span("start_page", "end_page"))).groupBy("doc_id", "page_no").agg(F.max_by("section_id", F.struct("level", "idx")).alias("deepest"))
         e = e.join(first, ["doc_id", "page_no", "text"], "left").join(pages, ["doc_id", "page_no"], "left")
         e = e.withColumn("section_id", F.when(F.col("header"), F.col("begins")).otherwise(F.col("deepest"))).withColumn("shown", F.when(F.col("header"), F.col("full")).otherwise(F.col("text")))
     rows = e.select("doc_id", "page_no", "idx", "section_id", "header", F.col("shown").alias("text"))
@@ -124,7 +125,7 @@ def page_index(elements: DataFrame, chunks: DataFrame, assets: DataFrame, sectio
     counts = chunks.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("chunk_count"))
     of = lambda kind: F.count_if(F.col("kind") == kind)
     held = assets.groupBy("doc_id", "page_no").agg(of("image").alias("image_count"), of("table").alias("table_count"))
-    covered = sections.withColumn("page_no", F.explode(F.sequence("start_page", "end_page"))).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list("section_id")).alias("section_ids"))
+    covered = sections.withColumn("page_no", F.explode(span("start_page", "end_page"))).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list("section_id")).alias("section_ids"))
     on = ["doc_id", "page_no"]
     out = counts.join(topics, on, "left").join(held, on, "left").join(covered, on, "left").fillna(0, ["image_count", "table_count"])
     none = F.array().cast("array<string>")

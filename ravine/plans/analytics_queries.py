@@ -110,7 +110,7 @@ def model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     both = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
-    return both.select("user_id", (F.unix_micros("b") - F.unix_micros("a")).alias("span_us"), F.round((F.unix_micros("b") - F.unix_micros("a")) / 1e6).cast("int").alias("seconds"))
+    return both.select("user_id", (F.unix_micros("b") - F.unix_micros("a")).alias("span_us"), analytics.job_seconds(F.col("a"), F.col("b")).alias("seconds"))
 
 
 @query("SELECT user_id AS job_id, max_by(event_type, (ts, event_id)) AS state, count(*) FILTER (event_type = 'retry') AS retries, max(ts) AS updated_at FROM events GROUP BY 1")

@@ -193,12 +193,12 @@ def hierarchy_expand_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.expand(c, seeds, sections)
 
 
-@query(f"""WITH {S.CHUNKS}, a AS (SELECT page_id AS asset_id, CASE WHEN page_id % 3 = 0 THEN 'src' || (page_id % 7) || '_en' END AS section_id, CAST(page_id % 40 AS INT) AS page_number FROM pages),
- x AS (SELECT section_id, list_sort(list(asset_id)) AS l FROM a WHERE section_id IS NOT NULL GROUP BY 1), y AS (SELECT page_number, list_sort(list(asset_id)) AS l FROM a GROUP BY 1)
- SELECT id, coalesce(array_to_string(coalesce(x.l, y.l), ','), '') AS assets FROM chunks c LEFT JOIN x ON c.section_id = x.section_id LEFT JOIN y ON c.page_number = y.page_number""")
+@query(f"""WITH {S.CHUNKS}, a AS (SELECT page_id AS asset_id, 'src' || page_id % 7 AS doc_id, CASE WHEN page_id % 3 = 0 THEN 'src' || (page_id % 7) || '_en' END AS section_id, CAST(page_id % 40 AS INT) AS page_number FROM pages),
+ x AS (SELECT doc_id, section_id, list_sort(list(asset_id)) AS l FROM a WHERE section_id IS NOT NULL GROUP BY 1, 2), y AS (SELECT doc_id, page_number, list_sort(list(asset_id)) AS l FROM a GROUP BY 1, 2)
+ SELECT id, coalesce(array_to_string(coalesce(x.l, y.l), ','), '') AS assets FROM chunks c LEFT JOIN x ON c.doc_id = x.doc_id AND c.section_id = x.section_id LEFT JOIN y ON c.doc_id = y.doc_id AND c.page_number = y.page_number""")
 def asset_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("asset_id"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("src"), F.col("page_id") % 7, F.lit("_en"))).alias("section_id"), (F.col("page_id") % 40).cast("int").alias("page_number"))
-    return expand.attach_assets(chunks(spark, sf_dir).select("id", "section_id", "page_number"), assets).select("id", F.array_join("assets", ",").alias("assets"))
+    assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("asset_id"), F.concat(F.lit("src"), F.col("page_id") % 7).alias("doc_id"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("src"), F.col("page_id") % 7, F.lit("_en"))).alias("section_id"), (F.col("page_id") % 40).cast("int").alias("page_number"))
+    return expand.attach_assets(chunks(spark, sf_dir).select("id", "doc_id", "section_id", "page_number"), assets).select("id", F.array_join("assets", ",").alias("assets"))
 
 
 _RESULTS = f"r AS (SELECT 0 AS query_id, id, final_score AS score, row_number() OVER (ORDER BY final_score DESC, id) AS rank FROM ({_topics(INCLUDE, [])}))"
