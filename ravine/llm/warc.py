@@ -71,10 +71,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+_DIGEST = re.compile("sha1:[A-Z2-7]{32}")
+
+
+def _number(text: str | None, name: str) -> int:
+    if text is None or not re.fullmatch("[0-9]+", text):
+        raise WarcError(f"{name} is no length: {text!r}")
+    return int(text)
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers (lower-case names) and payload, with its lengths and digests checked."""
+    """A record's headers (lower-case names) and payload, with its lengths and digests checked.
+
+    A revisit has no payload; its length and digest are those of the record that it refers to, and
+    the length has to be the one that its HTTP header declares.
+    """
     head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode(errors="replace").split("\r\n")
     if not sep or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
         raise WarcError("no WARC header")
     headers = {}
@@ -86,16 +99,27 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"{name} is missing")
-    length = int(headers["content-length"])
+    length = _number(headers["content-length"], "Content-Length")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError(f"block of {len(rest) - 4} bytes, {length} are declared")
     block = rest[:length]
+    for name in ("warc-block-digest", "warc-payload-digest"):
+        if name in headers and not _DIGEST.fullmatch(headers[name]):
+            raise WarcError(f"{name} is no digest: {headers[name]!r}")
     if headers.get("warc-block-digest", digest := f"sha1:{base32_sha1(block)}") != digest:
         raise WarcError("block digest differs")
     http, _, payload = block.partition(b"\r\n\r\n")
-    if headers["warc-type"] == "response":
-        declared = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
-        if declared != len(payload) or headers.get("warc-payload-digest") != f"sha1:{base32_sha1(payload)}":
+    if headers["warc-type"] in ("response", "revisit"):
+        found = re.search(rb"(?im)^content-length: *([^\r\n]*?) *\r?$", http)
+        declared = _number(found and found[1].decode(errors="replace"), "the payload's Content-Length")
+        if "x-payload-length" in headers and _number(headers["x-payload-length"], "X-Payload-Length") != declared:
+            raise WarcError(f"a payload of {headers['x-payload-length']} bytes, its HTTP header has {declared}")
+        if "warc-payload-digest" not in headers:
+            raise WarcError("warc-payload-digest is missing")
+        if headers["warc-type"] == "revisit":
+            if payload:
+                raise WarcError("a revisit has a payload")
+        elif declared != len(payload) or headers["warc-payload-digest"] != f"sha1:{base32_sha1(payload)}":
             raise WarcError("payload differs from its length or digest")
     return headers, payload
 
@@ -124,6 +148,18 @@ def frame_size(data: memoryview) -> int:
     return at
 
 
+def unpack(reader: zstandard.ZstdDecompressor, frame: bytes | memoryview) -> bytes:
+    """What a frame holds, whether or not its header has the size."""
+    unpacker = reader.decompressobj()
+    try:
+        out = unpacker.decompress(frame)
+    except zstandard.ZstdError as e:
+        raise WarcError(f"a frame is damaged: {e}") from None
+    if not unpacker.eof:
+        raise WarcError("a frame is cut off")
+    return out
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive, one frame at a time."""
     view, at = memoryview(data), 0
@@ -138,12 +174,12 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if at == 0 and magic == DICTIONARY_MAGIC:
                 held = bytes(view[8 : 8 + size])
                 if held[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary may itself be compressed
-                    held = zstandard.ZstdDecompressor().decompress(held)
+                    held = unpack(zstandard.ZstdDecompressor(), held)
                 reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
             at += 8 + size
         elif magic == FRAME_MAGIC:
             size = frame_size(view[at:])
-            yield parse(reader.decompress(view[at : at + size]))
+            yield parse(unpack(reader, view[at : at + size]))
             at += size
         else:
             raise WarcError(f"neither a frame nor a skippable frame at {at}")
