@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ravine.operators import search, text_index, trigram
 from ravine.plans import sql as S
 from ravine.plans.registry import query
-from ravine.plans.search_queries import TERMS, _BM, _trigrams, vector
+from ravine.plans.search_queries import INCLUDE, TERMS, _BM, _topics, _trigrams, vector
+from ravine.sources import functions
 from ravine.sources.shared import scratch
 from ravine.sources.tables import chunks, table
 
@@ -118,3 +119,27 @@ def doc_search_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.floor(id_ / 100) % 3
     asked = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.col("p_brand")).otherwise(F.upper(F.substring("p_name", 2, 5)))
     return trigram.search_documents(docs, p.filter(id_ % 100 == 0).select(id_.alias("query_id"), asked.alias("query")))
+
+
+def _array(values) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+
+@query(f"WITH {S.CHUNKS} SELECT id, {S.cos(0)} AS similarity FROM chunks WHERE embedding IS NOT NULL AND doc_id = 'src1' AND {S.cos(0)} > 0.01 ORDER BY similarity DESC, id LIMIT 7")
+def sql_search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search called in SQL by named arguments."""
+    functions.register(chunks(spark, sf_dir))
+    return spark.sql(f"SELECT * FROM search_chunks(k => 7, threshold => 0.01, doc => 'src1', query_embedding => {_array(vector(spark, sf_dir))})")
+
+
+@query(_topics(INCLUDE, []))
+def sql_hybrid_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions.register(chunks(spark, sf_dir))
+    terms, include = (f"array({', '.join(repr(t) for t in words)})" for words in (TERMS, INCLUDE))
+    return spark.sql(f"SELECT * FROM search_chunks_hybrid_with_topics(query_embedding => {_array(vector(spark, sf_dir))}, terms => {terms}, include_topics => {include})")
+
+
+@query(f"WITH {S.CHUNKS} SELECT id, doc_id, page_number, section_id FROM chunks WHERE id IN (3, 7, 11)")
+def sql_chunks_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions.register(chunks(spark, sf_dir))
+    return spark.sql("SELECT * FROM get_chunks_by_ids(ids => array(3L, 7L, 11L))")
