@@ -18,6 +18,15 @@ def queue_stats(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count(F.lit(1)).alias("total"), count("queued"), count("processing"), count("completed"), F.round(F.avg("cost"), 9).alias("avg_cost"), F.round(F.sum("cost"), 2).alias("total_cost"))
 
 
+def queue_states(jobs: DataFrame) -> DataFrame:
+    """One row: jobs in each of the five states, the mean duration of ended ones in whole seconds a job,
+    and the total cost. jobs: status, started_at, completed_at, cost."""
+    count = lambda s: F.count_if(F.col("status") == s).alias(f"{s}_jobs")
+    seconds = F.when(F.col("completed_at").isNotNull(), job_seconds(F.coalesce("started_at", "completed_at"), F.col("completed_at")))
+    states = map(count, ["queued", "processing", "completed", "failed", "cancelled"])
+    return jobs.agg(F.count(F.lit(1)).alias("total_jobs"), *states, F.round(F.avg(seconds), 6).alias("avg_duration_seconds"), F.round(F.sum("cost"), 2).alias("total_cost"))
+
+
 def active_workers(jobs: DataFrame, k: int = 10) -> DataFrame:
     return jobs.filter("status = 'processing'").orderBy("queued_at", "id").limit(k)
 
@@ -132,10 +141,11 @@ def retrieval_stats(metrics: DataFrame, as_of, days: int = 7, **equal) -> tuple[
     """Over the last days, with optional filters: queries and mean metrics, and the same by category.
 
     metrics: created_at, metrics (JSON with avg_score, topic_coverage, topic_diversity,
-    score_variance), categories.
+    score_variance), categories. A document is parsed once; what isn't JSON, or no number, counts for
+    no mean.
     """
-    live = metrics.filter((F.col("created_at") > F.lit(as_of) - F.expr(f"interval {days} days")) & where(**equal))
-    mean = lambda k: F.round(F.coalesce(F.avg(F.get_json_object("metrics", f"$.{k}").cast("double")), F.lit(0.0)), 9)
+    live = metrics.filter((F.col("created_at") > F.lit(as_of) - F.expr(f"interval {days} days")) & where(**equal)).withColumn("__m", F.try_parse_json("metrics"))
+    mean = lambda k: F.round(F.coalesce(F.avg(F.try_variant_get("__m", f"$.{k}", "double")), F.lit(0.0)), 9)
     names = {"avg_score": "avg_retrieval_score", "topic_coverage": "avg_topic_coverage", "topic_diversity": "avg_topic_diversity", "score_variance": "avg_score_variance"}
     total = live.agg(F.count(F.lit(1)).alias("total_queries"), *(mean(k).alias(v) for k, v in names.items()))
     each = live.withColumn("category", F.explode("categories")).groupBy("category").agg(F.count(F.lit(1)).alias("queries"), mean("topic_coverage").alias("avg_coverage"))

@@ -39,6 +39,17 @@ def job_queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.queue_stats(jobs(spark, sf_dir))
 
 
+@query("""WITH j AS (SELECT CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status, user_id % 90 + value / 1000 AS took, event_type NOT IN ('view', 'click') AS ended, value FROM events)
+ SELECT count(*) AS total_jobs, count(*) FILTER (status = 'queued') AS queued_jobs, count(*) FILTER (status = 'processing') AS processing_jobs, count(*) FILTER (status = 'completed') AS completed_jobs, count(*) FILTER (status = 'failed') AS failed_jobs, count(*) FILTER (status = 'cancelled') AS cancelled_jobs,
+ round(avg(CASE WHEN ended THEN CAST(round(floor(took * 1000000) / 1e6) AS INT) END), 6) AS avg_duration_seconds, round(sum(value), 2) AS total_cost FROM j""")
+def job_queue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five states of a queue; a job's duration is that between its times."""
+    kind, ts = F.col("event_type"), F.col("ts").cast("timestamp")
+    status = F.when(kind == "view", "queued").when(kind == "click", "processing").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("cancelled")
+    ended = F.timestamp_micros(F.unix_micros(ts) + F.floor((F.col("user_id") % 90 + F.col("value") / 1000) * 1000000))
+    return analytics.queue_states(table(spark, sf_dir, "events").select(status.alias("status"), ts.alias("started_at"), F.when(~kind.isin("view", "click"), ended).alias("completed_at"), F.col("value").alias("cost")))
+
+
 @query(f"WITH {_JOBS} SELECT * FROM jobs WHERE status = 'processing' ORDER BY queued_at, id LIMIT 10")
 def active_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.active_workers(jobs(spark, sf_dir))

@@ -62,12 +62,14 @@ _ENTITY = rf"list_distinct(list_concat(regexp_extract_all({_ASCII}, '\b[A-Z]{{2,
 _HAS = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
-@query(rf"""WITH {_Q}, t AS (SELECT *, lower(question) AS low, {_TYPE} AS query_type, CAST(len({_ENTITY}) AS INT) AS entities, len(list_filter(string_split_regex(question, '\s+'), lambda w: w <> '')) AS words, length(question) - length(replace(question, '?', '')) AS asks FROM q),
+_ADAPTIVE = rf"""WITH {_Q}, t AS (SELECT *, lower(question) AS low, {_TYPE} AS query_type, CAST(len({_ENTITY}) AS INT) AS entities, len(list_filter(string_split_regex(question, '\s+'), lambda w: w <> '')) AS words, length(question) - length(replace(question, '?', '')) AS asks FROM q),
  c AS (SELECT *, CASE WHEN (query_type = 'definition' AND words < 10 AND entities <= 1) OR (words < 8 AND entities <= 1 AND NOT {_HAS(['and', 'or', 'but', 'also'])}) THEN 'simple'
   WHEN asks > 1 OR entities >= 3 OR (query_type IN ('comparison', 'design', 'troubleshooting') AND words > 15) OR ({_HAS(['compare', 'difference', 'vs', 'versus', 'better', 'which'])} AND entities >= 2) OR ({_HAS(['step', 'procedure', 'process', 'sequence'])} AND words > 12) THEN 'complex' ELSE 'moderate' END AS complexity FROM t),
  k AS (SELECT *, CASE complexity WHEN 'simple' THEN 3 WHEN 'moderate' THEN 5 ELSE 7 END AS b, CASE complexity WHEN 'simple' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END AS v FROM c),
- w AS (SELECT *, CAST(CASE WHEN query_type IN ('comparison', 'design') THEN least(b + 2, 10) WHEN query_type = 'troubleshooting' THEN least(b + 1, 8) WHEN query_type = 'definition' AND complexity = 'simple' THEN 2 ELSE b END AS INT) AS top_k, CAST(CASE WHEN query_type IN ('procedural', 'troubleshooting') THEN least(v + 1, 4) ELSE v END AS INT) AS win FROM k)
- SELECT {_KEY}, query_type, entities, complexity, top_k, win AS "window", round(greatest(0.0, (25.0 - (top_k + top_k * win * 2)) / 25.0::DOUBLE), 6)::DOUBLE AS savings FROM w""")
+ w AS (SELECT *, CAST(CASE WHEN query_type IN ('comparison', 'design') THEN least(b + 2, 10) WHEN query_type = 'troubleshooting' THEN least(b + 1, 8) WHEN query_type = 'definition' AND complexity = 'simple' THEN 2 ELSE b END AS INT) AS top_k, CAST(CASE WHEN query_type IN ('procedural', 'troubleshooting') THEN least(v + 1, 4) ELSE v END AS INT) AS win FROM k)"""
+
+
+@query(rf"""{_ADAPTIVE} SELECT {_KEY}, query_type, entities, complexity, top_k, win AS "window", round(greatest(0.0, (25.0 - (top_k + top_k * win * 2)) / 25.0::DOUBLE), 6)::DOUBLE AS savings FROM w""")
 def adaptive_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
     t = _questions(spark, sf_dir).withColumns({"query_type": U.query_type(q), "entities": U.entity_count(q)})
@@ -76,6 +78,16 @@ def adaptive_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", "query_type", "entities", "complexity", "top_k", "window", F.round(U.token_savings(F.col("top_k"), F.col("window")), 6).alias("savings"))
 
 
+@query(rf"""{_ADAPTIVE} SELECT {_KEY}, CAST(CASE WHEN turn > 2 THEN least(top_k + 2, 10) ELSE top_k END AS INT) AS top_k, CAST(CASE WHEN turn > 2 THEN least(win + 1, 4) ELSE win END AS INT) AS "window" FROM w""")
+def adaptive_follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions after the second turn follow up: more chunks and a wider window."""
+    q = F.col("question")
+    t = _questions(spark, sf_dir).withColumns({"query_type": U.query_type(q), "entities": U.entity_count(q)})
+    t = t.withColumn("complexity", U.complexity(q, F.col("query_type"), F.col("entities")))
+    k, w = U.follow_up_bump(U.top_k(F.col("complexity"), F.col("query_type")), U.window(F.col("complexity"), F.col("query_type")), F.col("turn") > 2)
+    return t.select("conv_id", "turn", k.alias("top_k"), w.alias("window"))
+
+
 def _parts(patterns: list[str]) -> str:
     return "(" + " OR ".join(f"regexp_matches(lower(question), '{p}', 's')".replace(", 's'", "") for p in patterns) + ")"
 
