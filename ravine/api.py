@@ -39,12 +39,16 @@ class Engine:
         found = search.list_documents(document_index(self.spark, self.sf_dir), page, page_size, search_for, language=language, document_type=document_type)
         return found.select("id", "title", "document_type", "language", "file_size_bytes", "total")
 
+    def rows(self, request: str | dict) -> DataFrame:
+        """The rows of the response to a request."""
+        asked = json.loads(request) if isinstance(request, str) else dict(request)
+        route = self.routes[asked.pop("route")]
+        return route(**asked)
+
     def handle(self, request: str | dict) -> str:
         """The response to a request; errors are responses too."""
         try:
-            asked = json.loads(request) if isinstance(request, str) else dict(request)
-            route = self.routes[asked.pop("route")]
-            rows = [json.loads(r) for r in route(**asked).toJSON().take(MOST)]
+            rows = [json.loads(r) for r in self.rows(request).toJSON().take(MOST)]
         except (KeyError, TypeError, ValueError) as e:
             return json.dumps({"error": str(e)})
         return json.dumps({"rows": rows})

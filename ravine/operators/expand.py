@@ -42,6 +42,17 @@ def siblings(chunks: DataFrame, seeds: DataFrame, n: int = 2, doc: str = "doc_id
     return neighbours(chunks, F.col(id_), n, doc, id_).join(seeds.select(id_), id_, "left_semi")
 
 
+def numbered(rows: DataFrame, order: list, out: str = "place", parts: int | None = None) -> DataFrame:
+    """Rows with their place (from 1) in an order over the whole table: range-sorted parts, each counted
+    from where the ones before it end. Only the parts' sizes are added up in one place."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
+    sizes = cut.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a part
+    return cut.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(out, F.col("__before") + row + 1).drop("__p", "__m", "__before")
+
+
 def within_budget(df: DataFrame, tokens: str, budget: int | Column, order: list, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows before the first that overflows the running budget."""
     used = F.sum(tokens).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -18,10 +18,6 @@ def chunks_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select("id").distinct(), "id", "left_semi").orderBy("page_number", "id")
 
 
-def in_document_order(chunks: DataFrame) -> DataFrame:
-    return chunks.orderBy("doc_id", "page_number", "id")
-
-
 def with_document(chunks: DataFrame, index: DataFrame, *columns: str, status: str | None = "completed", key: str = "doc_id") -> DataFrame:
     """Chunks with columns of their document; only of documents with a status, if one is asked for."""
     docs = index.filter(F.col("status") == status) if status else index
@@ -106,11 +102,10 @@ def lacking(df: DataFrame, column: str, *, given: str | None = None) -> DataFram
     return df.filter(cond & (F.length(F.trim(F.coalesce(given, F.lit("")))) > 0) if given else cond)
 
 
-def missing_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Which of the expected columns a table lacks."""
-    spark = df.sparkSession
-    have = spark.createDataFrame([(c,) for c in df.columns], "name string")
-    return spark.createDataFrame([(c,) for c in names], "name string").exceptAll(have)
+def missing_names(rows: DataFrame, column: str, *names: str) -> DataFrame:
+    """Which of the expected names no row's JSON object has. Null and what is no object has none."""
+    have = rows.select(F.explode(F.json_object_keys(column)).alias("name")).distinct()
+    return rows.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(names)], "name string").join(have, "name", "left_anti")
 
 
 def literals(spark, **values: str) -> DataFrame:

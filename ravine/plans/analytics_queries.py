@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ravine.operators import analytics, expand, ingest
 from ravine.functions import text
@@ -232,14 +232,13 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id AS id, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 ELSE 1 END, ts, event_id) AS INT) AS place FROM events QUALIFY place <= 50")
+@query("SELECT event_id AS id, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 ELSE 1 END, ts, event_id) AS place FROM events")
 def stream_priority_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A micro-batch drained by priority, then time: its first 50."""
+    """A micro-batch drained by priority, then time: every row's place in what was written."""
     at = scratch(spark, "stream-queue")
-    jobs = streams.read_events(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("priority"))
-    done = streams.to_table(jobs, f"{at}/checkpoint", f"{at}/table", "append")
-    first = done.orderBy("batch", "priority", "ts", "event_id").limit(50)
-    return first.select(F.col("event_id").alias("id"), F.row_number().over(Window.orderBy("batch", "priority", "ts", "event_id")).alias("place"))  # 50 rows
+    jobs = streams.read_events(spark, f"{sf_dir}/events.parquet", 1 << 30).select("event_id", "ts", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("priority"))
+    streams.run(jobs, f"{at}/checkpoint", f"{at}/table", order=["priority", "ts", "event_id"])
+    return streams.places(spark, f"{at}/table", jobs.schema.add("batch", "long")).select(F.col("event_id").alias("id"), "place")
 
 
 _METRICS = "mt AS (SELECT event_id, ts AS created_at, 'doc' || user_id % 3 AS doc_id, value / 500 AS s, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS c, [event_type, 'all'] AS categories FROM events)"

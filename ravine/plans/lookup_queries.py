@@ -127,14 +127,17 @@ def documents_without_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.lacking(chunks(spark, sf_dir), "embedding", given="content").select("id")
 
 
-@query("SELECT unnest(['embedding', 'summary', 'tags']) AS name EXCEPT SELECT column_name FROM (DESCRIBE embeddings)")
+@query("SELECT name FROM (VALUES ('k'), ('timestamp_start'), ('source_type')) v(name) WHERE name NOT IN (SELECT unnest(json_keys(props)) FROM events)")
 def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.missing_columns(table(spark, sf_dir, "embeddings"), "embedding", "summary", "tags")
+    """Names that are expected and that no row's properties have."""
+    return lookup.missing_names(table(spark, sf_dir, "events"), "props", "k", "timestamp_start", "source_type")
 
 
-@query("SELECT 'chunks' AS name, 'timestamp_start' AS value UNION SELECT 'images', 'timestamp' UNION SELECT 'document_index', 'source_type'")
+@query("SELECT name, v.value, count(event_id) AS n FROM (SELECT 'queued' AS name, 'view' AS value UNION SELECT 'failed', 'error' UNION SELECT 'never', 'nothing') v LEFT JOIN events ON event_type = v.value GROUP BY 1, 2")
 def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.literals(spark, chunks="timestamp_start", images="timestamp", document_index="source_type")
+    """A union of literals, and how many rows have each value."""
+    found = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return lookup.literals(spark, queued="view", failed="error", never="nothing").join(found, "value", "left").select("name", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT event_id, CASE WHEN s // 3600 > 0 THEN (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') ELSE (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS clock,"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ravine.operators import analytics, expand, lookup, search, vector_index
+from ravine.operators import analytics, expand, search, vector_index
 from ravine.functions import text
 from ravine.plans import sql as S
 from ravine.plans.lookup_queries import _WORDS
@@ -233,11 +233,10 @@ def rrf_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rrf(chunks(spark, sf_dir, True), vector(spark, sf_dir), TERMS, candidates=100).select("id", "score")
 
 
-@query(f"WITH {S.CHUNKS} SELECT doc_id, page_number, id, CAST(row_number() OVER (ORDER BY doc_id, page_number, id) AS INT) AS place FROM chunks ORDER BY doc_id, page_number, id LIMIT 50")
+@query(f"WITH {S.CHUNKS} SELECT doc_id, page_number, id, row_number() OVER (ORDER BY doc_id, page_number, id) AS place FROM chunks")
 def expanded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 50 chunks in the order that an expansion is shown in."""
-    first = lookup.in_document_order(chunks(spark, sf_dir).select("doc_id", "page_number", "id")).limit(50)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("doc_id", "page_number", "id")))  # 50 rows
+    """Every chunk's place in the order that an expansion is shown in."""
+    return expand.numbered(chunks(spark, sf_dir).select("doc_id", "page_number", "id"), ["doc_id", "page_number", "id"])
 
 
 @query(f"SELECT page_id AS id, CAST(round({S.tf('t', ['the', 'page'])}, 6) AS DOUBLE) AS score FROM (SELECT page_id, concat_ws(' ', regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), 'shot of the page', url) AS t FROM pages) WHERE {S.all_terms('t', ['the', 'page'])} ORDER BY score DESC, id LIMIT 10")
@@ -249,13 +248,10 @@ def keyword_search_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH d AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), h AS (SELECT id, len(list_filter(string_split(w, ' '), lambda x: x = 'she')) AS n FROM d WHERE contains(w, ' she ')) SELECT id, CAST(round(n / (n + 1.0), 6) AS DOUBLE) AS score FROM h ORDER BY score DESC, id LIMIT 5""")
 def api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON request and the rows of its JSON response."""
-    import json
-
+    """The rows of the response to a JSON request."""
     from ravine.api import Engine
 
-    answer = json.loads(Engine(spark, sf_dir).handle('{"route": "search/keyword", "query": "the she", "top_k": 5}'))
-    return spark.createDataFrame([(r["id"], float(r["score"])) for r in answer["rows"]], "id bigint, score double")
+    return Engine(spark, sf_dir).rows('{"route": "search/keyword", "query": "the she", "top_k": 5}')
 
 
 def _index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:

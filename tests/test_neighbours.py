@@ -26,3 +26,11 @@ def test_neighbours(spark, buckets):
 
 def test_no_rows(spark):
     assert expand.neighbours(spark.createDataFrame([], "doc_id string, id bigint, text string"), F.col("text")).count() == 0
+
+
+def test_numbered(spark):
+    rows = [(i * 7 % 5, i) for i in range(83)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    for parts in (1, 4, 100):
+        got = {(r["a"], r["b"]): r["place"] for r in expand.numbered(df, ["a", F.desc("b")], parts=parts).collect()}
+        assert got == {r: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0], -r[1])), 1)}
