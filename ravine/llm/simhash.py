@@ -453,8 +453,37 @@ def _pairs(similarity: float):
     return check
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, part, node, tokens): packed shingles as a list."""
+    for b in batches:
+        lists = [np.frombuffer(x.as_py(), np.uint32).view(np.int32) for x in b.column(3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(lists, pa.list_(pa.int32()))], names=["root", "part", "node", "tokens"])
+
+
+def _across(sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between different parts of a group (root, part, node, shingles): exact.
+
+    Sets this similar share one of the first n - ceil(similarity * n) + 1 tokens of either when both
+    put those first that are rare in the group, so pairs come from these tokens alone.
+    """
+    each = sets.mapInArrow(_unpacked, "root bigint, part bigint, node bigint, tokens array<int>").select("root", "part", "node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = each.groupBy("root", "token").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, ["root", "token"]).groupBy("root", "part", "node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))  # a text's own tokens
+    first = F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity).cast("int") + 1)
+    heads = materialize(ranked.select("root", "part", "node", "n", F.explode(first).alias("t")).select("root", "part", "node", "n", F.col("t.token").alias("token")), "prefixes")
+    a, b = (heads.select("root", "token", F.col("part").alias(f"part_{c}"), F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    sized = (F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a"))
+    pairs = a.join(b, ["root", "token"]).filter((F.col("part_a") < F.col("part_b")) & sized).select("a", "b").distinct()
+    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b").mapInArrow(_pairs(similarity), "a bigint, b bigint")
+
+
 def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) of candidates that exact similarity upholds. texts: __rk, text; nodes: node, __rk."""
+    """The links (a, b) of candidates that exact similarity upholds. texts: __rk, text; nodes: node, __rk.
+
+    Groups up to GROUP are compared whole. Of larger ones the candidates are verified; where that
+    leaves a group in parts, members of different parts are joined exactly, so no link is lost.
+    """
     found = components(edges)
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())  # a root has no row of its own
     found = materialize(found, "candidate-groups")
@@ -463,10 +492,18 @@ def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity:
     sets = texts.join(members, "__rk").select("node", "root", "size", "text").mapInArrow(_sets, "node bigint, root bigint, size bigint, shingles binary")
     sets = materialize(sets, "shingles")
     small = sets.filter(F.col("size") <= GROUP).select("root", "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_groups(similarity), "a bigint, b bigint")
-    large = sets.filter(F.col("size") > GROUP).select("node", "shingles").dropDuplicates(["node"])
+    large = sets.filter(F.col("size") > GROUP).select("root", "node", "shingles").dropDuplicates(["node"])
+    if large.isEmpty():
+        return small
     one, other = (large.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     pairs = edges.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b").mapInArrow(_pairs(similarity), "a bigint, b bigint")
-    return small.unionByName(pairs)
+    pairs = materialize(pairs, "verified")
+    parts = components(pairs).select(F.col("node").alias("__node"), F.col("root").alias("__part"))
+    parted = large.join(parts, F.col("node") == F.col("__node"), "left").select("root", F.coalesce("__part", "node").alias("part"), "node", "shingles")
+    torn = parted.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("root")
+    rest = materialize(parted.join(torn, "root", "left_semi"), "parts")
+    out = small.unionByName(pairs)
+    return out if rest.isEmpty() else out.unionByName(_across(rest, similarity))
 
 
 def similar(df: DataFrame, key: str = "doc_id", *, similarity: float = SIMILAR) -> DataFrame:
