@@ -46,44 +46,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A code for each byte value.
 BYTE_CODES = mix(np.arange(1, 257, dtype=_U) * _U(0x2545F4914F6CDD1D))
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, _U), np.empty(0, _U))
+
+
+def _room(n: int) -> int:
+    """Powers are kept for n and somewhat more, so that few are worked out anew."""
+    return -(-(n + 1) // (1 << 18)) << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        made = []
-        for base in (BASE, BASE_INVERSE):
-            p = np.ones(size, _U)
-            p[1:] = _U(base)
-            made.append(np.multiply.accumulate(p))
-        if size <= 4 * PIECE:
-            _powers[size] = tuple(made)
-        return tuple(made)
-    return _powers[size]
+    """BASE ** i and BASE ** -i for i up to n at least."""
+    global _powers
+    if len(_powers[0]) > n:
+        return _powers
+    made = []
+    for base in (BASE, BASE_INVERSE):
+        p = np.ones(_room(n), _U)
+        p[1:] = _U(base)
+        made.append(np.multiply.accumulate(p, out=p))
+    if len(made[0]) <= 4 * PIECE:
+        _powers = tuple(made)
+    return tuple(made)
 
 
 #: The second polynomial's modulus and base.
 PRIME, PRIME_BASE = (1 << 31) - 1, 0x5DEECE66
-_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_prime_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint32), np.empty(0, np.uint32))
 
 
 def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME_BASE ** i and PRIME_BASE ** -i modulo PRIME for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
-    if size in _prime_powers:
-        return _prime_powers[size]
+    """PRIME_BASE ** i and PRIME_BASE ** -i modulo PRIME for i up to n at least."""
+    global _prime_powers
+    if len(_prime_powers[0]) > n:
+        return _prime_powers
     made = []
     for base in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
-        p = np.ones(size, _U)
+        p = np.ones(_room(n), np.uint32)
         k = 1
-        while k < size:  # twice as many each time
-            p[k : 2 * k] = p[:k] * _U(pow(base, k, PRIME)) % _U(PRIME)
+        while k < len(p):  # twice as many each time
+            more = p[: min(k, len(p) - k)]
+            p[k : 2 * k] = more.astype(_U) * _U(pow(base, k, PRIME)) % _U(PRIME)
             k *= 2
         made.append(p)
-    if size <= 4 * PIECE:
-        _prime_powers[size] = tuple(made)
+    if len(made[0]) <= 4 * PIECE:
+        _prime_powers = tuple(made)
     return tuple(made)
 
 
@@ -98,12 +104,16 @@ class Sums:
         if exact:
             self.second_up, down = prime_powers(len(codes) + 1)
             self.second = np.zeros(len(codes) + 1, _U)
-            np.cumsum((codes >> _U(33)) * down[: len(codes)] % _U(PRIME), out=self.second[1:])
+            terms = self.second[1:]
+            np.right_shift(codes, _U(33), out=terms)
+            terms *= down[: len(codes)]
+            terms %= _U(PRIME)
+            np.cumsum(terms, out=terms)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = (self.sums[end] - self.sums[start]) * self.up[start]
         if self.second is not None:
-            out = mix(out) + (self.second[end] - self.second[start]) % _U(PRIME) * self.second_up[start] % _U(PRIME) * _U(0xC2B2AE3D27D4EB4F)
+            out = mix(out) + (self.second[end] - self.second[start]) % _U(PRIME) * self.second_up[start].astype(_U) % _U(PRIME) * _U(0xC2B2AE3D27D4EB4F)
         return mix(out)
 
     def each(self, n: int) -> np.ndarray:
