@@ -103,3 +103,35 @@ def read_objects(spark: SparkSession, path: str, keys: DataFrame | None = None,
     """Objects of a store, all or those of ``keys``."""
     out = spark.read.parquet(path)
     return out if keys is None else out.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def hmac_sha256(message: Column, secret: str) -> Column:
+    """The keyed digest of a text (RFC 2104) in hexadecimal; the secret is a literal of the plan."""
+    import hashlib
+
+    raw = secret.encode()
+    block = (raw if len(raw) <= 64 else hashlib.sha256(raw).digest()).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+def signed_url(url: Column, key: Column, secret: str, now: Column, seconds: int = 3600) -> Column:
+    """A URL that holds until ``seconds`` after ``now`` (seconds since 1970), an hour by default."""
+    until = (now.cast("long") + seconds).cast("string")
+    return F.concat(url, F.lit("?expires="), until, F.lit("&signature="), hmac_sha256(F.concat_ws("\n", key, until), secret))
+
+
+def is_signed(signed: Column, key: Column, secret: str, now: Column) -> Column:
+    """Whether a signed URL is of this key and still holds; null and other URLs don't."""
+    until, given = F.regexp_extract(signed, r"\?expires=(\d+)&", 1), F.regexp_extract(signed, r"&signature=([0-9a-f]{64})$", 1)
+    return F.coalesce((given == hmac_sha256(F.concat_ws("\n", key, until), secret)) & (F.try_to_number(until, F.lit("9" * 18)) >= now), F.lit(False))
+
+
+def delete_objects(spark: SparkSession, path: str, to: str, documents: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """A store without the assets of some documents: the objects that stay, written to ``to``, and how many
+    of each document went (0 where it had none)."""
+    gone, of = documents.select(F.col(doc).cast("string").alias("__doc")).distinct(), F.substring_index("key", "/", 1)
+    objects = spark.read.parquet(path)
+    objects.withColumn("__doc", of).join(gone, "__doc", "left_anti").drop("__doc").repartitionByRange("key").sortWithinPartitions("key").write.parquet(to)
+    counted = objects.groupBy(of.alias("__doc")).agg(F.count(F.lit(1)).alias("deleted"))
+    return spark.read.schema(objects.schema).parquet(to), gone.join(counted, "__doc", "left").select(F.col("__doc").alias(doc), F.coalesce("deleted", F.lit(0)).alias("deleted"))

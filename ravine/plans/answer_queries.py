@@ -171,6 +171,34 @@ def object_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.substring_index("key", "/", 1).cast("long").alias("page_id"), "key", F.length("content").alias("bytes"))
 
 
+_SECRET = "not a secret"
+_PADS = ["".join(f"{b ^ pad:02x}" for b in _SECRET.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"""WITH p AS (SELECT page_id, page_id || '/images/page_' || printf('%04d', page_id % 12) || '_' || printf('%03d', page_id % 5) || '.png' AS key, (page_id * 60 + 3600)::VARCHAR AS until FROM pages)
+ SELECT page_id, 'store/' || key || '?expires=' || until || '&signature=' || sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(key || chr(10) || until)))) AS url, page_id * 60 + 3600 >= 9000 AS holds FROM p""")
+def object_signed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed links to every page's asset, and whether they hold at a later time."""
+    id_ = F.col("page_id")
+    key = providers.asset_key(id_, "image", (id_ % 12).cast("int"), (id_ % 5).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", key.alias("key"))
+    rows = rows.withColumn("url", providers.signed_url(F.concat(F.lit("store/"), "key"), F.col("key"), _SECRET, id_ * 60))
+    return rows.select("page_id", "url", providers.is_signed(F.col("url"), F.col("key"), _SECRET, F.lit(9000)).alias("holds"))
+
+
+@query("SELECT page_id::VARCHAR AS doc, count(*) AS deleted FROM pages WHERE page_id % 3 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT 'none' || source, 0 FROM documents")
+def object_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assets of a third of the documents deleted; documents without assets lose none."""
+    from ravine.sources.shared import scratch
+
+    id_, path = F.col("page_id"), scratch(spark, "objects")
+    key = providers.asset_key(id_, "image", (id_ % 12).cast("int"), (id_ % 5).cast("int"))
+    pages = table(spark, sf_dir, "pages")
+    providers.write_objects(pages.select(key.alias("key"), F.col("url").cast("binary").alias("content")), path)
+    gone = pages.filter(id_ % 3 == 0).select(id_.cast("string").alias("doc")).unionByName(table(spark, sf_dir, "documents").select(F.concat(F.lit("none"), "source").alias("doc")))
+    return providers.delete_objects(spark, path, scratch(spark, "objects"), gone)[1]
+
+
 # -- state -----------------------------------------------------------------
 
 _ACTION = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'fail' WHEN 'click' THEN 'retry' WHEN 'purchase' THEN 'complete' ELSE CASE WHEN event_id % 2 = 0 THEN 'cancel' ELSE 'resume' END END"
