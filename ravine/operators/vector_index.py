@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ravine.functions import vector
 from ravine.sources.shared import materialize
 
-#: Rows and queries that are multiplied at once.
+#: Rows and queries that meet in one task; queries of these that are multiplied at once, entries of a
+#: product at most.
 ROWS, QUERIES = 8192, 2048
+AT_ONCE, ENTRIES = 128, 1 << 20
 #: Rows on which centroids are fitted, at most; queries on which recall is measured, at most.
 SAMPLE, TRIALS = 32768, 256
 #: Lists at most: the centroids go to every task.
@@ -35,6 +37,11 @@ DEPTH = 10
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
     """Vectors as rows; those of another length than ``width`` (default: the longest), or null: zeros."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(flat) and not flat.null_count:  # without Python's numbers where all are of one length
+        sizes = np.diff(flat.offsets.to_numpy())
+        if (sizes == (sizes[0] if width is None else width)).all() and not flat.flatten().null_count:
+            return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), int(sizes[0]))
     vectors = [np.asarray(v, np.float64) if v is not None else np.zeros(0) for v in column.to_pylist()]
     width = max((len(v) for v in vectors), default=0) if width is None else width
     return np.array([v if len(v) == width else np.zeros(width) for v in vectors]).reshape(len(vectors), width)
@@ -59,11 +66,20 @@ def _best(k: int):
             x, ids, norm = x[norm > 0], ids[norm > 0], norm[norm > 0]
             units, some = _units(q), np.abs(q).sum(axis=1) > 0
             units, asked = units[some], asked[some]
-            for at in range(0, len(units), QUERIES):
-                found = np.round(units[at : at + QUERIES] @ x.T / norm, 6)
-                order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :k]
-                of = np.repeat(asked[at : at + QUERIES], order.shape[1])
-                out.append(pa.table([of, ids[order].ravel(), np.take_along_axis(found, order, axis=1).ravel()], schema=schema))
+            most = min(k, len(x))
+            for at in range(0, len(units) if most else 0, AT_ONCE):
+                found = units[at : at + AT_ONCE] @ x.T
+                found /= norm
+                np.round(found, 6, out=found)
+                found[np.isnan(found)] = -np.inf  # of infinite entries: behind all others
+                least = np.partition(found, len(x) - most, axis=1)[:, len(x) - most]  # the k-th best of each query
+                row, col = np.nonzero(found >= least[:, None])  # with its ties
+                score = found[row, col]
+                score[np.isneginf(score)] = np.nan
+                order = np.lexsort((ids[col], -score, row))
+                place = np.arange(len(row)) - np.searchsorted(row, row)  # rows are in order before and after
+                order = order[place < most]
+                out.append(pa.table([asked[at : at + AT_ONCE][row[order]], ids[col[order]], score[order]], schema=schema))
         return pa.concat_tables(out)
 
     return near
@@ -94,9 +110,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = QUERIES) -
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))).filter(F.col("rank") <= k)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _assigned(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """Each row once for each of its ``most`` nearest lists, nearest first."""
-    for b in batches:
+    step = max(1, ENTRIES // max(len(centroids), most * centroids.shape[1]))  # rows at once: of the product, and of what comes out
+    for b in _slices(batches, step):
         x = _units(matrix(b.column(1), centroids.shape[1]))
         lists = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :most]
         at = np.repeat(np.arange(b.num_rows), lists.shape[1])
@@ -118,7 +141,8 @@ def fit(sample: DataFrame, lists: int, rounds: int = ROUNDS) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(centroids), width))
-        for b in batches:
+        step = max(1, ENTRIES // len(centroids))
+        for b in _slices(batches, step):
             x = _units(matrix(b.column(1), width))
             np.add.at(sums, (x @ centroids.T).argmax(axis=1), x)
         some = np.flatnonzero(np.abs(sums).sum(axis=1))
