@@ -37,7 +37,8 @@ def stream_job_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = e.withColumn("polled_ms", F.col("updated_ms") + F.col("event_id") % 8 * 60000)
     again = e.filter("event_id % 5 = 0").withColumn("polled_ms", F.col("updated_ms") + 3 * 86400000)
     rows = late.unionByName(again).withColumn("poll", F.least(F.lit(POLLS - 1), F.floor((F.col("polled_ms") - START_MS) / (DAYS * 86400000))).cast("int"))
-    return keyed.in_batches(rows, "poll", POLLS, keyed.feed, scratch(spark, "stream-feed")).drop("batch")
+    n = keyed.pages(rows)
+    return keyed.in_batches(rows, "poll", POLLS, lambda u: keyed.feed(u, n), scratch(spark, "stream-feed")).drop("batch")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id, {_ACTION} AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
@@ -48,14 +49,16 @@ def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user's job from its actions; a job's state passes from batch to batch."""
     e = table(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("at"), "event_id", F.expr(_ACTION).alias("action"), _fifth(e, "event_id").alias("part"))
-    return keyed.in_batches(rows, "part", PARTS, keyed.transitions, scratch(spark, "stream-states")).drop("at", "batch")
+    n = keyed.pages(rows)
+    return keyed.in_batches(rows, "part", PARTS, lambda a: keyed.transitions(a, n), scratch(spark, "stream-states")).drop("at", "batch")
 
 
 @query(f'WITH RECURSIVE {_SEG}, e AS (SELECT key, t // 3600 AS t, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS r FROM sg), f AS (SELECT key, r, t AS kept, TRUE AS yes FROM e WHERE r = 1 UNION ALL SELECT e.key, e.r, CASE WHEN e.t - f.kept > 5 THEN e.t ELSE f.kept END, e.t - f.kept > 5 FROM f JOIN e ON e.key = f.key AND e.r = f.r + 1) SELECT key, kept AS "at" FROM f WHERE yes')
 def stream_dedupe_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times more than five hours after the last one kept, over batches that cut a key's times."""
     s = _segments(spark, sf_dir).select("key", F.floor(F.col("at") / 3600).alias("at"))
-    return keyed.in_batches(s.withColumn("part", _fifth(s, "at")), "part", PARTS, lambda t: keyed.spaced(t, 5), scratch(spark, "stream-gap")).drop("batch")
+    n = keyed.pages(s)
+    return keyed.in_batches(s.withColumn("part", _fifth(s, "at")), "part", PARTS, lambda t: keyed.spaced(t, 5, n), scratch(spark, "stream-gap")).drop("batch")
 
 
 @query(f"""WITH e AS (SELECT event_id, ts, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS priority, least(4, event_id // (((SELECT max(event_id) FROM events) + 5) // 5)) AS batch FROM events)
