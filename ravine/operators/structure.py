@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.functions.ranges import span
@@ -54,34 +57,82 @@ def _plain(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), r"[^a-z0-9\s]", "")
 
 
+def containing(patterns: Iterable[str], texts: dict[str, list]) -> dict[str, list]:
+    """For each pattern what stands under the texts that contain it. Every start in a text is looked up by the
+    lengths of the patterns that begin with its four characters, so no pattern meets every text."""
+    known, sizes, out = set(patterns), {}, {}
+    for p in known:
+        sizes.setdefault(p[:4] if len(p) >= 4 else None, set()).add(len(p))
+    short = sizes.pop(None, set())
+    for text, rows in texts.items():
+        seen = set()
+        for i in range(len(text) + 1):
+            seen.update(text[i : i + n] for n in sizes.get(text[i : i + 4], ()) if i + n <= len(text))
+            seen.update(text[i : i + n] for n in short if i + n <= len(text))
+        for p in seen & known:
+            out.setdefault(p, []).extend(rows)
+    return out
+
+
+def greedy_titles(bookmarks: list[tuple[int, str]], headings: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+    """(b, h, score): each bookmark's heading by the rule of ``outline_sections``; work and memory grow with the
+    titles and their matches, not with all pairs."""
+    of: dict[str, list[int]] = {}
+    for h, title in headings:
+        of.setdefault(title, []).append(h)
+    marks: dict[int, set[str]] = {}
+    for b, title in bookmarks:
+        marks.setdefault(b, set()).add(title)
+    titles = {t for _, t in bookmarks}
+    words = {t: [w for w in dict.fromkeys(re.split(r"[ \t\n\x0b\f\r]+", t)) if len(w) > 3] for t in titles}
+    inside = containing(titles, of)
+    for ht, some in containing(of, {t: [t] for t in titles}).items():
+        for t in some:
+            inside.setdefault(t, []).extend(of[ht])
+    holding = containing({w for some in words.values() for w in some}, of)
+    lists = {(100, t): sorted(of[t]) for t in titles if t in of} | {(80, t): sorted(v) for t, v in inside.items()} | {(50, w): sorted(v) for w, v in holding.items()}
+    at, used, out = dict.fromkeys(lists, 0), set(), []
+
+    def first(key):
+        rows = lists.get(key, ())
+        i = at.get(key, 0)
+        while i < len(rows) and rows[i] in used:  # each place is passed once
+            i += 1
+        at[key] = i
+        return rows[i] if i < len(rows) else None
+
+    for b in sorted(marks):
+        for score in (100, 80, 50):
+            keys = [k for t in marks[b] for k in (words[t] if score == 50 else [t])]
+            found = [h for h in (first((score, k)) for k in keys) if h is not None]
+            if found:
+                used.add(min(found))
+                out.append((b, min(found), score))
+                break
+    return out
+
+
+def _taken(bookmarks: pa.Table, headings: pa.Table) -> pa.Table:
+    """The chosen headings of one document's outline."""
+    rows = lambda t, *names: list(zip(*(t.column(c).to_pylist() for c in names)))
+    chosen = greedy_titles(rows(bookmarks, "b", "bt"), rows(headings, "h", "ht"))
+    page, doc = dict(rows(headings, "h", "found_page")), bookmarks.column("doc_id")[0].as_py() if bookmarks.num_rows else None
+    columns = [[doc] * len(chosen), *([c[k] for c in chosen] for k in range(3)), [page[h] for _, h, _ in chosen]]
+    schema = pa.schema([("doc_id", pa.int64()), ("b", pa.int32()), ("h", pa.int32()), ("score", pa.int32()), ("found_page", pa.int32())])
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def outline_sections(bookmarks: DataFrame, headings: DataFrame) -> DataFrame:
     """Sections from bookmarks (doc_id, idx, title, level, page) and found headings (doc_id, idx, title, page).
 
     Each bookmark in order takes the heading with the best score that none before it took: equal
     titles (100), one in the other (80), a longer word of it in the heading (50); of equal scores
-    the first. The page is that of the heading, else the bookmark's own.
+    the first. The page is that of the heading, else the bookmark's own. The choice is sequential, so
+    a document's titles are one group.
     """
-    b = bookmarks.select("doc_id", F.col("idx").alias("b"), _plain(F.col("title")).alias("bt"))
-    h = headings.select("doc_id", F.col("idx").alias("h"), _plain(F.col("title")).alias("ht"), F.col("page").alias("found_page"))
-    word = F.exists(F.split("bt", r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.col("ht"), w))
-    score = F.when(F.col("bt") == F.col("ht"), 100).when(F.contains("ht", "bt") | F.contains("bt", "ht"), 80).when(word, 50)
-    pairs = b.join(h, "doc_id").withColumn("score", score).filter("score is not null")  # a document's own titles
-
-    def step(_doc):
-        used, of = set(), []
-
-        def push(row):
-            mark, _, heading, score, page = row
-            if heading in used or (of and of[0] == mark):
-                return []
-            used.add(heading)
-            of[:] = [mark]
-            return [(mark, heading, score, page)]
-
-        return push, lambda: []
-
-    ranked = pairs.select("doc_id", "b", (-F.col("score")).alias("worst"), "h", "score", "found_page")
-    chosen = folds.fold(ranked, "doc_id", ["b", "worst", "h"], step, "doc_id bigint, b int, h int, score int, found_page int")
+    b = bookmarks.select("doc_id", F.col("idx").alias("b"), _plain(F.col("title")).alias("bt")).dropna()
+    h = headings.select("doc_id", F.col("idx").alias("h"), _plain(F.col("title")).alias("ht"), F.col("page").alias("found_page")).dropna(subset=["doc_id", "ht"])
+    chosen = b.groupBy("doc_id").cogroup(h.groupBy("doc_id")).applyInArrow(_taken, "doc_id bigint, b int, h int, score int, found_page int")
     out = bookmarks.join(chosen.select(F.col("doc_id").alias("__d"), F.col("b").alias("__b"), "score", "found_page"), (F.col("doc_id") == F.col("__d")) & (F.col("idx") == F.col("__b")), "left")
     out = out.withColumn("start_page", F.coalesce("found_page", "page")).withColumn("source", F.when(F.col("score").isNotNull(), "bookmark").otherwise("bookmark_only"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_page", "level", "idx")) - 1
