@@ -14,12 +14,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ravine.functions import grammar, rank, stemmer
 
 BUCKETS = 64
+#: Bytes of text that are indexed at once, about.
+BYTES = 1 << 20
 #: What a cover without other words adds.
 WEIGHT = 0.1
 _TOKEN = re.compile("[a-z0-9]+")
@@ -30,20 +34,35 @@ def _plain(word: str) -> str:
     return word
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``BYTES`` of text, a document at least."""
+    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // BYTES
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [b.num_rows]])
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield b.slice(start, end - start)
+
+
 def _postings(batches: Iterator[pa.RecordBatch], stem) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            terms, ids, sizes, places = [], [], [], []
-            part = b.slice(at, 256)
-            for id_, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words, of = _TOKEN.findall((text or "").lower()), {}
-                for i, w in enumerate(words):
-                    of.setdefault(stem(w), []).append(i)
-                terms += of
-                ids += [id_] * len(of)
-                sizes += [len(words)] * len(of)
-                places += of.values()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32()))], ["term", "id", "size", "positions"])
+    """Terms, documents and positions of some texts at once: each different word is stemmed once, and
+    words are sorted as numbers."""
+    for part in (p for b in batches if b.num_rows for p in _parts(b)):
+        known: dict[str, int] = {}
+        codes = []
+        for text in part.column(1):
+            words = _TOKEN.findall((text.as_py() or "").lower())
+            codes.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        sizes, terms = np.array([len(c) for c in codes]), {}
+        of = np.array([terms.setdefault(stem(w), len(terms)) for w in known], np.int64)
+        code, doc = of[np.concatenate(codes)], np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = doc * len(terms) + code
+        order = np.argsort(key, kind="stable")  # positions stay in order
+        begins = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
+        first = order[begins]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+        rows = [pa.array(list(terms), pa.string()).take(pa.array(code[first])), part.column(0).take(pa.array(doc[first])), pa.array(sizes[doc[first]].astype(np.int32)), lists]
+        yield pa.RecordBatch.from_arrays(rows, ["term", "id", "size", "positions"])
 
 
 def _bucket(term: Column, buckets: int) -> Column:
