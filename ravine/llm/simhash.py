@@ -22,7 +22,9 @@ Hamming distance) of a second fingerprint, of two-word shingles, which an edit m
 hold about ``CELL`` nodes at every size of the corpus, and there are so many tables of cells that
 two texts at the threshold meet with a probability of 0.95, closer ones with a higher. Candidates
 are verified by the shingle sets themselves: all pairs of a group of up to ``GROUP`` texts that
-candidates connect, of a larger one the candidates, which are its cells' minimum spanning forests.
+candidates connect. Of a larger group the candidates are verified first, which are its cells' minimum
+spanning forests; where that leaves it in parts, all texts of different parts are compared, block by
+block, and each pair of blocks returns only links that connect parts, never pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ravine.llm import spans as S
 from ravine.llm.common import materialize, row_key
@@ -54,6 +56,8 @@ SIMILAR, SIMILAR_SHINGLE, SIMILAR_WORDS = 0.8, 5, 4
 GRID_SHINGLE, GRID_WORDS = 2, 2
 #: Nodes in a cell, about; cells up to PAIRS are compared pair by pair. Groups that are verified whole.
 CELL, PAIRS, GROUP = 16, 32, 64
+#: Texts, and bytes of their shingles, in a block of a larger group that is in parts.
+PART_BLOCK, PART_BYTES = 2048, 8 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -227,10 +231,11 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(h) for h in held]
 
 
-def _in_blocks(cells: DataFrame, by: str, *rest: str) -> DataFrame:
-    """Rows of cells dealt by (cell, pair of blocks), sorted by these, side and ``by``."""
-    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    large = large.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _in_blocks(cells: DataFrame, by: str, *rest: str, blocks: Column | None = None) -> DataFrame:
+    """Rows of cells dealt by (cell, pair of blocks), sorted by these, side and ``by``. blocks: the
+    aggregate of a cell's rows that says how many it has; one for each BLOCK rows if there is none."""
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK) if blocks is None else blocks
+    large = cells.groupBy("cell").agg(blocks.cast("int").alias("blocks")).filter("blocks > 1")
     own = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
     cells = cells.join(large, "cell", "left").withColumn("own", F.coalesce(own, F.lit(0)))
     # block i meets every block j >= i in the task (i, j); its rows are side 0 there, j's side 1
@@ -453,8 +458,77 @@ def _pairs(similarity: float):
     return check
 
 
+def between(side: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of different parts, enough to connect the parts that are alike; if there
+    are two sides, only links from side 0 to side 1.
+
+    Sets this similar share one of the first n - ceil(similarity * n) + 1 tokens of either when both
+    put rare ones first, so each is counted against those alone that share such a token with it.
+    Empty sets have one fingerprint and so are one text.
+    """
+    n = np.array([len(s) for s in sets])
+    tokens, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(tokens))
+    owner, starts = np.repeat(np.arange(len(sets)), n), np.cumsum(n) - n
+    ranked = rank[at]
+    ranked = ranked[np.lexsort([ranked, owner])]
+    heads = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+    is_head = np.arange(len(ranked)) - starts[owner] < heads[owner]
+    by_token = np.argsort(ranked[is_head], kind="stable")
+    holders = owner[is_head][by_token]  # whose heads have a token, token by token
+    ends = np.cumsum(np.bincount(ranked[is_head], minlength=len(tokens)))
+    of, later, two = np.unique(part, return_inverse=True)[1], np.arange(len(sets)), side.any()
+    mark, out = np.zeros(len(tokens), bool), []
+    for i in np.flatnonzero(side == 0).tolist():
+        met, own = np.zeros(len(sets), bool), ranked[starts[i] : starts[i] + n[i]]
+        for k in own[: heads[i]].tolist():
+            met[holders[ends[k - 1] if k else 0 : ends[k]]] = True
+        met &= (of != of[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])) & (side == 1 if two else later > i)
+        others = np.flatnonzero(met)
+        if not len(others):
+            continue
+        mark[own] = True
+        held = mark[np.concatenate([ranked[starts[j] : starts[j] + n[j]] for j in others.tolist()])]
+        shared = np.add.reduceat(held, np.cumsum(n[others]) - n[others], dtype=np.int64)
+        mark[own] = False
+        for j in others[shared >= similarity * (n[i] + n[others] - shared)].tolist():
+            if of[i] != of[j]:
+                out.append((i, j))
+                of[of == of[j]] = of[i]
+    return out
+
+
+def _between(similarity: float):
+    """Rows (cell, pair, side, node, part, shingles) sorted by cell and pair: see ``between``. Reads a pair
+    of blocks at a time."""
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        if not rows:
+            return []
+        side, node, part = (np.array([r[k] for r in rows]) for k in range(3))
+        return [(int(node[i]), int(node[j])) for i, j in between(side, part, [r[3] for r in rows], similarity)]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+        for b in batches:
+            out = []
+            for cell, pair, side, node, part, packed in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if (cell, pair) != task:
+                    out += solve(rows)
+                    task, rows = (cell, pair), []
+                rows.append((side, node, part, np.frombuffer(packed, np.uint32)))
+            yield _links_batch(out)
+        yield _links_batch(solve(rows))
+
+    return check
+
+
 def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) of candidates that exact similarity upholds. texts: __rk, text; nodes: node, __rk."""
+    """The links (a, b) that exact similarity upholds. texts: __rk, text; nodes: node, __rk.
+
+    They connect whatever is alike in a group that candidates connect, however large it is.
+    """
     found = components(edges)
     found = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())  # a root has no row of its own
     found = materialize(found, "candidate-groups")
@@ -463,10 +537,19 @@ def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, similarity:
     sets = texts.join(members, "__rk").select("node", "root", "size", "text").mapInArrow(_sets, "node bigint, root bigint, size bigint, shingles binary")
     sets = materialize(sets, "shingles")
     small = sets.filter(F.col("size") <= GROUP).select("root", "node", "shingles").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_groups(similarity), "a bigint, b bigint")
-    large = sets.filter(F.col("size") > GROUP).select("node", "shingles").dropDuplicates(["node"])
+    large = sets.filter(F.col("size") > GROUP).select("root", "node", "shingles").dropDuplicates(["node"])
+    if large.isEmpty():
+        return small
     one, other = (large.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     pairs = edges.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b").mapInArrow(_pairs(similarity), "a bigint, b bigint")
-    return small.unionByName(pairs)
+    pairs = materialize(pairs, "verified")
+    parts = materialize(components(pairs).select(F.col("node").alias("__node"), F.col("root").alias("__part")), "parts")
+    parted = large.join(parts, F.col("node") == F.col("__node"), "left").select(F.col("root").alias("cell"), "node", F.coalesce("__part", "node").alias("part"), "shingles")
+    torn = parted.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("cell")
+    rest = materialize(parted.join(torn, "cell", "left_semi"), "torn")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / PART_BLOCK), F.ceil(F.sum(F.length("shingles")) / PART_BYTES))
+    across = _in_blocks(rest, "node", "part", "shingles", blocks=blocks).mapInArrow(_between(similarity), "a bigint, b bigint")
+    return small.unionByName(pairs).unionByName(across)
 
 
 def similar(df: DataFrame, key: str = "doc_id", *, similarity: float = SIMILAR) -> DataFrame:
