@@ -192,15 +192,20 @@ class Segments(StatefulProcessor):
 
 @contextmanager
 def _state_store(spark: SparkSession):
-    """MapState needs the RocksDB store; its changes are kept batch by batch, its files take the disk that
-    they fill, and the stores of a start that has ended go soon."""
+    """MapState needs the RocksDB store; its changes are kept batch by batch and its files take the disk that
+    they fill. A store closes with its task, so an executor has as many as cores. They share one cache and one
+    bound on buffers: Spark never frees a store's own cache, so each start would leave one behind a partition.
+    Checksums of the checkpoint's files would cost four threads a store, and the checkpoint is scratch."""
     want = {
         "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "rocksdb.changelogCheckpointing.enabled": "true",
         "rocksdb.allowFAllocate": "false",
+        "rocksdb.boundedMemoryUsage": "true",
+        "rocksdb.maxMemoryUsageMB": "256",
+        "unloadOnCommit": "true",
         "maintenanceInterval": "10s",
     }
-    want = {f"spark.sql.streaming.stateStore.{k}": v for k, v in want.items()}
+    want = {f"spark.sql.streaming.stateStore.{k}": v for k, v in want.items()} | {"spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in want}
     for k, v in want.items():
         spark.conf.set(k, v)

@@ -82,3 +82,14 @@ def test_empty_tables(spark):
     assert rows(vt.enrich(s, c.limit(0), 2, 19723, 20)) == plain(sales, [], 2, 20)
     assert rows(vt.enrich(s.limit(0), c, 2, 19723, 20)) == plain([], changes, 2, 20)
     assert rows(vt.enrich(s.limit(0), c.limit(0), 1, 19723, 20)) == []
+
+
+def test_leaves_no_stores_open(spark):
+    state = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager
+    stores = lambda: state.getNumRocksDBInstances(True) + state.getNumRocksDBInstances(False)
+    threads = lambda: {t.getId() for t in spark._jvm.Thread.getAllStackTraces().keySet() if t.getName().startswith("ChecksumCheckpointFileManager")}
+    opened, running = stores(), threads()
+    sales, changes = made(12, 1, 20)
+    s, c = spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES)
+    assert rows(vt.enrich(s, c, 2, 19723, 20)) == plain(sales, changes, 2, 20)
+    assert stores() <= opened and threads() <= running
